@@ -625,3 +625,142 @@ SELECT q.qid, CASE WHEN count(r.rank) = 0 THEN 'no_results' ELSE 'success' END A
   arg_min(r.source, r.rank) AS best_source,
   CASE WHEN count(r.rank) = 0 THEN NULL ELSE sum((r.s_intent > 0)::INT)::BIGINT END AS n_intent
 FROM queries q LEFT JOIN ranked r USING (qid) GROUP BY q.qid""")
+oracle("intent_filter", f"""WITH {CATALOG}, {QUERIES}
+SELECT q.qid, count(c.doc_id) AS n FROM queries q LEFT JOIN catalog c ON {PREDICATE}
+WHERE q.f_domain <> 'unknown' OR q.f_label <> 'unknown' GROUP BY 1""")
+# both indexes are exact, so their twin is the plain scan
+ORACLES["ivf_search"] = ORACLES["topk_visual"]
+ORACLES["pq_search"] = ORACLES["topk_visual"]
+
+# --- ingestion --------------------------------------------------------------
+
+_PROMPTS = ", ".join(
+    f"('{d}', {i}, '{t.format(d)}')" for d in K.DEFAULT_DOMAINS
+    for i, t in enumerate(K.DOMAIN_PROMPTS))
+INGEST = CATALOG + f""",
+dp AS (SELECT domain || '#' || i AS pid, domain, prompt FROM (VALUES {_PROMPTS}) t(domain, i, prompt)),
+{embed('dp', 'pid', 'prompt', 'dv')},
+dm AS (SELECT split_part(pid, '#', 1) AS domain, i, avg(vec[i]) AS x
+  FROM dv CROSS JOIN range(1, 65) r(i) GROUP BY 1, 2),
+dc AS (SELECT domain, list(x ORDER BY i) AS v FROM dm GROUP BY 1),
+ctx_t AS (SELECT doc_id, replace({base('path')}, '_', ' ') AS words FROM files),
+{embed('ctx_t', 'doc_id', 'words', 'cv')},
+isim AS (SELECT c.doc_id, dc.domain, coalesce(list_cosine_similarity(cv.vec, dc.v), 0.0) AS ctx,
+    coalesce(list_cosine_similarity(c.vector, dc.v), 0.0) AS doc
+  FROM catalog c CROSS JOIN dc LEFT JOIN cv USING (doc_id)),
+iw AS (SELECT *, exp(10 * (0.6 * ctx + 0.4 * doc)) AS w FROM isim),
+ip AS (SELECT doc_id, domain, ctx, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM iw),
+ib AS (SELECT doc_id, max(p) AS p, arg_max(domain, p) AS d, max(ctx) AS c,
+  arg_max(domain, ctx) AS dc FROM ip GROUP BY 1),
+{IN_TEXT},
+{embed('label_words', 'label', 'label', 'lv')},
+near AS (SELECT doc_id, s, label AS l FROM (
+  SELECT c.doc_id, lv.label, round(list_cosine_similarity(c.visual, lv.vec), 9) AS s
+  FROM catalog c, lv WHERE c.visual IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) = 1),
+{AUTO},
+ingested AS (SELECT c.doc_id, c.source, c.doc_hash,
+  CASE WHEN ib.c > 0.5 THEN ib.dc WHEN ib.p < 0.2 THEN 'unknown' ELSE ib.d END AS domain,
+  CASE WHEN ib.c > 0.5 THEN ib.c WHEN ib.p < 0.2 THEN 0.0 ELSE ib.p END AS score,
+  CASE WHEN ib.c > 0.5 THEN 'structural_context_forced' WHEN ib.p < 0.2
+       THEN 'low_confidence_rejection' ELSE 'semantic_fusion' END AS method,
+  coalesce(t.text_label, CASE WHEN n.s > 0.3 THEN n.l END, a.label, 'unknown') AS label,
+  CASE WHEN t.text_label IS NOT NULL THEN 'text' WHEN n.s > 0.3 THEN 'vector'
+       WHEN a.label IS NOT NULL THEN 'statistic' ELSE 'none' END AS label_method
+  FROM catalog c JOIN ib USING (doc_id) LEFT JOIN in_text t USING (doc_id)
+  LEFT JOIN near n USING (doc_id) LEFT JOIN auto a ON a.key = c.doc_id)
+"""
+oracle("ingest_full", f"""WITH {INGEST} SELECT source, domain, label, 'txt' AS type, doc_hash,
+{r6('round(score, 4)::FLOAT::DOUBLE')} AS domain_score, method, label_method FROM ingested""")
+oracle("ingest_incremental", f"""WITH {INGEST}
+SELECT i.source, i.doc_hash AS file_hash, i.label,
+  CASE WHEN l.doc_id IS NOT NULL THEN '1' ELSE '2' END AS batch
+FROM ingested i LEFT JOIN labels l USING (doc_id)
+WHERE l.doc_id IS NOT NULL OR i.doc_hash NOT IN (SELECT file_hash FROM indexed)""")
+oracle("ingest_folders", f"""
+SELECT 'csv' AS type, lower(p_name) AS label, '{{"p_partkey":"' || p_partkey || '","p_name":"'
+  || p_name || '","p_brand":"' || p_brand || '"}}' AS content, '1' AS batch FROM part
+UNION ALL SELECT 'tsv', 'unknown', '{{"s_suppkey":"' || s_suppkey || '","s_name":"' || s_name
+  || '"}}', '1' FROM supplier
+UNION ALL SELECT 'txt', 'nations', {clean('n_name')}, '1' FROM nation""")
+
+# --- exploration ------------------------------------------------------------
+
+oracle("catalog_filter", f"""WITH {FILES}
+SELECT f.doc_id, f.path AS source, 'd' || e.label AS domain, f.lang AS label, l.quality, l.toxic
+FROM files f JOIN embeddings e ON e.vec_id = f.doc_id JOIN labels l ON l.doc_id = f.doc_id
+WHERE l.toxic = 1 OR l.quality = 0 ORDER BY f.path LIMIT 1000""")
+oracle("catalog_metrics", f"""WITH {FILES}
+SELECT 'total_vectors' AS metric, count(*) AS value FROM documents
+UNION ALL SELECT 'folder_contracts', count(*) FROM contracts""")
+oracle("domain_palette", f"""
+WITH n AS (SELECT DISTINCT coalesce('d' || e.label, 'unknown') AS d
+  FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id)
+SELECT upper(substr(d, 1, 1)) || lower(substr(d, 2)) AS domain_display,
+  'rgb(' || {_BYTE.format(1)} || ', ' || {_BYTE.format(3)} || ', ' || {_BYTE.format(5)} || ')'
+  AS color FROM n""")
+
+# --- models -----------------------------------------------------------------
+
+_NL = "chr(10)"
+oracle("build_prompts", f"""WITH {FILES} SELECT doc_id,
+md5('Give this document a label of three to five words.' || {_NL} || 'TEXT: '
+  || substr(text, 1, 500) || {_NL} || 'CURRENT LABEL: ' || lang || {_NL}
+  || 'Reply in JSON: {{"refined_label": string, "is_document": boolean}}') AS refine,
+md5('You know the domain ' || lang || '. Extract date, entities, keywords and a summary.' || {_NL}
+  || 'TEXT: ' || substr(text, 1, 2000) || {_NL}
+  || 'Reply in JSON: {{"date": string, "entities": [], "keywords": [], "summary": string, '
+  || '"confidence": number}}') AS extract,
+md5('Decide the domain of a document.' || {_NL} || 'FILE: doc_' || doc_id || '.txt' || {_NL}
+  || 'TEXT: ' || substr(text, 1, 1000) || {_NL} || 'SCORES: en=0.5' || {_NL}
+  || 'Reply in JSON: {{"final_domain": string, "confidence": number, "justification": string}}')
+  AS arbitrate FROM files""")
+oracle("arbitrate_domain", f"""WITH {detected()}
+SELECT d.vec_id AS doc_id, (SELECT min(domain) FROM short s WHERE s.vec_id = d.vec_id)
+  AS final_domain, 0.9::DOUBLE AS confidence, n_short || ' candidates' AS justification
+FROM det d JOIN documents ON doc_id = d.vec_id
+WHERE NOT forced AND (max_prob < 0.25 OR n_short > 1)""")
+
+
+def split_words(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> '')"
+
+
+oracle("refine_label", f"""WITH {PATHS},
+j AS (SELECT p.key, {_FOLDER_FILE} AS label, d.text
+  FROM paths p LEFT JOIN documents d ON d.doc_id = p.key)
+SELECT key, CASE WHEN label IS NOT NULL THEN label WHEN coalesce(text, '') = '' THEN 'unknown'
+  ELSE coalesce(nullif(array_to_string(({split_words('substr(text, 1, 500)')})[1:3], ' '), ''),
+                'unknown') END AS label FROM j""")
+oracle("query_intent", f"""WITH {QUERIES} SELECT qid,
+CASE WHEN length(ocr_text) < 5 THEN 'unknown' WHEN contains(lower(ocr_text), 'the') THEN 'food'
+     ELSE 'cars' END AS domain,
+CASE WHEN length(ocr_text) < 5 THEN 'unknown' ELSE ({split_words('ocr_text')})[1] END AS label,
+'image' AS type FROM queries""")
+oracle("extract_metadata", f"""SELECT doc_id, 'ok' AS status,
+({split_words('substr(text, 1, 2000)')})[1] AS keyword,
+least(2000, length(text))::INT AS chars FROM documents""")
+oracle("column_mapping", f"""{_REC} SELECT file, 'p_name' AS label_key,
+NULL::VARCHAR AS path_key, '4 columns' AS reason FROM firsts""")
+oracle("extraction_plan", f"""{_REC} SELECT file, 'column' AS type,
+'{{"n":"' || p_name || '"}}' AS key, NULL::VARCHAR AS pattern FROM firsts""")
+oracle("rag_context", f"""WITH {search_ctes(5)}
+SELECT qid, string_agg('--- DOC [' || rank || '] ---' || {_NL} || snippet || {_NL} || {_NL}, ''
+  ORDER BY rank) AS context FROM ranked GROUP BY 1""")
+oracle("rag_answer", f"""WITH {search_ctes(5)}
+SELECT qid, count(*)::VARCHAR AS answer, true AS found FROM ranked GROUP BY 1""")
+
+# --- streaming --------------------------------------------------------------
+
+oracle("stream_ingest", """SELECT DISTINCT md5(text) AS file_hash, 'txt' AS type,
+least(20000, length(text)) AS chars FROM documents""")
+oracle("stream_dedup", """SELECT DISTINCT md5(event_type || '|' || props) AS file_hash
+FROM events""")
+oracle("debounce_sessions", """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 3600000000 THEN 1 ELSE 0 END AS s
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT user_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n FROM r
+GROUP BY user_id, run""")

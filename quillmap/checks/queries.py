@@ -14,15 +14,20 @@ from quillmap.functions import hashing as H
 from quillmap.functions import text as T
 from quillmap.functions import vectors as V
 from quillmap.functions.embedders import embed_image, embed_text
+from quillmap.operators import ann as A
 from quillmap.operators import catalog as C
 from quillmap.operators import domains as D
+from quillmap.operators import explore as N
 from quillmap.operators import labels as L
+from quillmap.operators import models as M
 from quillmap.operators import search as S
 from quillmap.operators import structure as I
+from quillmap.plans import ingest as P
 from quillmap.plans.hybrid_search import hybrid_search, respond
 from quillmap.session import scratch_dir
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
+from quillmap.streaming import watch as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,8 +148,8 @@ def reset_then_load(spark, sf):
         F.lit(None).cast("array<double>").alias("vector"),
         F.lit(None).cast("array<double>").alias("visual"),
         F.lit(None).cast("double").alias("domain_score")))
-    C.append_catalog(rows, path)
-    C.reset_catalog(rows, path)
+    C.append_catalog(rows, path, "first")
+    C.reset_catalog(rows, path, "second")
     return C.read_catalog(spark, path).groupBy("domain").agg(
         F.count("*").alias("n"), F.countDistinct("file_hash").alias("n_hashes"),
         F.sum(F.length("content")).alias("chars"))
@@ -702,3 +707,224 @@ def compose_response(spark, sf):
         "qid", "status", "query_ocr", "count",
         F.get("results", F.lit(0))["source_file"].alias("best_source"),
         F.size(F.filter("results", lambda r: r["match_details"]["s_intent"] > 0)).alias("n_intent"))
+
+
+@query
+def intent_filter(spark, sf):
+    """How many catalog rows meet each query's predicate."""
+    return S.count_matching(X.catalog(spark, sf), X.queries(spark, sf))
+
+
+@query
+def ivf_search(spark, sf):
+    index = A.build_cells(X.catalog(spark, sf).select("doc_id", "visual"), "visual", n_cells=16,
+                          min_rows=0, path=scratch_dir(spark, "ivf"))
+    return _hits(A.search_cells(index, X.queries(spark, sf), "visual", 10))
+
+
+@query
+def pq_search(spark, sf):
+    index = A.build_codes(X.catalog(spark, sf).select("doc_id", "visual"), "visual", n_sub=16,
+                          entries=64)
+    return _hits(A.search_codes(index, X.queries(spark, sf), "visual", 10))
+
+
+# --- ingestion --------------------------------------------------------------
+
+def _documents(spark, sf):
+    """Documents as loaded files, with the image vector of their row."""
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), V.as_doubles(F.col("embedding")).alias("visual"))
+    none = F.lit(None).cast("string")
+    return X.doc_files(spark, sf).join(vectors, "doc_id", "left").select(
+        "doc_id", "path", F.lit("raw").alias("archive"),
+        F.lit(0).cast("bigint").alias("position"), F.lit("txt").alias("type"),
+        F.col("text").alias("content"), F.lit(None).cast("map<string,string>").alias("record"),
+        "visual", "file_hash", F.col("file_hash").alias("doc_hash"), none.alias("label_key"),
+        none.alias("suggested_label"), none.alias("image_path"))
+
+
+def _classified(spark, sf, docs):
+    """The archive knows the long words of the benchmark as labels; no contract exists yet."""
+    labels = X.label_words(spark, sf).select(F.lit("raw").alias("archive"), "label")
+    contracts = spark.createDataFrame([], C.CONTRACT_SCHEMA)
+    return C.catalog_rows(P.classify_documents(
+        docs, contracts, labels, None, P.IngestSettings(label_threshold=0.3), 0))
+
+
+@query
+def ingest_full(spark, sf):
+    """Every document through vectors, domain, label and catalog row, written and read back."""
+    path = scratch_dir(spark, "catalog")
+    C.reset_catalog(_classified(spark, sf, _documents(spark, sf)), path, "all")
+    return C.read_catalog(spark, path).select(
+        "source", "domain", "label", "type", "doc_hash",
+        r6(F.col("domain_score").cast("double")).alias("domain_score"),
+        F.get_json_object("extra", "$.detection_method").alias("method"),
+        F.get_json_object("extra", "$.label_method").alias("label_method"))
+
+
+@query
+def ingest_incremental(spark, sf):
+    """The labelled documents first, then everything: only unknown hashes are added."""
+    path = scratch_dir(spark, "catalog")
+    docs = _documents(spark, sf)
+    first = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    C.append_catalog(_classified(spark, sf, first), path, "1")
+    C.append_catalog(
+        _classified(spark, sf, C.new_files(docs, C.read_catalog(spark, path))), path, "2")
+    return C.read_catalog(spark, path).select("source", "file_hash", "label", "batch")
+
+
+@query
+def ingest_folders(spark, sf):
+    """Tables written as CSV, TSV and text files, ingested from disk, and once more in vain."""
+    root = scratch_dir(spark, "dataset")
+    table(spark, sf, "part").select("p_partkey", "p_name", "p_brand").write.option(
+        "header", True).csv(f"{root}/parts")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.option(
+        "header", True).option("sep", "\t").option("extension", "tsv").csv(f"{root}/suppliers")
+    table(spark, sf, "nation").select("n_name").write.text(f"{root}/nations")
+    cat, contracts = scratch_dir(spark, "catalog"), scratch_dir(spark, "contracts")
+    P.ingest(spark, root, cat, contracts, "r", batch="1")
+    P.ingest(spark, root, cat, contracts, "c", batch="2")
+    return C.read_catalog(spark, cat).select("type", "label", "content", "batch")
+
+
+# --- exploration ------------------------------------------------------------
+
+@query
+def catalog_filter(spark, sf):
+    """Preview of the toxic or low-quality documents that are long."""
+    marked = X.catalog(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    return C.preview(marked, "domain <> 'unknown' AND (toxic = 1 OR quality = 0)", 1000).select(
+        "doc_id", "source", "domain", "label", "quality", "toxic")
+
+
+@query
+def catalog_metrics(spark, sf):
+    return C.catalog_metrics(X.catalog(spark, sf), X.old_contracts(spark, sf))
+
+
+@query
+def pca3(spark, sf):
+    return N.pca_points(X.catalog(spark, sf))
+
+
+@query
+def domain_palette(spark, sf):
+    return N.domain_palette(X.catalog(spark, sf))
+
+
+# --- models -----------------------------------------------------------------
+
+def _confused(spark, sf):
+    det = _detected(spark, sf).select("vec_id", "shortlist", "confused")
+    docs = X.doc_files(spark, sf).select("doc_id", "path", "text", "lang")
+    return docs.join(det.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+
+
+@query
+def build_prompts(spark, sf):
+    d = X.doc_files(spark, sf)
+    return d.select(
+        "doc_id", F.md5(M.refinement_prompt(F.col("text"), F.col("lang")).cast("binary")).alias("refine"),
+        F.md5(M.metadata_prompt(F.col("text"), F.col("lang")).cast("binary")).alias("extract"),
+        F.md5(M.arbitration_prompt(F.col("path"), F.col("text"), F.lit("en=0.5")).cast("binary"))
+        .alias("arbitrate"))
+
+
+@query
+def arbitrate_domain(spark, sf):
+    names = [f"d{i}" for i in range(10)]
+    return M.arbitrate_domains(_confused(spark, sf), M.RuleModel, names).select(
+        "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
+
+
+@query
+def refine_label(spark, sf):
+    """Paths whose folder and file are both noise, described by the document of their row."""
+    d = X.paths(spark, sf).join(
+        table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text"), "key", "left")
+    d = d.withColumn("label", F.coalesce(L.folder_file_label(F.col("path")), F.lit("unknown")))
+    out = M.refine_labels(d, M.RuleModel, L.needs_refinement(F.col("label"), F.col("text")))
+    return out.select("key", "label")
+
+
+@query
+def query_intent(spark, sf):
+    return M.query_intents(X.queries(spark, sf), M.RuleModel)
+
+
+@query
+def extract_metadata(spark, sf):
+    d = X.doc_files(spark, sf).select("doc_id", "text", F.col("lang").alias("domain"))
+    return M.extract_metadata(d, M.RuleModel, ["en", "fr"]).select(
+        "doc_id", "status", F.get("meta.keywords", F.lit(0)).alias("keyword"),
+        F.col("meta.summary").cast("int").alias("chars"))
+
+
+@query
+def column_mapping(spark, sf):
+    return M.map_columns(X.part_records(spark, sf), M.RuleModel)
+
+
+@query
+def extraction_plan(spark, sf):
+    samples = M.file_samples(X.part_records(spark, sf).withColumn(
+        "record", F.map_from_arrays(F.array(F.lit("n")), F.array(F.col("record")["p_name"]))))
+    return M.extraction_plans(samples.withColumn("ext", F.lit(".csv")), M.RuleModel)
+
+
+def _ranked(spark, sf):
+    q = X.queries(spark, sf)
+    return hybrid_search(X.catalog(spark, sf), q, 5), q
+
+
+@query
+def rag_context(spark, sf):
+    ranked, _ = _ranked(spark, sf)
+    return M.rag_context(ranked)
+
+
+@query
+def rag_answer(spark, sf):
+    ranked, q = _ranked(spark, sf)
+    return M.answer_questions(ranked, q, M.RuleModel)
+
+
+# --- streaming --------------------------------------------------------------
+
+def _stream(spark, sf, name):
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query
+def stream_ingest(spark, sf):
+    """Documents as a stream: each text is indexed once, as a catalog row."""
+    path = scratch_dir(spark, "stream")
+    files = _stream(spark, sf, "documents").select(
+        F.md5(F.col("text").cast("binary")).alias("file_hash"),
+        F.col("lang").alias("label"), F.lit("txt").alias("type"), F.col("text").alias("content"),
+        F.lit(None).cast("array<double>").alias("vector"),
+        F.lit(None).cast("array<double>").alias("visual"))
+    W.append_new(files, path, scratch_dir(spark, "checkpoint"),
+                 lambda new: C.catalog_rows(new)).awaitTermination()
+    return spark.read.parquet(path).select(
+        "file_hash", "type", F.length("content").cast("bigint").alias("chars"))
+
+
+@query
+def stream_dedup(spark, sf):
+    """Event properties as hashes: every distinct one is kept once, however often it comes."""
+    path = scratch_dir(spark, "stream")
+    rows = _stream(spark, sf, "events").select(
+        F.md5(F.concat_ws("|", "event_type", "props").cast("binary")).alias("file_hash"))
+    W.append_new(rows, path, scratch_dir(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("file_hash")
+
+
+@query
+def debounce_sessions(spark, sf):
+    return W.debounce_sessions(table(spark, sf, "events"), "user_id", "ts", 3600)

@@ -192,6 +192,14 @@ def most_frequent_word(text: Column, min_length: int = K.LABEL_MIN_LENGTH) -> Co
     return F.concat(F.lit("auto_"), best)
 
 
+def grams(text: Column, n: int) -> Column:
+    """Every substring of length ``n``, in order; empty for shorter texts."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(
+        F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    ).otherwise(F.array().cast("array<string>"))
+
+
 # --- JSON -------------------------------------------------------------------
 
 def schema_text(record_json: Column) -> Column:

@@ -25,9 +25,11 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("visual", T.ArrayType(T.FloatType())),
     T.StructField("image_linked", T.StringType()),
     T.StructField("extra", T.StringType()),
-    T.StructField("seq", T.LongType()),
+    T.StructField("position", T.LongType()),
+    T.StructField("batch", T.StringType()),
     T.StructField("domain", T.StringType()),
 ])
+ROW_FIELDS = [f for f in CATALOG_SCHEMA.fields if f.name != "batch"]
 
 CONTRACT_SCHEMA = T.StructType([
     T.StructField("folder_path", T.StringType()),
@@ -56,12 +58,12 @@ def catalog_rows(docs: DataFrame, content_chars: int = K.CONTENT_CHARS,
             F.lit(0.0)), 4).cast("float"),
         "content": F.substring(F.coalesce("content", F.lit("")), 1, content_chars),
         "snippet": snippet(F.col("content"), snippet_chars),
-        "seq": F.col("seq").cast("bigint") if "seq" in docs.columns else F.lit(0).cast("bigint"),
+        "position": (F.col("position") if "position" in docs.columns else F.lit(0)).cast("bigint"),
     }
     defaults = {"type": "unknown", "domain": "unknown", "label": "unknown", "extra": "{}"}
     return docs.select(*[
         picked[f.name].alias(f.name) if f.name in picked else text(f.name, defaults.get(f.name, ""))
-        for f in CATALOG_SCHEMA.fields
+        for f in ROW_FIELDS
     ])
 
 
@@ -70,31 +72,51 @@ def extra_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
-def append_catalog(rows: DataFrame, path: str) -> None:
-    """Append rows, laid out by domain.
+def append_catalog(rows: DataFrame, path: str, batch: str) -> None:
+    """Add one batch, laid out by domain below its own folder.
 
-    The rebalance hint lets AQE split a domain that holds most rows over many files and merge the
-    small ones, so neither a hot domain nor thousands of tiny files can form.
+    Writing a batch again replaces it, so a retried run leaves no duplicates. The rebalance hint
+    lets AQE split a domain that holds most rows over many files and merge the small ones.
     """
-    rows.hint("rebalance", "domain").write.mode("append").partitionBy("domain").parquet(path)
+    rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(
+        f"{path}/batch={batch}")
 
 
-def reset_catalog(rows: DataFrame, path: str) -> None:
+def reset_catalog(rows: DataFrame, path: str, batch: str) -> None:
     """Start over: the table holds exactly ``rows`` afterwards."""
-    rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(path)
+    rows.withColumn("batch", F.lit(batch)).hint("rebalance", "domain").write.mode(
+        "overwrite").partitionBy("batch", "domain").parquet(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog scan; an empty frame when nothing has been written yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], CATALOG_SCHEMA)
-    return spark.read.schema(CATALOG_SCHEMA).parquet(path)
+    return spark.read.schema(CATALOG_SCHEMA).option("basePath", path).parquet(path)
+
+
+def append_contracts(contracts: DataFrame, path: str, batch: str, version: int) -> None:
+    """Add contract versions; the newest of a folder is the one that counts."""
+    contracts.withColumn("version", F.lit(version).cast("bigint")).write.mode(
+        "overwrite").parquet(f"{path}/batch={batch}")
+
+
+def reset_contracts(contracts: DataFrame, path: str, batch: str) -> None:
+    """Start over with these contracts alone."""
+    contracts.withColumns({"version": F.lit(0).cast("bigint"), "batch": F.lit(batch)}).write.mode(
+        "overwrite").partitionBy("batch").parquet(path)
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
+    """Current contract of every folder."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], CONTRACT_SCHEMA)
-    return spark.read.schema(CONTRACT_SCHEMA).parquet(path)
+    names = [f.name for f in CONTRACT_SCHEMA.fields]
+    log = spark.read.schema(T.StructType(
+        CONTRACT_SCHEMA.fields + [T.StructField("version", T.LongType())])).parquet(path)
+    newest = log.groupBy("folder_path").agg(
+        F.max_by(F.struct(*names), "version").alias("c"))
+    return newest.select("c.*")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import constants as K
 from quillmap.functions.text import (
+    grams,
     has_any_word,
     is_label_noisy,
     parent_folder,
     stem,
     strip,
 )
-from quillmap.functions.vectors import cosine_scores
-from quillmap.operators.domains import reference_matrix
+from quillmap.functions.vectors import list_array_to_matrix, unit_rows
 from quillmap.operators.search import SearchPass, top_k
 from quillmap.session import collect_bounded
 
@@ -66,30 +67,37 @@ def folder_file_label(path: Column) -> Column:
 
 # --- labels inside texts ----------------------------------------------------
 
-def _longest_by_automaton(text: Column, labels: list[str]) -> Column:
+def _longest_by_automaton(text: Column, scope: Column, labels: list[tuple[str, str]]) -> Column:
+    owners: dict[str, set[str]] = {}
+    for owner, label in labels:
+        owners.setdefault(label, set()).add(owner)
+
     @F.arrow_udf("string")
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = ahocorasick.Automaton()
-        for label in labels:
-            machine.add_word(label, (len(label), label))
+        for label, own in owners.items():
+            machine.add_word(label, (len(label), label, own))
         machine.make_automaton()
-        for batch in batches:
-            found = [
-                None if t is None else max((m for _, m in machine.iter(t)), default=(0, None))[1]
-                for t in batch.to_pylist()
-            ]
-            yield pa.array(found, pa.string())
 
-    return find(text)
+        def longest(t: str | None, s: str) -> str | None:
+            hits = () if t is None else machine.iter(t)
+            return max((m[:2] for _, m in hits if s in m[2]), default=(0, None))[1]
+
+        for texts, scopes in batches:
+            yield pa.array(map(longest, texts.to_pylist(), scopes.to_pylist()), pa.string())
+
+    return find(text, scope)
 
 
-def _longest_by_filter(text: Column, labels: list[str]) -> Column:
-    ordered = sorted(labels, key=lambda x: (len(x), x), reverse=True)
-    known = F.array(*[F.lit(x) for x in ordered])
+def _longest_by_filter(text: Column, scope: Column, labels: list[tuple[str, str]]) -> Column:
+    ordered = sorted(labels, key=lambda x: (len(x[1]), x[1]), reverse=True)
+    known = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(x).alias("l")) for s, x in ordered])
     # the text rides in a one-element array so that the lambda does not lower it per label
     hits = F.transform(
-        F.array(text), lambda t: F.try_element_at(
-            F.filter(known, lambda x: F.contains(t, x)), F.lit(1)))
+        F.array(F.struct(text.alias("t"), scope.alias("s"))),
+        lambda d: F.try_element_at(
+            F.filter(known, lambda x: (x["s"] == d["s"]) & F.contains(d["t"], x["l"])),
+            F.lit(1))["l"])
     return hits[0]
 
 
@@ -99,19 +107,12 @@ def _longest_by_grams(df: DataFrame, id_col: str, text_col: str, labels: DataFra
 
     Only (id, gram) rows are shuffled; texts are read again for labels longer than a gram.
     """
-    keyed = labels.select("label", F.substring("label", 1, gram).alias("g"))
-    sizes = keyed.select(F.length("g").alias("n")).distinct().agg(
-        F.sort_array(F.collect_set("n")).alias("s")).head()["s"]
+    keyed = labels.select("_scope", "label", F.substring("label", 1, gram).alias("g"))
+    sizes = keyed.agg(F.sort_array(F.collect_set(F.length("g"))).alias("s")).head()["s"]
     text = F.lower(F.col(text_col))
-    grams = [
-        F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(text) - (n - 1)),
-            lambda i, n=n: F.substring(text, i, F.lit(n))))
-        for n in sizes
-    ]
-    empty = F.array().cast("array<string>")
-    cut = F.array_distinct(F.flatten(F.array(*[F.coalesce(g, empty) for g in grams])))
-    pairs = df.select(id_col, F.explode(cut).alias("g")).join(keyed, "g").select(id_col, "label")
+    cut = F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in sizes])))
+    pairs = df.select(id_col, "_scope", F.explode(cut).alias("g")).join(
+        keyed, ["_scope", "g"]).select(id_col, "label")
     sure = pairs.where(F.length("label") <= gram)
     maybe = pairs.where(F.length("label") > gram)
     checked = maybe.join(df.select(id_col, text.alias("_t")), id_col).where(
@@ -124,49 +125,94 @@ def _longest_by_grams(df: DataFrame, id_col: str, text_col: str, labels: DataFra
 
 def longest_label_in_text(
     df: DataFrame, text_col: str, labels: DataFrame, id_col: str = "doc_id",
-    out: str = "text_label", max_labels: int | None = None,
+    out: str = "text_label", scope_col: str | None = None, max_labels: int | None = None,
 ) -> DataFrame:
-    """Add the longest label that is a substring of the lower-case text (ties: greatest name)."""
-    names = labels.where("label <> ''").select("label").distinct()
+    """Add the longest label that is a substring of the lower-case text (ties: greatest name).
+
+    With ``scope_col`` a label only counts for rows of its own scope (an archive, say).
+    """
+    scope = F.lit("") if scope_col is None else F.col(scope_col)
+    names = labels.where("label <> ''").select(scope.alias("_scope"), "label").distinct()
     table = collect_bounded(names, max_labels)
     if table is None:
-        return _longest_by_grams(df, id_col, text_col, names, out)
-    listed = table["label"].to_pylist()
+        return _longest_by_grams(df.withColumn("_scope", scope), id_col, text_col, names, out
+                                 ).drop("_scope")
+    listed = list(zip(table["_scope"].to_pylist(), table["label"].to_pylist()))
     if not listed:
         return df.withColumn(out, F.lit(None).cast("string"))
     find = _longest_by_automaton if ahocorasick else _longest_by_filter
-    return df.withColumn(out, find(F.lower(F.col(text_col)), listed))
+    return df.withColumn(out, find(F.lower(F.col(text_col)), scope, listed))
 
 
 # --- label vectors ----------------------------------------------------------
 
+def _nearest(vector: Column, scope: Column, keys: list[tuple[str, str]], refs: np.ndarray) -> Column:
+    unit_refs, _ = unit_rows(refs)
+    members: dict[str, list[int]] = {}
+    for i, (owner, _) in enumerate(keys):
+        members.setdefault(owner, []).append(i)
+    names = [label for _, label in keys]
+
+    @F.arrow_udf("struct<label:string,similarity:double>")
+    def nearest(v: pa.Array, scopes: pa.Array) -> pa.Array:
+        rows, matrix = list_array_to_matrix(v, unit_refs.shape[1])
+        unit, ok = unit_rows(matrix)
+        rows, unit = rows[ok], unit[ok]
+        owners = np.array(scopes.to_pylist(), dtype=object)[rows]
+        found: list = [None] * len(v)
+        for owner in set(owners.tolist()):
+            own = members.get(owner)
+            if own is None:
+                continue
+            at = np.flatnonzero(owners == owner)
+            sims = unit[at] @ unit_refs[own].T
+            # equal label vectors must tie exactly: the first name wins
+            best = np.round(sims, 9).argmax(axis=1)
+            for r, b, s in zip(rows[at], best, sims[np.arange(len(at)), best]):
+                found[r] = {"label": names[own[b]], "similarity": s}
+        return pa.array(found, pa.struct([("label", pa.string()), ("similarity", pa.float64())]))
+
+    return nearest(vector, scope)
+
+
 def nearest_label(
-    df: DataFrame, vector_col: str, label_vectors: DataFrame, threshold: float = K.SEMANTIC_THRESHOLD,
-    id_col: str = "doc_id", out: str = "vector_label", max_labels: int | None = None,
+    df: DataFrame, vector_col: str, label_vectors: DataFrame,
+    threshold: float = K.SEMANTIC_THRESHOLD, id_col: str = "doc_id", out: str = "vector_label",
+    scope_col: str | None = None, max_labels: int | None = None,
 ) -> DataFrame:
     """Add the label whose vector is most similar, if above the threshold, and its similarity.
 
-    A size-checked label matrix is multiplied batch by batch; a larger one goes through the block
-    grid of ``top_k`` with the labels as the searched side.
+    ``label_vectors`` is ([scope,] label, vector). A size-checked label matrix is multiplied batch
+    by batch; a larger one goes through the block grid of ``top_k`` with the labels as the searched
+    side, the scope as its predicate.
     """
-    refs = (None if max_labels is not None and
-            label_vectors.limit(max_labels + 1).count() > max_labels
-            else reference_matrix(label_vectors, "label", "vector"))
-    if refs is None:
+    scope = F.lit("") if scope_col is None else F.col(scope_col)
+    keyed = label_vectors.where("vector IS NOT NULL").select(
+        scope.alias("_scope"), "label", "vector")
+    table = collect_bounded(keyed.orderBy("_scope", "label"), max_labels)
+    if table is not None and table.num_rows == 0:
+        return df.withColumns({"similarity": F.lit(None).cast("double"),
+                               out: F.lit(None).cast("string")})
+    if table is not None:
+        rows, refs = list_array_to_matrix(table["vector"])
+        pairs = list(zip(table["_scope"].to_pylist(), table["label"].to_pylist()))
+        best = _nearest(F.col(vector_col), scope, [pairs[r] for r in rows], refs)
+        scored = df.withColumn("_b", best).withColumns(
+            {"_best": F.col("_b.label"), "similarity": F.col("_b.similarity")}).drop("_b")
+    else:
         hits = top_k(
-            label_vectors.select("label", F.col("vector").alias("_l")),
-            df.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("_d")),
-            (SearchPass(1, "_l", "_d"),), k=1, id_col="label", max_query_rows=0,
-        ).select(F.col("qid").alias(id_col), F.col("label").alias("_best"),
+            keyed.select(F.col("_scope").alias("domain"), "label", F.col("vector").alias("_l"),
+                         F.concat_ws("\x1f", "_scope", "label").alias("_id")),
+            df.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("_d"),
+                      F.coalesce(scope, F.lit("")).alias("f_domain"),
+                      F.lit(None).cast("string").alias("f_label"))
+            if scope_col else df.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("_d")),
+            (SearchPass(1, "_l", "_d", filtered=scope_col is not None),), k=1, id_col="_id",
+            max_query_rows=0,
+        ).select(F.col("qid").alias(id_col),
+                 F.substring_index("_id", "\x1f", -1).alias("_best"),
                  (1 - F.col("dist")).alias("similarity"))
         scored = df.join(hits, id_col, "left")
-    else:
-        names, matrix = refs
-        listed = F.array(*[F.lit(n) for n in names])
-        scored = df.withColumn("_s", cosine_scores(F.col(vector_col), matrix))
-        scored = scored.withColumn("similarity", F.array_max("_s"))
-        at = F.array_position("_s", F.col("similarity")).cast("int")
-        scored = scored.withColumn("_best", F.try_element_at(listed, at)).drop("_s")
     return scored.withColumn(out, F.when(F.col("similarity") > threshold, F.col("_best"))
                              ).drop("_best")
 

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmap import constants as K
-from quillmap.functions.text import text_match_ratio
-from quillmap.functions.vectors import list_array_to_matrix, unit_rows
+from quillmap.functions.text import grams, text_match_ratio
+from quillmap.functions.vectors import fuse, list_array_to_matrix, unit_rows
 from quillmap.session import MAX_BROADCAST_ROWS, collect_bounded
 
 DIST_DIGITS = 6
@@ -77,7 +78,7 @@ class _RunningTopK:
                 self.worst[q] = self.dist[q][-1]
 
 
-class _QuerySide:
+class QuerySide:
     """Query vectors and predicates of one pass, as plain arrays that ship with the tasks."""
 
     def __init__(self, table: pa.Table, spec: SearchPass):
@@ -129,7 +130,7 @@ def _sorted_ids(batch, id_col: str):
     return ids, order
 
 
-def _scan_block(batches, sides: list[_QuerySide], k: int, id_col: str):
+def _scan_block(batches, sides: list[QuerySide], k: int, id_col: str):
     """Running top-k of every pass over the batches of one task, as Arrow batches."""
     tops = [_RunningTopK(len(s.qids), k) for s in sides]
     for batch in batches:
@@ -154,7 +155,7 @@ def _scan_block(batches, sides: list[_QuerySide], k: int, id_col: str):
     return out
 
 
-def _hit_schema(catalog: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
+def hit_schema(catalog: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
     return T.StructType([
         T.StructField("pass_no", T.IntegerType()),
         T.StructField("qid", queries.schema["qid"].dataType),
@@ -203,19 +204,26 @@ def top_k(
     cat_cols, _ = _columns(passes, id_col)
     slim = catalog.select(*cat_cols)
     asked = query_columns(queries, passes)
-    schema = _hit_schema(catalog, asked, id_col)
+    schema = hit_schema(catalog, asked, id_col)
     table = collect_bounded(asked, max_query_rows)
     if table is not None:
-        hits = _broadcast_scan(slim, table, passes, k, id_col, schema)
+        hits = scan_sides(slim, [QuerySide(table, p) for p in passes], k, id_col, schema)
     else:
         hits = _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries)
+    return best_k(hits, k, id_col)
+
+
+def best_k(hits: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
+    """Global cut of task-local hits, per pass and query; Spark cuts on the map side as well."""
     w = Window.partitionBy("pass_no", "qid").orderBy("dist", id_col)
     return hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def _broadcast_scan(slim, table, passes, k, id_col, schema) -> DataFrame:
-    shared = slim.sparkSession.sparkContext.broadcast([_QuerySide(table, p) for p in passes])
-    arrow_schema = T_to_arrow(schema)
+def scan_sides(slim: DataFrame, sides: list[QuerySide], k: int, id_col: str,
+               schema: T.StructType) -> DataFrame:
+    """Task-local top-k of every side over one scan."""
+    shared = slim.sparkSession.sparkContext.broadcast(sides)
+    arrow_schema = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
@@ -241,23 +249,17 @@ def _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries) ->
         "_c": F.pmod(F.xxhash64("qid"), F.lit(n_cols)).cast("int"),
         "_r": F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))),
     })
-    arrow_schema = T_to_arrow(schema)
+    arrow_schema = to_arrow_schema(schema)
 
     def block(rows: pa.Table, cols: pa.Table) -> pa.Table:
         found = {name: [] for name in arrow_schema.names}
         if rows.num_rows and cols.num_rows:
-            found = _scan_block([rows], [_QuerySide(cols, p) for p in passes], k, id_col)
+            found = _scan_block([rows], [QuerySide(cols, p) for p in passes], k, id_col)
         return pa.Table.from_pydict(found, schema=arrow_schema)
 
     return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(block, schema)
 
 
-def T_to_arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def visual_top_k(catalog: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
     """Nearest rows by the image vector; rows without an image take no part."""
     return top_k(catalog, queries, (VISUAL_PASS,), k, **kw)
@@ -398,8 +400,6 @@ def prepare_queries(
     The intent counts only for texts of at least five characters; the fused vector is the mean of
     the text and image vectors that exist.
     """
-    from quillmap.functions.vectors import fuse
-
     readable = F.length(ocr_text) >= K.INTENT_MIN_CHARS
     unknown = F.lit("unknown")
     return (
@@ -413,3 +413,49 @@ def prepare_queries(
             F.when(readable, F.coalesce(f_label, unknown)).otherwise(unknown).alias("f_label"),
         )
     )
+
+
+# --- predicate alone --------------------------------------------------------
+
+def count_matching(catalog: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, n): catalog rows that meet each query's predicate, for queries that have one.
+
+    Rows are first reduced to (domain, label) counts and queries to distinct filters. Which labels
+    contain which filter text is decided once per distinct label; the rest are equi-joins.
+    """
+    cells = catalog.groupBy("domain", "label").agg(F.count("*").alias("n"))
+    asked = queries.select(
+        "qid", intent(F.col("f_domain")).alias("f_domain"),
+        intent(F.col("f_label")).alias("f_label"))
+    contained = labels_containing(cells.select("label").distinct(),
+                                  asked.select("f_label").where("f_label IS NOT NULL").distinct())
+    by_text = cells.join(contained, "label")
+    both = by_text.groupBy(F.col("domain").alias("f_domain"), "f_label").agg(F.sum("n").alias("n"))
+    domain_only = cells.groupBy(F.col("domain").alias("f_domain")).agg(F.sum("n").alias("n"))
+    label_only = by_text.groupBy("f_label").agg(F.sum("n").alias("n"))
+    has_d, has_l = F.col("f_domain").isNotNull(), F.col("f_label").isNotNull()
+    parts = [
+        asked.where(has_d & has_l).join(both, ["f_domain", "f_label"], "left"),
+        asked.where(has_d & ~has_l).join(domain_only, "f_domain", "left"),
+        asked.where(~has_d & has_l).join(label_only, "f_label", "left"),
+    ]
+    out = None
+    for part in parts:
+        one = part.select("qid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def labels_containing(labels: DataFrame, needles: DataFrame) -> DataFrame:
+    """(label, f_label) for every needle that is a substring of a label.
+
+    Every substring of a label that has the length of some needle is looked up by an equi-join;
+    labels are short names, so the fan-out is a few rows per distinct label.
+    """
+    lengths = needles.agg(F.collect_set(F.length("f_label")).alias("n")).head()["n"]
+    if not lengths:
+        return labels.select("label", F.lit(None).cast("string").alias("f_label")).where("false")
+    parts = [grams(F.col("label"), n) for n in lengths]
+    cut = labels.select(
+        "label", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("f_label"))
+    return cut.join(needles, "f_label")

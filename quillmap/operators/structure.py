@@ -32,31 +32,32 @@ def is_mapping_file(path: Column) -> Column:
         basename(path), K.MAPPING_FILE_WORDS)
 
 
-def file_mapping(lines: DataFrame) -> DataFrame:
-    """(file_name, label) from ``key = value`` lines; the last line of a repeated key wins.
+def file_mapping(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(*scope, file_name, label) from ``key = value`` lines; the last line of a key wins.
 
     ``lines`` has line and a sortable ``seq``.
     """
+    scope = scope or []
     return (
-        lines.select(mapping_key(F.col("line")).alias("file_name"),
+        lines.select(*scope, mapping_key(F.col("line")).alias("file_name"),
                      mapping_value(F.col("line")).alias("label"), "seq")
         .where(F.col("file_name").isNotNull())
-        .groupBy("file_name").agg(F.max_by("label", "seq").alias("label"))
+        .groupBy(*scope, "file_name").agg(F.max_by("label", "seq").alias("label"))
     )
 
 
-def mapping_labels(lines: DataFrame) -> DataFrame:
+def mapping_labels(lines: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Distinct valid labels of mapping lines: values, and bare lines of three characters up."""
     bare = F.lower(strip(F.col("line")))
     label = F.when(F.col("line").rlike("[=:]"), mapping_value(F.col("line"))).when(
         F.length(bare) >= K.LABEL_MIN_LENGTH, bare)
-    return lines.select(label.alias("label")).where("label <> ''").distinct()
+    return lines.select(*(scope or []), label.alias("label")).where("label <> ''").distinct()
 
 
-def folder_labels(files: DataFrame) -> DataFrame:
+def folder_labels(files: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Distinct names of folders that hold files, unless technical or noisy."""
     return (
-        files.select(parent_folder(F.col("path")).alias("label")).distinct()
+        files.select(*(scope or []), parent_folder(F.col("path")).alias("label")).distinct()
         .where(~F.col("label").isin(K.TECHNICAL_FOLDERS) & ~is_label_noisy(F.col("label")))
     )
 

@@ -16,14 +16,32 @@ from quillmap.functions.text import clean_text, is_hidden, one_json_value, route
 DOCUMENT_COLUMNS = ["path", "position", "type", "content", "record", "suggested_label"]
 
 
-def scan_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
+def plain_path(path: Column) -> Column:
+    """Local paths without their scheme, so that every source spells them alike."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def any_case_glob(ext: str) -> str:
+    """Glob for an extension in any case: ``*.[cC][sS][vV]``."""
+    return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext.lstrip("."))
+
+
+def _tree(spark: SparkSession, ext: str | None = None):
+    """Reader of whole folder trees, of one extension if given."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader if ext is None else reader.option("pathGlobFilter", any_case_glob(ext))
+
+
+def scan_files(spark: SparkSession, root: str | list[str], with_content: bool = False
+               ) -> DataFrame:
     """(path, length, mtime, type[, content]) of every supported, visible file below ``root``.
 
     Without the content only file metadata is listed; no byte is read.
     """
     listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .withColumn("mtime", F.unix_micros("modificationTime"))
+        _tree(spark).format("binaryFile").load(root)
+        .withColumns({"mtime": F.unix_micros("modificationTime"),
+                      "path": plain_path(F.col("path"))})
     )
     cols = ["path", "length", "mtime"] + (["content"] if with_content else [])
     return supported_files(listed.select(*cols))
@@ -62,11 +80,12 @@ def read_delimited(spark: SparkSession, paths, kind: str = "csv", multi_line: bo
     named = [(c.strip(), F.col(f"`{c}`")) for c in df.columns]
     record = F.create_map(*[x for n, c in named for x in (F.lit(n), c.cast("string"))])
     return df.select(
-        F.col("_metadata.file_path").alias("path"),
+        plain_path(F.col("_metadata.file_path")).alias("path"),
         F.monotonically_increasing_id().alias("position"), *as_document(record, kind))
 
 
-def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv") -> DataFrame:
+def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv", ext: str | None = None
+                         ) -> DataFrame:
     """Files with different headers in one plan, for files of any size.
 
     The files stay splittable: lines are parsed by ``from_csv`` against a positional schema and
@@ -74,14 +93,15 @@ def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv") -> DataF
     with ``multi_line``.
     """
     sep = "\t" if kind == "tsv" else ","
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+    lines = _tree(spark, ext).text(paths).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
     ).where("line <> ''")
-    # one header per file: the first line of its first block, reduced on the map side
-    headers = lines.where("start = 0").groupBy("path").agg(
-        F.min("position").alias("header_at"), F.min_by("line", "position").alias("header"))
+    # first line of every block, reduced on the map side; that of block 0 is the file's header
+    blocks = lines.groupBy("path", "start").agg(
+        F.min("position").alias("first_at"), F.min_by("line", "position").alias("header"))
+    headers = blocks.where("start = 0")
     width = headers.select(
         F.max(F.size(F.split("header", sep)))).head()[0] or 1
     slots = [f"c{i}" for i in range(width)]
@@ -94,11 +114,16 @@ def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv") -> DataF
     def as_array(name: str) -> Column:
         return F.array(*[F.col(f"{name}.{s}") for s in slots])
 
-    heads = headers.select("path", "header_at", cells(F.col("header"), "h")).select(
-        "path", "header_at",
+    heads = headers.select("path", cells(F.col("header"), "h")).select(
+        "path",
         F.transform(F.filter(as_array("h"), lambda x: x.isNotNull()), strip).alias("names"))
-    body = lines.join(heads, "path").where("position <> header_at").select(
-        "path", "position", "names", cells(F.col("line"), "r"))
+    # a line's place is its block's offset plus its rank there: stable whatever else is read
+    body = (
+        lines.join(blocks.select("path", "start", "first_at"), ["path", "start"])
+        .where("NOT (start = 0 AND position = first_at)").join(heads, "path")
+        .select("path", (F.col("start") + F.col("position") - F.col("first_at")).alias("position"),
+                "names", cells(F.col("line"), "r"))
+    )
     record = F.map_from_arrays(
         F.col("names"), F.slice(as_array("r"), F.lit(1), F.size("names")))
     return body.select("path", "position", record.alias("record")).select(
@@ -125,13 +150,13 @@ def json_documents(texts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("suggested_label"))
 
 
-def read_whole_texts(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.option("wholetext", True).text(paths).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def read_whole_texts(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
+    return _tree(spark, ext).option("wholetext", True).text(paths).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
-def read_json(spark: SparkSession, paths) -> DataFrame:
-    return json_documents(read_whole_texts(spark, paths))
+def read_json(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
+    return json_documents(read_whole_texts(spark, paths, ext))
 
 
 # --- plain text -------------------------------------------------------------
@@ -170,5 +195,5 @@ def txt_documents(texts: DataFrame) -> DataFrame:
         F.when(F.col("is_list"), F.col("content")).alias("suggested_label"))
 
 
-def read_txt(spark: SparkSession, paths) -> DataFrame:
-    return txt_documents(read_whole_texts(spark, paths))
+def read_txt(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
+    return txt_documents(read_whole_texts(spark, paths, ext))
