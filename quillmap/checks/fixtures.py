@@ -12,6 +12,7 @@ from quillmap.functions.embedders import embed_text
 from quillmap.functions.vectors import as_doubles, fuse
 from quillmap.operators.catalog import folder_signatures
 from quillmap.operators.search import prepare_queries
+from quillmap.session import spread
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The text table, for queries that compute on whole texts."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def r6(c: Column | str) -> Column:
     """Six decimals, without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c
@@ -59,7 +65,7 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as text files in folders ``raw/<source>/<lang>``."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", "text", "lang", "source",
         F.concat(F.lit("raw/"), "source", F.lit("/"), "lang").alias("archive"),
         F.concat(F.lit("raw/"), "source", F.lit("/"), "lang", F.lit("/doc_"),

@@ -637,6 +637,7 @@ ORACLES["pq_search"] = ORACLES["topk_visual"]
 _PROMPTS = ", ".join(
     f"('{d}', {i}, '{t.format(d)}')" for d in K.DEFAULT_DOMAINS
     for i, t in enumerate(K.DOMAIN_PROMPTS))
+_ORDER = ", ".join(f"('{d}', {i})" for i, d in enumerate(K.DEFAULT_DOMAINS))
 INGEST = CATALOG + f""",
 dp AS (SELECT domain || '#' || i AS pid, domain, prompt FROM (VALUES {_PROMPTS}) t(domain, i, prompt)),
 {embed('dp', 'pid', 'prompt', 'dv')},
@@ -650,8 +651,11 @@ isim AS (SELECT c.doc_id, dc.domain, coalesce(list_cosine_similarity(cv.vec, dc.
   FROM catalog c CROSS JOIN dc LEFT JOIN cv USING (doc_id)),
 iw AS (SELECT *, exp(10 * (0.6 * ctx + 0.4 * doc)) AS w FROM isim),
 ip AS (SELECT doc_id, domain, ctx, w / sum(w) OVER (PARTITION BY doc_id) AS p FROM iw),
-ib AS (SELECT doc_id, max(p) AS p, arg_max(domain, p) AS d, max(ctx) AS c,
-  arg_max(domain, ctx) AS dc FROM ip GROUP BY 1),
+ir AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 9) DESC, o) AS rp,
+    row_number() OVER (PARTITION BY doc_id ORDER BY round(ctx, 9) DESC, o) AS rc
+  FROM ip JOIN (VALUES {_ORDER}) t(domain, o) USING (domain)),
+ib AS (SELECT doc_id, max(p) AS p, max(domain) FILTER (rp = 1) AS d, max(ctx) AS c,
+  max(domain) FILTER (rc = 1) AS dc FROM ir GROUP BY 1),
 {IN_TEXT},
 {embed('label_words', 'label', 'label', 'lv')},
 near AS (SELECT doc_id, s, label AS l FROM (

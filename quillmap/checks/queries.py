@@ -102,7 +102,7 @@ def json_records(spark, sf):
 
 @query
 def txt_list_explode(spark, sf):
-    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
+    texts = X.documents(spark, sf).select(F.col("doc_id").alias("path"), "text")
     return R.txt_documents(texts).select(
         F.col("path").alias("doc_id"), "position", "content", "suggested_label")
 
@@ -237,7 +237,7 @@ def ingest_counters(spark, sf):
 
 @query
 def clean_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t"))
+    return X.documents(spark, sf).select("doc_id", T.clean_text(F.col("text")).alias("t"))
 
 
 @query
@@ -252,7 +252,7 @@ def text_match_ratio(spark, sf):
 @query
 def snippets(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", T.snippet(t).alias("snippet"), F.md5(T.snippet(t, K.CONTENT_CHARS)
                                                        .cast("binary")).alias("content_md5"))
 
@@ -310,7 +310,7 @@ def parse_mapping_lines(spark, sf):
 
 @query
 def auto_label(spark, sf):
-    return table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", T.most_frequent_word(F.col("text")).alias("label"))
 
 
@@ -340,7 +340,7 @@ def extra_json(spark, sf):
 def domain_colors(spark, sf):
     names = table(spark, sf, "region").select(F.col("r_name").alias("domain")).unionByName(
         table(spark, sf, "nation").select(F.col("n_name").alias("domain"))).unionByName(
-        table(spark, sf, "documents").select(F.col("source").alias("domain")))
+        X.documents(spark, sf).select(F.col("source").alias("domain")))
     return names.distinct().select(
         T.capitalize(F.col("domain")).alias("display"), T.pastel_color(F.col("domain")).alias("color"))
 
@@ -353,7 +353,7 @@ def image_index(spark, sf):
 
 
 def _doc_lines(spark, sf):
-    return table(spark, sf, "documents").select(
+    return X.documents(spark, sf).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).withColumn("seq", F.struct("doc_id", "pos"))
 
@@ -469,7 +469,7 @@ def label_folder_file(spark, sf):
 
 @query
 def label_in_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = X.documents(spark, sf).select("doc_id", "text")
     return L.longest_label_in_text(docs, "text", X.label_words(spark, sf)).select(
         "doc_id", "text_label")
 
@@ -491,7 +491,7 @@ def label_zero_shot(spark, sf):
 def label_cascade(spark, sf):
     """Every file of ``paths`` with the text and image vector of its row."""
     docs = X.paths(spark, sf).join(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text"), "key", "left"
+        X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left"
     ).join(table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("key"), "embedding"), "key", "left")
     mapping = I.file_mapping(table(spark, sf, "supplier").select(
@@ -598,7 +598,7 @@ def _elements(df, key, vector):
 
 @query
 def hash_embed(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", embed_text(F.col("text")).alias("v"))
+    d = X.documents(spark, sf).select("doc_id", embed_text(F.col("text")).alias("v"))
     return _elements(d, "doc_id", "v")
 
 
@@ -845,7 +845,7 @@ def arbitrate_domain(spark, sf):
 def refine_label(spark, sf):
     """Paths whose folder and file are both noise, described by the document of their row."""
     d = X.paths(spark, sf).join(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text"), "key", "left")
+        X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left")
     d = d.withColumn("label", F.coalesce(L.folder_file_label(F.col("path")), F.lit("unknown")))
     out = M.refine_labels(d, M.RuleModel, L.needs_refinement(F.col("label"), F.col("text")))
     return out.select("key", "label")

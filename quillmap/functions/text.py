@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -18,12 +19,26 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(_BLANKS))
 
 
+def outside(keep: str) -> str:
+    """Regex class of all characters that a class such as ``a-z0-9é`` leaves out, as plain ranges.
+
+    Java matches a list of ranges about ten times faster than a negated class with accents.
+    """
+    kept = set()
+    for m in re.finditer(r"(.)-(.)|(.)", keep):
+        first, last = (m[1], m[2]) if m[1] else (m[3], m[3])
+        kept.update(range(ord(first), ord(last) + 1))
+    edges = [-1, *sorted(kept), 0x110000]
+    gaps = [(lo + 1, hi - 1) for lo, hi in zip(edges, edges[1:]) if hi - lo > 1]
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in gaps) + "]"
+
+
 def clean_text(c: Column, keep: str = K.CLEAN_KEEP) -> Column:
     """Lower case; every run of characters outside ``keep`` becomes one space; trimmed.
 
     Dropped characters and blanks both end as a single space, so one pass is enough.
     """
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"[^{keep}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), outside(keep) + "+", " "))
 
 
 def clean_words(c: Column) -> Column:
@@ -157,38 +172,34 @@ def most_frequent_word(text: Column, min_length: int = K.LABEL_MIN_LENGTH) -> Co
     Words are sorted with their positions inside the row and counted as runs, so a document of any
     length costs one sort and no shuffle.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b\w{{{min_length},}}\b"), F.lit(0))
-    runs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-
-    def entry(w, n, i):
-        return F.struct(w.alias("w"), n.alias("n"), i.alias("i"))
-
-    nothing = entry(F.lit(None).cast("string"), F.lit(0), F.lit(0))
-
-    def step(acc, x):
-        same = acc["run"]["w"].eqNullSafe(x["w"])
-        run = F.struct(
-            x["w"].alias("w"),
-            F.when(same, acc["run"]["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.when(same, acc["run"]["i"]).otherwise(x["i"]).alias("i"),
-        )
-        return F.struct(run.alias("run"), acc["best"].alias("best"))
-
-    def keep_best(acc):
-        better = (acc["run"]["n"] > acc["best"]["n"]) | (
-            (acc["run"]["n"] == acc["best"]["n"]) & (acc["run"]["i"] < acc["best"]["i"])
-        )
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\w{{{min_length},}}"), F.lit(0))
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    start = F.struct(
+        F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"),
+        F.lit(None).cast("string").alias("best"), F.lit(0).alias("best_n"),
+        F.lit(0).alias("best_i"))
+
+    def count(acc, x):
+        same = acc["w"] == x["w"]
         return F.struct(
-            acc["run"].alias("run"),
-            F.when(better, acc["run"]).otherwise(acc["best"]).alias("best"),
-        )
+            x["w"].alias("w"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
+            F.when(same, acc["i"]).otherwise(x["i"]).alias("i"),
+            acc["best"].alias("best"), acc["best_n"].alias("best_n"),
+            acc["best_i"].alias("best_i"))
 
+    def keep_best(acc):
+        better = (acc["n"] > acc["best_n"]) | (
+            (acc["n"] == acc["best_n"]) & (acc["i"] < acc["best_i"]))
+        promoted = F.struct(
+            acc["w"].alias("w"), acc["n"].alias("n"), acc["i"].alias("i"),
+            acc["w"].alias("best"), acc["n"].alias("best_n"), acc["i"].alias("best_i"))
+        return F.when(better, promoted).otherwise(acc)
+
+    # one-element transform: the counted run is built once, not once per use
     best = F.aggregate(
-        runs,
-        F.struct(nothing.alias("run"), nothing.alias("best")),
-        lambda acc, x: keep_best(step(acc, x)),
-        lambda acc: acc["best"]["w"],
-    )
+        placed, start,
+        lambda acc, x: F.element_at(F.transform(F.array(count(acc, x)), keep_best), 1),
+        lambda acc: acc["best"])
     return F.concat(F.lit("auto_"), best)
 
 

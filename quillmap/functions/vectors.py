@@ -73,6 +73,15 @@ def zero_vector(dim: int) -> Column:
 
 # --- Arrow kernels ----------------------------------------------------------
 
+def arrow_once(fn, return_type: str):
+    """Arrow UDF that the optimizer may move but never evaluates a second time.
+
+    A deterministic Python function would be copied into every filter that Spark derives from its
+    result (the non-empty check of an explode, for one) and run again there.
+    """
+    return F.arrow_udf(fn, return_type).asNondeterministic()
+
+
 def list_array_to_matrix(arr: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, float64 matrix) of the usable vectors of an Arrow list column.
 
@@ -123,10 +132,9 @@ def cosine_scores(vector: Column, references: np.ndarray) -> Column:
     refs, _ = unit_rows(np.asarray(references, dtype=np.float64))
     dim = refs.shape[1]
 
-    @F.arrow_udf("array<double>")
     def scores(v: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, dim)
         unit, ok = unit_rows(matrix)
         return matrix_to_list_array(rows[ok], unit[ok] @ refs.T, len(v))
 
-    return scores(vector)
+    return arrow_once(scores, "array<double>")(vector)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmap import constants as K
-from quillmap.functions.vectors import l2_normalize, list_array_to_matrix, unit_rows
+from quillmap.functions.vectors import arrow_once, l2_normalize, list_array_to_matrix, unit_rows
 from quillmap.operators.search import (
     DIST_DIGITS,
     QuerySide,
@@ -69,7 +69,6 @@ class CellIndex:
 def _assign(vector: Column, centres: np.ndarray) -> Column:
     dim = centres.shape[1]
 
-    @F.arrow_udf("struct<cell:int,cell_dist:double>")
     def nearest(v: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, dim)
         unit, ok = unit_rows(matrix)
@@ -84,7 +83,7 @@ def _assign(vector: Column, centres: np.ndarray) -> Column:
         return pa.StructArray.from_arrays(
             [pa.array(cell), pa.array(dist)], names=["cell", "cell_dist"], mask=missing)
 
-    return nearest(vector)
+    return arrow_once(nearest, "struct<cell:int,cell_dist:double>")(vector)
 
 
 def build_cells(
@@ -191,7 +190,6 @@ class CodeIndex:
 def _encode(vector: Column, book: np.ndarray, n_sub: int) -> Column:
     width = book.shape[1]
 
-    @F.arrow_udf("struct<code:binary,error:double>")
     def encode(v: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, n_sub * width)
         unit, ok = unit_rows(matrix)
@@ -208,7 +206,7 @@ def _encode(vector: Column, book: np.ndarray, n_sub: int) -> Column:
             [pa.array(codes, pa.binary()), pa.array(errors)], names=["code", "error"],
             mask=missing)
 
-    return encode(vector)
+    return arrow_once(encode, "struct<code:binary,error:double>")(vector)
 
 
 def build_codes(

@@ -13,6 +13,7 @@ from quillmap import constants as K
 from quillmap.functions.embedders import HashingTextEmbedder, embed_text
 from quillmap.functions.text import basename, schema_text
 from quillmap.functions.vectors import (
+    arrow_once,
     l2_normalize,
     list_array_to_matrix,
     matrix_to_list_array,
@@ -50,14 +51,23 @@ def prompt_centroids(
     return domain_centroids(prompts)
 
 
-def reference_matrix(refs: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray] | None:
-    """Names in order and their matrix; None when the table is too large to ship."""
+def reference_matrix(
+    refs: DataFrame, key: str, vector: str, order: list | None = None
+) -> tuple[list, np.ndarray] | None:
+    """Names and their matrix; None when the table is too large to ship.
+
+    Names follow ``order`` where given (the first of equals wins), else the alphabet.
+    """
     table = collect_bounded(refs.select(key, vector).orderBy(key))
     if table is None:
         return None
     rows, matrix = list_array_to_matrix(table[vector])
     names = table[key].to_pylist()
-    return [names[i] for i in rows], matrix
+    names = [names[i] for i in rows]
+    if order is not None:
+        by_rank = sorted(range(len(names)), key=lambda i: order.index(names[i]))
+        names, matrix = [names[i] for i in by_rank], matrix[by_rank]
+    return names, matrix
 
 
 def context_text(path: Column, record_json: Column | None = None) -> Column:
@@ -81,13 +91,14 @@ def _score_kernel(refs: np.ndarray, context_weight: float, content_weight: float
         known[rows[ok]] = True
         return scores, known
 
-    @F.arrow_udf("struct<context:array<double>,content:array<double>,probs:array<double>>")
     def scores(context: pa.Array, content: pa.Array) -> pa.Array:
         ctx, has_ctx = one_side(context)
         doc, has_doc = one_side(content)
         logits = factor * (context_weight * ctx + content_weight * doc)
         weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-        probs = weights / weights.sum(axis=1, keepdims=True)
+        # nine digits: equal evidence must tie exactly, then the first domain wins
+        ctx, doc = np.round(ctx, 9), np.round(doc, 9)
+        probs = np.round(weights / weights.sum(axis=1, keepdims=True), 9)
         n = len(context)
         some = np.flatnonzero(has_ctx | has_doc)
         return pa.StructArray.from_arrays(
@@ -99,7 +110,8 @@ def _score_kernel(refs: np.ndarray, context_weight: float, content_weight: float
             names=["context", "content", "probs"],
         )
 
-    return scores
+    return arrow_once(
+        scores, "struct<context:array<double>,content:array<double>,probs:array<double>>")
 
 
 def domain_scores(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmap import constants as K
 from quillmap.functions.text import basename, capitalize, pastel_color
-from quillmap.functions.vectors import list_array_to_matrix, matrix_to_list_array
+from quillmap.functions.vectors import arrow_once, list_array_to_matrix, matrix_to_list_array
+from quillmap.session import write_scratch
 
 
 def sample_points(catalog: DataFrame, id_col: str = "doc_id", n: int = K.EXPLORER_POINTS
@@ -21,12 +22,11 @@ def sample_points(catalog: DataFrame, id_col: str = "doc_id", n: int = K.EXPLORE
 
 
 def _project(vector: Column, axes: np.ndarray, mean: np.ndarray) -> Column:
-    @F.arrow_udf("array<double>")
     def project(v: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, len(mean))
         return matrix_to_list_array(rows, (matrix - mean) @ axes, len(v))
 
-    return project(vector)
+    return arrow_once(project, "array<double>")(vector)
 
 
 def pca_points(catalog: DataFrame, vector: str = "vector", id_col: str = "doc_id",
@@ -37,9 +37,10 @@ def pca_points(catalog: DataFrame, vector: str = "vector", id_col: str = "doc_id
     off here. Each axis points to where its largest weight is positive.
     """
     keep = [c for c in ("label", "domain_score", "type") if c in catalog.columns]
-    points = sample_points(
-        catalog.where(F.col(vector).isNotNull()).select(id_col, vector, "source", "domain", *keep),
-        id_col, n)
+    known = catalog.where(F.col(vector).isNotNull())
+    # at most n rows, read several times below
+    points = write_scratch(
+        sample_points(known.select(id_col, vector, "source", "domain", *keep), id_col, n), "points")
     features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("f"))
     model = PCA(k=3, inputCol="f", outputCol="p").fit(features)
     axes = model.pc.toArray()

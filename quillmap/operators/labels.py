@@ -18,7 +18,7 @@ from quillmap.functions.text import (
     stem,
     strip,
 )
-from quillmap.functions.vectors import list_array_to_matrix, unit_rows
+from quillmap.functions.vectors import arrow_once, list_array_to_matrix, unit_rows
 from quillmap.operators.search import SearchPass, top_k
 from quillmap.session import collect_bounded
 
@@ -72,7 +72,6 @@ def _longest_by_automaton(text: Column, scope: Column, labels: list[tuple[str, s
     for owner, label in labels:
         owners.setdefault(label, set()).add(owner)
 
-    @F.arrow_udf("string")
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         machine = ahocorasick.Automaton()
         for label, own in owners.items():
@@ -86,7 +85,7 @@ def _longest_by_automaton(text: Column, scope: Column, labels: list[tuple[str, s
         for texts, scopes in batches:
             yield pa.array(map(longest, texts.to_pylist(), scopes.to_pylist()), pa.string())
 
-    return find(text, scope)
+    return arrow_once(find, "string")(text, scope)
 
 
 def _longest_by_filter(text: Column, scope: Column, labels: list[tuple[str, str]]) -> Column:
@@ -153,7 +152,6 @@ def _nearest(vector: Column, scope: Column, keys: list[tuple[str, str]], refs: n
         members.setdefault(owner, []).append(i)
     names = [label for _, label in keys]
 
-    @F.arrow_udf("struct<label:string,similarity:double>")
     def nearest(v: pa.Array, scopes: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, unit_refs.shape[1])
         unit, ok = unit_rows(matrix)
@@ -172,7 +170,7 @@ def _nearest(vector: Column, scope: Column, keys: list[tuple[str, str]], refs: n
                 found[r] = {"label": names[own[b]], "similarity": s}
         return pa.array(found, pa.struct([("label", pa.string()), ("similarity", pa.float64())]))
 
-    return nearest(vector, scope)
+    return arrow_once(nearest, "struct<label:string,similarity:double>")(vector, scope)
 
 
 def nearest_label(

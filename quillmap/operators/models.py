@@ -241,6 +241,7 @@ def answer_questions(ranked: DataFrame, queries: DataFrame, make: Callable[[], M
     """(qid, answer, found) from the ranked hits of each query; no hits, nothing found."""
     asked = queries.select("qid", F.col("ocr_text").alias("question")).join(
         rag_context(ranked), "qid", "left")
+    asked = write_scratch(asked, "questions")      # one row per query, used for prompts and join
     prompt = F.when(F.col("context").isNotNull(),
                     answer_prompt(F.col("question"), F.col("context")))
     replied = call_model(asked, prompt, make, ANSWER, attempts=attempts)

@@ -71,7 +71,8 @@ def classify_documents(
     context = D.context_text(F.col("path"), F.when(is_record, F.col("content")))
     docs = docs.withColumn("_ctx", embed_text(context, make))
     refs = D.reference_matrix(
-        D.prompt_centroids(spark, settings.domains, make), "domain", "centroid")
+        D.prompt_centroids(spark, settings.domains, make), "domain", "centroid",
+        settings.domains)
     if refs is None:
         raise ValueError("the domain list is too long to ship with the tasks")
     docs = D.detect_domains(docs, *refs, F.col("_ctx"), F.col("vector"))

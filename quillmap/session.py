@@ -61,3 +61,16 @@ def collect_bounded(df: DataFrame, max_rows: int | None = None, max_bytes: int |
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
     return table
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer partitions than cores, hashed by its keys; any other scan unchanged.
+
+    Meant for plain scans of few, large row groups in front of costly expressions. Cluster-sized
+    input has more splits than cores and is not shuffled.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
