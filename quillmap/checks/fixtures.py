@@ -44,12 +44,13 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def paths(spark: SparkSession, sf: str) -> DataFrame:
-    """One file path per part: archives, folders and names of every kind."""
+def paths(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    """One file path per part; ``wide`` spreads a small scan for costly follow-ups."""
     key = F.col("p_partkey")
     exts = F.array(*[F.lit(e) for e in
                      (".jpg", ".csv", ".PDF", ".bmp", ".JPEG", ".tar.gz", ".txt")])
-    return table(spark, sf, "part").select(
+    part = table(spark, sf, "part")
+    return (spread(part, "p_partkey") if wide else part).select(
         key.alias("key"),
         F.concat(F.lit("raw/a"), (F.col("p_size") % 7).cast("string")).alias("archive"),
         F.concat(

@@ -490,7 +490,7 @@ def label_zero_shot(spark, sf):
 @query
 def label_cascade(spark, sf):
     """Every file of ``paths`` with the text and image vector of its row."""
-    docs = X.paths(spark, sf).join(
+    docs = X.paths(spark, sf, wide=True).join(
         X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left"
     ).join(table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("key"), "embedding"), "key", "left")
@@ -499,15 +499,11 @@ def label_cascade(spark, sf):
                  F.col("s_name")).alias("line"), F.col("s_suppkey").alias("seq")))
     docs = docs.withColumn("file_name", F.lower(T.basename(F.col("path")))).join(
         mapping.withColumnRenamed("label", "explicit_label"), "file_name", "left")
-    docs = docs.withColumns({
-        "folder_file_label": L.folder_file_label(F.col("path")),
-        "auto_label": T.most_frequent_word(F.col("text")),
-    })
-    docs = L.longest_label_in_text(docs, "text", X.label_words(spark, sf), "key")
+    docs = docs.withColumn("folder_file_label", L.folder_file_label(F.col("path")))
     refs = _label_centroids(spark, sf).select(
         F.col("domain").alias("label"), F.col("centroid").alias("vector"))
-    docs = L.nearest_label(docs, "embedding", refs, threshold=0.3, id_col="key")
-    return L.resolve_labels(docs).select("key", "label", "label_method")
+    return L.cascade(docs, "text", "embedding", X.label_words(spark, sf), refs, 0.3, "key").select(
+        "key", "label", "label_method")
 
 
 # --- domains ----------------------------------------------------------------
@@ -844,7 +840,7 @@ def arbitrate_domain(spark, sf):
 @query
 def refine_label(spark, sf):
     """Paths whose folder and file are both noise, described by the document of their row."""
-    d = X.paths(spark, sf).join(
+    d = X.paths(spark, sf, wide=True).join(
         X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left")
     d = d.withColumn("label", F.coalesce(L.folder_file_label(F.col("path")), F.lit("unknown")))
     out = M.refine_labels(d, M.RuleModel, L.needs_refinement(F.col("label"), F.col("text")))

@@ -131,18 +131,29 @@ def is_visual(path: Column) -> Column:
 
 # --- labels -----------------------------------------------------------------
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once and named once in the plan.
+
+    Rules that mention their input many times would otherwise multiply its expression whenever the
+    optimizer substitutes it (a filter pushed through a projection does).
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_label_noisy(label: Column) -> Column:
     """True for identifiers, codes, numbers, stop words and too short or missing names."""
-    v = strip(F.coalesce(label.cast("string"), F.lit("")))
-    digits = F.regexp_count(v, F.lit(r"\d"))
-    # CASE, not OR: its order is guaranteed, so the division never sees an empty text
-    return (
-        F.when(F.length(v) < K.LABEL_MIN_LENGTH, True)
-        .when(v.rlike(r"^(\d+\.?\d*|\.\d+)$"), True)
-        .when(~F.contains(v, F.lit(" ")) & (digits > 0), True)
-        .when(digits / F.length(v) > K.LABEL_MAX_DIGIT_SHARE, True)
-        .otherwise(F.lower(v).isin(K.LABEL_STOP_WORDS))
-    )
+    def noisy(v: Column) -> Column:
+        digits = F.regexp_count(v, F.lit(r"\d"))
+        # CASE, not OR: its order is guaranteed, so the division never sees an empty text
+        return (
+            F.when(F.length(v) < K.LABEL_MIN_LENGTH, True)
+            .when(v.rlike(r"^(\d+\.?\d*|\.\d+)$"), True)
+            .when(~F.contains(v, F.lit(" ")) & (digits > 0), True)
+            .when(digits / F.length(v) > K.LABEL_MAX_DIGIT_SHARE, True)
+            .otherwise(F.lower(v).isin(K.LABEL_STOP_WORDS))
+        )
+
+    return once(strip(F.coalesce(label.cast("string"), F.lit(""))), noisy)
 
 
 def has_any_word(c: Column, words: Iterable[str]) -> Column:
@@ -195,10 +206,9 @@ def most_frequent_word(text: Column, min_length: int = K.LABEL_MIN_LENGTH) -> Co
             acc["w"].alias("best"), acc["n"].alias("best_n"), acc["i"].alias("best_i"))
         return F.when(better, promoted).otherwise(acc)
 
-    # one-element transform: the counted run is built once, not once per use
     best = F.aggregate(
         placed, start,
-        lambda acc, x: F.element_at(F.transform(F.array(count(acc, x)), keep_best), 1),
+        lambda acc, x: once(count(acc, x), keep_best),
         lambda acc: acc["best"])
     return F.concat(F.lit("auto_"), best)
 

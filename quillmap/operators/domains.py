@@ -96,9 +96,7 @@ def _score_kernel(refs: np.ndarray, context_weight: float, content_weight: float
         doc, has_doc = one_side(content)
         logits = factor * (context_weight * ctx + content_weight * doc)
         weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-        # nine digits: equal evidence must tie exactly, then the first domain wins
-        ctx, doc = np.round(ctx, 9), np.round(doc, 9)
-        probs = np.round(weights / weights.sum(axis=1, keepdims=True), 9)
+        probs = weights / weights.sum(axis=1, keepdims=True)
         n = len(context)
         some = np.flatnonzero(has_ctx | has_doc)
         return pa.StructArray.from_arrays(
@@ -106,12 +104,16 @@ def _score_kernel(refs: np.ndarray, context_weight: float, content_weight: float
                 matrix_to_list_array(np.flatnonzero(has_ctx), ctx[has_ctx], n),
                 matrix_to_list_array(np.flatnonzero(has_doc), doc[has_doc], n),
                 matrix_to_list_array(some, probs[some], n),
+                # nine digits: equal evidence must tie exactly, then the first domain wins
+                pa.array(np.round(ctx, 9).argmax(axis=1).astype(np.int32)),
+                pa.array(np.round(probs, 9).argmax(axis=1).astype(np.int32)),
             ],
-            names=["context", "content", "probs"],
+            names=["context", "content", "probs", "best_context", "best"],
         )
 
     return arrow_once(
-        scores, "struct<context:array<double>,content:array<double>,probs:array<double>>")
+        scores, "struct<context:array<double>,content:array<double>,probs:array<double>,"
+                "best_context:int,best:int>")
 
 
 def domain_scores(
@@ -147,9 +149,8 @@ def detect_domains(
         "max_prob": F.array_max("_s.probs"),
         "_ctx": F.array_max("_s.context"),
     })
-    best = F.try_element_at(labels, F.array_position("probs", F.col("max_prob")).cast("int"))
-    forced = F.try_element_at(
-        labels, F.array_position("_s.context", F.col("_ctx")).cast("int"))
+    best = F.get(labels, F.col("_s.best"))
+    forced = F.get(labels, F.col("_s.best_context"))
     pairs = F.zip_with(labels, F.col("probs"), lambda d, p: F.struct(d.alias("domain"),
                                                                      p.alias("prob")))
     near = F.filter(

@@ -14,6 +14,8 @@ from quillmap.functions.text import (
     grams,
     has_any_word,
     is_label_noisy,
+    most_frequent_word,
+    once,
     parent_folder,
     stem,
     strip,
@@ -60,9 +62,12 @@ def record_label(record: Column, plan_key: Column, folder_key: Column, strict: b
 
 def folder_file_label(path: Column) -> Column:
     """The folder's name unless it is noise, else the file's; NULL when both are noise."""
-    folder, file = parent_folder(path), stem(path)
-    folder_noise = is_label_noisy(folder) | folder.isin(K.GENERIC_FOLDERS)
-    return F.when(~folder_noise, folder).when(~is_label_noisy(file), file)
+    def pick(name: Column) -> Column:
+        folder_noise = is_label_noisy(name["folder"]) | name["folder"].isin(K.GENERIC_FOLDERS)
+        return F.when(~folder_noise, name["folder"]).when(
+            ~is_label_noisy(name["file"]), name["file"])
+
+    return once(F.struct(parent_folder(path).alias("folder"), stem(path).alias("file")), pick)
 
 
 # --- labels inside texts ----------------------------------------------------
@@ -229,6 +234,28 @@ CASCADE = [
 ]
 
 
+def cascade(
+    df: DataFrame, text_col: str, vector_col: str, labels: DataFrame,
+    label_vectors: DataFrame, threshold: float = K.SEMANTIC_THRESHOLD, id_col: str = "doc_id",
+    scope_col: str | None = None,
+) -> DataFrame:
+    """Resolve labels; the costly levels only see rows that the cheaper ones left open.
+
+    ``df`` already has whichever of explicit_label, record_label and folder_file_label apply.
+    """
+    cheap = [c for c in ("explicit_label", "suggested_label", "record_label", "folder_file_label")
+             if c in df.columns]
+    df = df.withColumn("_open", F.coalesce(*[F.col(c) for c in cheap]).isNull())
+    df = df.withColumn("_open_text", F.when(F.col("_open"), F.col(text_col)))
+    df = longest_label_in_text(df, "_open_text", labels, id_col, scope_col=scope_col)
+    df = df.withColumn("_open", F.col("_open") & F.col("text_label").isNull())
+    df = df.withColumn("_open_vector", F.when(F.col("_open"), F.col(vector_col)))
+    df = nearest_label(df, "_open_vector", label_vectors, threshold, id_col, scope_col=scope_col)
+    still = F.col("_open") & F.col("vector_label").isNull()
+    df = df.withColumn("auto_label", F.when(still, most_frequent_word(F.col(text_col))))
+    return resolve_labels(df).drop("_open", "_open_text", "_open_vector")
+
+
 def resolve_labels(df: DataFrame) -> DataFrame:
     """Add label and label_method from whichever proposal columns the frame has."""
     present = [(m, c) for m, c in CASCADE if c in df.columns]

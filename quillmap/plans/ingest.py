@@ -19,7 +19,7 @@ from quillmap.functions.embedders import (
     embed_text,
 )
 from quillmap.functions.hashing import fingerprint, record_hash
-from quillmap.functions.text import archive_of, basename, most_frequent_word
+from quillmap.functions.text import archive_of, basename
 from quillmap.functions.vectors import fuse
 from quillmap.operators import catalog as C
 from quillmap.operators import domains as D
@@ -66,10 +66,11 @@ def classify_documents(
     spark = docs.sparkSession
     is_record = F.col("record").isNotNull()
     make = settings.text_embedder
-    docs = docs.withColumn("_tv", embed_text(F.col("content"), make)).withColumn(
-        "vector", fuse(F.col("_tv"), F.col("visual"))).drop("_tv")
     context = D.context_text(F.col("path"), F.when(is_record, F.col("content")))
-    docs = docs.withColumn("_ctx", embed_text(context, make))
+    # both texts in one projection: one Python stage embeds them
+    docs = docs.withColumns({
+        "_tv": embed_text(F.col("content"), make), "_ctx": embed_text(context, make),
+    }).withColumn("vector", fuse(F.col("_tv"), F.col("visual"))).drop("_tv")
     refs = D.reference_matrix(
         D.prompt_centroids(spark, settings.domains, make), "domain", "centroid",
         settings.domains)
@@ -79,6 +80,7 @@ def classify_documents(
 
     decisions = None
     if settings.model is not None:
+        docs = write_scratch(docs, "detected")         # read again by the model joins
         asked = docs.withColumns({
             "text": F.col("content"),
             "confused": F.col("confused") | (F.col("det_score") < K.ARBITRATION_BELOW)})
@@ -89,25 +91,19 @@ def classify_documents(
     if mapping is not None:
         docs = docs.join(mapping.withColumnRenamed("label", "explicit_label"),
                          ["archive", "file_name"], "left")
-    raw_text = F.when(~is_record, F.col("content"))
+    suggested = F.lower(F.trim(F.col("suggested_label")))
     docs = docs.withColumns({
+        "suggested_label": suggested if settings.use_suggested else F.lit(None).cast("string"),
         "record_label": F.when(is_record, F.coalesce(
             L.record_label(F.col("record"), F.col("label_key"), F.lit(None).cast("string"),
                            settings.strict_magic), F.lit("unknown"))),
         "folder_file_label": F.when(~is_record, L.folder_file_label(F.col("path"))),
-        "_raw_text": raw_text,
-        "_raw_visual": F.when(~is_record, F.col("visual")),
-        "auto_label": most_frequent_word(raw_text),
     })
-    if labels is not None:
-        docs = L.longest_label_in_text(docs, "_raw_text", labels, scope_col="archive")
-        vectors = labels.withColumn("vector", embed_text(F.col("label"), make))
-        docs = L.nearest_label(docs, "_raw_visual", vectors, settings.label_threshold,
-                               scope_col="archive")
-    suggested = F.lower(F.trim(F.col("suggested_label")))
-    docs = docs.withColumn(
-        "suggested_label", suggested if settings.use_suggested else F.lit(None).cast("string"))
-    docs = L.resolve_labels(docs)
+    if labels is None:
+        labels = spark.createDataFrame([], "archive string, label string")
+    vectors = labels.withColumn("vector", embed_text(F.col("label"), make))
+    docs = L.cascade(docs, "content", "visual", labels, vectors, settings.label_threshold,
+                     scope_col="archive")
     if settings.model is not None:
         needs = ~is_record & L.needs_refinement(F.col("label"), F.col("content"))
         docs = M.refine_labels(docs, settings.model, needs, text="content")
@@ -258,7 +254,8 @@ def ingest(
         files = C.new_files(files, others)
     tasks = write_scratch(files, "tasks")
 
-    docs = load_documents(spark, folders, tasks, settings)
+    # the sources are read once; linking and labelling work on the written documents
+    docs = write_scratch(load_documents(spark, folders, tasks, settings), "documents")
     docs, _ = link_images(docs, tasks, settings)
     counts = docs.groupBy("path").agg(F.count("*").alias("_n"))
     docs = docs.join(counts, "path").withColumns({
@@ -266,7 +263,6 @@ def ingest(
         "doc_id": F.md5(F.concat_ws("#", "path", F.col("position").cast("string"))
                         .cast("binary")),
     }).drop("_n")
-    docs = write_scratch(docs, "documents")
 
     lines = R.read_whole_texts(spark, folders).where(I.is_mapping_file(F.col("path"))).join(
         tasks.select("path", "archive"), "path").select(
