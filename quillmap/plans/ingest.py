@@ -178,13 +178,14 @@ def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
     return docs.join(tasks.select("path", "archive", "file_hash"), "path")
 
 
-def link_images(docs: DataFrame, tasks: DataFrame, settings: IngestSettings
-                ) -> tuple[DataFrame, DataFrame]:
+def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
+                settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
     """(documents, file plans): records take over the vector of the image they name.
 
-    The image documents that were linked are no documents of their own any more.
+    ``members`` are all files of the opened archives, so that a new record finds an image that an
+    earlier run has seen. Linked images are no documents of their own any more.
     """
-    index = I.image_index(tasks)
+    index = I.image_index(members)
     records = docs.where("record IS NOT NULL").select(
         F.col("path").alias("file"), "archive", F.col("position").alias("row_no"), "record")
     path_cols = I.probe_path_columns(records, index)
@@ -206,8 +207,16 @@ def link_images(docs: DataFrame, tasks: DataFrame, settings: IngestSettings
     named = keyed.withColumn(
         "name", I.link_name(F.try_element_at(F.col("record"), F.col("path_key"))))
     linked = named.join(index, ["archive", "name"], "left").drop("name", "path_key")
-    vectors = docs.where("type = 'image'").select(
+    fresh = docs.where("type = 'image'").select(
         F.col("path").alias("image_path"), F.col("visual").alias("_v"))
+    # images outside this run's tasks: usually none, and then AQE drops the scan
+    older = linked.where("image_path IS NOT NULL").select("image_path").distinct().join(
+        fresh, "image_path", "left_anti")
+    blobs = R.scan_files(docs.sparkSession, folders, with_content=True)
+    again = blobs.withColumnRenamed("path", "image_path").join(
+        older, "image_path", "left_semi").select(
+        "image_path", embed_image(F.col("content"), settings.image_embedder).alias("_v"))
+    vectors = fresh.unionByName(again)
     merged = linked.join(vectors, "image_path", "left").withColumn(
         "visual", F.coalesce("visual", "_v")).drop("_v")
     return I.drop_linked_images(merged, linked.where("record IS NOT NULL")), plans
@@ -249,6 +258,7 @@ def ingest(
     files = files.join(changed.select("archive"), "archive", "left_semi").select(
         "path", "archive", "type",
         fingerprint(F.col("content"), F.col("length"), F.col("mtime")).alias("file_hash"))
+    members = files = write_scratch(files, "members")
     if mode != "r":
         others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
         files = C.new_files(files, others)
@@ -256,7 +266,7 @@ def ingest(
 
     # the sources are read once; linking and labelling work on the written documents
     docs = write_scratch(load_documents(spark, folders, tasks, settings), "documents")
-    docs, _ = link_images(docs, tasks, settings)
+    docs, _ = link_images(docs, members, folders, settings)
     counts = docs.groupBy("path").agg(F.count("*").alias("_n"))
     docs = docs.join(counts, "path").withColumns({
         "doc_hash": record_hash(F.col("file_hash"), F.col("position"), F.col("_n")),
@@ -265,11 +275,11 @@ def ingest(
     }).drop("_n")
 
     lines = R.read_whole_texts(spark, folders).where(I.is_mapping_file(F.col("path"))).join(
-        tasks.select("path", "archive"), "path").select(
+        members.select("path", "archive"), "path").select(
         "archive", "path", F.posexplode(R.text_lines(F.col("text"))).alias("pos", "line")
     ).withColumn("seq", F.struct("path", "pos"))
     labels = I.mapping_labels(lines, ["archive"]).unionByName(
-        I.folder_labels(tasks, ["archive"])).distinct()
+        I.folder_labels(members, ["archive"])).distinct()
     rows = classify_documents(docs, contracts, labels, I.file_mapping(lines, ["archive"]), settings)
     rows = C.catalog_rows(rows)
     if mode == "r":

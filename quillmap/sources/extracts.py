@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmap import constants as K
 
@@ -22,19 +24,20 @@ def extract(files: DataFrame, extractor: Callable[[str, bytes], list[dict]], sch
     ``schema`` must contain path and error. A file that fails yields one row with its error, so one
     bad file never drops the batch.
     """
-    names = [f.split()[0] for f in schema.split(",")]
+    arrow_schema = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, content in zip(batch.column("path").to_pylist(),
+                                     batch.column("content").to_pylist()):
                 try:
-                    rows += [{"path": path, "error": None, **r} for r in extractor(path, content)]
+                    rows += [{"path": path, **r} for r in extractor(path, content)]
                 except Exception as e:        # noqa: BLE001 - the error becomes a row
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def assemble_pages(pages: DataFrame, key: str = "path", order: str = "page_no",
