@@ -335,20 +335,21 @@ def trust_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("confidence_raw", weighted / total * 100).drop("_w_text")
 
 
-def score_hits(merged: DataFrame, queries: DataFrame, unknown_matches: bool = True,
-               max_hits: int | None = None) -> DataFrame:
-    """Add the trust score; ``merged`` carries label, snippet and domain of the hits."""
+def score_hits(merged: DataFrame, queries: DataFrame, unknown_matches: bool = True) -> DataFrame:
+    """Add the trust score; ``merged`` carries label, snippet and domain of the hits.
+
+    The join has no hint: query texts have no size bound of their own, so their measured size
+    decides, and the scoring stays spread as the hits are.
+    """
     asked = queries.select(
         "qid", "ocr_text", F.coalesce(F.col("f_domain"), F.lit("unknown")).alias("_f_domain")
     )
-    if max_hits is not None and max_hits <= MAX_BROADCAST_ROWS:
-        merged = F.broadcast(merged)
     target = F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("snippet", F.lit("")))
     cols = trust_columns(
         F.col("dist"), F.col("ocr_text"), target, F.col("domain"), F.col("_f_domain"),
         unknown_matches,
     )
-    joined = asked.join(merged, "qid")
+    joined = merged.join(asked, "qid")
     return trust_score(joined.withColumns(cols)).drop("_f_domain")
 
 

@@ -31,8 +31,7 @@ def hybrid_search(
         max_hits,
     )
     merged = S.merge_passes(full, "doc_hash", id_col, best_distance)
-    scored = S.score_hits(merged, queries.select("qid", "ocr_text", "f_domain"), unknown_matches,
-                          max_hits)
+    scored = S.score_hits(merged, queries.select("qid", "ocr_text", "f_domain"), unknown_matches)
     return S.rank_hits(scored, id_col, limit_per_query)
 
 
