@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmap import constants as K
-from quillmap.functions.text import snippet
+from quillmap.functions.text import dirname, snippet
 from quillmap.functions.vectors import l2_normalize
 from quillmap.operators.structure import upsert
 
@@ -133,10 +133,7 @@ def folder_signatures(files: DataFrame, depth: str = "all") -> DataFrame:
     ``files`` has archive, mtime (integer) and, for ``depth='direct'``, path.
     """
     if depth == "direct":
-        files = files.where(
-            F.substring_index("path", "/", F.size(F.split("archive", "/"))) == F.col("archive"))
-        files = files.where(
-            F.size(F.split("path", "/")) == F.size(F.split("archive", "/")) + 1)
+        files = files.where(dirname(F.col("path")) == F.col("archive"))
     return files.groupBy("archive").agg(
         F.max("mtime").alias("_m"), F.count("*").alias("_n")
     ).select("archive", F.md5(F.concat_ws(

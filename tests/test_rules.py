@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmap import constants as K
 from quillmap.checks import fixtures as X
 from quillmap.functions import text as T
+from quillmap.operators import catalog as C
 from quillmap.operators import labels as L
 from quillmap.operators import search as S
 from quillmap.sources import extracts as E
@@ -91,6 +92,16 @@ def test_paths(spark):
     assert one(spark, ["d/.x.csv", "d/x.csv"], T.is_hidden) == [True, False]
 
 
+def test_signature_depth(spark):
+    def signature(depth, mtime):
+        files = spark.createDataFrame([("r/a/x.txt", 1, "r/a"), ("r/a/b/y.txt", mtime, "r/a")],
+                                      "path string, mtime bigint, archive string")
+        return C.folder_signatures(files, depth).head()["signature"]
+
+    assert signature("all", 2) != signature("all", 3)
+    assert signature("direct", 2) == signature("direct", 3)
+
+
 def test_text_lists(spark):
     rows = [("two", "a b\nc d\n"), ("three", "aa b\n\nx\nc dd\n"), ("crlf", "a a\r\nbb bb\r\ncc cc"),
             ("prose", "\n".join(["w " * 40] * 3))]
