@@ -58,4 +58,38 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN pat IS NOT NULL THEN
 """
 
 
-ORACLES = {"op6_quality_rules": _OP6, "op10_url_filter": _op10()}
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+_OP9 = """
+WITH t AS (
+  SELECT *, coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') AS item,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position
+  FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT conv_id, position, md5(string_agg(item, '') OVER (PARTITION BY conv_id ORDER BY position)) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t
+), whole AS (
+  SELECT prefix, min(conv_id) AS conv_id, any_value(n_turns) AS n_turns FROM p WHERE position = n_turns GROUP BY prefix
+), kept AS (
+  SELECT conv_id, n_turns FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE position < n_turns)
+)
+SELECT conv_id, turn, position, CAST(n_turns AS BIGINT) AS n_turns, role,
+       '<|im_start|>' || coalesce(role, '') || chr(10)
+         || replace(replace(coalesce(text, ''), '<|im_start|>', '<' || chr(8203) || '|im_start|>'), '<|im_end|>', '<' || chr(8203) || '|im_end|>')
+         || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN kept USING (conv_id)
+"""
+
+ORACLES = {"op5_exact_topk": _OP5, "op6_quality_rules": _OP6, "op9_chat_format": _OP9, "op10_url_filter": _op10()}

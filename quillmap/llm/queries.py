@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmap.llm import quality_rules, url_filter
+from quillmap.llm import chat_format, exact_topk, packing, quality_rules, rans, sentence_pieces, url_filter
 from quillmap.llm.common import read_table
+from quillmap.session import scratch_dir
 
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -26,15 +29,42 @@ URL_GLOBS = [
 ]
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10, scale=1024)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    rans.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return rans.read_documents(spark, path)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
 QUERIES = {
+    "op3_sentence_pieces": op3_sentence_pieces,
+    "op5_exact_topk": op5_exact_topk,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_files": op8_token_files,
+    "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
