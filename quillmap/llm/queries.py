@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import chat_format, exact_topk, packing, quality_rules, rans, sentence_pieces, url_filter
+from quillmap.llm import chat_format, exact_topk, near_dup, packing, quality_rules, rans, resample, sentence_pieces, toxicity, url_filter
 from quillmap.llm.common import read_table
 from quillmap.session import scratch_dir
 
@@ -29,10 +29,23 @@ URL_GLOBS = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_and_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0, k=10, scale=1024)
 
@@ -60,7 +73,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_near_dup": op2_near_dup,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_quality_resampling": op4_quality_resampling,
     "op5_exact_topk": op5_exact_topk,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
