@@ -11,7 +11,8 @@ emits no more of the smallest ids than the query can need.
 Defined results: rows without an id, without a vector, or with a null, NaN or infinite component take no
 part. Vectors are compared with those of their own length. A repeated row is a candidate as often as it
 occurs; a query is asked once for each id, with its smallest vector, and never meets rows of its own id. Fewer
-candidates than k give all of them. Components too large for 64-bit scores raise. Other columns are not read.
+candidates than k give all of them. Components of 2^52 / scale and more raise, and so do vectors whose norms
+multiply beyond 2^62. Other columns are not read.
 """
 
 from __future__ import annotations

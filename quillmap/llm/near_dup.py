@@ -207,12 +207,17 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
     meets = members.groupBy("doc").agg(F.sum("c").alias("meets"))
     active = members.drop("c").join(meets, "doc")
     sets = _full_sets(docs, meets.select("doc"), size, key, text)
-    if known.groupBy("doc").count().where("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["doc", "hashes"])  # rows that share an id
+    roots = tested = None
+    twice = known.groupBy("doc").count().where("count > 1")
+    if twice.limit(1).count():  # rows that share an id: their classes are linked
+        sets = sets.dropDuplicates(["doc", "hashes"])
+        both = known.join(twice, "doc", "left_semi").select("doc", "set_key").distinct()
+        both = both.join(classes.select("set_key", F.col("doc").alias("b")), "set_key").select("doc", "b")
+        both = both.join(both.groupBy("doc").agg(F.min("b").alias("a")), "doc")
+        roots = connected_components(both.select("a", "b"))
     sets = write_scratch(sets, "sets")
 
-    links = tested = None
-    roots, centres_each = None, 1
+    centres_each = 1
     while True:
         active = write_scratch(active, "active")
         if not active.limit(1).count():
@@ -224,13 +229,13 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if roots is not None:
             side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
             pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
             pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         likely = write_scratch(_likely(pairs, classes, threshold), "likely")
         found = write_scratch(_confirmed(likely, sets, percent), "links")
         tested = likely if tested is None else tested.unionByName(likely)
-        links = found if links is None else links.unionByName(found)
         roots = connected_components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         # what has met every centre of its bucket stays only if the bucket still holds several components
         left = active.join(centres.select("band", F.col("centre").alias("doc")), ["band", "doc"], "left_anti")

@@ -4,9 +4,9 @@ Documents become token ids with an end id; what is longer than a sequence is cut
 of each length matters for the packing, and there are no more lengths than a sequence has tokens, so the plan
 is made on that bounded histogram, whatever the number of documents. Lengths are taken from the longest
 down as openers of sequences. The gap an opener leaves is looked up in the index of sums that are available:
-a single length, a pair, a triple that fills it exactly; as many sequences as the counts allow are filled
-that way at once. What finds no exact complement goes, longest first, into the tightest gap that holds it, or
-opens a new sequence.
+a single length, then a pair, then a triple that fills it exactly; as many sequences as the counts allow are
+filled that way at once. What finds no exact complement goes, longest first, into the tightest gap that holds
+it, or opens a new sequence.
 
 Pieces are numbered within their length by running counts of each task plus the counts of the tasks before,
 and the plan tells which number goes where. Pieces are never gathered by length.
@@ -90,24 +90,30 @@ class Sums:
                 return found
         return None
 
-    def exact(self, gap: int, opener: int) -> tuple[int, ...] | None:
-        """One to three lengths that sum to the gap and are left beside the opener; longest first."""
+    def exact(self, gap: int, opener: int, pieces: int) -> tuple[int, ...] | None:
+        """So many lengths that sum to the gap and are left beside the opener; longest first."""
         if self.stale:
             self.refresh()
-        if self.singles >> gap & 1 and self._enough((opener, gap)):
-            return (gap,)
-        if self.pairs >> gap & 1 and (found := self._pair(gap, (opener,))):
-            return found
-        if self.triples >> gap & 1:
-            for a in np.flatnonzero(self.counts[:gap - 1])[::-1]:
-                a = int(a)
-                if self.pairs >> (gap - a) & 1 and (found := self._pair(gap - a, (opener, a))):
-                    return (a, *found)
+        if not (self.singles, self.pairs, self.triples)[pieces - 1] >> gap & 1:
+            return None
+        if pieces == 1:
+            return (gap,) if self._enough((opener, gap)) else None
+        if pieces == 2:
+            return self._pair(gap, (opener,))
+        for a in np.flatnonzero(self.counts[:gap - 1])[::-1]:
+            a = int(a)
+            if self.pairs >> (gap - a) & 1 and (found := self._pair(gap - a, (opener, a))):
+                return (a, *found)
         return None
 
 
 def plan(counts: np.ndarray) -> list[Run]:
-    """Sequences for ``counts[length]`` pieces of each length up to the capacity, as runs of equal ones."""
+    """Sequences for ``counts[length]`` pieces of each length up to the capacity, as runs of equal ones.
+
+    Openers are the lengths of half a sequence and more, no two of which longer ones fit together. All gaps
+    that a single length fills are closed first, then those that need a pair, then triples, so that short
+    lengths last longer; the short ones left over are best placed by best fit.
+    """
     counts = np.array(counts, dtype=np.int64)
     capacity = len(counts) - 1
     counts[0] = 0
@@ -116,15 +122,16 @@ def plan(counts: np.ndarray) -> list[Run]:
         runs.append((((capacity, 1),), int(counts[capacity])))
         counts[capacity] = 0
     sums = Sums(counts)
-    for opener in range(capacity - 1, capacity // 4 - 1, -1):
-        while counts[opener] and opener * 4 >= capacity and (found := sums.exact(capacity - opener, opener)):
-            lengths = (opener, *found)
-            use = tuple((a, lengths.count(a)) for a in dict.fromkeys(lengths))
-            times = min(int(counts[a]) // n for a, n in use)
-            for a, n in use:
-                counts[a] -= times * n
-                sums.stale |= counts[a] == 0
-            runs.append((use, times))
+    for pieces in (1, 2, 3):
+        for opener in range(capacity - 1, (capacity - 1) // 2, -1):
+            while counts[opener] and (found := sums.exact(capacity - opener, opener, pieces)):
+                lengths = (opener, *found)
+                use = tuple((a, lengths.count(a)) for a in dict.fromkeys(lengths))
+                times = min(int(counts[a]) // n for a, n in use)
+                for a, n in use:
+                    counts[a] -= times * n
+                    sums.stale |= bool(counts[a] == 0)
+                runs.append((use, times))
     return runs + best_fit(counts)
 
 

@@ -76,35 +76,44 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
 @dataclass
 class LabelModel:
-    """Class prior, P(vote | class) of each voter, and the share of its evidence that is its own.
+    """P(vote | class) of each voter, the share of its evidence that is its own, and a constant.
 
-    Voter 0 is the annotators' label; the silence of the others is no evidence."""
+    Voter 0 is the annotators' label. The silence of the others is no evidence of its own; the constant stands for
+    all of it and makes the mean posterior the share of toxic rows."""
 
     prior: float
     rate: np.ndarray  # (2, voters)
     correlation: np.ndarray
     own: np.ndarray
+    constant: float = 0.0
+
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
+        yes = self.own * np.log(self.rate[1] / self.rate[0])
+        no = math.log((1 - self.rate[1, 0]) / (1 - self.rate[0, 0]))
+        return votes @ yes + (1 - votes[:, 0]) * no
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = self.own * np.log(self.rate[1] / self.rate[0]), self.own[0] * np.log((1 - self.rate[1, 0]) / (1 - self.rate[0, 0]))
-        logit = math.log(self.prior / (1 - self.prior)) + votes @ yes + (1 - votes[:, 0]) * no
-        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        return _sigmoid(self.evidence(votes) + self.constant)
 
 
 def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
     """votes (patterns, voters) of 0 and 1, how often each pattern occurs, and first guesses of the classes.
 
-    With the weight of a tenth of the rows, the annotators are believed to be right ``TRUST`` of the time, and
-    their share of toxic rows to be the prior."""
+    The prior is the annotators' share of toxic rows. With the weight of a tenth of the rows, they are believed
+    to be right ``TRUST`` of the time."""
     votes, q = votes.astype(np.float64), np.clip(start, 0.05, 0.95)
     total = weight.sum()
+    prior = float(np.clip(weight @ votes[:, 0] / total, 1e-4, 1 - 1e-4))
     for _ in range(rounds):
         mass = np.stack([weight * (1 - q), weight * q])
         rate = (mass @ votes + 0.5) / (mass.sum(axis=1, keepdims=True) + 1.0)
         rate[:, 0] = (mass @ votes[:, 0] + np.array([1 - TRUST, TRUST]) * total / 10) / (mass.sum(axis=1) + total / 10)
-        prior = float(np.clip((mass[1].sum() + weight @ votes[:, 0] / 10) / (1.1 * total), 1e-4, 1 - 1e-4))
         left = votes - (np.outer(1 - q, rate[0]) + np.outer(q, rate[1]))
         cov = (left * weight[:, None]).T @ left / total
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -113,6 +122,13 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, ro
         own = 1 / (correlation ** 2).sum(axis=1)
         own[0] = 1.0  # annotators judge the text for themselves
         model = LabelModel(prior, rate, correlation, own)
+        evidence, low, high = model.evidence(votes), -60.0, 60.0
+        for _ in range(60):
+            model.constant = (low + high) / 2
+            if weight @ _sigmoid(evidence + model.constant) > prior * total:
+                high = model.constant
+            else:
+                low = model.constant
         new = model.posterior(votes)
         if np.abs(new - q).max() < 1e-6:
             break
