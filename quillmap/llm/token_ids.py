@@ -11,6 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import unicodedata
+from array import array
 
 import numpy as np
 
@@ -20,8 +23,9 @@ WITH_SPACE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 #: Characters of a text that are split into words at a time.
 STRETCH = 1 << 20
+WHITE = (" ", "\t", "\n", "\r", "")
 #: Distinct words of a generation; two generations are kept.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 
 _loaded: dict[str, TextEncoder] = {}
 
@@ -49,6 +53,55 @@ def _make(path: str) -> str:
     return "whole"
 
 
+class Words(dict):
+    """Ids of words, found out when first asked for; the generation before the present one is kept."""
+
+    def __init__(self, encode, merge, lead: str, fold: bool, limit: int):
+        self.encode, self.merge, self.lead, self.fold, self.limit = encode, merge, lead, fold, limit
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # words without the blank in front, and marks
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if "\n" in word:  # a line end before a visible character is a cut; such words hardly come twice
+                return b"".join(map(self.plain, WITH_SPACE.findall(self.lead + word)))
+            ids = self._find(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def plain(self, word: str) -> bytes:
+        """Of a word with its own white space in front, if any."""
+        if self.lead and word[0] == self.lead and word[1:2] not in WHITE:
+            return self[word[1:]]
+        ids = self.bare.get(word)
+        if ids is None:
+            if len(self.bare) >= self.limit // 4:
+                self.bare.clear()
+            ids = self.bare[word] = self.encode(word)
+        return ids
+
+    def _find(self, word: str) -> bytes:
+        # both vocabularies cut between a letter and a comma or stop
+        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
+            return self[word[:-1]] + self.plain(word[-1])
+        if self.fold and word.isascii() and (low := word.lower()) != word:
+            return self[low]
+        if word.isalpha() and max(word) < "\u0250":  # one piece for the merges
+            return self.merge(self.lead + word)
+        return self.encode(self.lead + word)
+
+
+def _byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 for itself, others from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b if b in visible else 256 + hidden.index(b)) for b in range(256)]
+
+
 class TextEncoder:
     def __init__(self, path: str, words_kept: int = WORDS_KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,24 +110,30 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.make, self.limit = _make(path), words_kept
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            else:
-                new.append(w)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            young.update(zip(part, self._library(part), strict=True))
+        self.code = "H" if self.vocabulary <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.make = _make(path)
+        self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_characters()))
+        self.words = Words(self._library, self._merge, " " if self.make == "spaced" else "", self.make == "dropped", words_kept)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        packed = array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _merge(self, word: str) -> bytes:
+        """Of one word of letters, which neither library rule splits: straight to the model's merges."""
+        if self.make == "dropped":
+            low = unicodedata.normalize("NFC", word).lower()
+            if not low.isalpha():  # a letter that becomes two characters
+                return self._library(word)
+            word = low
+        piece = word if word.isascii() and " " not in word else word.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.model.tokenize(piece)])
 
     def _stretches(self, text: str):
         at = 0
@@ -92,13 +151,12 @@ class TextEncoder:
         return out
 
     def _stretch(self, text: str) -> bytes:
-        if self.make == "whole" or RARE_SPACE.search(text):
-            return self._library([text])[0]
-        words = WITH_SPACE.findall(text) if self.make == "spaced" else text.split()
-        distinct = set(words)
-        if new := distinct.difference(self.young):
-            if len(self.young) + len(new) > self.limit:
-                self.old, self.young = self.young, {}
-                new = distinct
-            self._learn(new)
-        return b"".join(map(self.young.__getitem__, words))
+        if self.make == "whole" or not text.replace("\n", "").isprintable() and RARE_SPACE.search(text):
+            return self._library(text)
+        find = self.words.__getitem__
+        if self.make == "dropped":
+            return b"".join(map(find, text.split()))
+        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[-1:] == " ":
+            return b"".join(map(self.words.plain, WITH_SPACE.findall(text)))
+        words = text.split(" ")
+        return b"".join([b"".join(map(self.words.plain, WITH_SPACE.findall(words[0]))), *map(find, words[1:])])
