@@ -224,6 +224,10 @@ p_type, p_size::VARCHAR AS p_size FROM part""")
 oracle("csv_mixed_records", """SELECT p_name AS name, p_partkey::VARCHAR AS id,
 NULL::VARCHAR AS segment FROM part
 UNION ALL SELECT c_name, c_custkey::VARCHAR, c_mktsegment FROM customer""")
+oracle("csv_odd_headers", """SELECT row_number() OVER (PARTITION BY p_size % 7 ORDER BY p_partkey) - 1
+AS position, p_partkey::VARCHAR AS key, p_name AS name, p_brand AS brand FROM part""")
+oracle("csv_quoted_breaks", """SELECT doc_id AS id, md5(text) AS text FROM documents
+UNION ALL SELECT p_partkey, md5(p_name) FROM part""")
 oracle("tsv_records", """SELECT 'tsv' AS type, s_suppkey::VARCHAR AS s_suppkey, s_name,
 s_nationkey::VARCHAR AS s_nationkey FROM supplier""")
 oracle("json_records", """

@@ -29,6 +29,8 @@ from quillmap.sources import extracts as E
 from quillmap.sources import files as R
 from quillmap.streaming import watch as W
 
+#: The SQL twins rank distances of so many digits, since sums differ in the last ones.
+DIGITS = 6
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -88,6 +90,33 @@ def csv_mixed_records(spark, sf):
         F.try_element_at(rec, F.lit("c_mktsegment")).alias("segment"))
 
 
+@query
+def csv_odd_headers(spark, sf):
+    """A folder of files whose headers have an unnamed and a repeated column."""
+    path = scratch_dir(spark, "odd-csv")
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand")
+    whole = table(spark, sf, "part").groupBy((F.col("p_size") % 7).alias("g")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("rows"))
+    whole.select("g", F.concat(F.lit(",name,name\n"), F.array_join("rows.line", "\n")).alias("value")
+                 ).repartition("g").write.partitionBy("g").text(path)
+    rec = F.col("record")
+    return R.read_mixed_delimited(spark, path).select(
+        "position", rec["_c0"].alias("key"), rec["name"].alias("name"), rec["name.1"].alias("brand"))
+
+
+@query
+def csv_quoted_breaks(spark, sf):
+    """Texts with line breaks and quotes inside their cells, next to files without any."""
+    path = scratch_dir(spark, "breaks-csv")
+    out = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table(spark, sf, "documents").select("doc_id", "text").write.options(**out).csv(path)
+    table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")
+                                    ).write.mode("append").options(**out).csv(path)
+    rec = F.col("record")
+    return R.read_mixed_delimited(spark, path).select(
+        rec["doc_id"].cast("bigint").alias("id"), F.md5(rec["text"].cast("binary")).alias("text"))
+
+
 @query
 def tsv_records(spark, sf):
     return _delimited(spark, sf, "supplier", "tsv", ["s_suppkey", "s_name", "s_nationkey"],
@@ -647,37 +676,37 @@ def _hits(df):
 
 @query
 def topk_visual(spark, sf):
-    return _hits(S.visual_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10))
+    return _hits(S.visual_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10, digits=DIGITS))
 
 
 @query
 def topk_fused(spark, sf):
-    return _hits(S.fused_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10))
+    return _hits(S.fused_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10, digits=DIGITS))
 
 
 @query
 def topk_filtered(spark, sf):
-    return _hits(S.filtered_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10))
+    return _hits(S.filtered_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10, digits=DIGITS))
 
 
 @query
 def topk_grid(spark, sf):
     """The block grid used when the queries are too many to ship."""
     return _hits(S.fused_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10, max_query_rows=0,
-                               block_rows=4096, block_queries=64))
+                               digits=DIGITS))
 
 
 @query
 def tripass_union(spark, sf):
     cat = X.catalog(spark, sf)
-    hits = S.top_k(cat, X.queries(spark, sf), S.ALL_PASSES, 5)
+    hits = S.top_k(cat, X.queries(spark, sf), S.ALL_PASSES, 5, digits=DIGITS)
     merged = S.merge_passes(S.attach_payload(hits, cat, ["doc_hash"]))
     return merged.select("qid", "doc_id", "pass_no", "rk", r6("dist").alias("dist"))
 
 
 @query
 def tripass_search(spark, sf):
-    ranked = hybrid_search(X.catalog(spark, sf), X.queries(spark, sf), 5)
+    ranked = hybrid_search(X.catalog(spark, sf), X.queries(spark, sf), 5, digits=DIGITS)
     return ranked.select(
         "qid", "rank", "doc_id", "pass_no", "source", "domain", "label", r6("dist").alias("dist"),
         r6("s_visual").alias("s_visual"), r6("s_text").alias("s_text"), "s_intent",
@@ -698,7 +727,7 @@ def trust_score(spark, sf):
 @query
 def compose_response(spark, sf):
     q = X.queries(spark, sf)
-    out = respond(hybrid_search(X.catalog(spark, sf), q, 5), q)
+    out = respond(hybrid_search(X.catalog(spark, sf), q, 5, digits=DIGITS), q)
     return out.select(
         "qid", "status", "query_ocr", "count",
         F.get("results", F.lit(0))["source_file"].alias("best_source"),
@@ -715,14 +744,14 @@ def intent_filter(spark, sf):
 def ivf_search(spark, sf):
     index = A.build_cells(X.catalog(spark, sf).select("doc_id", "visual"), "visual", n_cells=16,
                           min_rows=0, path=scratch_dir(spark, "ivf"))
-    return _hits(A.search_cells(index, X.queries(spark, sf), "visual", 10))
+    return _hits(A.search_cells(index, X.queries(spark, sf), "visual", 10, digits=DIGITS))
 
 
 @query
 def pq_search(spark, sf):
     index = A.build_codes(X.catalog(spark, sf).select("doc_id", "visual"), "visual", n_sub=16,
                           entries=64)
-    return _hits(A.search_codes(index, X.queries(spark, sf), "visual", 10))
+    return _hits(A.search_codes(index, X.queries(spark, sf), "visual", 10, digits=DIGITS))
 
 
 # --- ingestion --------------------------------------------------------------
@@ -874,7 +903,7 @@ def extraction_plan(spark, sf):
 
 def _ranked(spark, sf):
     q = X.queries(spark, sf)
-    return hybrid_search(X.catalog(spark, sf), q, 5), q
+    return hybrid_search(X.catalog(spark, sf), q, 5, digits=DIGITS), q
 
 
 @query

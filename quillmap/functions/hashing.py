@@ -30,6 +30,12 @@ def fingerprint(
     return F.md5(F.concat(head, body))
 
 
+def fingerprint_of_slices(slices: Column, length: Column, mtime: Column) -> Column:
+    """The same for a large file of which only the three slices were read."""
+    head = F.encode(F.concat_ws("_", length.cast("string"), mtime.cast("string")), "UTF-8")
+    return F.md5(F.concat(head, slices))
+
+
 def record_hash(file_hash: Column, position: Column, n_records: Column) -> Column:
     """Key of one record: the file hash itself when the file holds a single record."""
     derived = F.md5(F.concat_ws("_", file_hash, position.cast("string")).cast("binary"))

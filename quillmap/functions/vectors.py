@@ -85,7 +85,8 @@ def arrow_once(fn, return_type: str):
 def list_array_to_matrix(arr: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, float64 matrix) of the usable vectors of an Arrow list column.
 
-    NULL vectors and vectors of another size than ``dim`` are left out.
+    NULL and empty vectors are left out; a vector of another size than ``dim`` (without it, than
+    the first) is an error.
     """
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
@@ -93,7 +94,9 @@ def list_array_to_matrix(arr: pa.Array, dim: int | None = None) -> tuple[np.ndar
     if dim is None:
         used = lengths[lengths > 0]
         dim = int(used[0]) if len(used) else 0
-    rows = np.flatnonzero(lengths == dim) if dim else np.empty(0, dtype=np.int64)
+    rows = np.flatnonzero(lengths > 0) if dim else np.empty(0, dtype=np.int64)
+    if len(rows) and (lengths[rows] != dim).any():
+        raise ValueError(f"vectors of {set(lengths[rows].tolist()) - {dim}} components among those of {dim}")
     if not len(rows):
         return rows, np.empty((0, dim))
     picked = arr if len(rows) == len(arr) else arr.take(pa.array(rows))

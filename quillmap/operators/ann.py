@@ -38,14 +38,10 @@ from quillmap.session import collect_bounded, write_scratch
 
 # slack of the bounds: rounding of stored distances and of the expanded square
 SLACK = 2e-6
-TRAIN_ROWS = 200_000
 
 
-def _train(vectors: DataFrame, k: int, seed: int, train_rows: int) -> np.ndarray:
-    """KMeans centres of a column ``v``; training reads a sample, the index covers every row."""
-    n = vectors.count()
-    if n > train_rows:
-        vectors = vectors.sample(train_rows / n, seed)
+def _train(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
+    """KMeans centres of a column ``v``, trained on every row."""
     features = vectors.select(array_to_vector("v").alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=10, initMode="random").fit(features)
     return np.array(model.clusterCenters())
@@ -89,7 +85,6 @@ def _assign(vector: Column, centres: np.ndarray) -> Column:
 def build_cells(
     catalog: DataFrame, vector: str, n_cells: int = K.INDEX_CELLS,
     min_rows: int = K.INDEX_MIN_ROWS, path: str | None = None, seed: int = 17,
-    train_rows: int = TRAIN_ROWS,
 ) -> CellIndex | None:
     """Index of the rows that have a vector; None for tables too small to need one.
 
@@ -99,8 +94,7 @@ def build_cells(
     known = catalog.where(F.col(vector).isNotNull())
     if known.limit(min_rows + 1).count() <= min_rows:
         return None
-    centres = _train(known.select(l2_normalize(F.col(vector)).alias("v")), n_cells, seed,
-                     train_rows)
+    centres = _train(known.select(l2_normalize(F.col(vector)).alias("v")), n_cells, seed)
     rows = known.withColumn("_a", _assign(F.col(vector), centres)).withColumns(
         {"cell": F.col("_a.cell"), "cell_dist": F.col("_a.cell_dist")}
     ).drop("_a").where("cell IS NOT NULL")
@@ -118,8 +112,8 @@ def build_cells(
 class _ProbeSide(QuerySide):
     """Query side that compares a row only with the queries that visit its cell."""
 
-    def __init__(self, table: pa.Table, spec: SearchPass, visits: np.ndarray):
-        super().__init__(table, spec)
+    def __init__(self, table: pa.Table, spec: SearchPass, visits: np.ndarray, digits: int):
+        super().__init__(table, spec, digits)
         self.visits = {int(c): np.flatnonzero(visits[:, c]) for c in range(visits.shape[1])
                        if visits[:, c].any()}
 
@@ -135,21 +129,21 @@ class _ProbeSide(QuerySide):
             if members is not None:
                 at = np.flatnonzero(cells == cell)
                 sims = self.unit[members] @ unit[at].T
-                out[np.ix_(members, at)] = np.round(1.0 - sims, DIST_DIGITS) + 0.0
+                out[np.ix_(members, at)] = np.round(1.0 - sims, self.digits) + 0.0
         return rows, out
 
 
 def search_cells(
     index: CellIndex, queries: DataFrame, query_vector: str, k: int = 10, n_probe: int = 4,
-    pass_no: int = 2, id_col: str = "doc_id", exact: bool = True,
+    pass_no: int = 2, id_col: str = "doc_id", exact: bool = True, digits: int = DIST_DIGITS,
 ) -> DataFrame:
     """k nearest rows per query; ``exact=False`` stops after the ``n_probe`` nearest cells."""
     spec = SearchPass(pass_no, index.vector, query_vector)
     asked = query_columns(queries, (spec,))
     table = collect_bounded(asked)
     if table is None:
-        return top_k(index.rows, queries, (spec,), k, id_col)
-    side = QuerySide(table, spec)
+        return top_k(index.rows, queries, (spec,), k, id_col, digits=digits)
+    side = QuerySide(table, spec, digits)
     schema = hit_schema(index.rows, asked, id_col)
     to_centre = np.sqrt(_squares(side.unit, index.centres))
     filled = index.radii >= 0
@@ -161,7 +155,7 @@ def search_cells(
     def visit(visits: np.ndarray) -> DataFrame:
         cells = [int(c) for c in np.flatnonzero(visits.any(axis=0))]
         slim = index.rows.where(F.col("cell").isin(cells)).select(id_col, index.vector, "cell")
-        return scan_sides(slim, [_ProbeSide(table, spec, visits)], k, id_col, schema)
+        return scan_sides(slim, [_ProbeSide(table, spec, visits, digits)], k, id_col, schema)
 
     near = best_k(visit(first), k, id_col)
     if not exact:
@@ -211,7 +205,7 @@ def _encode(vector: Column, book: np.ndarray, n_sub: int) -> Column:
 
 def build_codes(
     catalog: DataFrame, vector: str, n_sub: int = K.INDEX_SUB_VECTORS, entries: int = 256,
-    id_col: str = "doc_id", seed: int = 17, train_rows: int = TRAIN_ROWS,
+    id_col: str = "doc_id", seed: int = 17,
 ) -> CodeIndex:
     """One byte per sub-vector from a codebook that all sub-vectors share, and the exact error."""
     known = catalog.where(F.col(vector).isNotNull())
@@ -223,7 +217,7 @@ def build_codes(
     parts = unit.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(n_sub - 1)),
         lambda i: F.slice("u", i * width + 1, F.lit(width)))).alias("v"))
-    book = _train(parts, min(entries, 256), seed, train_rows)
+    book = _train(parts, min(entries, 256), seed)
     coded = known.select(id_col, _encode(F.col(vector), book, n_sub).alias("_c")).where(
         "_c IS NOT NULL").select(id_col, "_c.code", "_c.error")
     return CodeIndex(write_scratch(coded, "codes"), known, vector, book)
@@ -253,17 +247,17 @@ class _CodeSide(QuerySide):
 
 
 def search_codes(index: CodeIndex, queries: DataFrame, query_vector: str, k: int = 10,
-                 pass_no: int = 2, id_col: str = "doc_id") -> DataFrame:
+                 pass_no: int = 2, id_col: str = "doc_id", digits: int = DIST_DIGITS) -> DataFrame:
     """Exact k nearest rows: filter by code brackets, refine the survivors on full vectors."""
     spec = SearchPass(pass_no, index.vector, query_vector)
     asked = query_columns(queries, (spec,))
     table = collect_bounded(asked)
     if table is None:
-        return top_k(index.catalog, queries, (spec,), k, id_col)
+        return top_k(index.catalog, queries, (spec,), k, id_col, digits=digits)
     schema = hit_schema(index.catalog, asked, id_col)
     side = _CodeSide(table, spec, index.book)
     if not side.qids:
-        return top_k(index.catalog, queries, (spec,), k, id_col)
+        return top_k(index.catalog, queries, (spec,), k, id_col, digits=digits)
     upper = best_k(scan_sides(index.codes, [side], k, id_col, schema), k, id_col)
     kth = {r["qid"]: r["d"] for r in upper.groupBy("qid").agg(       # one row per query
         F.max("dist").alias("d"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
@@ -288,7 +282,7 @@ def search_codes(index: CodeIndex, queries: DataFrame, query_vector: str, k: int
     refined = index.codes.mapInArrow(survivors, wanted).join(
         index.catalog.select(id_col, index.vector), id_col)
     return best_k(
-        scan_sides(refined, [_WantedSide(table, spec)], k, id_col, schema), k, id_col)
+        scan_sides(refined, [_WantedSide(table, spec, digits)], k, id_col, schema), k, id_col)
 
 
 class _WantedSide(QuerySide):

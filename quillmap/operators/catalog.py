@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,10 +85,33 @@ def append_catalog(rows: DataFrame, path: str, batch: str) -> None:
         f"{path}/batch={batch}")
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a new version beside a folder and switch to it when it is complete.
+
+    A job that fails leaves the old version where it was.
+    """
+    jvm = spark.sparkContext._jvm
+    mark = uuid.uuid4().hex
+    live, new, old = (jvm.org.apache.hadoop.fs.Path(x)
+                      for x in (path, f"{path}.new-{mark}", f"{path}.old-{mark}"))
+    fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(f"{path}.new-{mark}")
+        if fs.exists(live) and not fs.rename(live, old):
+            raise OSError(f"{path} cannot be moved")
+        if not fs.rename(new, live):
+            fs.rename(old, live)
+            raise OSError(f"{path} cannot be replaced")
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
+
+
 def reset_catalog(rows: DataFrame, path: str, batch: str) -> None:
     """Start over: the table holds exactly ``rows`` afterwards."""
-    rows.withColumn("batch", F.lit(batch)).hint("rebalance", "domain").write.mode(
-        "overwrite").partitionBy("batch", "domain").parquet(path)
+    labelled = rows.withColumn("batch", F.lit(batch)).hint("rebalance", "domain")
+    replace_folder(rows.sparkSession, path, lambda to: labelled.write.partitionBy(
+        "batch", "domain").parquet(to))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +129,9 @@ def append_contracts(contracts: DataFrame, path: str, batch: str, version: int)
 
 def reset_contracts(contracts: DataFrame, path: str, batch: str) -> None:
     """Start over with these contracts alone."""
-    contracts.withColumns({"version": F.lit(0).cast("bigint"), "batch": F.lit(batch)}).write.mode(
-        "overwrite").partitionBy("batch").parquet(path)
+    rows = contracts.withColumns({"version": F.lit(0).cast("bigint"), "batch": F.lit(batch)})
+    replace_folder(contracts.sparkSession, path, lambda to: rows.write.partitionBy(
+        "batch").parquet(to))
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:

@@ -56,9 +56,11 @@ def reference_matrix(
 ) -> tuple[list, np.ndarray] | None:
     """Names and their matrix; None when the table is too large to ship.
 
+    With ``order`` the rows are those of a list that the caller holds already, so its size is the bound.
     Names follow ``order`` where given (the first of equals wins), else the alphabet.
     """
-    table = collect_bounded(refs.select(key, vector).orderBy(key))
+    chosen = refs.select(key, vector).orderBy(key)
+    table = collect_bounded(chosen) if order is None else chosen.toArrow()
     if table is None:
         return None
     rows, matrix = list_array_to_matrix(table[vector])

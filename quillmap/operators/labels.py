@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmap import constants as K
 from quillmap.functions.text import (
@@ -21,14 +22,8 @@ from quillmap.functions.text import (
     strip,
 )
 from quillmap.functions.vectors import arrow_once, list_array_to_matrix, unit_rows
-from quillmap.operators.search import SearchPass, top_k
 from quillmap.session import collect_bounded
 
-try:
-    import ahocorasick
-except ImportError:                                            # pragma: no cover
-    ahocorasick = None
-
 
 # --- records ----------------------------------------------------------------
 
@@ -72,37 +67,66 @@ def folder_file_label(path: Column) -> Column:
 
 # --- labels inside texts ----------------------------------------------------
 
-def _longest_by_automaton(text: Column, scope: Column, labels: list[tuple[str, str]]) -> Column:
+def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes of a run of code points, and the powers that belong to them (modulo 2**64)."""
+    powers = np.cumprod(np.full(len(codes) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    weighted = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[: len(codes)])
+    return np.concatenate([np.zeros(1, np.uint64), weighted.astype(np.uint64)]), powers
+
+
+def _longest_by_hashes(text: Column, scope: Column, labels: list[tuple[str, str]], gram: int = 8
+                       ) -> Column:
+    """The texts of a batch are hashed as one run; the first characters of the labels (at most
+    ``gram``) are looked up among its grams, and what matches is compared in full."""
+    by_size: dict[int, dict[int, list[tuple[str, set[str]]]]] = {}
     owners: dict[str, set[str]] = {}
     for owner, label in labels:
         owners.setdefault(label, set()).add(owner)
+    for label, own in owners.items():
+        size = min(gram, len(label))
+        prefix, _ = _rolling(np.array([ord(c) for c in label[:size]]))
+        by_size.setdefault(size, {}).setdefault(int(prefix[size]), []).append((label, own))
 
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        machine = ahocorasick.Automaton()
-        for label, own in owners.items():
-            machine.add_word(label, (len(label), label, own))
-        machine.make_automaton()
-
-        def longest(t: str | None, s: str) -> str | None:
-            hits = () if t is None else machine.iter(t)
-            return max((m[:2] for _, m in hits if s in m[2]), default=(0, None))[1]
-
+        known = {n: np.array(sorted(h), dtype=np.uint64) for n, h in by_size.items()}
         for texts, scopes in batches:
-            yield pa.array(map(longest, texts.to_pylist(), scopes.to_pylist()), pa.string())
+            values, places = texts.to_pylist(), scopes.to_pylist()
+            found: list[str | None] = [None] * len(values)
+            run = "\0".join(v or "" for v in values)
+            codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            lengths = np.array([len(v or "") for v in values], dtype=np.int64)
+            starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+            prefix, powers = _rolling(codes)
+            for size, hashes in known.items():
+                if len(codes) < size:
+                    continue
+                # a gram's hash is scaled by the power of its place, and so is a label's
+                grams_at = prefix[size:] - prefix[:-size]
+                inverse = _inverse_powers(len(grams_at))
+                grams_at = grams_at * inverse
+                slot = np.minimum(np.searchsorted(hashes, grams_at), len(hashes) - 1)
+                at = np.flatnonzero(hashes[slot] == grams_at)
+                rows = np.searchsorted(starts, at, side="right") - 1
+                if size < gram:                    # the whole label: one hit of a text is enough
+                    _, once_each = np.unique(rows * len(hashes) + slot[at], return_index=True)
+                    at, rows = at[once_each], rows[once_each]
+                for place, row, h in zip(at.tolist(), rows.tolist(), grams_at[at].tolist()):
+                    for label, own in by_size[size][h]:
+                        best = found[row]
+                        if best is not None and (len(label), label) <= (len(best), best):
+                            continue
+                        if places[row] in own and run.startswith(label, place):
+                            found[row] = label
+            yield pa.array(found, pa.string())
 
     return arrow_once(find, "string")(text, scope)
 
 
-def _longest_by_filter(text: Column, scope: Column, labels: list[tuple[str, str]]) -> Column:
-    ordered = sorted(labels, key=lambda x: (len(x[1]), x[1]), reverse=True)
-    known = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(x).alias("l")) for s, x in ordered])
-    # the text rides in a one-element array so that the lambda does not lower it per label
-    hits = F.transform(
-        F.array(F.struct(text.alias("t"), scope.alias("s"))),
-        lambda d: F.try_element_at(
-            F.filter(known, lambda x: (x["s"] == d["s"]) & F.contains(d["t"], x["l"])),
-            F.lit(1))["l"])
-    return hits[0]
+def _inverse_powers(n: int) -> np.ndarray:
+    step = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    out = np.full(n, step, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
 
 
 def _longest_by_grams(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, out: str,
@@ -144,50 +168,94 @@ def longest_label_in_text(
     listed = list(zip(table["_scope"].to_pylist(), table["label"].to_pylist()))
     if not listed:
         return df.withColumn(out, F.lit(None).cast("string"))
-    find = _longest_by_automaton if ahocorasick else _longest_by_filter
-    return df.withColumn(out, find(F.lower(F.col(text_col)), scope, listed))
+    return df.withColumn(out, _longest_by_hashes(F.lower(F.col(text_col)), scope, listed))
 
 
 # --- label vectors ----------------------------------------------------------
 
-def _nearest(vector: Column, scope: Column, keys: list[tuple[str, str]], refs: np.ndarray) -> Column:
-    unit_refs, _ = unit_rows(refs)
+def _best_in_block(rows, vectors: np.ndarray, scopes: list, keys: list[tuple[str, str]],
+                   unit_refs: np.ndarray) -> list[tuple[int, str, float]]:
+    """(row, label, similarity) of the most similar label of each row's scope.
+
+    Nine digits make equal label vectors tie, whatever the block they are in; ``keys`` are sorted,
+    and the first name wins.
+    """
     members: dict[str, list[int]] = {}
     for i, (owner, _) in enumerate(keys):
         members.setdefault(owner, []).append(i)
-    names = [label for _, label in keys]
+    unit, ok = unit_rows(vectors)
+    rows, unit = rows[ok], unit[ok]
+    owners = np.array([scopes[r] for r in rows], dtype=object)
+    found = []
+    for owner, own in members.items():
+        at = np.flatnonzero(owners == owner)
+        if len(at):
+            sims = np.round(unit[at] @ unit_refs[own].T, 9)
+            best = sims.argmax(axis=1)
+            found += zip(rows[at].tolist(), [keys[own[b]][1] for b in best],
+                         sims[np.arange(len(at)), best].tolist())
+    return found
+
+
+def _nearest(vector: Column, scope: Column, keys: list[tuple[str, str]], refs: np.ndarray) -> Column:
+    unit_refs, _ = unit_rows(refs)
 
     def nearest(v: pa.Array, scopes: pa.Array) -> pa.Array:
         rows, matrix = list_array_to_matrix(v, unit_refs.shape[1])
-        unit, ok = unit_rows(matrix)
-        rows, unit = rows[ok], unit[ok]
-        owners = np.array(scopes.to_pylist(), dtype=object)[rows]
         found: list = [None] * len(v)
-        for owner in set(owners.tolist()):
-            own = members.get(owner)
-            if own is None:
-                continue
-            at = np.flatnonzero(owners == owner)
-            sims = unit[at] @ unit_refs[own].T
-            # equal label vectors must tie exactly: the first name wins
-            best = np.round(sims, 9).argmax(axis=1)
-            for r, b, s in zip(rows[at], best, sims[np.arange(len(at)), best]):
-                found[r] = {"label": names[own[b]], "similarity": s}
+        for r, label, s in _best_in_block(rows, matrix, scopes.to_pylist(), keys, unit_refs):
+            found[r] = {"label": label, "similarity": s}
         return pa.array(found, pa.struct([("label", pa.string()), ("similarity", pa.float64())]))
 
     return arrow_once(nearest, "struct<label:string,similarity:double>")(vector, scope)
 
 
+def _nearest_by_blocks(df: DataFrame, id_col: str, vector_col: str, scope: Column, keyed: DataFrame,
+                       block_labels: int, block_rows: int) -> DataFrame:
+    """(id, _best, similarity) when the labels are too many to ship: a grid of bounded blocks."""
+    n_cols = max(1, -(-keyed.count() // block_labels))
+    asked = df.select(id_col, F.col(vector_col).alias("_v"), scope.alias("_scope")).where(
+        "_v IS NOT NULL")
+    n_rows = max(1, -(-asked.count() // block_rows))
+    left = asked.withColumns({
+        "_r": F.pmod(F.xxhash64(id_col), F.lit(n_rows)).cast("int"),
+        "_c": F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1)))})
+    right = keyed.withColumns({
+        "_c": F.pmod(F.xxhash64("_scope", "label"), F.lit(n_cols)).cast("int"),
+        "_r": F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))})
+    schema = T.StructType([df.schema[id_col], T.StructField("_best", T.StringType()),
+                           T.StructField("_s", T.DoubleType())])
+
+    def block(rows: pa.Table, labels: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and labels.num_rows:
+            labels = labels.sort_by([("_scope", "ascending"), ("label", "ascending")])
+            at, refs = list_array_to_matrix(labels["vector"])
+            pairs = list(zip(labels["_scope"].to_pylist(), labels["label"].to_pylist()))
+            unit_refs, _ = unit_rows(refs)
+            where, matrix = list_array_to_matrix(rows["_v"], refs.shape[1])
+            found = _best_in_block(where, matrix, rows["_scope"].to_pylist(),
+                                   [pairs[i] for i in at], unit_refs)
+        return pa.table({
+            id_col: rows[id_col].take(pa.array([r for r, _, _ in found], pa.int64())),
+            "_best": pa.array([x for _, x, _ in found], pa.string()),
+            "_s": pa.array([s for _, _, s in found], pa.float64())})
+
+    hits = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(block, schema)
+    best = hits.groupBy(id_col).agg(F.min(F.struct((-F.col("_s")).alias("d"), "_best")).alias("b"))
+    return best.select(id_col, F.col("b._best").alias("_best"), (-F.col("b.d")).alias("similarity"))
+
+
 def nearest_label(
     df: DataFrame, vector_col: str, label_vectors: DataFrame,
     threshold: float = K.SEMANTIC_THRESHOLD, id_col: str = "doc_id", out: str = "vector_label",
     scope_col: str | None = None, max_labels: int | None = None,
+    block_labels: int = 4_096, block_rows: int = 65_536,
 ) -> DataFrame:
     """Add the label whose vector is most similar, if above the threshold, and its similarity.
 
     ``label_vectors`` is ([scope,] label, vector). A size-checked label matrix is multiplied batch
-    by batch; a larger one goes through the block grid of ``top_k`` with the labels as the searched
-    side, the scope as its predicate.
+    by batch; a larger one block by block, by the same kernel and with the same result.
     """
     scope = F.lit("") if scope_col is None else F.col(scope_col)
     keyed = label_vectors.where("vector IS NOT NULL").select(
@@ -203,19 +271,8 @@ def nearest_label(
         scored = df.withColumn("_b", best).withColumns(
             {"_best": F.col("_b.label"), "similarity": F.col("_b.similarity")}).drop("_b")
     else:
-        hits = top_k(
-            keyed.select(F.col("_scope").alias("domain"), "label", F.col("vector").alias("_l"),
-                         F.concat_ws("\x1f", "_scope", "label").alias("_id")),
-            df.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("_d"),
-                      F.coalesce(scope, F.lit("")).alias("f_domain"),
-                      F.lit(None).cast("string").alias("f_label"))
-            if scope_col else df.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("_d")),
-            (SearchPass(1, "_l", "_d", filtered=scope_col is not None),), k=1, id_col="_id",
-            max_query_rows=0,
-        ).select(F.col("qid").alias(id_col),
-                 F.substring_index("_id", "\x1f", -1).alias("_best"),
-                 (1 - F.col("dist")).alias("similarity"))
-        scored = df.join(hits, id_col, "left")
+        scored = df.join(_nearest_by_blocks(df, id_col, vector_col, scope, keyed, block_labels,
+                                            block_rows), id_col, "left")
     return scored.withColumn(out, F.when(F.col("similarity") > threshold, F.col("_best"))
                              ).drop("_best")
 

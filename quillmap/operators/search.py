@@ -20,7 +20,8 @@ from quillmap.functions.text import grams, text_match_ratio
 from quillmap.functions.vectors import fuse, list_array_to_matrix, unit_rows
 from quillmap.session import MAX_BROADCAST_ROWS, collect_bounded
 
-DIST_DIGITS = 6
+# distances are ranked at the precision of doubles; these digits only make equal vectors tie
+DIST_DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,8 @@ class _RunningTopK:
 class QuerySide:
     """Query vectors and predicates of one pass, as plain arrays that ship with the tasks."""
 
-    def __init__(self, table: pa.Table, spec: SearchPass):
+    def __init__(self, table: pa.Table, spec: SearchPass, digits: int = DIST_DIGITS):
+        self.digits = digits
         rows, matrix = list_array_to_matrix(table[spec.query_vector])
         unit, ok = unit_rows(matrix)
         rows, self.unit = rows[ok], unit[ok]
@@ -105,7 +107,7 @@ class QuerySide:
         unit, ok = unit_rows(matrix)
         rows, unit = rows[ok], unit[ok]
         if self.groups is None:
-            return rows, np.round(1.0 - self.unit @ unit.T, DIST_DIGITS) + 0.0
+            return rows, np.round(1.0 - self.unit @ unit.T, self.digits) + 0.0
         out = np.full((len(self.qids), len(rows)), np.inf)
         domain, label = batch.column("domain"), batch.column("label")
         for (f_domain, f_label), members in self.groups.items():
@@ -119,7 +121,7 @@ class QuerySide:
             at = np.flatnonzero(mask)
             if len(at):
                 sims = self.unit[members] @ unit[at].T
-                out[np.ix_(members, at)] = np.round(1.0 - sims, DIST_DIGITS) + 0.0
+                out[np.ix_(members, at)] = np.round(1.0 - sims, self.digits) + 0.0
         return rows, out
 
 
@@ -193,6 +195,7 @@ def top_k(
     max_query_rows: int | None = None,
     block_rows: int = 65_536,
     block_queries: int = 4_096,
+    digits: int = DIST_DIGITS,
 ) -> DataFrame:
     """Exact k nearest catalog rows per query and pass: (pass_no, qid, id, dist, rk).
 
@@ -207,9 +210,10 @@ def top_k(
     schema = hit_schema(catalog, asked, id_col)
     table = collect_bounded(asked, max_query_rows)
     if table is not None:
-        hits = scan_sides(slim, [QuerySide(table, p) for p in passes], k, id_col, schema)
+        hits = scan_sides(slim, [QuerySide(table, p, digits) for p in passes], k, id_col, schema)
     else:
-        hits = _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries)
+        hits = _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries,
+                     digits)
     return best_k(hits, k, id_col)
 
 
@@ -233,7 +237,7 @@ def scan_sides(slim: DataFrame, sides: list[QuerySide], k: int, id_col: str,
     return slim.mapInArrow(scan, schema)
 
 
-def _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries) -> DataFrame:
+def _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries, digits) -> DataFrame:
     """Both sides too large to ship: a grid of bounded blocks, each pair of blocks one task.
 
     Rows go to blocks by hash, so no key can make a block hot. A catalog row is sent once per query
@@ -254,7 +258,7 @@ def _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries) ->
     def block(rows: pa.Table, cols: pa.Table) -> pa.Table:
         found = {name: [] for name in arrow_schema.names}
         if rows.num_rows and cols.num_rows:
-            found = _scan_block([rows], [QuerySide(cols, p) for p in passes], k, id_col)
+            found = _scan_block([rows], [QuerySide(cols, p, digits) for p in passes], k, id_col)
         return pa.Table.from_pydict(found, schema=arrow_schema)
 
     return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(block, schema)

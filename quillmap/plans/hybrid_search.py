@@ -16,13 +16,14 @@ def hybrid_search(
     unknown_matches: bool = True,
     limit_per_query: int | None = None,
     max_query_rows: int | None = None,
+    digits: int = S.DIST_DIGITS,
 ) -> DataFrame:
     """Ranked hits of every query.
 
     ``catalog`` needs id, doc_hash, visual, vector, domain, label, snippet, source, extra;
     ``queries`` is the output of ``prepare_queries``.
     """
-    hits = S.top_k(catalog, queries, S.ALL_PASSES, k, id_col, max_query_rows)
+    hits = S.top_k(catalog, queries, S.ALL_PASSES, k, id_col, max_query_rows, digits=digits)
     bound = S.MAX_BROADCAST_ROWS if max_query_rows is None else max_query_rows
     n_queries = queries.select("qid").limit(bound + 1).count()
     max_hits = n_queries * len(S.ALL_PASSES) * k if n_queries <= bound else None

@@ -18,15 +18,15 @@ from quillmap.functions.embedders import (
     embed_image,
     embed_text,
 )
-from quillmap.functions.hashing import fingerprint, record_hash
-from quillmap.functions.text import archive_of, basename
+from quillmap.functions.hashing import fingerprint, fingerprint_of_slices, record_hash
+from quillmap.functions.text import archive_of, basename, one_json_value
 from quillmap.functions.vectors import fuse
 from quillmap.operators import catalog as C
 from quillmap.operators import domains as D
 from quillmap.operators import labels as L
 from quillmap.operators import models as M
 from quillmap.operators import structure as I
-from quillmap.session import collect_bounded, write_scratch
+from quillmap.session import write_scratch
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
 
@@ -74,8 +74,6 @@ def classify_documents(
     refs = D.reference_matrix(
         D.prompt_centroids(spark, settings.domains, make), "domain", "centroid",
         settings.domains)
-    if refs is None:
-        raise ValueError("the domain list is too long to ship with the tasks")
     docs = D.detect_domains(docs, *refs, F.col("_ctx"), F.col("vector"))
 
     decisions = None
@@ -129,53 +127,87 @@ def contract_updates(rows: DataFrame, signatures: DataFrame) -> DataFrame:
 
 # --- folders to documents ---------------------------------------------------
 
+ERROR_SCHEMA = "path string, stage string, message string"
+
+
 def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
-                   settings: IngestSettings) -> DataFrame:
-    """Documents of the task files: (path, archive, file_hash, position, type, content, record,
-    suggested_label, visual)."""
+                   settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors) of the task files and of no others.
+
+    Documents are (path, archive, file_hash, position, type, content, record, suggested_label,
+    visual), errors (path, stage, message).
+    """
     no_record = F.lit(None).cast("map<string,string>")
     no_text = F.lit(None).cast("string")
     names = R.DOCUMENT_COLUMNS
-    parts = [
-        R.read_mixed_delimited(spark, folders, "csv", ".csv"),
-        R.read_mixed_delimited(spark, folders, "tsv", ".tsv"),
-        R.read_json(spark, folders, ".json"),
-        R.read_txt(spark, folders, ".txt"),
-    ]
-    blobs = R.scan_files(spark, folders, with_content=True)
+    of_type = {t: tasks.where(F.col("type") == t) for t in ("csv", "tsv", "json", "txt", "pdf", "h5", "image")}
+    parts, errors = [], [spark.createDataFrame([], ERROR_SCHEMA)]
+
+    def failed(rows: DataFrame, stage: str, message) -> None:
+        errors.append(rows.select("path", F.lit(stage).alias("stage"), message.alias("message")))
+
+    def source(kind: str):
+        """What the reader of a type is given: its files, or the folders and the extension."""
+        paths = R.chosen_paths(of_type[kind])
+        return (folders, f".{kind}") if paths is None else (paths, None)
+
+    for kind, read in (("csv", R.read_mixed_delimited), ("tsv", R.read_mixed_delimited)):
+        paths, ext = source(kind)
+        if paths:
+            parts.append(read(spark, paths, kind, ext))
+    paths, ext = source("json")
+    if paths:
+        texts = R.read_whole_texts(spark, paths, ext)
+        parts.append(R.json_documents(texts))
+        failed(texts.join(of_type["json"].select("path"), "path", "left_semi").where(
+            F.try_parse_json(one_json_value(F.col("text"))).isNull()), "json", F.lit("not valid JSON"))
+    paths, ext = source("txt")
+    if paths:
+        parts.append(R.read_txt(spark, paths, ext))
+
+    def extracted(kind: str, extractor, schema: str) -> DataFrame:
+        """What an extractor makes of the task files; it sees each once."""
+        rows = E.extract(R.file_contents(spark, of_type[kind], folders), extractor, schema)
+        rows = write_scratch(rows, f"{kind}-rows")
+        failed(rows.where("error IS NOT NULL"), kind, F.col("error"))
+        return rows.where("error IS NULL")
+
     if settings.pdf is not None:
-        pages = E.extract(blobs.where("type = 'pdf'"), settings.pdf,
-                          "path string, page_no int, text string, error string")
-        parts.append(E.assemble_pages(pages.where("error IS NULL")).select(
+        pages = extracted("pdf", settings.pdf, "path string, page_no int, text string, error string")
+        parts.append(E.assemble_pages(pages).select(
             "path", F.lit(0).cast("bigint").alias("position"), F.lit("pdf").alias("type"),
             "content", no_record.alias("record"), no_text.alias("suggested_label")))
     if settings.h5 is not None:
-        entries = E.extract(
-            blobs.where("type = 'h5'"), settings.h5,
+        entries = extracted(
+            "h5", settings.h5,
             "path string, name string, nbytes bigint, shape string, dtype string, value string, "
             "attrs map<string,string>, error string")
-        docs = E.blob_documents(entries.where("error IS NULL"))
-        parts.append(docs.select(
+        parts.append(E.blob_documents(entries).select(
             "path", F.xxhash64(F.map_keys("record")[0]).alias("position"), "type", "content",
             "record", "suggested_label"))
-    docs = parts[0].select(*names)
-    for part in parts[1:]:
+    docs = spark.createDataFrame([], (
+        "path string, position bigint, type string, content string, record map<string,string>, "
+        "suggested_label string"))
+    for part in parts:
         docs = docs.unionByName(part.select(*names))
     docs = docs.withColumn("visual", F.lit(None).cast("array<double>"))
 
-    images = blobs.where("type = 'image'").select(
-        "path", F.lit(0).cast("bigint").alias("position"), "type",
+    images = R.file_contents(spark, of_type["image"], folders).select(
+        "path", F.lit(0).cast("bigint").alias("position"), F.lit("image").alias("type"),
         embed_image(F.col("content"), settings.image_embedder).alias("visual"))
     if settings.ocr is not None:
-        lines = E.extract(blobs.where("type = 'image'"), settings.ocr,
+        lines = extracted("image", settings.ocr,
                           "path string, line_no int, text string, confidence double, error string")
-        images = images.join(E.assemble_ocr(lines.where("error IS NULL")), "path", "left")
+        images = images.join(E.assemble_ocr(lines), "path", "left")
     else:
         images = images.withColumn("content", F.lit(""))
     docs = docs.unionByName(images.select(
         "path", "position", "type", F.coalesce("content", F.lit("")).alias("content"),
         no_record.alias("record"), no_text.alias("suggested_label"), "visual"))
-    return docs.join(tasks.select("path", "archive", "file_hash"), "path")
+    all_errors = errors[0]
+    for rows in errors[1:]:
+        all_errors = all_errors.unionByName(rows)
+    return docs.join(tasks.select("path", "archive", "file_hash"), "path"), all_errors
 
 
 def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
@@ -209,24 +241,52 @@ def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
     linked = named.join(index, ["archive", "name"], "left").drop("name", "path_key")
     fresh = docs.where("type = 'image'").select(
         F.col("path").alias("image_path"), F.col("visual").alias("_v"))
-    # images outside this run's tasks: usually none, and then AQE drops the scan
+    # images outside this run's tasks: usually none, and then nothing is read
     older = linked.where("image_path IS NOT NULL").select("image_path").distinct().join(
         fresh, "image_path", "left_anti")
-    blobs = R.scan_files(docs.sparkSession, folders, with_content=True)
-    again = blobs.withColumnRenamed("path", "image_path").join(
-        older, "image_path", "left_semi").select(
-        "image_path", embed_image(F.col("content"), settings.image_embedder).alias("_v"))
+    older = write_scratch(older.withColumnRenamed("image_path", "path"), "older-images")
+    again = R.file_contents(docs.sparkSession, older, folders).select(
+        F.col("path").alias("image_path"),
+        embed_image(F.col("content"), settings.image_embedder).alias("_v"))
     vectors = fresh.unionByName(again)
     merged = linked.join(vectors, "image_path", "left").withColumn(
         "visual", F.coalesce("visual", "_v")).drop("_v")
     return I.drop_linked_images(merged, linked.where("record IS NOT NULL")), plans
 
 
+def file_hashes(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
+    """(path, archive, type, file_hash): small files are read whole, of large ones three slices."""
+    known = files.select("path", "archive", "type", "length", "mtime")
+    small = known.where(F.col("length") <= K.FINGERPRINT_FULL_BYTES)
+    whole = R.file_contents(spark, small, folders).join(small, "path").select(
+        "path", fingerprint(F.col("content"), F.col("length"), F.col("mtime")).alias("file_hash"))
+    large = known.where(F.col("length") > K.FINGERPRINT_FULL_BYTES)
+    sliced = R.read_ranges(large, K.FINGERPRINT_SLICE_BYTES).select(
+        "path", fingerprint_of_slices(F.col("slices"), F.col("length"), F.col("mtime")).alias("file_hash"))
+    return known.drop("length", "mtime").join(whole.unionByName(sliced), "path").select(
+        "path", "archive", "type", "file_hash")
+
+
+def mapping_lines(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
+    """(archive, line, seq) of the mapping files, line by line."""
+    paths = R.chosen_paths(files)
+    if paths == []:
+        return spark.createDataFrame([], "archive string, line string, seq string")
+    if paths is None:
+        lines = R.read_lines(spark, [f"{f}/**/{{*.txt,*.csv,*.tsv}}" for f in folders])
+    else:
+        lines = R.read_lines(spark, paths)
+    return lines.join(files.select("path", "archive"), "path").select(
+        "archive", "line", F.struct("path", "pos").alias("seq"))
+
+
 @dataclass(frozen=True)
 class IngestResult:
     batch: str
     n_archives: int
     rows: DataFrame            # the rows this run added
+    errors: DataFrame          # (path, stage, message) of files that gave no or not all documents
+    counters: DataFrame        # (status, n) of the files of the opened archives
 
 
 def ingest(
@@ -236,36 +296,43 @@ def ingest(
 ) -> IngestResult:
     """Ingest the folders below ``root``: everything (``mode='r'``) or what has changed (``'c'``).
 
-    Folder metadata alone decides which archives are opened; file contents are only read there.
+    Folder metadata alone decides which archives are opened, and only files whose contents the
+    catalog does not know are read by the loaders.
     """
     batch = batch or uuid.uuid4().hex
     root = root.rstrip("/")
-    archive = archive_of(F.col("path"), root)
     contracts = C.read_contracts(spark, contracts_path)
     if mode == "r":
         contracts = contracts.where("false")
-    listing = R.scan_files(spark, root).withColumn("archive", archive)
+    found = write_scratch(R.list_files(spark, root), "files").withColumn(
+        "archive", archive_of(F.col("path"), root))
+    listing = R.supported_files(found)
     signatures = C.folder_signatures(listing, settings.signature_depth)
     changed = write_scratch(C.changed_archives(signatures, contracts), "changed")
-    table = collect_bounded(changed.select("archive"))
-    names = None if table is None else table["archive"].to_pylist()
-    if names == []:
-        return IngestResult(batch, 0, spark.createDataFrame([], C.CATALOG_SCHEMA))
-    # few archives are opened by name; many, or files directly in the root, as one tree
-    folders = [root] if names is None or "_root" in names else names
-
-    files = R.scan_files(spark, folders, with_content=True).withColumn("archive", archive)
-    files = files.join(changed.select("archive"), "archive", "left_semi").select(
-        "path", "archive", "type",
-        fingerprint(F.col("content"), F.col("length"), F.col("mtime")).alias("file_hash"))
-    members = files = write_scratch(files, "members")
-    if mode != "r":
-        others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
-        files = C.new_files(files, others)
-    tasks = write_scratch(files, "tasks")
+    opened = changed.select("archive")
+    n_archives = changed.count()
+    unsupported = R.unsupported_files(found).select(
+        "path", F.lit("route").alias("stage"), F.col("error").alias("message"))
+    if not n_archives:
+        none = spark.createDataFrame([], C.CATALOG_SCHEMA)
+        if mode == "r":
+            C.reset_catalog(none.drop("batch"), catalog_path, batch)
+            C.reset_contracts(contracts.where("false"), contracts_path, batch)
+        return IngestResult(batch, 0, none, unsupported,
+                            spark.createDataFrame([], "status string, n bigint"))
+
+    folders = [root]                 # only read as a whole where the files are too many to list
+    files = listing.join(opened, "archive", "left_semi")
+    members = files = write_scratch(file_hashes(spark, files, folders), "members")
+    others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
+    if mode == "r":
+        others = others.where("false")
+    counters = C.ingest_counters(C.file_status(files, others))
+    tasks = write_scratch(C.new_files(files, others), "tasks")
 
     # the sources are read once; linking and labelling work on the written documents
-    docs = write_scratch(load_documents(spark, folders, tasks, settings), "documents")
+    docs, errors = load_documents(spark, folders, tasks, settings)
+    docs = write_scratch(docs, "documents")
     docs, _ = link_images(docs, members, folders, settings)
     counts = docs.groupBy("path").agg(F.count("*").alias("_n"))
     docs = docs.join(counts, "path").withColumns({
@@ -274,10 +341,7 @@ def ingest(
                         .cast("binary")),
     }).drop("_n")
 
-    lines = R.read_whole_texts(spark, folders).where(I.is_mapping_file(F.col("path"))).join(
-        members.select("path", "archive"), "path").select(
-        "archive", "path", F.posexplode(R.text_lines(F.col("text"))).alias("pos", "line")
-    ).withColumn("seq", F.struct("path", "pos"))
+    lines = mapping_lines(spark, members.where(I.is_mapping_file(F.col("path"))), folders)
     labels = I.mapping_labels(lines, ["archive"]).unionByName(
         I.folder_labels(members, ["archive"])).distinct()
     rows = classify_documents(docs, contracts, labels, I.file_mapping(lines, ["archive"]), settings)
@@ -303,4 +367,4 @@ def ingest(
     else:
         C.append_contracts(updates.unionByName(kept), contracts_path, batch,
                            time.time_ns() if version is None else version)
-    return IngestResult(batch, -1 if names is None else len(names), added)
+    return IngestResult(batch, n_archives, added, unsupported.unionByName(errors), counters)

@@ -53,11 +53,21 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
 def collect_bounded(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None):
     """The frame as an Arrow table if it is within both bounds, else ``None``.
 
-    The limit keeps an oversized frame from ever reaching the driver.
+    The row limit and a byte limit inside its task keep an oversized frame from ever reaching the
+    driver: at most one batch beyond the bytes is sent.
     """
     max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
-    table = df.limit(max_rows + 1).toArrow()
+
+    def up_to_bytes(batches):
+        sent = 0
+        for batch in batches:
+            yield batch
+            sent += batch.nbytes
+            if sent > max_bytes:
+                return
+
+    table = df.limit(max_rows + 1).mapInArrow(up_to_bytes, df.schema).toArrow()
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
     return table

@@ -125,9 +125,6 @@ def test_label_matchers_agree(spark):
     args = (docs, "text", labels)
     assert got(L.longest_label_in_text(*args, scope_col="archive")) == want
     assert got(L.longest_label_in_text(*args, scope_col="archive", max_labels=2)) == want
-    listed = [(r[0], r[1]) for r in labels.collect()]
-    by_filter = L._longest_by_filter(F.lower("text"), F.col("archive"), listed)
-    assert got(docs.withColumn("text_label", by_filter)) == want
 
 
 def test_nearest_label_beyond_the_bound(spark):
@@ -143,3 +140,35 @@ def test_nearest_label_beyond_the_bound(spark):
         return {r["doc_id"]: r["vector_label"] for r in df.collect()}
 
     assert got() == got(max_labels=1) == {1: "x", 2: "z", 3: None}
+
+
+def test_nearest_label_near_ties_and_odd_scopes(spark):
+    """Equal and nearly equal labels, and scopes named like 'no filter', on both sides of the bound."""
+    docs = spark.createDataFrame(
+        [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "unknown"), (3, [1.0, 0.0], ""), (4, [1.0, 0.0], "c")],
+        "doc_id bigint, v array<double>, archive string")
+    labels = spark.createDataFrame(
+        [("a", "a", [1.0, 0.0001]), ("a", "b", [1.0, 0.0]), ("unknown", "x", [1.0, 0.5]),
+         ("", "y", [1.0, 0.5]), ("c", "n", [2.0, 0.0]), ("c", "m", [1.0, 0.0])],
+        "archive string, label string, vector array<double>")
+
+    def got(**kw):
+        df = L.nearest_label(docs, "v", labels, 0.1, scope_col="archive", **kw)
+        return {r["doc_id"]: (r["vector_label"], r["similarity"]) for r in df.collect()}
+
+    small = got()
+    assert {d: x[0] for d, x in small.items()} == {1: "b", 2: "x", 3: "y", 4: "m"}
+    assert small == got(max_labels=1) == got(max_labels=1, block_labels=2, block_rows=1)
+
+
+def test_vectors_of_another_size_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id int, v array<double>")
+    with pytest.raises(Exception, match="components among those of"):
+        df.select(V.cosine_scores(F.col("v"), np.eye(2))).collect()
+
+
+def test_ranking_tells_distances_apart_that_six_digits_do_not(spark):
+    catalog = spark.createDataFrame([(1, [1.0, 0.0010]), (2, [1.0, 0.0009])], "doc_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid bigint, vector array<double>")
+    assert S.fused_top_k(catalog, queries, 1).first()["doc_id"] == 2
+    assert S.fused_top_k(catalog, queries, 1, digits=6).first()["doc_id"] == 1
