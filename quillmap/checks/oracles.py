@@ -490,6 +490,7 @@ shot AS (SELECT vec_id, arg_max(domain, s) AS best, max(s) AS sim FROM (
 """
 oracle("label_zero_shot", f"""WITH {SHOT} SELECT vec_id AS doc_id,
 CASE WHEN sim > 0.3 THEN best END AS vector_label, {r6('sim')} AS similarity FROM shot""")
+ORACLES["label_zero_shot_grid"] = ORACLES["label_zero_shot"]
 oracle("label_cascade", f"""WITH {PATHS}, {IN_TEXT}, {SHOT}, {AUTO},
 m AS (SELECT 'img' || s_suppkey || '.jpg' AS f, lower(s_name) AS l FROM supplier),
 j AS (SELECT p.key, m.l AS l1, {_FOLDER_FILE} AS l2, t.text_label AS l3,
@@ -603,6 +604,8 @@ oracle("prepare_queries", f"""WITH {QUERIES} SELECT qid, ocr_text, f_domain, f_l
 {r6('vector[1]')} AS v_first, {r6('vector[64]')} AS v_last, {r6('visual[1]')} AS i_first
 FROM queries""")
 _TOP = "SELECT qid, doc_id, dist, rk FROM p"
+oracle("explorer_sample", f"""WITH {CATALOG} SELECT doc_id FROM catalog WHERE vector IS NOT NULL
+ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 300""")
 oracle("topk_visual", f"WITH {CATALOG}, {QUERIES}, {top('p', 1, 'visual', 'visual', 10)} {_TOP}")
 oracle("topk_fused", f"WITH {CATALOG}, {QUERIES}, {top('p', 2, 'vector', 'vector', 10)} {_TOP}")
 oracle("topk_filtered",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmap import constants as K
 from quillmap.checks import fixtures as X
+from quillmap.checks.doubles import DigestImageEmbedder, RuleModel
 from quillmap.checks.fixtures import r6, table
 from quillmap.functions import hashing as H
 from quillmap.functions import text as T
@@ -516,6 +517,17 @@ def label_zero_shot(spark, sf):
         "doc_id", "vector_label", r6("similarity").alias("similarity"))
 
 
+@query
+def label_zero_shot_grid(spark, sf):
+    """The block grid used when the labels are too many to ship: the same rows."""
+    refs = _label_centroids(spark, sf).select(
+        F.col("domain").alias("label"), F.col("centroid").alias("vector"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return L.nearest_label(e, "embedding", refs, threshold=0.3, max_labels=0, block_labels=4,
+                           block_rows=512).select(
+        "doc_id", "vector_label", r6("similarity").alias("similarity"))
+
+
 @query
 def label_cascade(spark, sf):
     """Every file of ``paths`` with the text and image vector of its row."""
@@ -631,7 +643,7 @@ def hash_embed(spark, sf):
 def image_embed(spark, sf):
     """Page bytes stand for image bytes; the digest double turns them into vectors."""
     p = table(spark, sf, "pages").select(
-        "page_id", embed_image(F.encode("html", "UTF-8")).alias("v"))
+        "page_id", embed_image(F.encode("html", "UTF-8"), DigestImageEmbedder).alias("v"))
     return _elements(p, "page_id", "v")
 
 
@@ -831,6 +843,12 @@ def catalog_metrics(spark, sf):
     return C.catalog_metrics(X.catalog(spark, sf), X.old_contracts(spark, sf))
 
 
+@query
+def explorer_sample(spark, sf):
+    """The rows of the explorer: at most so many, in the order of a digest."""
+    return N.sample_points(X.catalog(spark, sf).where("vector IS NOT NULL").select("doc_id"), n=300)
+
+
 @query
 def pca3(spark, sf):
     return N.pca_points(X.catalog(spark, sf))
@@ -862,7 +880,7 @@ def build_prompts(spark, sf):
 @query
 def arbitrate_domain(spark, sf):
     names = [f"d{i}" for i in range(10)]
-    return M.arbitrate_domains(_confused(spark, sf), M.RuleModel, names).select(
+    return M.arbitrate_domains(_confused(spark, sf), RuleModel, names).select(
         "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
 
 
@@ -872,33 +890,33 @@ def refine_label(spark, sf):
     d = X.paths(spark, sf, wide=True).join(
         X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left")
     d = d.withColumn("label", F.coalesce(L.folder_file_label(F.col("path")), F.lit("unknown")))
-    out = M.refine_labels(d, M.RuleModel, L.needs_refinement(F.col("label"), F.col("text")))
+    out = M.refine_labels(d, RuleModel, L.needs_refinement(F.col("label"), F.col("text")))
     return out.select("key", "label")
 
 
 @query
 def query_intent(spark, sf):
-    return M.query_intents(X.queries(spark, sf), M.RuleModel)
+    return M.query_intents(X.queries(spark, sf), RuleModel)
 
 
 @query
 def extract_metadata(spark, sf):
     d = X.doc_files(spark, sf).select("doc_id", "text", F.col("lang").alias("domain"))
-    return M.extract_metadata(d, M.RuleModel, ["en", "fr"]).select(
+    return M.extract_metadata(d, RuleModel, ["en", "fr"]).select(
         "doc_id", "status", F.get("meta.keywords", F.lit(0)).alias("keyword"),
         F.col("meta.summary").cast("int").alias("chars"))
 
 
 @query
 def column_mapping(spark, sf):
-    return M.map_columns(X.part_records(spark, sf), M.RuleModel)
+    return M.map_columns(X.part_records(spark, sf), RuleModel)
 
 
 @query
 def extraction_plan(spark, sf):
     samples = M.file_samples(X.part_records(spark, sf).withColumn(
         "record", F.map_from_arrays(F.array(F.lit("n")), F.array(F.col("record")["p_name"]))))
-    return M.extraction_plans(samples.withColumn("ext", F.lit(".csv")), M.RuleModel)
+    return M.extraction_plans(samples.withColumn("ext", F.lit(".csv")), RuleModel)
 
 
 def _ranked(spark, sf):
@@ -915,7 +933,7 @@ def rag_context(spark, sf):
 @query
 def rag_answer(spark, sf):
     ranked, q = _ranked(spark, sf)
-    return M.answer_questions(ranked, q, M.RuleModel)
+    return M.answer_questions(ranked, q, RuleModel)
 
 
 # --- streaming --------------------------------------------------------------

@@ -66,21 +66,6 @@ class _Slots(dict):
         return slot
 
 
-class DigestImageEmbedder:
-    """Unit vector spelled by the md5 bits of the image bytes (equal bytes, equal vector)."""
-
-    def __init__(self, dim: int = 64):
-        self.dim = dim
-
-    def __call__(self, blobs: pa.Array) -> np.ndarray:
-        at = np.arange(self.dim)
-        out = np.empty((len(blobs), self.dim))
-        for row, blob in enumerate(blobs.to_pylist()):
-            digits = np.array([int(x, 16) for x in hashlib.md5(blob).hexdigest()])
-            out[row] = np.where((digits[at % 32] >> (at // 32 % 4)) & 1, 1.0, -1.0)
-        return out
-
-
 def _embed(column: Column, make: Callable[[], Embedder], empty: str | bytes) -> Column:
     """Unit vectors of the non-empty inputs; the model is made once per task."""
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -104,6 +89,6 @@ def embed_text(text: Column, make: Callable[[], Embedder] = HashingTextEmbedder)
     return _embed(clean_text(text), make, "")
 
 
-def embed_image(content: Column, make: Callable[[], Embedder] = DigestImageEmbedder) -> Column:
+def embed_image(content: Column, make: Callable[[], Embedder]) -> Column:
     """Unit vector of image bytes; NULL where there is no image."""
     return _embed(content, make, b"")

@@ -67,10 +67,6 @@ def fuse(a: Column, b: Column) -> Column:
     )
 
 
-def zero_vector(dim: int) -> Column:
-    return F.array_repeat(F.lit(0.0), dim)
-
-
 # --- Arrow kernels ----------------------------------------------------------
 
 def arrow_once(fn, return_type: str):

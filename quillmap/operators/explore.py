@@ -17,8 +17,8 @@ from quillmap.session import write_scratch
 
 def sample_points(catalog: DataFrame, id_col: str = "doc_id", n: int = K.EXPLORER_POINTS
                   ) -> DataFrame:
-    """At most ``n`` rows in hash order: the same rows on every run and any partitioning."""
-    return catalog.orderBy(F.xxhash64(id_col), id_col).limit(n)
+    """At most ``n`` rows in digest order: the same rows on every run and any partitioning."""
+    return catalog.orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(n)
 
 
 def _project(vector: Column, axes: np.ndarray, mean: np.ndarray) -> Column:

@@ -248,39 +248,3 @@ def answer_questions(ranked: DataFrame, queries: DataFrame, make: Callable[[], M
     return replied.select(
         "qid", F.coalesce("reply.answer", F.lit("Not found.")).alias("answer"),
         F.coalesce("reply.found", F.lit(False)).alias("found"))
-
-
-# --- deterministic double ---------------------------------------------------
-
-class RuleModel:
-    """Replies by rule, around some chatter as models do. For tables and tests, not a model."""
-
-    def __call__(self, prompt: str) -> str:
-        first = prompt.split("\n", 1)[0]
-        if first.startswith("Decide the domain"):
-            scores = re.search(r"\nSCORES: (.*)\nReply", prompt, re.DOTALL).group(1)
-            names = [s.split("=")[0] for s in scores.split(", ") if s]
-            reply = {"final_domain": names[0] if names else "unknown", "confidence": 0.9,
-                     "justification": f"{len(names)} candidates"}
-        elif first.startswith("Rows of a table"):
-            record = json.loads(prompt.split("\n")[1])
-            names = [k for k in record if "name" in k]
-            reply = {"label_column": names[0] if names else None, "image_path_column": None,
-                     "reason": f"{len(record)} columns"}
-        elif first.startswith("Give this document"):
-            text = re.search(r"\nTEXT: (.*)\nCURRENT LABEL", prompt, re.DOTALL).group(1)
-            reply = {"refined_label": " ".join(text.lower().split()[:3]), "is_document": True}
-        elif first.startswith("What does this scanned"):
-            text = re.search(r"\nTEXT: (.*)\nReply", prompt, re.DOTALL).group(1)
-            reply = {"domain": "food" if "the" in text.lower() else "cars",
-                     "label": text.lower().split()[0], "type": "image"}
-        elif first.startswith("You know the domain"):
-            text = re.search(r"\nTEXT: (.*)\nReply", prompt, re.DOTALL).group(1)
-            reply = {"date": None, "entities": [], "keywords": text.lower().split()[:2],
-                     "summary": str(len(text)), "confidence": 0.5}
-        elif first.startswith("Start of a"):
-            reply = {"type": "column", "key": prompt.split("\n")[1], "pattern": None}
-        else:
-            reply = {"answer": str(prompt.count("--- DOC [")), "sources_used": [],
-                     "confidence": 0.5, "found": True}
-        return f"Sure, here it is:\n{json.dumps(reply)}\nDone."

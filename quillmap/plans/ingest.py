@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quillmap import constants as K
 from quillmap.functions.embedders import (
-    DigestImageEmbedder,
     Embedder,
     HashingTextEmbedder,
     embed_image,
@@ -37,7 +36,7 @@ class IngestSettings:
 
     domains: list[str] = field(default_factory=lambda: list(K.DEFAULT_DOMAINS))
     text_embedder: Callable[[], Embedder] = HashingTextEmbedder
-    image_embedder: Callable[[], Embedder] = DigestImageEmbedder
+    image_embedder: Callable[[], Embedder] | None = None
     ocr: Callable[[str, bytes], list[dict]] | None = None      # line_no, text, confidence
     pdf: Callable[[str, bytes], list[dict]] | None = None      # page_no, text
     h5: Callable[[str, bytes], list[dict]] | None = None       # name, nbytes, shape, dtype, ...
@@ -125,6 +124,13 @@ def contract_updates(rows: DataFrame, signatures: DataFrame) -> DataFrame:
         F.col("score").cast("float").alias("confidence"), F.lit(0).alias("is_verified"))
 
 
+def image_vector(settings: IngestSettings):
+    """Vector of the image in ``content``; NULL where no image model is plugged in."""
+    if settings.image_embedder is None:
+        return F.lit(None).cast("array<double>")
+    return embed_image(F.col("content"), settings.image_embedder)
+
+
 # --- folders to documents ---------------------------------------------------
 
 ERROR_SCHEMA = "path string, stage string, message string"
@@ -194,7 +200,7 @@ def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
 
     images = R.file_contents(spark, of_type["image"], folders).select(
         "path", F.lit(0).cast("bigint").alias("position"), F.lit("image").alias("type"),
-        embed_image(F.col("content"), settings.image_embedder).alias("visual"))
+        image_vector(settings).alias("visual"))
     if settings.ocr is not None:
         lines = extracted("image", settings.ocr,
                           "path string, line_no int, text string, confidence double, error string")
@@ -247,7 +253,7 @@ def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
     older = write_scratch(older.withColumnRenamed("image_path", "path"), "older-images")
     again = R.file_contents(docs.sparkSession, older, folders).select(
         F.col("path").alias("image_path"),
-        embed_image(F.col("content"), settings.image_embedder).alias("_v"))
+        image_vector(settings).alias("_v"))
     vectors = fresh.unionByName(again)
     merged = linked.join(vectors, "image_path", "left").withColumn(
         "visual", F.coalesce("visual", "_v")).drop("_v")
@@ -327,8 +333,12 @@ def ingest(
     others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
     if mode == "r":
         others = others.where("false")
-    counters = C.ingest_counters(C.file_status(files, others))
-    tasks = write_scratch(C.new_files(files, others), "tasks")
+    # an image that a record has taken over is in the catalog under the record's hash
+    linked = others.where("image_linked <> ''").select(
+        F.col("image_linked").alias("path"), F.lit(True).alias("_linked")).distinct()
+    counters = C.ingest_counters(C.file_status(files, others).join(linked, "path", "left").withColumn(
+        "status", F.when(F.col("_linked"), "linked").otherwise(F.col("status"))))
+    tasks = write_scratch(C.new_files(files, others).join(linked, "path", "left_anti"), "tasks")
 
     # the sources are read once; linking and labelling work on the written documents
     docs, errors = load_documents(spark, folders, tasks, settings)

@@ -35,6 +35,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def source_path() -> Column:
+    """Path of the file a row was read from; the metadata column spells it as a URI."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return plain_path(F.url_decode(encoded))
+
+
 def any_case_glob(ext: str) -> str:
     """Glob for an extension in any case: ``*.[cC][sS][vV]``."""
     return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext.lstrip("."))
@@ -110,10 +116,10 @@ def read_ranges(files: DataFrame, slice_bytes: int) -> DataFrame:
 def read_lines(spark: SparkSession, paths) -> DataFrame:
     """(path, pos, line) of text files of any size; ``pos`` sorts a file's lines."""
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("raw"),
+        source_path().alias("raw"),
         F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
     return _numbered(lines, ["raw", "start"]).select(
-        plain_path(F.col("raw")).alias("path"), F.struct("start", "nth").alias("pos"), "line")
+        F.col("raw").alias("path"), F.struct("start", "nth").alias("pos"), "line")
 
 
 def supported_files(files: DataFrame) -> DataFrame:
@@ -149,7 +155,7 @@ def read_delimited(spark: SparkSession, paths, kind: str = "csv", multi_line: bo
     named = [(c.strip(), F.col(f"`{c}`")) for c in df.columns]
     record = F.create_map(*[x for n, c in named for x in (F.lit(n), c.cast("string"))])
     return df.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"),
+        source_path().alias("path"),
         F.monotonically_increasing_id().alias("position"), *as_document(record, kind))
 
 
@@ -228,7 +234,7 @@ def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv", ext: str
     sep = "\t" if kind == "tsv" else ","
     options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
     lines = _tree(spark, ext).text(paths).select(
-        F.col("_metadata.file_path").alias("raw"),
+        source_path().alias("raw"),
         F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"),
     ).where("line <> ''")
     splits = write_scratch(_split_facts(lines, sep), "splits")
@@ -250,15 +256,15 @@ def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv", ext: str
         F.from_csv("line", schema, options).alias("r"))
     cells = body.select("raw", "row", "names", F.array(*[F.col(f"r.{s}") for s in slots]).alias("cells"))
 
-    broken = [r["raw"] for r in files.where("quoted_breaks").select("raw").collect()]  # file names
+    broken = [literal_path(r["raw"]) for r in files.where("quoted_breaks").select("raw").collect()]  # file names
     if broken:
         whole = spark.read.options(**options, multiLine=True).schema(schema).csv(broken).select(
-            F.col("_metadata.file_path").alias("raw"), F.array(*slots).alias("cells"))
+            source_path().alias("raw"), F.array(*slots).alias("cells"))
         rows = _numbered(whole, ["raw"]).join(files.select("raw", "names"), "raw")
         cells = cells.unionByName(rows.select("raw", F.col("nth").alias("row"), "names", "cells"))
     record = F.map_from_arrays(F.col("names"), F.slice("cells", F.lit(1), F.size("names")))
     return cells.where("row > 0").select(
-        plain_path(F.col("raw")).alias("path"), (F.col("row") - 1).alias("position"),
+        F.col("raw").alias("path"), (F.col("row") - 1).alias("position"),
         record.alias("record")).select("path", "position", *as_document(F.col("record"), kind))
 
 
@@ -284,7 +290,7 @@ def json_documents(texts: DataFrame) -> DataFrame:
 
 def read_whole_texts(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
     return _tree(spark, ext).option("wholetext", True).text(paths).select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+        source_path().alias("path"), F.col("value").alias("text"))
 
 
 def read_json(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:

@@ -26,6 +26,8 @@ def test_odd_headers_and_quoted_breaks(spark, tmp_path):
     write(folder, "header.csv", '"first\npart",b\n1,2\n')
     write(folder, "short.csv", "a,b,c\n1\n1,2,3,4\n")
     write(folder, "only.csv", "a,b\n")
+    write(folder, "a + b [%20].csv", "a\n1\n")
+    write(folder, "breaks {é}.csv", 'a\n"1\n2"\n')
     write(folder, "empty.csv", "")
     got = rows(read_mixed_delimited(spark, folder))
     assert got == {
@@ -36,6 +38,8 @@ def test_odd_headers_and_quoted_breaks(spark, tmp_path):
         ("breaks.csv", 1): {"id": "2", "text": "plain"},
         ("breaks.csv", 2): {"id": "3", "text": 'say "hi"'},
         ("header.csv", 0): {"first\npart": "1", "b": "2"},
+        ("a + b [%20].csv", 0): {"a": "1"},
+        ("breaks {é}.csv", 0): {"a": "1\n2"},
         ("short.csv", 0): {"a": "1", "b": None, "c": None},
         ("short.csv", 1): {"a": "1", "b": "2", "c": "3"},
     }

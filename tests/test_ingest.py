@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap.checks.doubles import DigestImageEmbedder, RuleModel
 from quillmap.operators import catalog as C
 from quillmap.operators import models as M
 from quillmap.plans import ingest as P
@@ -43,6 +44,9 @@ def paths(spark, tmp_path):
     return root, scratch_dir(spark, "cat"), scratch_dir(spark, "con")
 
 
+SETTINGS = P.IngestSettings(image_embedder=DigestImageEmbedder)
+
+
 def listing(spark, cat):
     return {(os.path.basename(r["source"]), r["label"], os.path.basename(r["image_linked"]))
             for r in C.read_catalog(spark, cat).collect()}
@@ -50,7 +54,7 @@ def listing(spark, cat):
 
 def test_all_formats_and_links(spark, paths):
     root, cat, con = paths
-    P.ingest(spark, root, cat, con, "r", batch="1")
+    P.ingest(spark, root, cat, con, "r", SETTINGS, batch="1")
     got = listing(spark, cat)
     assert ("items.csv", "red apple", "a1.jpg") in got
     assert ("items.csv", "green pear", "") in got
@@ -70,21 +74,21 @@ def test_all_formats_and_links(spark, paths):
 
 def test_incremental_equals_reset(spark, paths, tmp_path):
     root, cat, con = paths
-    P.ingest(spark, root, cat, con, "r", batch="1")
+    P.ingest(spark, root, cat, con, "r", SETTINGS, batch="1")
     n = C.read_catalog(spark, cat).count()
-    assert P.ingest(spark, root, cat, con, "c", batch="2").n_archives == 0
+    assert P.ingest(spark, root, cat, con, "c", SETTINGS, batch="2").n_archives == 0
     assert C.read_catalog(spark, cat).count() == n
     put(root, {"notes/raw/scan9.txt": "a mill house by the sea"})
-    result = P.ingest(spark, root, cat, con, "c", batch="3")
+    result = P.ingest(spark, root, cat, con, "c", SETTINGS, batch="3")
     assert result.n_archives == 1 and result.rows.count() == 1
     assert result.rows.head()["label"] == "mill house"
     put(root, {"shop/late.csv": "product_name,picture\nOld Apple,A1.jpg\n"})
-    late = P.ingest(spark, root, cat, con, "c", batch="4").rows.collect()
+    late = P.ingest(spark, root, cat, con, "c", SETTINGS, batch="4").rows.collect()
     assert [r["label"] for r in late] == ["old apple"]
     assert late[0]["image_linked"].endswith("a1.jpg") and late[0]["visual"] is not None
     assert C.read_contracts(spark, con).count() == 3
     whole = scratch_dir(spark, "cat")
-    P.ingest(spark, root, whole, scratch_dir(spark, "con"), "r", batch="1")
+    P.ingest(spark, root, whole, scratch_dir(spark, "con"), "r", SETTINGS, batch="1")
     key = ["source", "doc_hash"]
     assert (C.read_catalog(spark, cat).select(*key).exceptAll(
         C.read_catalog(spark, whole).select(*key)).count() == 0)
@@ -93,7 +97,7 @@ def test_incremental_equals_reset(spark, paths, tmp_path):
 
 def test_model_arbitrates(spark, paths):
     root, cat, con = paths
-    P.ingest(spark, root, cat, con, "r", P.IngestSettings(model=M.RuleModel), batch="1")
+    P.ingest(spark, root, cat, con, "r", P.IngestSettings(model=RuleModel), batch="1")
     methods = {r[0] for r in C.read_catalog(spark, cat).select(
         F.get_json_object("extra", "$.detection_method")).collect()}
     assert "model_arbitration" in methods
@@ -147,3 +151,66 @@ def test_debounce_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r["start_us"] // 10**6, r["n"]) for r in spark.table("debounced").collect())
     assert got == [(0, 2), (21, 2)]
+
+
+def test_only_new_files_are_opened(spark, paths, tmp_path):
+    """Two images are known: the second run reads and decodes the third only."""
+    root, cat, con = paths
+    calls = str(tmp_path / "calls")
+    os.makedirs(calls)
+
+    def ocr(path, content):
+        with open(os.path.join(calls, os.path.basename(path) + f".{os.urandom(4).hex()}"), "w"):
+            return [{"line_no": 0, "text": f"read {len(content)} bytes", "confidence": 0.9}]
+
+    settings = P.IngestSettings(image_embedder=DigestImageEmbedder, ocr=ocr)
+    P.ingest(spark, root, cat, con, "r", settings, batch="1")
+    assert len(os.listdir(calls)) == 2
+    put(root, {"shop/pics/c3.jpg": b"\x04\x05"})
+    result = P.ingest(spark, root, cat, con, "c", settings, batch="2")
+    seen = [x.rsplit(".", 1)[0] for x in os.listdir(calls)]
+    assert sorted(seen) == ["a1.jpg", "b2.PNG", "c3.jpg"] and result.rows.count() == 1
+    assert {(r["status"], r["n"]) for r in result.counters.collect()} == {("exists", 3), ("linked", 1), ("new", 1)}
+
+
+def test_errors_are_reported(spark, paths):
+    root, cat, con = paths
+
+    def pdf(path, content):
+        raise ValueError("no pages")
+
+    put(root, {"notes/x.pdf": b"%PDF"})
+    result = P.ingest(spark, root, cat, con, "r", P.IngestSettings(pdf=pdf), batch="1")
+    got = {(os.path.basename(r["path"]), r["stage"], r["message"]) for r in result.errors.collect()}
+    assert got == {("bad.json", "json", "not valid JSON"), ("skip.bmp", "route", "no reader for this extension"),
+                   ("x.pdf", "pdf", "ValueError: no pages")}
+
+
+def test_files_in_the_root_and_files_beyond_the_binary_limit(spark, tmp_path):
+    root, cat, con = str(tmp_path / "s"), scratch_dir(spark, "cat"), scratch_dir(spark, "con")
+    big = "id,name\n" + "".join(f"{i},thing {i}\n" for i in range(120_000))
+    put(root, {"loose [1].txt": "a loose file with words", "sub/big.csv": big, "sub/metadata.csv": "big.csv=huge\n"})
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1_500_000)
+    try:
+        assert os.path.getsize(os.path.join(root, "sub/big.csv")) > 1_500_000
+        result = P.ingest(spark, root, cat, con, "r", batch="1")
+        by_name = {os.path.basename(r["source"]): r["n"] for r in result.rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert by_name["big.csv"] == 120_000 and by_name["loose [1].txt"] == 1
+
+
+def test_a_failed_reset_keeps_the_old_catalog(spark, paths):
+    root, cat, con = paths
+    P.ingest(spark, root, cat, con, "r", SETTINGS, batch="1")
+    rows = C.read_catalog(spark, cat)
+    n = rows.count()
+    bad = rows.drop("batch").withColumn("label", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        C.reset_catalog(bad, cat, "2")
+    assert C.read_catalog(spark, cat).count() == n
+    empty = root + "-empty"
+    os.makedirs(empty)
+    P.ingest(spark, empty, cat, con, "r", batch="3")
+    assert C.read_catalog(spark, cat).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import vectors as V
 from quillmap.operators import ann as A
+from quillmap.operators import explore as N
 from quillmap.operators import labels as L
 from quillmap.operators import search as S
 
@@ -172,3 +173,19 @@ def test_ranking_tells_distances_apart_that_six_digits_do_not(spark):
     queries = spark.createDataFrame([(7, [1.0, 0.0])], "qid bigint, vector array<double>")
     assert S.fused_top_k(catalog, queries, 1).first()["doc_id"] == 2
     assert S.fused_top_k(catalog, queries, 1, digits=6).first()["doc_id"] == 1
+
+
+def test_principal_axes(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(300, 6)) * np.array([9, 1, 5, 0.5, 3, 0.1]) + 4
+    catalog = spark.createDataFrame(
+        [(i, v.tolist(), f"a/b{i}.txt", "food") for i, v in enumerate(rows)],
+        "doc_id bigint, vector array<double>, source string, domain string")
+    got = {r["doc_id"]: (r["x"], r["y"], r["z"]) for r in N.pca_points(catalog, n=200).collect()}
+    assert len(got) == 200
+    ids = sorted(got)
+    centred = rows[ids] - rows[ids].mean(axis=0)
+    values, axes = np.linalg.eigh(centred.T @ centred)
+    axes = axes[:, ::-1][:, :3]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
+    assert np.allclose(np.array([got[i] for i in ids]), centred @ axes, atol=1e-6)
