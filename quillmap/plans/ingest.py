@@ -18,7 +18,7 @@ from quillmap.functions.embedders import (
     embed_text,
 )
 from quillmap.functions.hashing import fingerprint, fingerprint_of_slices, record_hash
-from quillmap.functions.text import archive_of, basename, one_json_value
+from quillmap.functions.text import archive_of, basename, dirname, one_json_value
 from quillmap.functions.vectors import fuse
 from quillmap.operators import catalog as C
 from quillmap.operators import domains as D
@@ -92,7 +92,9 @@ def classify_documents(
     docs = docs.withColumns({
         "suggested_label": suggested if settings.use_suggested else F.lit(None).cast("string"),
         "record_label": F.when(is_record, F.coalesce(
-            L.record_label(F.col("record"), F.col("label_key"), F.lit(None).cast("string"),
+            L.record_label(F.col("record"), F.col("label_key"),
+                           F.col("folder_key") if "folder_key" in docs.columns
+                           else F.lit(None).cast("string"),
                            settings.strict_magic), F.lit("unknown"))),
         "folder_file_label": F.when(~is_record, L.folder_file_label(F.col("path"))),
     })
@@ -114,6 +116,30 @@ def classify_documents(
     })
 
 
+def remember_columns(docs: DataFrame, cache: DataFrame, settings: IngestSettings
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(documents with folder_key, new cache): the label column remembered for each folder.
+
+    A record that neither its file's plan nor the folder's column can label is searched for a magic
+    word; the first such column counts for the later records of the folder and for later runs.
+    """
+    folder, seq = dirname(F.col("path")), F.struct("path", "position")
+    known = docs.withColumn("folder", folder).join(
+        cache.withColumnRenamed("label_key", "_cached"), "folder", "left")
+    record = F.col("record")
+    unlabelled = F.coalesce(L.record_value(record, F.col("label_key")),
+                            L.record_value(record, F.col("_cached"))).isNull()
+    found = known.where(record.isNotNull() & unlabelled).select(
+        "folder", seq.alias("seq"), L.magic_key(record, settings.strict_magic).alias("label_key"))
+    found = found.where("label_key IS NOT NULL").groupBy("folder").agg(
+        F.min("seq").alias("_since"), F.min_by("label_key", "seq").alias("_found"))
+    found = write_scratch(found, "columns")
+    keyed = known.join(found, "folder", "left").withColumn(
+        "folder_key", F.coalesce("_cached", F.when(seq >= F.col("_since"), F.col("_found"))))
+    updates = found.select("folder", F.col("_found").alias("label_key"))
+    return keyed.drop("folder", "_cached", "_since", "_found"), I.upsert(cache, updates, "folder")
+
+
 def contract_updates(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """New contracts from catalog rows: the last known domain of each archive, its signature."""
     ordered = rows.select("archive", F.struct("source", "position").alias("seq"), "domain",
@@ -354,6 +380,12 @@ def ingest(
     lines = mapping_lines(spark, members.where(I.is_mapping_file(F.col("path"))), folders)
     labels = I.mapping_labels(lines, ["archive"]).unionByName(
         I.folder_labels(members, ["archive"])).distinct()
+    columns_path = f"{contracts_path}.columns"
+    cache = spark.createDataFrame([], "folder string, label_key string")
+    if mode != "r" and C.path_exists(spark, columns_path):
+        cache = spark.read.schema(cache.schema).parquet(columns_path)
+    docs, cache = remember_columns(docs, cache, settings)
+    cache = write_scratch(cache, "columns")
     rows = classify_documents(docs, contracts, labels, I.file_mapping(lines, ["archive"]), settings)
     rows = C.catalog_rows(rows)
     if mode == "r":
@@ -377,4 +409,5 @@ def ingest(
     else:
         C.append_contracts(updates.unionByName(kept), contracts_path, batch,
                            time.time_ns() if version is None else version)
+    C.replace_folder(spark, columns_path, lambda to: cache.coalesce(1).write.parquet(to))
     return IngestResult(batch, n_archives, added, unsupported.unionByName(errors), counters)

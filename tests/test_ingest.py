@@ -214,3 +214,20 @@ def test_a_failed_reset_keeps_the_old_catalog(spark, paths):
     os.makedirs(empty)
     P.ingest(spark, empty, cat, con, "r", batch="3")
     assert C.read_catalog(spark, cat).count() == 0
+
+
+def test_columns_are_remembered_by_folder(spark, tmp_path):
+    """A noisy value is no label by itself, but it is one in the column its folder is known for."""
+    root, cat, con = str(tmp_path / "s"), scratch_dir(spark, "cat"), scratch_dir(spark, "con")
+    put(root, {"shop/a.csv": "product_name,n\nimg_1,1\nRed Apple,2\nimg_2,3\n"})
+
+    def labels(result):
+        return {(os.path.basename(r["source"]), r["position"]): r["label"] for r in result.rows.collect()}
+
+    first = labels(P.ingest(spark, root, cat, con, "r", batch="1"))
+    assert first == {("a.csv", 0): "unknown", ("a.csv", 1): "red apple", ("a.csv", 2): "img_2"}
+    put(root, {"shop/b.csv": "product_name,n\nimg_3,1\n", "other/c.csv": "product_name,n\nimg_4,1\n"})
+    later = labels(P.ingest(spark, root, cat, con, "c", batch="2"))
+    assert later == {("b.csv", 0): "img_3", ("c.csv", 0): "unknown"}
+    again = labels(P.ingest(spark, root, cat, con, "r", batch="3"))
+    assert again[("a.csv", 0)] == "unknown" and again[("b.csv", 0)] == "img_3"
