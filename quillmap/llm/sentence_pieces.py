@@ -35,7 +35,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Distinct words a process remembers; beyond it starts anew.
 WORDS_KEPT = 500_000
-PAIRS_KEPT = 2_000_000
+PAIRS_KEPT = 600_000
 #: Below the lowest score, for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 
