@@ -10,12 +10,16 @@ similarity, plus a known share of chance hits between compressed values.
 2. Registers are banded; a band's key is a hash of its registers. Rows per band are the most for which a pair
    at the threshold shares no band with a probability of 1e-8 at most.
 3. In each bucket of equal keys a star is drawn: the member that meets most others is the centre, all others
-   are paired with it. Pairs whose sizes forbid the similarity go; then those whose estimate, corrected for
-   chance hits, lies six standard deviations below the threshold; the rest is confirmed on full sets.
+   are paired with it. For members of large buckets the shingles are counted that no other such member has;
+   what is left of a set and the sizes bound the similarity of a pair from above, and pairs, and members of a
+   bucket, that cannot reach the threshold go. So do pairs whose registers differ in too many last bits, and
+   pairs whose estimate, corrected for chance hits, lies six standard deviations below the threshold; the
+   rest is confirmed on full sets.
 4. Confirmed links make components. Centres leave their buckets, and so do buckets whose members are all of one
-   component; the others go into the next round with four times as many centres, until nothing is left. So
-   large groups of copies cost a few comparisons each, and no two members of different components that share
-   a bucket are left uncompared. Nothing is capped.
+   component. In the others, members of the main component need no comparison with one another: the next centres
+   are taken from the rest, sixteen times as many in each round, until nothing is left. So large groups of
+   copies cost a few comparisons each, and no two members of different components that share a bucket are
+   left uncompared. Nothing is capped.
 
 Defined results: words are runs of characters other than blank and \\t\\n\\v\\f\\r, A-Z lower-cased. With fewer words than a
 shingle has, the whole sequence is the one shingle; null texts and texts without words have an empty set,
@@ -42,6 +46,8 @@ REGISTERS, MANTISSA_BITS = 252, 10
 #: A pair at the threshold is missed with this probability at most.
 MISS = 1e-8
 SIGMAS = 6.0
+#: Members of buckets with more rows than this have their own shingles counted.
+LARGE_BUCKET = 8
 _U = np.uint64
 
 
@@ -133,17 +139,46 @@ def sketch_documents(docs: DataFrame, size: int, key: str, text: str) -> DataFra
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), string_column(text, "text_")).mapInArrow(run, "doc bigint, n bigint, set_key binary, registers binary")
 
 
+#: Columns with the last bits of the registers, 64 in each.
+BITS = ["bits0", "bits1", "bits2", "bits3"]
+
+
+def last_bits(registers: np.ndarray) -> np.ndarray:
+    """(documents, 4) of signed 64-bit integers."""
+    bits = np.zeros((len(registers), 64 * len(BITS)), dtype=np.uint8)
+    bits[:, :registers.shape[1]] = registers & 1
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
+def differing_bits(threshold: float) -> int:
+    """Most last bits in which the registers of a pair at the threshold differ, six deviations up: equal
+    hashes agree, and half of the others do."""
+    p = (1 - threshold) / 2
+    return math.ceil(REGISTERS * p + SIGMAS * math.sqrt(REGISTERS * p * (1 - p)))
+
+
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 2048):
             if batch.num_rows:
-                keys = band_keys(np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(batch.num_rows, -1), rows)
+                registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                keys = band_keys(registers, rows)
                 again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), keys.shape[1]))  # noqa: B023, E731
                 yield pa.record_batch({"band": pa.array(keys.ravel()), "doc": again("doc"), "n": again("n")})
 
     return classes.select("doc", "n", "registers").mapInArrow(run, "band bigint, doc bigint, n bigint")
 
 
+def _last_bits(classes: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, 4096):
+            if batch.num_rows:
+                bits = last_bits(np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(batch.num_rows, -1))
+                yield pa.record_batch({"doc": batch.column("doc"), **{c: pa.array(bits[:, i]) for i, c in enumerate(BITS)}})
+
+    return classes.select("doc", "registers").mapInArrow(run, "doc bigint, " + ", ".join(f"{c} bigint" for c in BITS))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose estimate does not rule the threshold out."""
     least = threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
@@ -192,6 +227,31 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: st
     return texts.join(wanted, "doc", "left_semi").select("doc", "text_").mapInArrow(run, "doc bigint, n bigint, hashes binary")
 
 
+def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, own): how many shingles of each wanted document no other wanted one has; none are left out."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, 64):
+            hashes = [np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()]
+            if hashes:
+                docs = np.repeat(batch.column("doc").to_numpy(), [len(h) for h in hashes])
+                yield pa.record_batch({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc": pa.array(docs)})
+
+    rows = sets.select("doc", "hashes").join(wanted, "doc", "left_semi").mapInArrow(explode, "h bigint, doc bigint")
+    alone = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
+    return alone.groupBy("doc").agg(F.count("*").alias("own"))
+
+
+def _feasible(active: DataFrame, percent: int) -> DataFrame:
+    """Without the members whose bounds fit no size in their bucket, and no bound their size.
+
+    Of a set of n shingles, at most ``v`` can be shared with another member. A pair needs
+    (100 + percent) * least v >= percent * (sum of n), so a partner has at most ``reach`` shingles."""
+    active = active.withColumn("reach", F.expr(f"{100 + percent} * v div {percent}") - F.col("n"))
+    sizes = active.groupBy("band").agg(F.min("n").alias("least_n"), F.max("reach").alias("most_reach"), F.count("*").alias("left"))
+    return active.join(sizes, "band").where("left > 1 AND reach >= least_n AND n <= most_reach").drop("reach", "least_n", "most_reach", "left")
+
+
 def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, n, component for every row of ``docs``: sets of ``size``-word shingles, linked where
     100 * intersection >= percent * union."""
@@ -205,7 +265,6 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
     shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = write_scratch(bands.join(shared, "band"), "members")
     meets = members.groupBy("doc").agg(F.sum("c").alias("meets"))
-    active = members.drop("c").join(meets, "doc")
     sets = _full_sets(docs, meets.select("doc"), size, key, text)
     roots = tested = None
     twice = known.groupBy("doc").count().where("count > 1")
@@ -216,16 +275,26 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         both = both.join(both.groupBy("doc").agg(F.min("b").alias("a")), "doc")
         roots = connected_components(both.select("a", "b"))
     sets = write_scratch(sets, "sets")
+    large = members.where(F.col("c") > LARGE_BUCKET).select("doc").distinct()
+    own = write_scratch(_own_shingles(sets, large).join(twice, "doc", "left_anti"), "own")
+    in_large = (F.col("c") > LARGE_BUCKET) & F.col("own").isNotNull()
+    about = meets.join(_last_bits(classes), "doc").join(own, "doc", "left")
+    active = members.join(about, "doc").select(
+        "band", "doc", "n", "meets", F.when(in_large, F.col("n") - F.col("own")).otherwise(F.col("n")).alias("v"), *BITS, F.lit(False).alias("main"))
+    limit = differing_bits(threshold)
 
     centres_each = 1
     while True:
-        active = write_scratch(active, "active")
+        active = write_scratch(_feasible(active, percent), "active")
         if not active.limit(1).count():
             break
-        centres = active.groupBy("band", F.pmod(F.xxhash64("doc"), F.lit(centres_each)).alias("slice")).agg(F.max(F.struct("meets", "doc", "n")).alias("centre"))
-        centres = centres.select("band", F.col("centre.doc").alias("centre"), F.col("centre.n").alias("n_centre"))
+        slices = F.pmod(F.xxhash64("doc"), F.lit(centres_each))
+        centres = active.where("NOT main").groupBy("band", slices.alias("slice")).agg(F.max(F.struct("meets", "doc", "n", "v", *BITS)).alias("c"))
+        centres = centres.select("band", F.col("c.doc").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.v").alias("v_centre"), *[F.col(f"c.{b}").alias(f"{b}_centre") for b in BITS])
+        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_centre"))) for b in BITS), F.lit(0))
         pairs = active.join(centres, "band").where("doc <> centre")
-        pairs = pairs.where(100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre"))
+        pairs = pairs.where((100 + percent) * F.least("v", "v_centre") >= percent * (F.col("n") + F.col("n_centre")))
+        pairs = pairs.where(differ <= limit)
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -240,9 +309,10 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         # what has met every centre of its bucket stays only if the bucket still holds several components
         left = active.join(centres.select("band", F.col("centre").alias("doc")), ["band", "doc"], "left_anti")
         left = left.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        open_ = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-        active = left.drop("root").join(open_, "band", "left_semi").select("band", "doc", "n", "meets")
-        centres_each *= 4
+        open_ = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("root", F.struct("meets", "doc")).alias("chief"))
+        active = left.join(open_.where("least <> most").select("band", "chief"), "band").select(
+            "band", "doc", "n", "meets", "v", *BITS, (F.col("root") == F.col("chief")).alias("main"))
+        centres_each *= 16
 
     of_class = classes.select("set_key", "doc")
     if roots is not None:
