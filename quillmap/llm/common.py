@@ -18,10 +18,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Views of at most ``rows`` rows, so that only few texts are Python objects at a time."""
+    """Views of at most ``rows`` rows, so that only few texts are Python objects at a time.
+
+    Memory that Arrow keeps for later goes back after each batch, as workers live on for other jobs.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def string_column(name: str, alias: str | None = None):

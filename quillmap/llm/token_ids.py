@@ -25,7 +25,7 @@ CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 STRETCH = 1 << 20
 WHITE = (" ", "\t", "\n", "\r", "")
 #: Distinct words of a generation; two generations are kept.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 250_000
 
 _loaded: dict[str, TextEncoder] = {}
 
