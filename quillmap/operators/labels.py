@@ -104,11 +104,16 @@ def _longest_by_hashes(text: Column, scope: Column, labels: list[tuple[str, str]
                 grams_at = prefix[size:] - prefix[:-size]
                 inverse = _inverse_powers(len(grams_at))
                 grams_at = grams_at * inverse
-                slot = np.minimum(np.searchsorted(hashes, grams_at), len(hashes) - 1)
-                at = np.flatnonzero(hashes[slot] == grams_at)
+                # their first bits rule out nearly all grams
+                some = np.zeros(1 << 16, dtype=bool)
+                some[(hashes >> np.uint64(48)).astype(np.int64)] = True
+                maybe = np.flatnonzero(some[(grams_at >> np.uint64(48)).astype(np.int64)])
+                where = np.minimum(np.searchsorted(hashes, grams_at[maybe]), len(hashes) - 1)
+                hit = hashes[where] == grams_at[maybe]
+                at, slot = maybe[hit], where[hit]
                 rows = np.searchsorted(starts, at, side="right") - 1
                 if size < gram:                    # the whole label: one hit of a text is enough
-                    _, once_each = np.unique(rows * len(hashes) + slot[at], return_index=True)
+                    _, once_each = np.unique(rows * len(hashes) + slot, return_index=True)
                     at, rows = at[once_each], rows[once_each]
                 for place, row, h in zip(at.tolist(), rows.tolist(), grams_at[at].tolist()):
                     for label, own in by_size[size][h]:
