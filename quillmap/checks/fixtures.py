@@ -147,6 +147,25 @@ def label_words(spark: SparkSession, sf: str) -> DataFrame:
         F.length("label") >= 8).distinct()
 
 
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with a vector: its row of embeddings, or its embedded text where there is none."""
+    known = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), as_doubles(F.col("embedding")).alias("_v"))
+    docs = doc_files(spark, sf).join(known, "doc_id", "left")
+    # texts of documents that have a row are not embedded
+    text = F.when(F.col("_v").isNull(), F.col("text"))
+    return docs.withColumn("_t", embed_text(text)).withColumn(
+        "embedding", F.coalesce("_v", "_t")).drop("_v", "_t")
+
+
+def assigned_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, qid): every document with the query that its id's digest picks; item ids run from 0."""
+    n = 2 * table(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
+    digest = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10)
+    return table(spark, sf, "documents").select(
+        "doc_id", (digest.cast("bigint") % n).alias("qid"))
+
+
 def label_prototypes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain"),

@@ -575,6 +575,23 @@ n AS (SELECT archive, domain, count(*) AS n FROM dd GROUP BY 1, 2)
 SELECT archive, coalesce(arg_max(domain, (n, domain)) FILTER (domain <> 'unknown'), 'unknown')
 AS domain FROM n GROUP BY 1""")
 
+# the same over every document: its own vector, or its embedded text where embeddings has no row
+WHOLE_VECTORS = embed("documents", "doc_id", "text", "tv") + """,
+vectors AS (SELECT doc_id AS vec_id, coalesce(e.embedding::DOUBLE[], tv.vec) AS embedding
+  FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id LEFT JOIN tv USING (doc_id))
+"""
+
+
+def over_documents(sql: str) -> str:
+    """A twin over detections with the documents' vectors in the place of the rows of embeddings."""
+    own = detected().replace("FROM embeddings e LEFT JOIN", "FROM vectors e LEFT JOIN")
+    assert own != detected() and detected() in sql
+    return sql.replace(detected(), WHOLE_VECTORS + "," + own)
+
+
+for _name in ("domain_precedence", "archive_domain", "archive_majority"):
+    oracle(f"{_name}_whole", over_documents(ORACLES[_name]))
+
 # --- vectors ----------------------------------------------------------------
 
 oracle("hash_embed", elements(embed("documents", "doc_id", "text", "tv"), "tv", "doc_id", "vec"))
@@ -624,6 +641,17 @@ x AS (SELECT q.qid, greatest(0.0, least(1.0, 1.0 - abs(c.vector[1] * 4))) AS s_v
   CASE WHEN q.ocr_text <> '' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS w_text
   FROM queries q JOIN catalog c ON c.doc_id = q.qid)
 SELECT qid, {r6('s_visual')} AS s_visual, {r6('s_text')} AS s_text, s_intent,
+{r6('''(s_visual * 0.6::DOUBLE + s_text * w_text + s_intent * 0.1::DOUBLE)
+    / (0.7::DOUBLE + w_text) * 100''')} AS confidence FROM x""")
+oracle("trust_score_whole", f"""WITH {CATALOG}, {QUERIES},
+x AS (SELECT c.doc_id, q.qid, greatest(0.0, least(1.0, 1.0 - abs(c.vector[1] * 4))) AS s_visual,
+  CASE WHEN q.ocr_text <> '' THEN {ratio('q.ocr_text', "c.label || ' ' || c.snippet")}
+       ELSE 0.0 END AS s_text,
+  CASE WHEN c.domain = q.f_domain THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s_intent,
+  CASE WHEN q.ocr_text <> '' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS w_text
+  FROM catalog c LEFT JOIN queries q ON q.qid = ('0x' || substr(md5(c.doc_id::VARCHAR), 1, 8))::BIGINT
+    % (SELECT 2 * count(*) FROM benchmark))
+SELECT doc_id, qid, {r6('s_visual')} AS s_visual, {r6('s_text')} AS s_text, s_intent,
 {r6('''(s_visual * 0.6::DOUBLE + s_text * w_text + s_intent * 0.1::DOUBLE)
     / (0.7::DOUBLE + w_text) * 100''')} AS confidence FROM x""")
 oracle("compose_response", f"""WITH {search_ctes(5)}
@@ -731,6 +759,7 @@ SELECT d.vec_id AS doc_id, (SELECT min(domain) FROM short s WHERE s.vec_id = d.v
   AS final_domain, 0.9::DOUBLE AS confidence, n_short || ' candidates' AS justification
 FROM det d JOIN documents ON doc_id = d.vec_id
 WHERE NOT forced AND (max_prob < 0.25 OR n_short > 1)""")
+oracle("arbitrate_domain_whole", over_documents(ORACLES["arbitrate_domain"]))
 
 
 def split_words(x: str) -> str:

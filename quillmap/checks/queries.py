@@ -596,9 +596,16 @@ def _detections(spark, sf):
     return X.doc_files(spark, sf).select("doc_id", "archive").join(det, "doc_id")
 
 
-@query
-def domain_precedence(spark, sf):
-    docs = _detections(spark, sf)
+def _detected_whole(spark, sf):
+    """Domains of every document; the vector of the row before its own is the context, if there is one."""
+    names, refs = D.reference_matrix(_label_centroids(spark, sf), "domain", "centroid")
+    context = table(spark, sf, "embeddings").select(
+        (F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("context"))
+    return D.detect_domains(X.document_vectors(spark, sf).join(context, "doc_id", "left"), names,
+                            refs, F.col("context"), F.col("embedding"))
+
+
+def _resolved(spark, sf, docs):
     decided = table(spark, sf, "labels").select(
         "doc_id", F.when(F.col("toxic") == 1, "unknown").otherwise("d0").alias("final_domain"),
         (F.lit(0.5) + F.col("quality") / 4).alias("confidence"), F.lit("review").alias("justification"))
@@ -611,19 +618,46 @@ def domain_precedence(spark, sf):
 
 
 @query
-def archive_domain(spark, sf):
-    docs = _detections(spark, sf).select(
+def domain_precedence(spark, sf):
+    """Only the documents that share an id with a row of embeddings."""
+    return _resolved(spark, sf, _detections(spark, sf))
+
+
+@query
+def domain_precedence_whole(spark, sf):
+    return _resolved(spark, sf, _detected_whole(spark, sf))
+
+
+def _in_archives(detections):
+    return detections.select(
         "archive", F.col("doc_id").alias("seq"), F.col("det_domain").alias("domain"),
         F.col("det_score").alias("score"))
-    return D.archive_domain(docs).select("archive", "domain", r6("score").alias("score"))
+
+
+@query
+def archive_domain(spark, sf):
+    """Only the documents that share an id with a row of embeddings."""
+    return D.archive_domain(_in_archives(_detections(spark, sf))).select(
+        "archive", "domain", r6("score").alias("score"))
+
+
+@query
+def archive_domain_whole(spark, sf):
+    return D.archive_domain(_in_archives(_detected_whole(spark, sf))).select(
+        "archive", "domain", r6("score").alias("score"))
 
 
 @query
 def archive_majority(spark, sf):
-    docs = _detections(spark, sf).select(
-        "archive", F.col("doc_id").alias("seq"), F.col("det_domain").alias("domain"),
-        F.col("det_score").alias("score"))
-    return D.archive_domain(docs, "majority").select("archive", "domain")
+    """Only the documents that share an id with a row of embeddings."""
+    return D.archive_domain(_in_archives(_detections(spark, sf)), "majority").select(
+        "archive", "domain")
+
+
+@query
+def archive_majority_whole(spark, sf):
+    return D.archive_domain(_in_archives(_detected_whole(spark, sf)), "majority").select(
+        "archive", "domain")
 
 
 # --- vectors ----------------------------------------------------------------
@@ -727,7 +761,7 @@ def tripass_search(spark, sf):
 
 @query
 def trust_score(spark, sf):
-    """Score of every document against the query that shares its id."""
+    """Score of the documents that share an id with a query."""
     docs = X.catalog(spark, sf).select(
         "doc_id", "label", "snippet", "domain",
         F.abs(F.element_at("vector", 1) * 4).alias("dist"), F.col("doc_id").alias("qid"))
@@ -736,6 +770,18 @@ def trust_score(spark, sf):
                          "s_intent", r6("confidence_raw").alias("confidence"))
 
 
+@query
+def trust_score_whole(spark, sf):
+    """Score of every document against the query that is assigned to it."""
+    docs = X.catalog(spark, sf).select(
+        "doc_id", "label", "snippet", "domain",
+        F.abs(F.element_at("vector", 1) * 4).alias("dist")).join(
+        X.assigned_queries(spark, sf), "doc_id")
+    scored = S.score_hits(docs, X.queries(spark, sf))
+    return scored.select("doc_id", "qid", r6("s_visual").alias("s_visual"), r6("s_text").alias("s_text"),
+                         "s_intent", r6("confidence_raw").alias("confidence"))
+
+
 @query
 def compose_response(spark, sf):
     q = X.queries(spark, sf)
@@ -879,11 +925,19 @@ def build_prompts(spark, sf):
 
 @query
 def arbitrate_domain(spark, sf):
+    """Only the documents that share an id with a row of embeddings."""
     names = [f"d{i}" for i in range(10)]
     return M.arbitrate_domains(_confused(spark, sf), RuleModel, names).select(
         "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
 
 
+@query
+def arbitrate_domain_whole(spark, sf):
+    names = [f"d{i}" for i in range(10)]
+    return M.arbitrate_domains(_detected_whole(spark, sf), RuleModel, names).select(
+        "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
+
+
 @query
 def refine_label(spark, sf):
     """Paths whose folder and file are both noise, described by the document of their row."""
