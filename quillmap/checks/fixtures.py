@@ -138,13 +138,13 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
         embed_text(F.col("ocr_text")), F.col("f_domain"), F.col("f_label"))
 
 
-def label_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of eight or more characters of the benchmark texts."""
+def label_words(spark: SparkSession, sf: str, least: int = 8) -> DataFrame:
+    """Distinct words of ``least`` or more characters of the benchmark texts."""
     from quillmap.functions.text import clean_text
 
     words = F.split(clean_text(F.col("text"), "a-z0-9"), " ")
     return table(spark, sf, "benchmark").select(F.explode(words).alias("label")).where(
-        F.length("label") >= 8).distinct()
+        F.length("label") >= least).distinct()
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -716,6 +716,11 @@ SELECT i.source, i.doc_hash AS file_hash, i.label,
   CASE WHEN l.doc_id IS NOT NULL THEN '1' ELSE '2' END AS batch
 FROM ingested i LEFT JOIN labels l USING (doc_id)
 WHERE l.doc_id IS NOT NULL OR i.doc_hash NOT IN (SELECT file_hash FROM indexed)""")
+# the same with every word of the benchmark that the rule takes for a label
+_LONG, _ALL = "WHERE length(w) >= 8)", f"WHERE length(w) >= {K.LABEL_MIN_LENGTH})"
+for _name in ("label_vectors", "label_in_text", "label_cascade", "ingest_full", "ingest_incremental"):
+    assert _LONG in ORACLES[_name]
+    oracle(f"{_name}_whole", ORACLES[_name].replace(_LONG, _ALL))
 oracle("ingest_folders", f"""
 SELECT 'csv' AS type, lower(p_name) AS label, '{{"p_partkey":"' || p_partkey || '","p_name":"'
   || p_name || '","p_brand":"' || p_brand || '"}}' AS content, '1' AS batch FROM part

@@ -440,13 +440,23 @@ def unlinked_images(spark, sf):
     return I.drop_linked_images(X.paths(spark, sf), _linked(spark, sf)).select("key", "path")
 
 
-@query
-def label_vectors(spark, sf):
-    v = X.label_words(spark, sf).select("label", embed_text(F.col("label")).alias("vector"))
+def _label_vectors(labels):
+    v = labels.select("label", embed_text(F.col("label")).alias("vector"))
     return v.select("label", F.posexplode("vector").alias("pos", "x")).select(
         "label", "pos", r6("x").alias("x"))
 
 
+@query
+def label_vectors(spark, sf):
+    return _label_vectors(X.label_words(spark, sf))
+
+
+@query
+def label_vectors_whole(spark, sf):
+    """With all words that the rule takes for labels."""
+    return _label_vectors(X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
+
+
 @query
 def schema_cache(spark, sf):
     resolved = X.named_records(spark, sf).select(
@@ -497,11 +507,20 @@ def label_folder_file(spark, sf):
         "key", L.folder_file_label(F.col("path")).alias("label"))
 
 
+def _label_in_text(spark, sf, labels):
+    docs = X.documents(spark, sf).select("doc_id", "text")
+    return L.longest_label_in_text(docs, "text", labels).select("doc_id", "text_label")
+
+
 @query
 def label_in_text(spark, sf):
-    docs = X.documents(spark, sf).select("doc_id", "text")
-    return L.longest_label_in_text(docs, "text", X.label_words(spark, sf)).select(
-        "doc_id", "text_label")
+    return _label_in_text(spark, sf, X.label_words(spark, sf))
+
+
+@query
+def label_in_text_whole(spark, sf):
+    """With all words that the rule takes for labels."""
+    return _label_in_text(spark, sf, X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
 
 
 def _label_centroids(spark, sf):
@@ -528,8 +547,7 @@ def label_zero_shot_grid(spark, sf):
         "doc_id", "vector_label", r6("similarity").alias("similarity"))
 
 
-@query
-def label_cascade(spark, sf):
+def _label_cascade(spark, sf, labels):
     """Every file of ``paths`` with the text and image vector of its row."""
     docs = X.paths(spark, sf, wide=True).join(
         X.documents(spark, sf).select(F.col("doc_id").alias("key"), "text"), "key", "left"
@@ -543,10 +561,21 @@ def label_cascade(spark, sf):
     docs = docs.withColumn("folder_file_label", L.folder_file_label(F.col("path")))
     refs = _label_centroids(spark, sf).select(
         F.col("domain").alias("label"), F.col("centroid").alias("vector"))
-    return L.cascade(docs, "text", "embedding", X.label_words(spark, sf), refs, 0.3, "key").select(
+    return L.cascade(docs, "text", "embedding", labels, refs, 0.3, "key").select(
         "key", "label", "label_method")
 
 
+@query
+def label_cascade(spark, sf):
+    return _label_cascade(spark, sf, X.label_words(spark, sf))
+
+
+@query
+def label_cascade_whole(spark, sf):
+    """With all words that the rule takes for labels."""
+    return _label_cascade(spark, sf, X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
+
+
 # --- domains ----------------------------------------------------------------
 
 @query
@@ -827,38 +856,62 @@ def _documents(spark, sf):
         none.alias("suggested_label"), none.alias("image_path"))
 
 
-def _classified(spark, sf, docs):
-    """The archive knows the long words of the benchmark as labels; no contract exists yet."""
-    labels = X.label_words(spark, sf).select(F.lit("raw").alias("archive"), "label")
+def _classified(spark, sf, docs, least=8):
+    """The archive knows the words of the benchmark as labels; no contract exists yet."""
+    labels = X.label_words(spark, sf, least).select(F.lit("raw").alias("archive"), "label")
     contracts = spark.createDataFrame([], C.CONTRACT_SCHEMA)
     return C.catalog_rows(P.classify_documents(
         docs, contracts, labels, None, P.IngestSettings(label_threshold=0.3), 0))
 
 
-@query
-def ingest_full(spark, sf):
-    """Every document through vectors, domain, label and catalog row, written and read back."""
-    path = scratch_dir(spark, "catalog")
-    C.reset_catalog(_classified(spark, sf, _documents(spark, sf)), path, "all")
-    return C.read_catalog(spark, path).select(
+def _ingested(catalog):
+    return catalog.select(
         "source", "domain", "label", "type", "doc_hash",
         r6(F.col("domain_score").cast("double")).alias("domain_score"),
         F.get_json_object("extra", "$.detection_method").alias("method"),
         F.get_json_object("extra", "$.label_method").alias("label_method"))
 
 
+def _ingest_full(spark, sf, **kw):
+    path = scratch_dir(spark, "catalog")
+    C.reset_catalog(_classified(spark, sf, _documents(spark, sf), **kw), path, "all")
+    return _ingested(C.read_catalog(spark, path))
+
+
 @query
-def ingest_incremental(spark, sf):
-    """The labelled documents first, then everything: only unknown hashes are added."""
+def ingest_full(spark, sf):
+    """Every document through vectors, domain, label and catalog row, written and read back."""
+    return _ingest_full(spark, sf)
+
+
+@query
+def ingest_full_whole(spark, sf):
+    """With all words that the rule takes for labels."""
+    return _ingest_full(spark, sf, least=K.LABEL_MIN_LENGTH)
+
+
+def _ingest_incremental(spark, sf, **kw):
     path = scratch_dir(spark, "catalog")
     docs = _documents(spark, sf)
     first = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    C.append_catalog(_classified(spark, sf, first), path, "1")
+    C.append_catalog(_classified(spark, sf, first, **kw), path, "1")
     C.append_catalog(
-        _classified(spark, sf, C.new_files(docs, C.read_catalog(spark, path))), path, "2")
+        _classified(spark, sf, C.new_files(docs, C.read_catalog(spark, path)), **kw), path, "2")
     return C.read_catalog(spark, path).select("source", "file_hash", "label", "batch")
 
 
+@query
+def ingest_incremental(spark, sf):
+    """The labelled documents first, then everything: only unknown hashes are added."""
+    return _ingest_incremental(spark, sf)
+
+
+@query
+def ingest_incremental_whole(spark, sf):
+    """With all words that the rule takes for labels."""
+    return _ingest_incremental(spark, sf, least=K.LABEL_MIN_LENGTH)
+
+
 @query
 def ingest_folders(spark, sf):
     """Tables written as CSV, TSV and text files, ingested from disk, and once more in vain."""

@@ -1,5 +1,7 @@
 """Queries that answer for the whole of their tables, where ids of two tables share only a part."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -27,3 +29,18 @@ def test_archives_count_every_document(spark, docs):
     asked = queries()["arbitrate_domain_whole"](spark, SF).select("doc_id").collect()
     known = {r[0] for r in duckdb.sql(f"SELECT vec_id FROM '{SF}/embeddings.parquet'").fetchall()}
     assert {r["doc_id"] for r in asked} - known
+
+
+def test_short_words_are_labels(spark):
+    from quillmap.constants import LABEL_MIN_LENGTH
+
+    sf = "/root/testdata/sf0.001"
+    words = {w for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()
+             for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= LABEL_MIN_LENGTH}
+    assert any(len(w) < 8 for w in words)
+    got = {r["label"] for r in queries()["label_vectors_whole"](spark, sf).select("label").distinct().collect()}
+    assert got == words
+    texts = dict(duckdb.sql(f"SELECT doc_id, lower(text) FROM '{sf}/documents.parquet'").fetchall())
+    want = {k: max(((len(w), w) for w in words if w in t), default=(0, None))[1] for k, t in texts.items()}
+    found = queries()["label_in_text_whole"](spark, sf).collect()
+    assert {r["doc_id"]: r["text_label"] for r in found} == want
