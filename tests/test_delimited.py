@@ -58,3 +58,22 @@ def test_positions_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found[0] == found[1] == found[2] and len(found[0]) == 20_001
     assert all(r["id"] == str(at) for (name, at), r in found[0].items() if name == "big.csv")
+
+
+def test_odd_headers_are_written_by_many_tasks(spark, sf, tmp_path, monkeypatch):
+    from check_oracles import compare, database
+    from quillmap.checks import queries as Q
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        monkeypatch.setattr(Q, "scratch_dir", lambda spark, name: str(tmp_path / name))
+        ok, note = compare(spark, database(sf), sf, "csv_odd_headers")
+    finally:
+        spark.conf.unset(key)
+    assert ok, note
+    folders = sorted((tmp_path / "odd-csv").glob("g=*"))
+    files = {f: sorted(f.glob("part-*")) for f in folders}
+    assert len(folders) == 7 and all(len(x) > 1 for x in files.values())
+    heads = {p.read_text().splitlines()[0] for x in files.values() for p in x}
+    assert [[c.strip() for c in h.split(",")] for h in heads] == [["", "name", "name"]]
