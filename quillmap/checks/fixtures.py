@@ -64,9 +64,9 @@ def paths(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     )
 
 
-def doc_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as text files in folders ``raw/<source>/<lang>``."""
-    return documents(spark, sf).select(
+def doc_files(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """Documents, or the given ones, as text files in folders ``raw/<source>/<lang>``."""
+    return (documents(spark, sf) if rows is None else rows).select(
         "doc_id", "text", "lang", "source",
         F.concat(F.lit("raw/"), "source", F.lit("/"), "lang").alias("archive"),
         F.concat(F.lit("raw/"), "source", F.lit("/"), "lang", F.lit("/doc_"),

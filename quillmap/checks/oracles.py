@@ -799,6 +799,7 @@ SELECT qid, count(*)::VARCHAR AS answer, true AS found FROM ranked GROUP BY 1"""
 
 oracle("stream_ingest", """SELECT DISTINCT md5(text) AS file_hash, 'txt' AS type,
 least(20000, length(text)) AS chars FROM documents""")
+ORACLES["stream_ingest_full"] = ORACLES["ingest_full"]
 oracle("stream_dedup", """SELECT DISTINCT md5(event_type || '|' || props) AS file_hash
 FROM events""")
 oracle("debounce_sessions", """

@@ -25,7 +25,7 @@ from quillmap.operators import search as S
 from quillmap.operators import structure as I
 from quillmap.plans import ingest as P
 from quillmap.plans.hybrid_search import hybrid_search, respond
-from quillmap.session import scratch_dir
+from quillmap.session import scratch_dir, write_scratch
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
 from quillmap.streaming import watch as W
@@ -855,12 +855,12 @@ def pq_search(spark, sf):
 
 # --- ingestion --------------------------------------------------------------
 
-def _documents(spark, sf):
+def _documents(spark, sf, rows=None):
     """Documents as loaded files, with the image vector of their row."""
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), V.as_doubles(F.col("embedding")).alias("visual"))
     none = F.lit(None).cast("string")
-    return X.doc_files(spark, sf).join(vectors, "doc_id", "left").select(
+    return X.doc_files(spark, sf, rows).join(vectors, "doc_id", "left").select(
         "doc_id", "path", F.lit("raw").alias("archive"),
         F.lit(0).cast("bigint").alias("position"), F.lit("txt").alias("type"),
         F.col("text").alias("content"), F.lit(None).cast("map<string,string>").alias("record"),
@@ -1062,21 +1062,35 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _streamed_files(spark, sf):
+    return _stream(spark, sf, "documents").withColumn("file_hash", F.md5(F.col("text").cast("binary")))
+
+
+def _streamed_rows(new, sf):
+    # a batch may be one partition
+    new = write_scratch(new, "batch").repartition("doc_id")
+    return _classified(new.sparkSession, sf, _documents(new.sparkSession, sf, new))
+
+
 @query
 def stream_ingest(spark, sf):
-    """Documents as a stream: each text is indexed once, as a catalog row."""
+    """Documents as a stream, through vectors, domain and label: each text is indexed once."""
     path = scratch_dir(spark, "stream")
-    files = _stream(spark, sf, "documents").select(
-        F.md5(F.col("text").cast("binary")).alias("file_hash"),
-        F.col("lang").alias("label"), F.lit("txt").alias("type"), F.col("text").alias("content"),
-        F.lit(None).cast("array<double>").alias("vector"),
-        F.lit(None).cast("array<double>").alias("visual"))
-    W.append_new(files, path, scratch_dir(spark, "checkpoint"),
-                 lambda new: C.catalog_rows(new)).awaitTermination()
+    W.append_new(_streamed_files(spark, sf), path, scratch_dir(spark, "checkpoint"),
+                 lambda new: _streamed_rows(new, sf)).awaitTermination()
     return spark.read.parquet(path).select(
         "file_hash", "type", F.length("content").cast("bigint").alias("chars"))
 
 
+@query
+def stream_ingest_full(spark, sf):
+    """Documents as a stream: the catalog rows are those of the batch."""
+    path = scratch_dir(spark, "stream")
+    W.ingest_new(_streamed_files(spark, sf), path, scratch_dir(spark, "checkpoint"),
+                 lambda new: _streamed_rows(new, sf)).awaitTermination()
+    return _ingested(C.read_catalog(spark, path))
+
+
 @query
 def stream_dedup(spark, sf):
     """Event properties as hashes: every distinct one is kept once, however often it comes."""

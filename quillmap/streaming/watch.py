@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillmap import constants as K
 from quillmap.functions.hashing import fingerprint
-from quillmap.operators.catalog import path_exists
+from quillmap.operators.catalog import append_catalog, new_files, path_exists, read_catalog
+from quillmap.session import write_scratch
 from quillmap.sources.files import supported_files
 
 
@@ -53,6 +54,24 @@ def append_new(stream: DataFrame, path: str, checkpoint: str,
     )
 
 
+def ingest_new(files: DataFrame, catalog_path: str, checkpoint: str,
+               rows_of: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Catalog rows of every file whose hash the catalog does not hold, through ``rows_of``.
+
+    Hashes are compared by file before anything is loaded, so all records of a new file arrive.
+    ``rows_of`` loads and classifies a micro-batch; a batch that is replayed replaces its first try.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = read_catalog(batch.sparkSession, catalog_path).where(F.col("batch") != str(batch_id))
+        fresh = write_scratch(new_files(batch, known), "new-files")
+        append_catalog(rows_of(fresh), catalog_path, str(batch_id))
+
+    return (
+        files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def drop_repeats(stream: DataFrame, hash_col: str, ts_col: str, within: str) -> DataFrame:
     """First row of each hash within a watermark; state is dropped once it has passed."""
     return stream.withWatermark(ts_col, within).dropDuplicatesWithinWatermark([hash_col])

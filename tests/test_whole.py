@@ -44,3 +44,23 @@ def test_short_words_are_labels(spark):
     want = {k: max(((len(w), w) for w in words if w in t), default=(0, None))[1] for k, t in texts.items()}
     found = queries()["label_in_text_whole"](spark, sf).collect()
     assert {r["doc_id"]: r["text_label"] for r in found} == want
+
+
+def test_stream_keeps_all_records_of_a_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmap.operators import catalog as C
+    from quillmap.streaming import watch as W
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def rows_of(new):
+        return C.catalog_rows(new.select("file_hash", F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).select(
+            "*", F.lit("x").alias("content"), *[F.lit(None).cast("array<double>").alias(c) for c in ("vector", "visual")]))
+
+    for part in (["a", "b"], ["b", "c"]):                     # a known file is not loaded again
+        spark.createDataFrame([(x,) for x in part], "file_hash string").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("file_hash string").parquet(src)
+        W.ingest_new(stream, out, str(tmp_path / "ck"), rows_of).awaitTermination()
+    got = sorted((r["file_hash"], r["position"]) for r in C.read_catalog(spark, out).collect())
+    assert got == [(x, i) for x in "abc" for i in (0, 1)]
