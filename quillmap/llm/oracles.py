@@ -92,4 +92,65 @@ SELECT conv_id, turn, position, CAST(n_turns AS BIGINT) AS n_turns, role,
 FROM t JOIN kept USING (conv_id)
 """
 
-ORACLES = {"op5_exact_topk": _OP5, "op6_quality_rules": _OP6, "op9_chat_format": _OP9, "op10_url_filter": _op10()}
+_GOOD = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11(rounds: int = 4) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, label, p, min({{'d': d, 'e': e}}) AS best FROM (
+    SELECT x.vec_id, x.label, x.p, c.e, CAST(list_sum(list_transform(range(1, 1 + len(x.x)), lambda i: (x.x[i] - c.x[i]) * (x.x[i] - c.x[i]))) AS BIGINT) AS d
+    FROM x JOIN c{i} c USING (p)) GROUP BY vec_id, label, p)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT p, e, list(m ORDER BY i) AS x FROM (
+    SELECT a.p, a.best.e AS e, i, CAST(floor(sum(x.x[i]) / count(*)) AS BIGINT) AS m
+    FROM a{i} a JOIN x USING (vec_id, p), range(1, 1 + (SELECT any_value(len(x)) FROM x)) AS t(i) GROUP BY a.p, a.best.e, i) GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (p, e))""")
+    middle = ",\n".join(steps)
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_GOOD}
+), x AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM v, range(0, 4) AS t(p)
+), c0 AS MATERIALIZED (
+  SELECT p, e, x FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM x) WHERE e < 256
+), {middle},
+done AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label
+), told AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS s FROM c{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256 FROM done, told
+"""
+
+
+_OP12 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM d
+"""
+
+_OP13 = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_GOOD}
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v) WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM (
+  SELECT p.*, s.vec_id, s.score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+) WHERE rank <= 3
+"""
+
+ORACLES = {"op5_exact_topk": _OP5, "op6_quality_rules": _OP6, "op9_chat_format": _OP9, "op10_url_filter": _op10(), "op11_vector_codes": _op11(), "op12_warc": _OP12, "op13_hard_negatives": _OP13}

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import chat_format, exact_topk, near_dup, packing, quality_rules, rans, resample, sentence_pieces, toxicity, url_filter
+from quillmap.llm import (
+    chat_format, exact_topk, hard_negatives, near_dup, packing, quality_rules, rans, resample, sentence_pieces, toxicity, url_filter, vector_codes, warc,
+)
 from quillmap.llm.common import read_table
 from quillmap.session import scratch_dir
 
@@ -72,6 +74,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"), scale=1024)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"), scratch_dir(spark, "archives"), least=1000)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine_hard_negatives(vectors, F.pmod("id", F.lit(50)) == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dup": op2_near_dup,
@@ -83,4 +100,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_warc": op12_warc,
+    "op13_hard_negatives": op13_hard_negatives,
 }
