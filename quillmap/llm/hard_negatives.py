@@ -157,7 +157,7 @@ class Block:
 
     def __init__(self, parts: list[tuple], length: int, k: int, banded: bool):
         self.id, self.label, vectors = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
-        self.vectors, self.anchors, self.k, self.scored = vectors.reshape(-1, length), None, k, 0
+        self.vectors, self.anchors, self.k, self.scored = vectors.reshape(len(self.id), length), None, k, 0
         self.anchors = Anchors(self.vectors)
         self.bands = None
         if banded:

@@ -179,7 +179,7 @@ def _sums(rows: DataFrame, books: Codebooks) -> dict[tuple[int, int], tuple[int,
                 out[f"s{i}_{j}"] = pa.array(held if j == limbs - 1 else [x & 0xFFFFFFFF for x in held], pa.int64())
         yield pa.record_batch(out)
 
-    schema = "part int, entry int, n bigint, " + ", ".join(f"{c} bigint" for c in names)
+    schema = ", ".join(["part int", "entry int", *(f"{c} bigint" for c in ["n", *names])])
     added = rows.select("x").mapInArrow(run, schema).groupBy("part", "entry").agg(
         F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names])
     out = {}

@@ -137,11 +137,11 @@ class RecordStream:
         block = end.join(self.parts)
         # line ends that close a block run into the blank line after it, which is then found too early
         block, rest = block[:self.wanted], block[self.wanted:]
-        if rest and not rest.startswith(end):
+        if not (rest + end).startswith(end):
             raise ValueError(f"a record of {self.name} is longer than its Content-Length")
         record = self.head + end + block + end
         self.head = None
-        if rest:
+        if len(rest) > len(end):
             self.feed(rest[len(end):])
         return record
 
