@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap import constants as K
 from quillmap.functions.embedders import embed_text
 from quillmap.functions.vectors import as_doubles, fuse
 from quillmap.operators.catalog import folder_signatures
@@ -138,13 +139,13 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
         embed_text(F.col("ocr_text")), F.col("f_domain"), F.col("f_label"))
 
 
-def label_words(spark: SparkSession, sf: str, least: int = 8) -> DataFrame:
-    """Distinct words of ``least`` or more characters of the benchmark texts."""
+def label_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct words of the benchmark texts that are long enough for a label."""
     from quillmap.functions.text import clean_text
 
     words = F.split(clean_text(F.col("text"), "a-z0-9"), " ")
     return table(spark, sf, "benchmark").select(F.explode(words).alias("label")).where(
-        F.length("label") >= least).distinct()
+        F.length("label") >= K.LABEL_MIN_LENGTH).distinct()
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -436,7 +436,7 @@ SELECT file, c AS label_key, v AS first_value FROM f WHERE NOT {noisy('v')}""")
 LABEL_WORDS = f"""
 label_words AS (SELECT DISTINCT w AS label FROM (
   SELECT unnest(string_split({clean('text', 'a-z0-9')}, ' ')) AS w FROM benchmark)
-  WHERE length(w) >= 8)
+  WHERE length(w) >= {K.LABEL_MIN_LENGTH})
 """
 oracle("label_vectors", "WITH " + LABEL_WORDS + "," + embed(
     "label_words", "label", "label", "lv") + f""" SELECT label, i - 1 AS pos,
@@ -575,7 +575,7 @@ n AS (SELECT archive, domain, count(*) AS n FROM dd GROUP BY 1, 2)
 SELECT archive, coalesce(arg_max(domain, (n, domain)) FILTER (domain <> 'unknown'), 'unknown')
 AS domain FROM n GROUP BY 1""")
 
-# the same over every document: its own vector, or its embedded text where embeddings has no row
+# over every document: its own vector, or its embedded text where embeddings has no row
 WHOLE_VECTORS = embed("documents", "doc_id", "text", "tv") + """,
 vectors AS (SELECT doc_id AS vec_id, coalesce(e.embedding::DOUBLE[], tv.vec) AS embedding
   FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id LEFT JOIN tv USING (doc_id))
@@ -590,7 +590,7 @@ def over_documents(sql: str) -> str:
 
 
 for _name in ("domain_precedence", "archive_domain", "archive_majority"):
-    oracle(f"{_name}_whole", over_documents(ORACLES[_name]))
+    ORACLES[_name] = over_documents(ORACLES[_name])
 
 # --- vectors ----------------------------------------------------------------
 
@@ -622,7 +622,7 @@ oracle("prepare_queries", f"""WITH {QUERIES} SELECT qid, ocr_text, f_domain, f_l
 FROM queries""")
 _TOP = "SELECT qid, doc_id, dist, rk FROM p"
 oracle("explorer_sample", f"""WITH {CATALOG} SELECT doc_id FROM catalog WHERE vector IS NOT NULL
-ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 300""")
+ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {K.EXPLORER_POINTS}""")
 oracle("topk_visual", f"WITH {CATALOG}, {QUERIES}, {top('p', 1, 'visual', 'visual', 10)} {_TOP}")
 oracle("topk_fused", f"WITH {CATALOG}, {QUERIES}, {top('p', 2, 'vector', 'vector', 10)} {_TOP}")
 oracle("topk_filtered",
@@ -634,16 +634,6 @@ oracle("tripass_search", f"""WITH {search_ctes(5)}
 SELECT qid, rank, doc_id, pass_no, source, domain, label, dist, {r6('s_visual')} AS s_visual,
 {r6('s_text')} AS s_text, s_intent, {r6('confidence_raw')} AS confidence FROM ranked""")
 oracle("trust_score", f"""WITH {CATALOG}, {QUERIES},
-x AS (SELECT q.qid, greatest(0.0, least(1.0, 1.0 - abs(c.vector[1] * 4))) AS s_visual,
-  CASE WHEN q.ocr_text <> '' THEN {ratio('q.ocr_text', "c.label || ' ' || c.snippet")}
-       ELSE 0.0 END AS s_text,
-  CASE WHEN c.domain = q.f_domain THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS s_intent,
-  CASE WHEN q.ocr_text <> '' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS w_text
-  FROM queries q JOIN catalog c ON c.doc_id = q.qid)
-SELECT qid, {r6('s_visual')} AS s_visual, {r6('s_text')} AS s_text, s_intent,
-{r6('''(s_visual * 0.6::DOUBLE + s_text * w_text + s_intent * 0.1::DOUBLE)
-    / (0.7::DOUBLE + w_text) * 100''')} AS confidence FROM x""")
-oracle("trust_score_whole", f"""WITH {CATALOG}, {QUERIES},
 x AS (SELECT c.doc_id, q.qid, greatest(0.0, least(1.0, 1.0 - abs(c.vector[1] * 4))) AS s_visual,
   CASE WHEN q.ocr_text <> '' THEN {ratio('q.ocr_text', "c.label || ' ' || c.snippet")}
        ELSE 0.0 END AS s_text,
@@ -716,11 +706,6 @@ SELECT i.source, i.doc_hash AS file_hash, i.label,
   CASE WHEN l.doc_id IS NOT NULL THEN '1' ELSE '2' END AS batch
 FROM ingested i LEFT JOIN labels l USING (doc_id)
 WHERE l.doc_id IS NOT NULL OR i.doc_hash NOT IN (SELECT file_hash FROM indexed)""")
-# the same with every word of the benchmark that the rule takes for a label
-_LONG, _ALL = "WHERE length(w) >= 8)", f"WHERE length(w) >= {K.LABEL_MIN_LENGTH})"
-for _name in ("label_vectors", "label_in_text", "label_cascade", "ingest_full", "ingest_incremental"):
-    assert _LONG in ORACLES[_name]
-    oracle(f"{_name}_whole", ORACLES[_name].replace(_LONG, _ALL))
 oracle("ingest_folders", f"""
 SELECT 'csv' AS type, lower(p_name) AS label, '{{"p_partkey":"' || p_partkey || '","p_name":"'
   || p_name || '","p_brand":"' || p_brand || '"}}' AS content, '1' AS batch FROM part
@@ -764,7 +749,7 @@ SELECT d.vec_id AS doc_id, (SELECT min(domain) FROM short s WHERE s.vec_id = d.v
   AS final_domain, 0.9::DOUBLE AS confidence, n_short || ' candidates' AS justification
 FROM det d JOIN documents ON doc_id = d.vec_id
 WHERE NOT forced AND (max_prob < 0.25 OR n_short > 1)""")
-oracle("arbitrate_domain_whole", over_documents(ORACLES["arbitrate_domain"]))
+ORACLES["arbitrate_domain"] = over_documents(ORACLES["arbitrate_domain"])
 
 
 def split_words(x: str) -> str:

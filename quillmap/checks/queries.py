@@ -463,12 +463,6 @@ def label_vectors(spark, sf):
     return _label_vectors(X.label_words(spark, sf))
 
 
-@query
-def label_vectors_whole(spark, sf):
-    """With all words that the rule takes for labels."""
-    return _label_vectors(X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
-
-
 @query
 def schema_cache(spark, sf):
     resolved = X.named_records(spark, sf).select(
@@ -529,12 +523,6 @@ def label_in_text(spark, sf):
     return _label_in_text(spark, sf, X.label_words(spark, sf))
 
 
-@query
-def label_in_text_whole(spark, sf):
-    """With all words that the rule takes for labels."""
-    return _label_in_text(spark, sf, X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
-
-
 def _label_centroids(spark, sf):
     return D.domain_centroids(X.label_prototypes(spark, sf))
 
@@ -582,12 +570,6 @@ def label_cascade(spark, sf):
     return _label_cascade(spark, sf, X.label_words(spark, sf))
 
 
-@query
-def label_cascade_whole(spark, sf):
-    """With all words that the rule takes for labels."""
-    return _label_cascade(spark, sf, X.label_words(spark, sf, K.LABEL_MIN_LENGTH))
-
-
 # --- domains ----------------------------------------------------------------
 
 @query
@@ -630,14 +612,7 @@ def domain_confusion(spark, sf):
                                        F.size("shortlist").alias("n_short"), "confused")
 
 
-def _detections(spark, sf):
-    """Domains of documents with an image vector, in the folder they lie in."""
-    det = _detected(spark, sf).select(
-        F.col("vec_id").alias("doc_id"), "det_domain", "det_score", "det_method")
-    return X.doc_files(spark, sf).select("doc_id", "archive").join(det, "doc_id")
-
-
-def _detected_whole(spark, sf):
+def _detected_documents(spark, sf):
     """Domains of every document; the vector of the row before its own is the context, if there is one."""
     names, refs = D.reference_matrix(_label_centroids(spark, sf), "domain", "centroid")
     context = table(spark, sf, "embeddings").select(
@@ -660,13 +635,7 @@ def _resolved(spark, sf, docs):
 
 @query
 def domain_precedence(spark, sf):
-    """Only the documents that share an id with a row of embeddings."""
-    return _resolved(spark, sf, _detections(spark, sf))
-
-
-@query
-def domain_precedence_whole(spark, sf):
-    return _resolved(spark, sf, _detected_whole(spark, sf))
+    return _resolved(spark, sf, _detected_documents(spark, sf))
 
 
 def _in_archives(detections):
@@ -677,27 +646,13 @@ def _in_archives(detections):
 
 @query
 def archive_domain(spark, sf):
-    """Only the documents that share an id with a row of embeddings."""
-    return D.archive_domain(_in_archives(_detections(spark, sf))).select(
-        "archive", "domain", r6("score").alias("score"))
-
-
-@query
-def archive_domain_whole(spark, sf):
-    return D.archive_domain(_in_archives(_detected_whole(spark, sf))).select(
+    return D.archive_domain(_in_archives(_detected_documents(spark, sf))).select(
         "archive", "domain", r6("score").alias("score"))
 
 
 @query
 def archive_majority(spark, sf):
-    """Only the documents that share an id with a row of embeddings."""
-    return D.archive_domain(_in_archives(_detections(spark, sf)), "majority").select(
-        "archive", "domain")
-
-
-@query
-def archive_majority_whole(spark, sf):
-    return D.archive_domain(_in_archives(_detected_whole(spark, sf)), "majority").select(
+    return D.archive_domain(_in_archives(_detected_documents(spark, sf)), "majority").select(
         "archive", "domain")
 
 
@@ -778,7 +733,7 @@ def topk_filtered(spark, sf):
 
 @query
 def topk_grid(spark, sf):
-    """The block grid used when the queries are too many to ship."""
+    """Queries block by block, as is done when they are too many to ship at once."""
     return _hits(S.fused_top_k(X.catalog(spark, sf), X.queries(spark, sf), 10, max_query_rows=0,
                                digits=DIGITS))
 
@@ -802,17 +757,6 @@ def tripass_search(spark, sf):
 
 @query
 def trust_score(spark, sf):
-    """Score of the documents that share an id with a query."""
-    docs = X.catalog(spark, sf).select(
-        "doc_id", "label", "snippet", "domain",
-        F.abs(F.element_at("vector", 1) * 4).alias("dist"), F.col("doc_id").alias("qid"))
-    scored = S.score_hits(docs, X.queries(spark, sf))
-    return scored.select("qid", r6("s_visual").alias("s_visual"), r6("s_text").alias("s_text"),
-                         "s_intent", r6("confidence_raw").alias("confidence"))
-
-
-@query
-def trust_score_whole(spark, sf):
     """Score of every document against the query that is assigned to it."""
     docs = X.catalog(spark, sf).select(
         "doc_id", "label", "snippet", "domain",
@@ -868,9 +812,9 @@ def _documents(spark, sf, rows=None):
         none.alias("suggested_label"), none.alias("image_path"))
 
 
-def _classified(spark, sf, docs, least=8):
+def _classified(spark, sf, docs):
     """The archive knows the words of the benchmark as labels; no contract exists yet."""
-    labels = X.label_words(spark, sf, least).select(F.lit("raw").alias("archive"), "label")
+    labels = X.label_words(spark, sf).select(F.lit("raw").alias("archive"), "label")
     contracts = spark.createDataFrame([], C.CONTRACT_SCHEMA)
     return C.catalog_rows(P.classify_documents(
         docs, contracts, labels, None, P.IngestSettings(label_threshold=0.3), 0))
@@ -884,46 +828,25 @@ def _ingested(catalog):
         F.get_json_object("extra", "$.label_method").alias("label_method"))
 
 
-def _ingest_full(spark, sf, **kw):
-    path = scratch_dir(spark, "catalog")
-    C.reset_catalog(_classified(spark, sf, _documents(spark, sf), **kw), path, "all")
-    return _ingested(C.read_catalog(spark, path))
-
-
 @query
 def ingest_full(spark, sf):
     """Every document through vectors, domain, label and catalog row, written and read back."""
-    return _ingest_full(spark, sf)
+    path = scratch_dir(spark, "catalog")
+    C.reset_catalog(_classified(spark, sf, _documents(spark, sf)), path, "all")
+    return _ingested(C.read_catalog(spark, path))
 
 
 @query
-def ingest_full_whole(spark, sf):
-    """With all words that the rule takes for labels."""
-    return _ingest_full(spark, sf, least=K.LABEL_MIN_LENGTH)
-
-
-def _ingest_incremental(spark, sf, **kw):
+def ingest_incremental(spark, sf):
+    """The labelled documents first, then everything: only unknown hashes are added."""
     path = scratch_dir(spark, "catalog")
     docs = _documents(spark, sf)
     first = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    C.append_catalog(_classified(spark, sf, first, **kw), path, "1")
-    C.append_catalog(
-        _classified(spark, sf, C.new_files(docs, C.read_catalog(spark, path)), **kw), path, "2")
+    C.append_catalog(_classified(spark, sf, first), path, "1")
+    C.append_catalog(_classified(spark, sf, C.new_files(docs, C.read_catalog(spark, path))), path, "2")
     return C.read_catalog(spark, path).select("source", "file_hash", "label", "batch")
 
 
-@query
-def ingest_incremental(spark, sf):
-    """The labelled documents first, then everything: only unknown hashes are added."""
-    return _ingest_incremental(spark, sf)
-
-
-@query
-def ingest_incremental_whole(spark, sf):
-    """With all words that the rule takes for labels."""
-    return _ingest_incremental(spark, sf, least=K.LABEL_MIN_LENGTH)
-
-
 @query
 def ingest_folders(spark, sf):
     """Tables written as CSV, TSV and text files, ingested from disk, and once more in vain."""
@@ -957,7 +880,7 @@ def catalog_metrics(spark, sf):
 @query
 def explorer_sample(spark, sf):
     """The rows of the explorer: at most so many, in the order of a digest."""
-    return N.sample_points(X.catalog(spark, sf).where("vector IS NOT NULL").select("doc_id"), n=300)
+    return N.sample_points(X.catalog(spark, sf).where("vector IS NOT NULL").select("doc_id"))
 
 
 @query
@@ -972,12 +895,6 @@ def domain_palette(spark, sf):
 
 # --- models -----------------------------------------------------------------
 
-def _confused(spark, sf):
-    det = _detected(spark, sf).select("vec_id", "shortlist", "confused")
-    docs = X.doc_files(spark, sf).select("doc_id", "path", "text", "lang")
-    return docs.join(det.withColumnRenamed("vec_id", "doc_id"), "doc_id")
-
-
 @query
 def build_prompts(spark, sf):
     d = X.doc_files(spark, sf)
@@ -990,16 +907,8 @@ def build_prompts(spark, sf):
 
 @query
 def arbitrate_domain(spark, sf):
-    """Only the documents that share an id with a row of embeddings."""
-    names = [f"d{i}" for i in range(10)]
-    return M.arbitrate_domains(_confused(spark, sf), RuleModel, names).select(
-        "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
-
-
-@query
-def arbitrate_domain_whole(spark, sf):
     names = [f"d{i}" for i in range(10)]
-    return M.arbitrate_domains(_detected_whole(spark, sf), RuleModel, names).select(
+    return M.arbitrate_domains(_detected_documents(spark, sf), RuleModel, names).select(
         "doc_id", "final_domain", r6("confidence").alias("confidence"), "justification")
 
 

@@ -117,20 +117,12 @@ class _ProbeSide(QuerySide):
         self.visits = {int(c): np.flatnonzero(visits[:, c]) for c in range(visits.shape[1])
                        if visits[:, c].any()}
 
-    def distances(self, batch):
-        rows, matrix = list_array_to_matrix(
-            batch.column(self.spec.catalog_vector), self.unit.shape[1])
-        unit, ok = unit_rows(matrix)
-        rows, unit = rows[ok], unit[ok]
+    def allowed(self, batch, rows):
         cells = np.asarray(batch.column("cell"))[rows]
-        out = np.full((len(self.qids), len(rows)), np.inf)
         for cell in np.unique(cells):
             members = self.visits.get(int(cell))
             if members is not None:
-                at = np.flatnonzero(cells == cell)
-                sims = self.unit[members] @ unit[at].T
-                out[np.ix_(members, at)] = np.round(1.0 - sims, self.digits) + 0.0
-        return rows, out
+                yield members, np.flatnonzero(cells == cell)
 
 
 def search_cells(
@@ -241,9 +233,9 @@ class _CodeSide(QuerySide):
         dist = np.stack([np.sqrt(t[at, codes].sum(axis=1)) for t in self.tables])
         return dist, np.asarray(batch.column("error"))
 
-    def distances(self, batch):
+    def tiles(self, batch):
         dist, error = self.brackets(batch)
-        return np.arange(batch.num_rows), dist + error[None, :]
+        yield np.arange(len(self.qids)), np.arange(batch.num_rows), dist + error[None, :]
 
 
 def search_codes(index: CodeIndex, queries: DataFrame, query_vector: str, k: int = 10,
@@ -288,9 +280,9 @@ def search_codes(index: CodeIndex, queries: DataFrame, query_vector: str, k: int
 class _WantedSide(QuerySide):
     """Exact distances, only for the queries a row was kept for."""
 
-    def distances(self, batch):
-        rows, dist = super().distances(batch)
-        wanted = np.full(dist.shape, False)
-        for at, r in enumerate(rows):
-            wanted[batch.column("_q")[int(r)].as_py(), at] = True
-        return rows, np.where(wanted, dist, np.inf)
+    def tiles(self, batch):
+        for queries, rows, dist in super().tiles(batch):
+            wanted = np.full((len(self.qids), len(rows)), False)
+            for at, r in enumerate(rows):
+                wanted[batch.column("_q")[int(r)].as_py(), at] = True
+            yield queries, rows, np.where(wanted[queries], dist, np.inf)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quillmap import constants as K
 from quillmap.functions.text import grams, text_match_ratio
 from quillmap.functions.vectors import fuse, list_array_to_matrix, unit_rows
-from quillmap.session import MAX_BROADCAST_ROWS, collect_bounded
+from quillmap.session import MAX_BROADCAST_ROWS, collect_bounded, write_scratch
 
 # distances are ranked at the precision of doubles; these digits only make equal vectors tie
 DIST_DIGITS = 12
+# distances that a task holds at a time: 16 MB
+TILE_QUERIES, TILE_ROWS = 1_024, 2_048
+# a sample is this part of the next one; the smallest has so many rows at least
+SAMPLE_STEP, LEAST_SAMPLE = 64, 65_536
+# more domains, or files with hits, than this are not named to a scan
+MAX_DOMAINS, MAX_FILES = 1_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -50,33 +57,61 @@ def has_filter() -> Column:
 
 
 class _RunningTopK:
-    """Best k catalog rows per query over the batches of one task; ties go to the lower id."""
+    """Best k catalog rows per query over the batches of one task; ties go to the lower id.
 
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.dist = [np.empty(0)] * n_queries
-        self.ids: list = [None] * n_queries
-        self.worst = np.full(n_queries, np.inf)
+    ``bound`` holds what is known of each query's k-th distance beforehand; rows beyond it are never kept.
+    """
 
-    def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
-        """``dist`` is queries x rows with inf for 'not allowed'; ``ids`` is sorted."""
-        limit = self.worst
+    def __init__(self, bound: np.ndarray, k: int):
+        self.k = k
+        self.worst = bound.copy()
+        self.held = np.zeros(len(bound), dtype=np.int64)
+        self.dist = np.full((len(bound), k), np.inf)
+        self.at: dict[str, np.ndarray] = {}      # columns of the rows held, (queries, k)
+
+    def add(self, queries: np.ndarray, dist: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        """``dist`` is queries x rows with inf for 'not allowed'; the first column is the sorted id."""
+        limit = self.worst[queries]
         if dist.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
-        allowed = (dist <= limit[:, None]) & np.isfinite(dist)
-        for q in np.flatnonzero(allowed.any(axis=1)):
-            at = np.flatnonzero(allowed[q])
-            # both parts are cut to k before they are merged, however many rows tie
-            best = at[np.argsort(dist[q, at], kind="stable")[: self.k]]
-            new_d, new_i = dist[q, best], ids[best]
-            if self.ids[q] is not None:
-                new_d = np.concatenate([self.dist[q], new_d])
-                new_i = np.concatenate([self.ids[q], new_i])
-            by_id = np.argsort(new_i, kind="stable")
-            order = by_id[np.argsort(new_d[by_id], kind="stable")][: self.k]
-            self.dist[q], self.ids[q] = new_d[order], new_i[order]
-            if len(order) == self.k:
-                self.worst[q] = self.dist[q][-1]
+        q, r = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        if not len(q):
+            return
+        if not self.at:
+            self.at = {n: np.empty((len(self.worst), self.k), dtype=c.dtype) for n, c in columns.items()}
+        # both parts are cut to k before they are merged, however many rows tie
+        found = dist[q, r]
+        order = np.lexsort((r, found, q))
+        order = order[_place(q[order]) < self.k]
+        q, found = queries[q[order]], found[order]
+        new = {n: c[r[order]] for n, c in columns.items()}
+        touched = np.unique(q)
+        had = np.arange(self.k)[None, :] < self.held[touched, None]
+        q = np.concatenate([np.repeat(touched, self.held[touched]), q])
+        found = np.concatenate([self.dist[touched][had], found])
+        new = {n: np.concatenate([self.at[n][touched][had], c]) for n, c in new.items()}
+        _, rank = np.unique(next(iter(new.values())), return_inverse=True)
+        order = np.lexsort((rank, found, q))
+        q = q[order]
+        place = _place(q)
+        kept = place < self.k
+        order, q, place = order[kept], q[kept], place[kept]
+        self.dist[q, place] = found[order]
+        for n, c in new.items():
+            self.at[n][q, place] = c[order]
+        self.held[touched] = np.bincount(np.searchsorted(touched, q), minlength=len(touched))
+        full = touched[self.held[touched] == self.k]
+        self.worst[full] = np.minimum(self.worst[full], self.dist[full, -1])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(query, distance, columns) of all that is held."""
+        q, place = np.nonzero(np.arange(self.k)[None, :] < self.held[:, None])
+        return q, self.dist[q, place], {n: c[q, place] for n, c in self.at.items()}
+
+
+def _place(q: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its query; ``q`` is sorted."""
+    return np.arange(len(q)) - np.searchsorted(q, q, side="left")
 
 
 class QuerySide:
@@ -99,30 +134,42 @@ class QuerySide:
             for at, i in enumerate(keep):
                 self.groups.setdefault(pairs[i], []).append(at)
         self.qids = table["qid"].take(pa.array(rows, type=pa.int64())).to_pylist()
+        self.bound = np.full(len(self.qids), np.inf)
+
+    def allowed(self, batch: pa.RecordBatch | pa.Table, rows: np.ndarray
+                ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, places in ``rows``) that may meet: all, or those of each filter."""
+        if self.groups is None:
+            yield np.arange(len(self.qids)), np.arange(len(rows))
+            return
+        in_domain: dict = {None: np.ones(len(rows), dtype=bool)}
+        has_label = dict(in_domain)
+        for (f_domain, f_label), members in self.groups.items():
+            if f_domain not in in_domain:
+                hit = pc.fill_null(pc.equal(batch.column("domain"), f_domain), False)
+                in_domain[f_domain] = np.asarray(hit)[rows]
+            if not in_domain[f_domain].any():
+                continue
+            if f_label not in has_label:
+                hit = pc.fill_null(pc.match_substring(batch.column("label"), f_label), False)
+                has_label[f_label] = np.asarray(hit)[rows]
+            at = np.flatnonzero(in_domain[f_domain] & has_label[f_label])
+            if len(at):
+                yield np.array(members), at
 
-    def distances(self, batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers of the batch, queries x rows cosine distances)."""
+    def tiles(self, batch: pa.RecordBatch | pa.Table
+              ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, row numbers of the batch, their cosine distances), a bounded tile at a time."""
         rows, matrix = list_array_to_matrix(batch.column(self.spec.catalog_vector),
                                             self.unit.shape[1])
         unit, ok = unit_rows(matrix)
         rows, unit = rows[ok], unit[ok]
-        if self.groups is None:
-            return rows, np.round(1.0 - self.unit @ unit.T, self.digits) + 0.0
-        out = np.full((len(self.qids), len(rows)), np.inf)
-        domain, label = batch.column("domain"), batch.column("label")
-        for (f_domain, f_label), members in self.groups.items():
-            mask = np.ones(len(rows), dtype=bool)
-            if f_domain is not None:
-                hit = pc.fill_null(pc.equal(domain, f_domain), False)
-                mask &= np.asarray(hit)[rows]
-            if f_label is not None:
-                hit = pc.fill_null(pc.match_substring(label, f_label), False)
-                mask &= np.asarray(hit)[rows]
-            at = np.flatnonzero(mask)
-            if len(at):
-                sims = self.unit[members] @ unit[at].T
-                out[np.ix_(members, at)] = np.round(1.0 - sims, self.digits) + 0.0
-        return rows, out
+        for members, at in self.allowed(batch, rows):
+            for i in range(0, len(members), TILE_QUERIES):
+                some = members[i:i + TILE_QUERIES]
+                for j in range(0, len(at), TILE_ROWS):
+                    here = at[j:j + TILE_ROWS]
+                    yield some, rows[here], np.round(1.0 - self.unit[some] @ unit[here].T, self.digits) + 0.0
 
 
 def _sorted_ids(batch, id_col: str):
@@ -132,36 +179,38 @@ def _sorted_ids(batch, id_col: str):
     return ids, order
 
 
-def _scan_block(batches, sides: list[QuerySide], k: int, id_col: str):
-    """Running top-k of every pass over the batches of one task, as Arrow batches."""
-    tops = [_RunningTopK(len(s.qids), k) for s in sides]
+def _scan_block(batches, sides: list[QuerySide], k: int, carried: list[str]):
+    """Running top-k of every pass over the batches of one task; ``carried``: the id and what comes along."""
+    tops = [_RunningTopK(s.bound, k) for s in sides]
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, order = _sorted_ids(batch, id_col)
+        ids, order = _sorted_ids(batch, carried[0])
         batch = batch.take(pa.array(order))
-        ids = ids[order]
+        columns = {carried[0]: ids[order]}
+        for name in carried[1:]:
+            columns[name] = np.asarray(batch.column(name).to_numpy(zero_copy_only=False))
         for side, top in zip(sides, tops):
             if side.qids:
-                rows, dist = side.distances(batch)
-                if len(rows):
-                    top.add(dist, ids[rows])
-    out = {"pass_no": [], "qid": [], id_col: [], "dist": []}
+                for queries, rows, dist in side.tiles(batch):
+                    top.add(queries, dist, {n: c[rows] for n, c in columns.items()})
+    out = {name: [] for name in ("pass_no", "qid", *carried, "dist")}
     for side, top in zip(sides, tops):
-        for q, ids in enumerate(top.ids):
-            if ids is not None:
-                out["pass_no"] += [side.spec.pass_no] * len(ids)
-                out["qid"] += [side.qids[q]] * len(ids)
-                out[id_col] += ids.tolist()
-                out["dist"] += top.dist[q].tolist()
+        q, dist, columns = top.rows()
+        if len(q):
+            out["pass_no"] += [side.spec.pass_no] * len(q)
+            out["qid"] += [side.qids[i] for i in q]
+            out["dist"] += dist.tolist()
+            for name in carried:
+                out[name] += columns[name].tolist()
     return out
 
 
-def hit_schema(catalog: DataFrame, queries: DataFrame, id_col: str) -> T.StructType:
+def hit_schema(catalog: DataFrame, queries: DataFrame, id_col: str, carry: list[str] = ()) -> T.StructType:
     return T.StructType([
         T.StructField("pass_no", T.IntegerType()),
         T.StructField("qid", queries.schema["qid"].dataType),
-        T.StructField(id_col, catalog.schema[id_col].dataType),
+        *[T.StructField(c, catalog.schema[c].dataType) for c in (id_col, *carry)],
         T.StructField("dist", T.DoubleType()),
     ])
 
@@ -193,30 +242,100 @@ def top_k(
     k: int = 10,
     id_col: str = "doc_id",
     max_query_rows: int | None = None,
-    block_rows: int = 65_536,
-    block_queries: int = 4_096,
+    block_queries: int = MAX_BROADCAST_ROWS // 2,
     digits: int = DIST_DIGITS,
+    carry: list[str] = (),
+    least_sample: int = LEAST_SAMPLE,
 ) -> DataFrame:
-    """Exact k nearest catalog rows per query and pass: (pass_no, qid, id, dist, rk).
-
-    All passes share one scan that reads the id, the vectors and the predicate columns only. Every
-    task keeps k rows per query, so the shuffle carries tasks x queries x k rows whatever the
-    catalog holds. The query matrix is shipped only when it is within the broadcast bounds; beyond
-    them ``_grid`` cuts both sides into blocks.
+    """Exact k nearest catalog rows per query and pass: (pass_no, qid, id, carried columns, dist, rk).
+
+    All passes share one scan that reads the id, the vectors and the predicate columns only. Samples
+    of the catalog, each ``SAMPLE_STEP`` times as large as the one before, first bound every query's
+    k-th distance, and tasks send on only rows within the bound: about ``SAMPLE_STEP`` x k a query,
+    however many tasks there are. Distances are made in tiles, so a task's memory does not depend on the
+    number of queries. Queries ship with the tasks when they are within the broadcast bounds; more of
+    them go block by block, each in a scan of its own, and the catalog is never shuffled.
     """
     cat_cols, _ = _columns(passes, id_col)
-    slim = catalog.select(*cat_cols)
     asked = query_columns(queries, passes)
-    schema = hit_schema(catalog, asked, id_col)
+    slim = catalog.select(*cat_cols, *carry)
+    schema = hit_schema(slim, asked, id_col, carry)
     table = collect_bounded(asked, max_query_rows)
-    if table is not None:
-        hits = scan_sides(slim, [QuerySide(table, p, digits) for p in passes], k, id_col, schema)
-    else:
-        hits = _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries,
-                     digits)
+    tables = [table] if table is not None else query_blocks(asked, block_queries)
+    samples, found = None, []
+    for block in tables:
+        sides = [QuerySide(block, p, digits) for p in passes]
+        if not any(s.qids for s in sides):
+            continue
+        if samples is None:
+            samples = sample_levels(slim, id_col, least_sample)
+        scan = _in_domains(slim, sides)
+        for sample in samples:
+            tighten(sides, scan_sides(_in_domains(sample, sides), sides, k, id_col, schema, carry), k, digits)
+        hits = scan_sides(scan, sides, k, id_col, schema, carry)
+        found.append(hits if table is not None else write_scratch(hits, "hits"))
+    if not found:
+        found = [catalog.sparkSession.createDataFrame([], schema)]
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
     return best_k(hits, k, id_col)
 
 
+def sample_levels(slim: DataFrame, id_col: str, least: int = LEAST_SAMPLE) -> list[DataFrame]:
+    """Samples by a hash of the id, the smallest first, each a written ``SAMPLE_STEP``-th of the next.
+
+    None for catalogs of fewer than ``SAMPLE_STEP`` times the least sample.
+    """
+    levels, rows, total = [], slim, slim.count()
+    while total >= least * SAMPLE_STEP:
+        step = SAMPLE_STEP ** (len(levels) + 1)
+        rows = write_scratch(rows.where(F.pmod(F.xxhash64(F.lit(id_col), id_col), F.lit(step)) == 0), "sample")
+        levels.insert(0, rows)
+        total //= SAMPLE_STEP
+    return levels
+
+
+def tighten(sides: list[QuerySide], hits: DataFrame, k: int, digits: int) -> None:
+    """Lower each query's bound to its k-th distance among ``hits`` of a part of the catalog."""
+    kth = best_k(hits, k, hits.columns[2]).where(F.col("rk") == k).select("pass_no", "qid", "dist").collect()
+    of = {(r["pass_no"], r["qid"]): r["dist"] for r in kth}    # a row per query of a bounded block
+    slack = 2 * 10.0 ** -digits                                # the same distance may be rounded apart
+    for side in sides:
+        new = np.array([of.get((side.spec.pass_no, q), np.inf) for q in side.qids]) + slack
+        side.bound = np.minimum(side.bound, new)
+
+
+def query_blocks(asked: DataFrame, rows: int) -> Iterator[pa.Table]:
+    """The queries in Arrow tables within the broadcast bounds, about ``rows`` in each.
+
+    A block with too many bytes is halved. Rows are dealt by their place in a written table, so
+    queries that share an id cannot make a block hot.
+    """
+    asked = write_scratch(asked.withColumn("_slot", F.xxhash64(F.monotonically_increasing_id())), "queries")
+    n = max(1, math.ceil(asked.count() / max(1, rows)))
+    left = [(n, i) for i in range(n)]
+    while left:
+        n, i = left.pop()
+        if n > 1 << 40:
+            raise ValueError("a query is too large to be shipped")
+        table = collect_bounded(asked.where(F.pmod("_slot", F.lit(n)) == i).drop("_slot"))
+        if table is None:
+            left += [(2 * n, i), (2 * n, i + n)]
+        elif table.num_rows:
+            yield table
+
+
+def _in_domains(slim: DataFrame, sides: list[QuerySide]) -> DataFrame:
+    """Only the domains asked for, if every pass filters by one; prunes a catalog that is laid out by domain."""
+    if any(s.groups is None for s in sides):
+        return slim
+    domains = {d for s in sides for d, _ in s.groups}
+    if None in domains or len(domains) > MAX_DOMAINS:
+        return slim
+    return slim.where(F.col("domain").isin(sorted(domains)))
+
+
 def best_k(hits: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     """Global cut of task-local hits, per pass and query; Spark cuts on the map side as well."""
     w = Window.partitionBy("pass_no", "qid").orderBy("dist", id_col)
@@ -224,46 +343,19 @@ def best_k(hits: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
 
 
 def scan_sides(slim: DataFrame, sides: list[QuerySide], k: int, id_col: str,
-               schema: T.StructType) -> DataFrame:
+               schema: T.StructType, carry: list[str] = ()) -> DataFrame:
     """Task-local top-k of every side over one scan."""
     shared = slim.sparkSession.sparkContext.broadcast(sides)
     arrow_schema = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
-            _scan_block(batches, shared.value, k, id_col), schema=arrow_schema
+            _scan_block(batches, shared.value, k, [id_col, *carry]), schema=arrow_schema
         )
 
     return slim.mapInArrow(scan, schema)
 
 
-def _grid(slim, asked, passes, k, id_col, schema, block_rows, block_queries, digits) -> DataFrame:
-    """Both sides too large to ship: a grid of bounded blocks, each pair of blocks one task.
-
-    Rows go to blocks by hash, so no key can make a block hot. A catalog row is sent once per query
-    block and a query once per catalog block.
-    """
-    n_rows = max(1, math.ceil(slim.count() / block_rows))
-    n_cols = max(1, math.ceil(asked.count() / block_queries))
-    left = slim.withColumns({
-        "_r": F.pmod(F.xxhash64(id_col), F.lit(n_rows)).cast("int"),
-        "_c": F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))),
-    })
-    right = asked.withColumns({
-        "_c": F.pmod(F.xxhash64("qid"), F.lit(n_cols)).cast("int"),
-        "_r": F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))),
-    })
-    arrow_schema = to_arrow_schema(schema)
-
-    def block(rows: pa.Table, cols: pa.Table) -> pa.Table:
-        found = {name: [] for name in arrow_schema.names}
-        if rows.num_rows and cols.num_rows:
-            found = _scan_block([rows], [QuerySide(cols, p, digits) for p in passes], k, id_col)
-        return pa.Table.from_pydict(found, schema=arrow_schema)
-
-    return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(block, schema)
-
-
 def visual_top_k(catalog: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
     """Nearest rows by the image vector; rows without an image take no part."""
     return top_k(catalog, queries, (VISUAL_PASS,), k, **kw)
@@ -280,16 +372,31 @@ def filtered_top_k(catalog: DataFrame, queries: DataFrame, k: int = 10, **kw) ->
 
 # --- merge, score, rank -----------------------------------------------------
 
+def with_files(catalog: DataFrame) -> DataFrame | None:
+    """The catalog with the file of each row as ``_file``; None if it is not a plain scan of files."""
+    try:
+        return catalog.withColumn("_file", F.col("_metadata.file_path"))
+    except AnalysisException:
+        return None
+
+
 def attach_payload(
     hits: DataFrame, catalog: DataFrame, columns: list[str], id_col: str = "doc_id",
     max_hits: int | None = None,
 ) -> DataFrame:
     """Bring catalog columns to the hits; only now are wide columns read.
 
-    ``max_hits`` is the proven size of the hits (queries x passes x k): within the broadcast bound
-    the hits travel to the catalog scan, beyond it Catalyst joins by shuffle.
+    Hits that carry the ``_file`` they were found in name the files to be read; up to ``MAX_FILES`` of
+    them prune the scan. ``max_hits`` is the proven size of the hits (queries x passes x k): within the
+    broadcast bound the hits travel to the catalog scan, beyond it Catalyst joins by shuffle.
     """
-    payload = catalog.select(id_col, *columns)
+    payload = catalog
+    if "_file" in hits.columns:
+        files = collect_bounded(hits.select("_file").distinct(), MAX_FILES)
+        if files is not None:
+            payload = catalog.where(F.col("_metadata.file_path").isin(files["_file"].to_pylist()))
+        hits = hits.drop("_file")
+    payload = payload.select(id_col, *columns)
     if max_hits is not None and max_hits <= MAX_BROADCAST_ROWS:
         hits = F.broadcast(hits)
     return payload.join(hits, id_col)

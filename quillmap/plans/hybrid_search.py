@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quillmap.operators import search as S
+from quillmap.session import write_scratch
 
 
 def hybrid_search(
@@ -21,9 +22,15 @@ def hybrid_search(
     """Ranked hits of every query.
 
     ``catalog`` needs id, doc_hash, visual, vector, domain, label, snippet, source, extra;
-    ``queries`` is the output of ``prepare_queries``.
+    ``queries`` is the output of ``prepare_queries``. The first scan reads vectors and predicate
+    columns of all rows and notes where each hit lies; the second reads the wide columns of the files
+    that hold one.
     """
-    hits = S.top_k(catalog, queries, S.ALL_PASSES, k, id_col, max_query_rows, digits=digits)
+    located = S.with_files(catalog)
+    hits = S.top_k(catalog if located is None else located, queries, S.ALL_PASSES, k, id_col, max_query_rows,
+                   digits=digits, carry=[] if located is None else ["_file"])
+    if located is not None:
+        hits = write_scratch(hits, "hits")
     bound = S.MAX_BROADCAST_ROWS if max_query_rows is None else max_query_rows
     n_queries = queries.select("qid").limit(bound + 1).count()
     max_hits = n_queries * len(S.ALL_PASSES) * k if n_queries <= bound else None

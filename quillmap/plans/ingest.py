@@ -28,6 +28,7 @@ from quillmap.operators import structure as I
 from quillmap.session import write_scratch
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
+from quillmap.sources import ranges as G
 
 
 @dataclass(frozen=True)
@@ -162,8 +163,7 @@ def image_vector(settings: IngestSettings):
 ERROR_SCHEMA = "path string, stage string, message string"
 
 
-def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
-                   settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
+def load_documents(spark: SparkSession, tasks: DataFrame, settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of the task files and of no others.
 
     Documents are (path, archive, file_hash, position, type, content, record, suggested_label,
@@ -178,28 +178,23 @@ def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
     def failed(rows: DataFrame, stage: str, message) -> None:
         errors.append(rows.select("path", F.lit(stage).alias("stage"), message.alias("message")))
 
-    def source(kind: str):
-        """What the reader of a type is given: its files, or the folders and the extension."""
-        paths = R.chosen_paths(of_type[kind])
-        return (folders, f".{kind}") if paths is None else (paths, None)
-
-    for kind, read in (("csv", R.read_mixed_delimited), ("tsv", R.read_mixed_delimited)):
-        paths, ext = source(kind)
-        if paths:
-            parts.append(read(spark, paths, kind, ext))
-    paths, ext = source("json")
-    if paths:
-        texts = R.read_whole_texts(spark, paths, ext)
-        parts.append(R.json_documents(texts))
-        failed(texts.join(of_type["json"].select("path"), "path", "left_semi").where(
-            F.try_parse_json(one_json_value(F.col("text"))).isNull()), "json", F.lit("not valid JSON"))
-    paths, ext = source("txt")
-    if paths:
-        parts.append(R.read_txt(spark, paths, ext))
+    for kind in ("csv", "tsv"):
+        rows, bad = R.delimited_documents(of_type[kind], kind)
+        parts.append(rows)
+        failed(bad, kind, F.col("message"))
+    texts, bad = R.whole_texts(of_type["json"])
+    parts.append(R.json_documents(texts))
+    failed(bad, "json", F.col("message"))
+    failed(texts.where(F.try_parse_json(one_json_value(F.col("text"))).isNull()), "json", F.lit("not valid JSON"))
+    texts, bad = R.whole_texts(of_type["txt"])
+    parts.append(R.txt_documents(texts))
+    failed(bad, "txt", F.col("message"))
 
     def extracted(kind: str, extractor, schema: str) -> DataFrame:
         """What an extractor makes of the task files; it sees each once."""
-        rows = E.extract(R.file_contents(spark, of_type[kind], folders), extractor, schema)
+        files = G.contents(of_type[kind])
+        failed(files.where("error IS NOT NULL"), kind, F.col("error"))
+        rows = E.extract(files.where("error IS NULL").select("path", "content"), extractor, schema)
         rows = write_scratch(rows, f"{kind}-rows")
         failed(rows.where("error IS NOT NULL"), kind, F.col("error"))
         return rows.where("error IS NULL")
@@ -224,7 +219,7 @@ def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
         docs = docs.unionByName(part.select(*names))
     docs = docs.withColumn("visual", F.lit(None).cast("array<double>"))
 
-    images = R.file_contents(spark, of_type["image"], folders).select(
+    images = G.contents(of_type["image"]).where("error IS NULL").select(
         "path", F.lit(0).cast("bigint").alias("position"), F.lit("image").alias("type"),
         image_vector(settings).alias("visual"))
     if settings.ocr is not None:
@@ -242,8 +237,7 @@ def load_documents(spark: SparkSession, folders: list[str], tasks: DataFrame,
     return docs.join(tasks.select("path", "archive", "file_hash"), "path"), all_errors
 
 
-def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
-                settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
+def link_images(docs: DataFrame, members: DataFrame, settings: IngestSettings) -> tuple[DataFrame, DataFrame]:
     """(documents, file plans): records take over the vector of the image they name.
 
     ``members`` are all files of the opened archives, so that a new record finds an image that an
@@ -276,8 +270,8 @@ def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
     # images outside this run's tasks: usually none, and then nothing is read
     older = linked.where("image_path IS NOT NULL").select("image_path").distinct().join(
         fresh, "image_path", "left_anti")
-    older = write_scratch(older.withColumnRenamed("image_path", "path"), "older-images")
-    again = R.file_contents(docs.sparkSession, older, folders).select(
+    older = older.withColumnRenamed("image_path", "path").join(members.select("path", "length"), "path")
+    again = G.contents(write_scratch(older, "older-images")).where("error IS NULL").select(
         F.col("path").alias("image_path"),
         image_vector(settings).alias("_v"))
     vectors = fresh.unionByName(again)
@@ -286,28 +280,24 @@ def link_images(docs: DataFrame, members: DataFrame, folders: list[str],
     return I.drop_linked_images(merged, linked.where("record IS NOT NULL")), plans
 
 
-def file_hashes(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
-    """(path, archive, type, file_hash): small files are read whole, of large ones three slices."""
+def file_hashes(files: DataFrame) -> DataFrame:
+    """(path, archive, type, length, file_hash): small files are read whole, of large ones three slices.
+
+    A file that cannot be read now has no row; a later run meets it again."""
     known = files.select("path", "archive", "type", "length", "mtime")
     small = known.where(F.col("length") <= K.FINGERPRINT_FULL_BYTES)
-    whole = R.file_contents(spark, small, folders).join(small, "path").select(
+    whole = G.contents(small).where("error IS NULL").join(small, "path").select(
         "path", fingerprint(F.col("content"), F.col("length"), F.col("mtime")).alias("file_hash"))
     large = known.where(F.col("length") > K.FINGERPRINT_FULL_BYTES)
     sliced = R.read_ranges(large, K.FINGERPRINT_SLICE_BYTES).select(
         "path", fingerprint_of_slices(F.col("slices"), F.col("length"), F.col("mtime")).alias("file_hash"))
-    return known.drop("length", "mtime").join(whole.unionByName(sliced), "path").select(
-        "path", "archive", "type", "file_hash")
+    return known.drop("mtime").join(whole.unionByName(sliced), "path").select(
+        "path", "archive", "type", "length", "file_hash")
 
 
-def mapping_lines(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
+def mapping_lines(files: DataFrame) -> DataFrame:
     """(archive, line, seq) of the mapping files, line by line."""
-    paths = R.chosen_paths(files)
-    if paths == []:
-        return spark.createDataFrame([], "archive string, line string, seq string")
-    if paths is None:
-        lines = R.read_lines(spark, [f"{f}/**/{{*.txt,*.csv,*.tsv}}" for f in folders])
-    else:
-        lines = R.read_lines(spark, paths)
+    lines = G.text_lines_of(files)
     return lines.join(files.select("path", "archive"), "path").select(
         "archive", "line", F.struct("path", "pos").alias("seq"))
 
@@ -353,9 +343,8 @@ def ingest(
         return IngestResult(batch, 0, none, unsupported,
                             spark.createDataFrame([], "status string, n bigint"))
 
-    folders = [root]                 # only read as a whole where the files are too many to list
     files = listing.join(opened, "archive", "left_semi")
-    members = files = write_scratch(file_hashes(spark, files, folders), "members")
+    members = files = write_scratch(file_hashes(files), "members")
     others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
     if mode == "r":
         others = others.where("false")
@@ -367,9 +356,9 @@ def ingest(
     tasks = write_scratch(C.new_files(files, others).join(linked, "path", "left_anti"), "tasks")
 
     # the sources are read once; linking and labelling work on the written documents
-    docs, errors = load_documents(spark, folders, tasks, settings)
+    docs, errors = load_documents(spark, tasks, settings)
     docs = write_scratch(docs, "documents")
-    docs, _ = link_images(docs, members, folders, settings)
+    docs, _ = link_images(docs, members, settings)
     counts = docs.groupBy("path").agg(F.count("*").alias("_n"))
     docs = docs.join(counts, "path").withColumns({
         "doc_hash": record_hash(F.col("file_hash"), F.col("position"), F.col("_n")),
@@ -377,7 +366,7 @@ def ingest(
                         .cast("binary")),
     }).drop("_n")
 
-    lines = mapping_lines(spark, members.where(I.is_mapping_file(F.col("path"))), folders)
+    lines = mapping_lines(members.where(I.is_mapping_file(F.col("path"))))
     labels = I.mapping_labels(lines, ["archive"]).unionByName(
         I.folder_labels(members, ["archive"])).distinct()
     columns_path = f"{contracts_path}.columns"

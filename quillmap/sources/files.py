@@ -7,26 +7,18 @@ that it runs on tables as well.
 
 from __future__ import annotations
 
-import csv
-import io
-import re
 from collections.abc import Iterator
-from urllib.parse import quote
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmap import constants as K
 from quillmap.functions.text import clean_text, is_hidden, one_json_value, route
-from quillmap.session import collect_bounded, write_scratch
+from quillmap.sources import ranges as G
+from quillmap.sources.delimited import delimited_records, header_names  # noqa: F401
 
-# files that are named to a reader one by one; beyond it their folders are read and filtered
-MAX_LISTED_FILES = 10_000
 DOCUMENT_COLUMNS = ["path", "position", "type", "content", "record", "suggested_label"]
 
 
@@ -41,58 +33,22 @@ def source_path() -> Column:
     return plain_path(F.url_decode(encoded))
 
 
-def any_case_glob(ext: str) -> str:
-    """Glob for an extension in any case: ``*.[cC][sS][vV]``."""
-    return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext.lstrip("."))
+def list_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, length, mtime) of every file below ``root``; listed by the executors, no byte is read."""
+    return G.list_tree(spark, root).withColumn("path", plain_path(F.col("path")))
 
 
-def _tree(spark: SparkSession, ext: str | None = None):
-    """Reader of whole folder trees, of one extension if given."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    return reader if ext is None else reader.option("pathGlobFilter", any_case_glob(ext))
-
-
-def list_files(spark: SparkSession, root: str | list[str], with_content: bool = False
-               ) -> DataFrame:
-    """(path, length, mtime[, content]) of every file below ``root``.
-
-    Without the content only file metadata is listed; no byte is read.
-    """
-    listed = (
-        _tree(spark).format("binaryFile").load(root)
-        .withColumns({"mtime": F.unix_micros("modificationTime"),
-                      "path": plain_path(F.col("path"))})
-    )
-    cols = ["path", "length", "mtime"] + (["content"] if with_content else [])
-    return listed.select(*cols)
-
-
-def scan_files(spark: SparkSession, root: str | list[str], with_content: bool = False
-               ) -> DataFrame:
+def scan_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """``list_files`` of the supported, visible files, with their type."""
-    return supported_files(list_files(spark, root, with_content))
-
-
-def literal_path(path: str) -> str:
-    """A path whose glob characters stand for themselves."""
-    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", path)
-
+    return supported_files(list_files(spark, root))
 
-def chosen_paths(files: DataFrame, max_files: int = MAX_LISTED_FILES) -> list[str] | None:
-    """The paths of a frame as reader arguments; None if they are too many to list."""
-    table = collect_bounded(files.select("path").distinct(), max_files)
-    return None if table is None else [literal_path(p) for p in table["path"].to_pylist()]
 
-
-def file_contents(spark: SparkSession, files: DataFrame, folders: list[str]) -> DataFrame:
-    """(path, content) of the given files: named to the reader, or picked from their folders."""
-    paths = chosen_paths(files)
-    if paths == []:
-        return files.sparkSession.createDataFrame([], "path string, content binary")
-    if paths is not None:
-        return list_files(spark, paths, True).select("path", "content")
-    return list_files(spark, folders, True).select("path", "content").join(
-        files.select("path"), "path", "left_semi")
+def files_of(spark: SparkSession, source: str | list[str] | DataFrame, ext: str | None = None) -> DataFrame:
+    """(path, length) of a frame of files, or of the files below folders; of one extension if given."""
+    files = source if isinstance(source, DataFrame) else list_files(spark, source)
+    if ext is not None:
+        files = files.where(F.lower("path").endswith(ext.lower()))
+    return files.select("path", "length")
 
 
 def read_ranges(files: DataFrame, slice_bytes: int) -> DataFrame:
@@ -101,7 +57,7 @@ def read_ranges(files: DataFrame, slice_bytes: int) -> DataFrame:
         for batch in batches:
             out = []
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                store, name = pa_fs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+                store, name = G.open_store(path)
                 with store.open_input_file(name) as f:
                     out.append(b"".join(
                         f.read_at(min(slice_bytes, length - at), at)
@@ -110,18 +66,10 @@ def read_ranges(files: DataFrame, slice_bytes: int) -> DataFrame:
                 [*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "slices"])
 
     slim = files.select("path", "length", "mtime")
+    slim = slim.repartition(max(1, min(G.MAX_TASKS, -(-slim.count() // G.FILES_EACH))))
     return slim.mapInArrow(read, T.StructType([*slim.schema, T.StructField("slices", T.BinaryType())]))
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """(path, pos, line) of text files of any size; ``pos`` sorts a file's lines."""
-    lines = spark.read.text(paths).select(
-        source_path().alias("raw"),
-        F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
-    return _numbered(lines, ["raw", "start"]).select(
-        F.col("raw").alias("path"), F.struct("start", "nth").alias("pos"), "line")
-
-
 def supported_files(files: DataFrame) -> DataFrame:
     """Add the loader type; drop hidden files and extensions nothing reads."""
     path = F.col("path")
@@ -159,113 +107,21 @@ def read_delimited(spark: SparkSession, paths, kind: str = "csv", multi_line: bo
         F.monotonically_increasing_id().alias("position"), *as_document(record, kind))
 
 
-def header_names(cells: list[str]) -> list[str]:
-    """Column names of a header: trimmed, ``_c<i>`` for an empty cell, ``name.1`` for a repeated one."""
-    names: list[str] = []
-    for i, cell in enumerate(cells):
-        name = base = cell.strip() or f"_c{i}"
-        n = 0
-        while name in names:
-            n += 1
-            name = f"{base}.{n}"
-        names.append(name)
-    return names
+def separator(kind: str) -> str:
+    return "\t" if kind == "tsv" else ","
 
 
-def _is_open(line: str) -> bool:
-    """Whether a quoted cell is still open at the end."""
-    return line.count('"') % 2 == 1
+def delimited_documents(files: DataFrame, kind: str = "csv", range_bytes: int | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """(documents, (path, message)) of files with headers of their own; ``position`` is the record's index in
+    its file."""
+    rows, errors = delimited_records(files, separator(kind), range_bytes)
+    return rows.select("path", "position", *as_document(F.col("record"), kind)), errors
 
 
-def _split_facts(lines: DataFrame, sep: str) -> DataFrame:
-    """One row for each split of a file: its lines, whether one leaves a quote open, and in the first
-    split the header's names."""
-    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[str, int], list] = {}
-        for batch in batches:
-            for raw, start, line in zip(*(batch.column(c).to_pylist() for c in ("raw", "start", "line"))):
-                row = rows.setdefault((raw, start), [0, False, "", True])
-                odd = _is_open(line)
-                row[0] += 1
-                row[1] |= odd
-                if row[3]:                                     # the header may run over lines
-                    row[2] += ("\n" if row[2] else "") + line
-                    row[3] = _is_open(row[2])
-        names = [header_names(next(csv.reader(io.StringIO(r[2]), delimiter=sep))) if r[2] else []
-                 for r in rows.values()]
-        yield pa.record_batch({
-            "raw": pa.array([k[0] for k in rows], pa.string()),
-            "start": pa.array([k[1] for k in rows], pa.int64()),
-            "n": pa.array([r[0] for r in rows.values()], pa.int64()),
-            "quoted_breaks": pa.array([r[1] for r in rows.values()], pa.bool_()),
-            "names": pa.array(names, pa.list_(pa.string())),
-        })
-
-    return lines.mapInArrow(
-        facts, "raw string, start bigint, n bigint, quoted_breaks boolean, names array<string>")
-
-
-def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``nth``, the place of a row among those of its file or split, in reading order."""
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, 0
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in by)))
-            nth = np.empty(len(keys), dtype=np.int64)
-            for i, key in enumerate(keys):
-                seen = seen + 1 if key == last else 0
-                last, nth[i] = key, seen
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nth)], names=[*batch.schema.names, "nth"])
-
-    return rows.mapInArrow(number, T.StructType([*rows.schema, T.StructField("nth", T.LongType())]))
-
-
-def read_mixed_delimited(spark: SparkSession, paths, kind: str = "csv", ext: str | None = None
-                         ) -> DataFrame:
-    """Files with different headers in one plan; ``position`` is the record's index in its file.
-
-    A first pass over the lines finds each file's header, the lines of each split and the files in
-    which a quoted cell runs over a line break. All other files stay splittable: their lines are
-    parsed where they are read, and the counts of the splits before turn the place of a line into
-    the record's index, however the file is split. The rest is read file by file as a stream. A row
-    with fewer cells than the header has NULLs, cells beyond the header are dropped.
-    """
-    sep = "\t" if kind == "tsv" else ","
-    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}
-    lines = _tree(spark, ext).text(paths).select(
-        source_path().alias("raw"),
-        F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"),
-    ).where("line <> ''")
-    splits = write_scratch(_split_facts(lines, sep), "splits")
-    files = splits.groupBy("raw").agg(
-        F.max("quoted_breaks").alias("quoted_breaks"), F.min_by("names", "start").alias("names"))
-    files = write_scratch(files, "headers")
-    width = files.agg(F.max(F.size("names"))).head()[0] or 1
-    slots = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{s} string" for s in slots)
-
-    before = F.sum("n").over(Window.partitionBy("raw").orderBy("start").rowsBetween(
-        Window.unboundedPreceding, -1))
-    places = splits.select("raw", "start", F.coalesce(before, F.lit(0)).alias("base"))
-    plain = files.where("NOT quoted_breaks").select("raw", "names")
-    # both dimensions are small written tables: they are shipped, the lines stay where they are
-    body = _numbered(lines, ["raw", "start"]).join(
-        places.join(plain, "raw"), ["raw", "start"]).select(
-        "raw", (F.col("base") + F.col("nth")).alias("row"), "names",
-        F.from_csv("line", schema, options).alias("r"))
-    cells = body.select("raw", "row", "names", F.array(*[F.col(f"r.{s}") for s in slots]).alias("cells"))
-
-    broken = [literal_path(r["raw"]) for r in files.where("quoted_breaks").select("raw").collect()]  # file names
-    if broken:
-        whole = spark.read.options(**options, multiLine=True).schema(schema).csv(broken).select(
-            source_path().alias("raw"), F.array(*slots).alias("cells"))
-        rows = _numbered(whole, ["raw"]).join(files.select("raw", "names"), "raw")
-        cells = cells.unionByName(rows.select("raw", F.col("nth").alias("row"), "names", "cells"))
-    record = F.map_from_arrays(F.col("names"), F.slice("cells", F.lit(1), F.size("names")))
-    return cells.where("row > 0").select(
-        F.col("raw").alias("path"), (F.col("row") - 1).alias("position"),
-        record.alias("record")).select("path", "position", *as_document(F.col("record"), kind))
+def read_mixed_delimited(spark: SparkSession, source, kind: str = "csv", ext: str | None = None) -> DataFrame:
+    """``delimited_documents`` of a frame of files, or of the files below folders."""
+    return delimited_documents(files_of(spark, source, ext), kind)[0]
 
 
 # --- JSON -------------------------------------------------------------------
@@ -288,13 +144,20 @@ def json_documents(texts: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("suggested_label"))
 
 
-def read_whole_texts(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
-    return _tree(spark, ext).option("wholetext", True).text(paths).select(
-        source_path().alias("path"), F.col("value").alias("text"))
+def whole_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, text), (path, message)) of text files."""
+    rows = G.contents(files)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return rows.where("error IS NULL").select("path", text.alias("text")), rows.where("error IS NOT NULL").select(
+        "path", F.col("error").alias("message"))
+
+
+def read_whole_texts(spark: SparkSession, source, ext: str | None = None) -> DataFrame:
+    return whole_texts(files_of(spark, source, ext))[0]
 
 
-def read_json(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
-    return json_documents(read_whole_texts(spark, paths, ext))
+def read_json(spark: SparkSession, source, ext: str | None = None) -> DataFrame:
+    return json_documents(read_whole_texts(spark, source, ext))
 
 
 # --- plain text -------------------------------------------------------------
@@ -333,5 +196,5 @@ def txt_documents(texts: DataFrame) -> DataFrame:
         F.when(F.col("is_list"), F.col("content")).alias("suggested_label"))
 
 
-def read_txt(spark: SparkSession, paths, ext: str | None = None) -> DataFrame:
-    return txt_documents(read_whole_texts(spark, paths, ext))
+def read_txt(spark: SparkSession, source, ext: str | None = None) -> DataFrame:
+    return txt_documents(read_whole_texts(spark, source, ext))

@@ -1,6 +1,10 @@
 """Second implementations: numpy brute force against scans, grids and indexes."""
 
+import re
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from quillmap.operators import ann as A
 from quillmap.operators import explore as N
 from quillmap.operators import labels as L
 from quillmap.operators import search as S
+from quillmap.session import collect_bounded
 
 
 @pytest.fixture(scope="module")
@@ -49,8 +54,7 @@ def test_scan_and_grid(data):
     rows, asks, catalog, queries = data
     want = brute(rows, asks, 7)
     assert found(S.fused_top_k(catalog, queries, 7)) == want
-    assert found(S.fused_top_k(catalog, queries, 7, max_query_rows=2, block_rows=100,
-                               block_queries=3)) == want
+    assert found(S.fused_top_k(catalog, queries, 7, max_query_rows=2, block_queries=3)) == want
 
 
 def test_filtered_pass(data):
@@ -62,8 +66,70 @@ def test_filtered_pass(data):
 
     want = brute(rows, asks, 5, allowed)
     assert found(S.filtered_top_k(catalog, queries, 5)) == want
-    assert found(S.filtered_top_k(catalog, queries, 5, max_query_rows=2, block_rows=200,
-                                  block_queries=4)) == want
+    assert found(S.filtered_top_k(catalog, queries, 5, max_query_rows=2, block_queries=4)) == want
+    assert found(S.filtered_top_k(catalog, queries, 5, least_sample=3)) == want
+
+
+def test_bounds_from_samples(data, spark, monkeypatch):
+    """Bounded tasks send on few rows, however many tasks there are, and lose none of the nearest."""
+    rows, asks, catalog, queries = data
+    monkeypatch.setattr(S, "SAMPLE_STEP", 4)
+    levels = S.sample_levels(catalog.select("doc_id", "vector"), "doc_id", 20)
+    sizes = [df.count() for df in levels]
+    assert len(sizes) == 2 and sizes == sorted(sizes) and sizes[-1] < 450
+    assert S.sample_levels(catalog.select("doc_id", "vector"), "doc_id", 300) == []
+    for k in (1, 7):
+        assert found(S.fused_top_k(catalog, queries, k, least_sample=20)) == brute(rows, asks, k)
+    side = S.QuerySide(queries.select("qid", "vector").toArrow(), S.FUSED_PASS)
+    slim = catalog.repartition(60).select("doc_id", "vector")
+    schema = S.hit_schema(slim, queries, "doc_id")
+    free = S.scan_sides(slim, [side], 3, "doc_id", schema).count()
+    for level in levels:
+        S.tighten([side], S.scan_sides(level, [side], 3, "doc_id", schema), 3, S.DIST_DIGITS)
+    bounded = S.scan_sides(slim, [side], 3, "doc_id", schema).count()
+    assert np.isfinite(side.bound).all() and bounded < free / 2
+
+
+def test_tiles_bound_a_tasks_memory(spark, monkeypatch):
+    """20,000 queries against one batch: the distances of all of them are never held together."""
+    rng = np.random.default_rng(3)
+    asks, rows = rng.normal(size=(20_000, 4)), rng.normal(size=(5_000, 4))
+    table = pa.table({"qid": np.arange(len(asks)), "vector": pa.array(list(asks))})
+    batch = pa.table({"doc_id": np.arange(len(rows)), "vector": pa.array(list(rows))})
+    side = S.QuerySide(table, S.FUSED_PASS)
+    tracemalloc.start()
+    out = S._scan_block([batch], [side], 2, ["doc_id"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out["qid"]) == 40_000 and peak < 150e6      # the whole matrix would be 800 MB
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = np.argsort(-(unit(asks[:50]) @ unit(rows).T), axis=1)[:, :2]
+    assert out["doc_id"][:100] == near.ravel().tolist()
+
+
+def test_blocks_of_queries_stay_within_the_bounds(spark, monkeypatch):
+    queries = spark.createDataFrame([(i % 7, [float(i)] * 50) for i in range(300)], "qid bigint, vector array<double>")
+    monkeypatch.setattr(S, "collect_bounded", lambda df, rows=None, n=9_000: collect_bounded(df, rows, n))
+    tables = list(S.query_blocks(queries, 100))
+    assert sum(t.num_rows for t in tables) == 300 and max(t.nbytes for t in tables) <= 9_000
+
+
+def test_scans_are_pruned(spark, data, tmp_path):
+    """The filtered pass reads the domains asked for, the payload the files that hold a hit."""
+    _, _, catalog, queries = data
+    path = str(tmp_path / "catalog")
+    extra = catalog.withColumns({"doc_hash": F.col("doc_id").cast("string"), "wide": F.repeat(F.lit("x"), 100)})
+    extra.repartitionByRange(12, "doc_id").write.partitionBy("domain").parquet(path)
+    stored = spark.read.parquet(path)
+    plan = S.filtered_top_k(stored, queries.where("qid IN (1, 3)"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*domain#\d+ (=|IN|INSET) \(?d1", plan), plan
+    hits = S.top_k(S.with_files(stored), queries, (S.FUSED_PASS,), 2, carry=["_file"]).cache()
+    n_files = hits.select("_file").distinct().count()
+    full = S.attach_payload(hits, stored, ["doc_hash", "wide"])
+    assert sorted((r.qid, r.doc_hash) for r in full.collect()) == sorted((r.qid, str(r.doc_id)) for r in hits.collect())
+    node = full._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in node and n_files < len(stored.inputFiles())
+    assert S.with_files(catalog) is None
 
 
 def test_cells_are_exact(data):

@@ -15,18 +15,18 @@ def docs():
     return {r[0] for r in duckdb.sql(f"SELECT doc_id FROM '{SF}/documents.parquet'").fetchall()}
 
 
-@pytest.mark.parametrize("name", ["trust_score_whole", "domain_precedence_whole"])
+@pytest.mark.parametrize("name", ["trust_score", "domain_precedence"])
 def test_every_document(spark, docs, name):
     got = [r["doc_id"] for r in queries()[name](spark, SF).select("doc_id").collect()]
     assert len(got) == len(docs) and set(got) == docs
 
 
 def test_archives_count_every_document(spark, docs):
-    from quillmap.checks.queries import _detected_whole
+    from quillmap.checks.queries import _detected_documents
 
-    found = _detected_whole(spark, SF).select("doc_id", "archive", "probs").collect()
+    found = _detected_documents(spark, SF).select("doc_id", "archive", "probs").collect()
     assert len(found) == len(docs) and all(r["archive"] and r["probs"] for r in found)
-    asked = queries()["arbitrate_domain_whole"](spark, SF).select("doc_id").collect()
+    asked = queries()["arbitrate_domain"](spark, SF).select("doc_id").collect()
     known = {r[0] for r in duckdb.sql(f"SELECT vec_id FROM '{SF}/embeddings.parquet'").fetchall()}
     assert {r["doc_id"] for r in asked} - known
 
@@ -38,11 +38,11 @@ def test_short_words_are_labels(spark):
     words = {w for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()
              for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= LABEL_MIN_LENGTH}
     assert any(len(w) < 8 for w in words)
-    got = {r["label"] for r in queries()["label_vectors_whole"](spark, sf).select("label").distinct().collect()}
+    got = {r["label"] for r in queries()["label_vectors"](spark, sf).select("label").distinct().collect()}
     assert got == words
     texts = dict(duckdb.sql(f"SELECT doc_id, lower(text) FROM '{sf}/documents.parquet'").fetchall())
     want = {k: max(((len(w), w) for w in words if w in t), default=(0, None))[1] for k, t in texts.items()}
-    found = queries()["label_in_text_whole"](spark, sf).collect()
+    found = queries()["label_in_text"](spark, sf).collect()
     assert {r["doc_id"]: r["text_label"] for r in found} == want
 
 
