@@ -40,9 +40,9 @@ PLANES = 4
 #: Components of a block of anchors; rows of a group; cells of blocks and groups, each a part of a task's work.
 BLOCK_COMPONENTS, ROWS_IN_GROUP, CELLS = 1 << 20, 8192, 8192
 #: Anchors and rows whose intervals are held at a time.
-ANCHOR_TILE, ROW_TILE = 512, 2048
-#: Pairs that are scored at a time.
-PAIRS = 1 << 16
+ANCHOR_TILE, ROW_TILE = 256, 512
+#: Pairs that are scored at a time; a tile with a larger share of pairs to score is multiplied as a whole.
+PAIRS, DENSE = 1 << 16, 1 / 32
 #: Share of the product of two lengths that rounding may cost an interval.
 ROUNDING = 1e-9
 NONE = -V.MOST
@@ -91,18 +91,17 @@ class Anchors:
         self.error = np.abs(off).sum(axis=1) / self.root
         cut = cut.astype(np.int64)
         self.planes = [_packed(cut >> j & 1 > 0) for j in range(PLANES)]
-        self.heavy = [np.bitwise_count(p).sum(axis=1).astype(np.int64) for p in self.planes]
+        self.heavy = sum(np.bitwise_count(p).sum(axis=1).astype(np.int64) << j for j, p in enumerate(self.planes))
 
     def intervals(self, some: slice, codes: Codes, rows: slice) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) ends of the scores of some anchors with some rows."""
         words = codes.words[rows]
         signs = 2.0 * np.bitwise_count(words).sum(axis=1) - self.length
-        inner = self.low[some, None] * signs
-        for j, (plane, heavy) in enumerate(zip(self.planes, self.heavy, strict=True)):
-            both = np.zeros((len(plane[some]), len(words)), dtype=np.int64)
+        both = np.zeros((len(self.low[some]), len(words)), dtype=np.int32)
+        for j, plane in enumerate(self.planes):
             for w in range(words.shape[1]):
-                both += np.bitwise_count(plane[some, w, None] & words[None, :, w])
-            inner += self.step[some, None] * (1 << j) * (2 * both - heavy[some, None])
+                both += np.bitwise_count(plane[some, w, None] & words[None, :, w]).astype(np.int32) << j
+        inner = self.low[some, None] * signs + self.step[some, None] * (2 * both - self.heavy[some, None])
         inner /= self.root
         error, size = self.error[some, None], self.size[some, None]
         outside = np.sqrt(np.maximum(0.0, size ** 2 - np.maximum(0.0, np.abs(inner) - error) ** 2))
@@ -129,6 +128,10 @@ class Best:
         """Scores that new ones must reach."""
         return np.where(self.n[slots] == self.k, self.score[slots, -1].astype(np.float64), -np.inf)
 
+    def floor(self) -> np.ndarray:
+        """Of each slot, the score that is still of use."""
+        return np.where(self.n == self.k, self.score[:, -1], NONE)
+
     def add(self, slot: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
         if not len(slot):
             return
@@ -184,34 +187,43 @@ class Block:
                 else:
                     self._negatives(a, b, low, high, ~same, ids, vectors)
 
-    def _score(self, q: np.ndarray, c: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    def _score(self, a: int, b: int, alive: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, row, score) of the pairs of a tile that are left."""
+        q, c = np.nonzero(alive)
         self.scored += len(q)
+        if len(q) > DENSE * alive.size:
+            score = V.products(self.vectors[a:a + alive.shape[0]], vectors[b:b + alive.shape[1]])[q, c]
+            return q + a, c + b, score
+        q, c = q + a, c + b
         parts = [V.row_products(self.vectors[q[i:i + PAIRS]], vectors[c[i:i + PAIRS]]) for i in range(0, len(q), PAIRS)]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        return q, c, np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
     def _positives(self, a, b, low, high, fits, ids, vectors) -> None:
-        slots = slice(a, a + len(low))
-        least = np.maximum(self.best.least(slots), kth_largest(np.where(fits, low, -np.inf), self.k))
-        q, c = np.nonzero(fits & ~(high < least[:, None]))
-        q, c = q + a, c + b
-        self.best.add(q, self._score(q, c, vectors), ids[c])
+        mine = np.arange(a, a + len(low))
+        least = self.best.least(mine)
+        if (self.best.n[mine] < self.k).any():
+            least = np.maximum(least, kth_largest(np.where(fits, low, -np.inf), self.k))
+        q, c, score = self._score(a, b, fits & ~(high < least[:, None]), vectors)
+        good = score >= self.best.floor()[q]
+        self.best.add(q[good], score[good], ids[c[good]])
 
     def _negatives(self, a, b, low, high, fits, ids, vectors) -> None:
         alive = np.zeros(fits.shape, dtype=bool)
         mine = np.arange(a, a + len(low))
         for j in range(self.width):
             from_, to = self.bands[mine, j, 0, None], self.bands[mine, j, 1, None]
-            in_ = fits & ~(high < from_) & ~(low > to)
-            if in_.any():
-                sure = np.where(in_ & (low >= from_) & (high <= to), low, -np.inf)
-                least = np.maximum(self.best.least(mine * self.width + j), kth_largest(sure, self.k))
-                alive |= in_ & ~(high < least[:, None])
-        q, c = np.nonzero(alive)
-        score = self._score(q + a, c + b, vectors)
+            slots = mine * self.width + j
+            least = np.maximum(from_[:, 0], self.best.least(slots))
+            if (self.best.n[slots] < self.k).any():
+                sure = np.where(fits & (low >= from_) & (high <= to), low, -np.inf)
+                least = np.maximum(least, kth_largest(sure, self.k))
+            alive |= ~(high < least[:, None]) & ~(low > to)
+        q, c, score = self._score(a, b, alive & fits, vectors)
+        floor = self.best.floor()
         for j in range(self.width):
-            ends = self.exact[q + a, j]
-            within = (score >= ends[:, 0]) & (score <= ends[:, 1])
-            self.best.add((q[within] + a) * self.width + j, score[within], ids[c[within] + b])
+            slots = q * self.width + j
+            good = (score >= np.maximum(self.exact[:, j, 0], floor[j::self.width])[q]) & (score <= self.exact[:, j, 1][q])
+            self.best.add(slots[good], score[good], ids[c[good]])
 
 
 def index_rows(vectors: DataFrame, scale: int, key: str, label: str, vector: str) -> DataFrame:
