@@ -5,8 +5,8 @@ each conversation, so that every prefix of turns has one value. A conversation w
 of a proper prefix of another, or of the whole of one with a smaller id, is dropped by anti-joins; the maximal
 conversations are rendered.
 
-The hash is a polynomial over two primes and can be put together from stretches. Turns are sorted into ranges,
-each task hashes its own stretch of a conversation, and the few conversations that run over the border of
+The hash is a polynomial over two primes and can be put together from stretches. Turns are sorted into ranges of
+conversation, turn, role and the beginning of the text, which is part of the order within a range, too; each task hashes its own stretch of a conversation, and the few conversations that run over the border of
 two tasks are completed from one summary for each task. So a single conversation may be as long as the table.
 
 Defined results: turns without a conversation id belong to none and are left out. Turns are ordered by turn,
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from quillmap.llm.common import string_column, write_scratch
 
+#: Characters of a text that decide its range.
+RANGE_KEY = 256
 PRIMES = ((1 << 61) - 1, (1 << 61) - 31)
 BASES = (1_111_111_111_111_111_111, 987_654_321_987_654_321)
 
@@ -74,7 +76,8 @@ def hash_stretches(turns: DataFrame) -> DataFrame:
 
     order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "text")]
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in turns.schema)
-    spread = turns.withColumn("c", F.xxhash64("role", "text"))
+    # ranges must follow the order of whole texts, whose beginnings do; keys of bounded size may go to the driver's sample
+    spread = turns.withColumn("c", F.substring("text", 1, RANGE_KEY))
     spread = spread.repartitionByRange("conv", "turn", "role", "c").drop("c").sortWithinPartitions(*order)
     return spread.mapInArrow(run, f"{kind}, position bigint, h1 bigint, h2 bigint, part int, stretch bigint, last boolean")
 

@@ -3,7 +3,8 @@
 The two vocabularies in use split a text before any merge, and no split piece runs from a visible character
 into white space. So a text may be cut wherever white space follows a visible character, and the ids of the
 cuts, one after the other, are the ids of the text. Words are kept in a bounded store in two generations;
-texts with rare kinds of white space, and tokenizers of another make, go to the library in whole texts.
+texts with rare kinds of white space, texts that hold the string of an added token (which then is that token, as the
+library has it by default), and tokenizers of another make go to the library in whole texts.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ class Words(dict):
             return self[word[:-1]] + self.plain(word[-1])
         if self.fold and word.isascii() and (low := word.lower()) != word:
             return self[low]
-        if word.isalpha() and max(word) < "\u0250":  # one piece for the merges
-            return self.merge(self.lead + word)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):  # one piece for the merges
+            return self.merge(self.lead, word)
         return self.encode(self.lead + word)
 
 
@@ -108,12 +109,15 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # their beginnings without letters, which no normalisation changes: a quick look for texts that may hold one
+        self.marks = {t[:len(t) - len(t.lstrip("<|[>]_"))] for t in self.added}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.code = "H" if self.vocabulary <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.make = _make(path)
         self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_characters()))
+        self.leads = {"": "", " ": self.bytes[32]}
         self.words = Words(self._library, self._merge, " " if self.make == "spaced" else "", self.make == "dropped", words_kept)
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -125,15 +129,18 @@ class TextEncoder:
     def _library(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _merge(self, word: str) -> bytes:
+    def _merge(self, lead: str, word: str) -> bytes:
         """Of one word of letters, which neither library rule splits: straight to the model's merges."""
-        if self.make == "dropped":
-            low = unicodedata.normalize("NFC", word).lower()
-            if not low.isalpha():  # a letter that becomes two characters
-                return self._library(word)
-            word = low
-        piece = word if word.isascii() and " " not in word else word.encode().decode("latin-1").translate(self.bytes)
-        return self._pack([t.id for t in self.model.tokenize(piece)])
+        if word.isascii():
+            word = word.lower() if self.make == "dropped" else word
+        else:
+            if self.make == "dropped":
+                low = unicodedata.normalize("NFC", word).lower()
+                if not low.isalpha():  # a letter that becomes two characters
+                    return self._library(word)
+                word = low
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.model.tokenize(self.leads[lead] + word)])
 
     def _stretches(self, text: str):
         at = 0
@@ -146,10 +153,19 @@ class TextEncoder:
         """The ids of each text as little-endian integers of ``dtype``."""
         out = []
         for text in texts:
+            if self._may_hold_added(text):
+                out.append(self._library(text))
+                continue
             parts = [self._stretch(s) for s in self._stretches(text)]
             out.append(parts[0] if len(parts) == 1 else b"".join(parts))
         return out
 
+    def _may_hold_added(self, text: str) -> bool:
+        if not any(mark in text for mark in self.marks):
+            return False
+        low = text.lower()
+        return any(t.lower() in low for t in self.added)
+
     def _stretch(self, text: str) -> bytes:
         if self.make == "whole" or not text.replace("\n", "").isprintable() and RARE_SPACE.search(text):
             return self._library(text)

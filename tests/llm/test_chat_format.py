@@ -52,6 +52,20 @@ def test_one_conversation_over_many_tasks(spark):
     check(spark, rows, 8)
 
 
+def test_tied_turns_over_many_ranges(spark):
+    """Borders of ranges that fall inside turns of equal conversation, turn and role keep the order of texts."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        for same in ("", "x" * 300):  # also where the beginnings of all texts are equal
+            tied = [(0, "user", f"{same}t{i:05}") for i in range(600)]
+            rows = [(c, *t) for c in (1, 2) for t in tied] + [(3, *t) for t in tied[:300]] + [(4, 0, "user", None), (4, 0, "user", ""), (4, 0, None, "t")]
+            check(spark, rows, 8)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_empty_table(spark):
     check(spark, [])
 

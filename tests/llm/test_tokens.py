@@ -15,15 +15,14 @@ from tests.llm.helpers import documents
 
 BYTE, WORD = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [
-    "", " ", "a  b", "a\n b", "\n\n a", "x \n  y\t z", "a\u00a0b \u3000 c", "don't 'll  it's", "\u00c1 e\u0301 \u0301x", "\u03a3\u0391\u03a3 \u039f\u0394\u039f\u03a3 ", "<|endoftext|> hi",
+    "", " ", "a  b", "a\n b", "\n\n a", "x \n  y\t z", "a\u00a0b \u3000 c", "don't 'll  it's", "\u00c1 e\u0301 \u0301x", "\u03a3\u0391\u03a3 \u039f\u0394\u039f\u03a3 ", "<|endoftext|> hi", "a <|endoftext|> b", "a<|ENDOFTEXT|>b", "<|startoftext|>x<|endoftext|><|endoftext|>", "x <| y |> <|endoftext |>",
     "a" * 5000, " " * 50 + "b", "tail  ", "tail\n\n", "\x1c\x1d a", "\u65e5\u672c \u8a9e", "\U0001f600 \U0001f600", "a\r\n\r\nb", "1 234 567's", " lead x", "a \n b",
     "x.\n\nY z", "q,\nR  s", "\n", "\na b", "A.B. c.d, E,", "\u00e9, \u00fc. \u00c9, x", "x\u0301, y", "foo,. bar.,", "\u0130 \u00df \ufb01", "THE The the, The.",
 ]
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # as it comes
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -149,6 +148,20 @@ def test_token_files(spark):
         start += r.n_tokens
 
 
+def test_special_strings_are_the_librarys(spark):
+    """Ids, and the starts of the documents behind them."""
+    texts = ["a <|endoftext|> b", "plain", "<|startoftext|> tree <|endoftext|>", "end"]
+    docs = documents(spark, list(enumerate(texts)))
+    ids_of, path = library(BYTE), scratch_dir(spark, "files")
+    rans.write_tokens(docs, path, BYTE, end_id=0)
+    got = rans.read_documents(spark, path).orderBy("start").collect()
+    ids = [[*ids_of(t), 0] for t in texts]
+    assert 50256 in ids[0] and [r.start for r in got] == [sum(map(len, ids[:i])) for i in range(4)]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(i, dtype="<u4").tobytes()) for i in ids]
+    packed = packing.pack_documents(docs, WORD, end_id=1, capacity=64).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == pack_brute(list(enumerate(texts)), WORD, 1, 64)
+
+
 def test_token_files_without_rows_or_ids(spark):
     path = scratch_dir(spark, "files")
     rans.write_tokens(documents(spark, []), path, BYTE, end_id=0)
