@@ -18,7 +18,7 @@ from quillmap.functions.embedders import (
     embed_text,
 )
 from quillmap.functions.hashing import fingerprint, fingerprint_of_slices, record_hash
-from quillmap.functions.text import archive_of, basename, dirname, one_json_value
+from quillmap.functions.text import archive_of, basename, dirname
 from quillmap.functions.vectors import fuse
 from quillmap.operators import catalog as C
 from quillmap.operators import domains as D
@@ -182,10 +182,9 @@ def load_documents(spark: SparkSession, tasks: DataFrame, settings: IngestSettin
         rows, bad = R.delimited_documents(of_type[kind], kind)
         parts.append(rows)
         failed(bad, kind, F.col("message"))
-    texts, bad = R.whole_texts(of_type["json"])
-    parts.append(R.json_documents(texts))
+    rows, bad = R.json_files(of_type["json"])
+    parts.append(rows)
     failed(bad, "json", F.col("message"))
-    failed(texts.where(F.try_parse_json(one_json_value(F.col("text"))).isNull()), "json", F.lit("not valid JSON"))
     texts, bad = R.whole_texts(of_type["txt"])
     parts.append(R.txt_documents(texts))
     failed(bad, "txt", F.col("message"))

@@ -16,9 +16,13 @@ from pyspark.sql import types as T
 
 from quillmap import constants as K
 from quillmap.functions.text import clean_text, is_hidden, one_json_value, route
+from quillmap.session import write_scratch
 from quillmap.sources import ranges as G
-from quillmap.sources.delimited import delimited_records, header_names  # noqa: F401
+from quillmap.sources.delimited import delimited_records
+from quillmap.sources.json_ranges import INVALID, array_elements
 
+# a parsed JSON value holds 16 MB; larger files are cut into their elements
+JSON_WHOLE = 8 << 20
 DOCUMENT_COLUMNS = ["path", "position", "type", "content", "record", "suggested_label"]
 
 
@@ -131,19 +135,41 @@ def json_documents(texts: DataFrame) -> DataFrame:
     whole = texts.select("path", F.try_parse_json(one_json_value(F.col("text"))).alias("v"))
     items = F.expr("CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' "
                    "THEN CAST(v AS ARRAY<VARIANT>) ELSE array(v) END")
-    rows = (
-        whole.where("v IS NOT NULL")
-        .select("path", F.posexplode(items).alias("position", "item"))
-        .where(F.schema_of_variant("item").startswith("OBJECT"))
-    )
-    body = rows.select("path", F.col("position").cast("bigint").alias("position"),
-                       F.to_json("item").alias("content"))
+    return _json_objects(whole.where("v IS NOT NULL").select(
+        "path", F.posexplode(items).alias("position", "item")))
+
+
+def _json_objects(items: DataFrame) -> DataFrame:
+    body = items.where(F.schema_of_variant("item").startswith("OBJECT")).select(
+        "path", F.col("position").cast("bigint").alias("position"), F.to_json("item").alias("content"))
     return body.select(
         "path", "position", F.lit("json").alias("type"), "content",
         F.from_json("content", "map<string,string>").alias("record"),
         F.lit(None).cast("string").alias("suggested_label"))
 
 
+def json_files(files: DataFrame, whole_bytes: int = JSON_WHOLE, range_bytes: int | None = None
+               ) -> tuple[DataFrame, DataFrame]:
+    """(documents, (path, message)) of JSON files of any size.
+
+    Files that a parsed value can hold are read whole. Larger ones must be arrays; their elements are cut out of
+    byte ranges and parsed one by one, and an element that is not valid makes the file an error, as it does in a small one.
+    """
+    small, large = files.where(F.col("length") <= whole_bytes), files.where(F.col("length") > whole_bytes)
+    texts, unread = whole_texts(small)
+    broken = texts.where(F.try_parse_json(one_json_value(F.col("text"))).isNull()).select(
+        "path", F.lit(INVALID).alias("message"))
+    docs, errors = json_documents(texts), unread.unionByName(broken)
+    if not large.limit(1).count():
+        return docs, errors
+    parts, no_array = array_elements(large, range_bytes)
+    items = parts.select("path", "position", F.try_parse_json(one_json_value(F.col("text"))).alias("item"))
+    items = write_scratch(items.select("path", "position", "item"), "items")
+    bad = items.where("item IS NULL").select("path", F.lit(INVALID).alias("message")).distinct()
+    found = _json_objects(items.where("item IS NOT NULL").join(bad.select("path"), "path", "left_anti"))
+    return docs.unionByName(found), errors.unionByName(no_array).unionByName(bad)
+
+
 def whole_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((path, text), (path, message)) of text files."""
     rows = G.contents(files)
@@ -157,7 +183,7 @@ def read_whole_texts(spark: SparkSession, source, ext: str | None = None) -> Dat
 
 
 def read_json(spark: SparkSession, source, ext: str | None = None) -> DataFrame:
-    return json_documents(read_whole_texts(spark, source, ext))
+    return json_files(files_of(spark, source, ext))[0]
 
 
 # --- plain text -------------------------------------------------------------
