@@ -12,19 +12,22 @@ similarity, plus a known share of chance hits between compressed values.
 3. In each bucket of equal keys a star is drawn: the member that meets most others is the centre, all others
    are paired with it. For members of large buckets the shingles are counted that no other such member has;
    what is left of a set and the sizes bound the similarity of a pair from above, and pairs, and members of a
-   bucket, that cannot reach the threshold go. So do pairs whose registers differ in too many last bits, and
-   pairs whose estimate, corrected for chance hits, lies six standard deviations below the threshold; the
+   bucket, that cannot reach the threshold go. So do pairs whose odd sketches (the parities of a set's counts in
+   512 parts of the hash space) differ in more bits than the sets may differ in shingles, as each shingle flips
+   one bit; pairs whose registers differ in too many last bits; and pairs whose estimate, corrected for chance hits, lies six standard deviations below the threshold; the
    rest is confirmed on full sets.
 4. Confirmed links make components. Centres leave their buckets, and so do buckets whose members are all of one
    component. In the others, members of the main component need no comparison with one another: the next centres
-   are taken from the rest, sixteen times as many in each round, until nothing is left. So large groups of
+   are taken from the rest, 256 times as many in each round, until nothing is left. So large groups of
    copies cost a few comparisons each, and no two members of different components that share a bucket are
-   left uncompared. Nothing is capped.
+   left uncompared. Nothing is capped. Members of a large bucket are dealt to cuts of bounded size, and what all of
+   them need of the bucket goes to each cut.
 
 Defined results: words are runs of characters other than blank and \\t\\n\\v\\f\\r, A-Z lower-cased. With fewer words than a
 shingle has, the whole sequence is the one shingle; null texts and texts without words have an empty set,
 linked with nothing. Rows without an id are linked with nothing, have no component and are kept. Rows that share
-an id are rows of their own with the same id; if their texts differ, each counts. Other columns are not read.
+an id are rows of their own with the same id; if their texts differ, each counts, and of those that ``drop_near_duplicates``
+keeps, the one whose whole row has the smallest digest stays. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,6 +51,10 @@ MISS = 1e-8
 SIGMAS = 6.0
 #: Members of buckets with more rows than this have their own shingles counted.
 LARGE_BUCKET = 8
+#: Members of a bucket that go into one cut, about.
+CUT_ROWS = 64
+#: Columns of an odd sketch, 64 bits in each.
+ODD = [f"odd{i}" for i in range(8)]
 _U = np.uint64
 
 
@@ -157,6 +164,15 @@ def differing_bits(threshold: float) -> int:
     return math.ceil(REGISTERS * p + SIGMAS * math.sqrt(REGISTERS * p * (1 - p)))
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Signed 64-bit integers whose bits are the parities of the set's counts in as many parts of the hash space.
+
+    Two sets differ in at least as many elements as their odd sketches differ in bits."""
+    parts = 64 * len(ODD)
+    counts = np.bincount((hashes % _U(parts)).astype(np.int64), minlength=parts)
+    return np.packbits((counts & 1).astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 2048):
@@ -213,18 +229,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(doc, n, hashes) of the documents named in ``wanted``; for rows that share an id, one row for each set."""
+    """(doc, n, hashes, odd sketch) of the documents named in ``wanted``; for rows that share an id, one row for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
             hashes = [shingle_set(t, size) for t in batch.column("text_").to_pylist()]
+            odd = np.array([odd_sketch(h) for h in hashes], dtype=np.int64).reshape(len(hashes), len(ODD))
             yield pa.record_batch({
                 "doc": batch.column("doc"), "n": pa.array([len(h) for h in hashes], pa.int64()),
-                "hashes": pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary()),
+                "hashes": pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary()), **{c: pa.array(odd[:, i]) for i, c in enumerate(ODD)},
             })
 
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), string_column(text, "text_"))
-    return texts.join(wanted, "doc", "left_semi").select("doc", "text_").mapInArrow(run, "doc bigint, n bigint, hashes binary")
+    return texts.join(wanted, "doc", "left_semi").select("doc", "text_").mapInArrow(run, "doc bigint, n bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in ODD))
 
 
 def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,14 +259,20 @@ def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return alone.groupBy("doc").agg(F.count("*").alias("own"))
 
 
+def _for_cuts(buckets: DataFrame) -> DataFrame:
+    """What is known of each bucket, once for each of its cuts."""
+    return buckets.withColumn("cut", F.explode(F.expr(f"sequence(0L, c div {CUT_ROWS})"))).drop("c")
+
+
 def _feasible(active: DataFrame, percent: int) -> DataFrame:
     """Without the members whose bounds fit no size in their bucket, and no bound their size.
 
     Of a set of n shingles, at most ``v`` can be shared with another member. A pair needs
     (100 + percent) * least v >= percent * (sum of n), so a partner has at most ``reach`` shingles."""
     active = active.withColumn("reach", F.expr(f"{100 + percent} * v div {percent}") - F.col("n"))
-    sizes = active.groupBy("band").agg(F.min("n").alias("least_n"), F.max("reach").alias("most_reach"), F.count("*").alias("left"))
-    return active.join(sizes, "band").where("left > 1 AND reach >= least_n AND n <= most_reach").drop("reach", "least_n", "most_reach", "left")
+    sizes = active.groupBy("band").agg(F.min("n").alias("least_n"), F.max("reach").alias("most_reach"), F.count("*").alias("left"), F.max("c").alias("c"))
+    fits = active.join(_for_cuts(sizes.where("left > 1")), ["band", "cut"]).where("reach >= least_n AND n <= most_reach")
+    return fits.drop("reach", "least_n", "most_reach", "left")
 
 
 def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,10 +301,13 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
     large = members.where(F.col("c") > LARGE_BUCKET).select("doc").distinct()
     own = write_scratch(_own_shingles(sets, large).join(twice, "doc", "left_anti"), "own")
     in_large = (F.col("c") > LARGE_BUCKET) & F.col("own").isNotNull()
-    about = meets.join(_last_bits(classes), "doc").join(own, "doc", "left")
+    parities = sets.select("doc", *ODD).join(twice, "doc", "left_anti")
+    about = meets.join(_last_bits(classes), "doc").join(own, "doc", "left").join(parities, "doc", "left")
+    cut = F.pmod(F.xxhash64("doc"), F.expr(f"1 + c div {CUT_ROWS}")).alias("cut")
     active = members.join(about, "doc").select(
-        "band", "doc", "n", "meets", F.when(in_large, F.col("n") - F.col("own")).otherwise(F.col("n")).alias("v"), *BITS, F.lit(False).alias("main"))
+        "band", cut, "c", "doc", "n", "meets", F.when(in_large, F.col("n") - F.col("own")).otherwise(F.col("n")).alias("v"), *BITS, *ODD, F.lit(False).alias("main"))
     limit = differing_bits(threshold)
+    told = ["n", "v", *BITS, *ODD]  # of a centre
 
     centres_each = 1
     while True:
@@ -289,12 +315,14 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         if not active.limit(1).count():
             break
         slices = F.pmod(F.xxhash64("doc"), F.lit(centres_each))
-        centres = active.where("NOT main").groupBy("band", slices.alias("slice")).agg(F.max(F.struct("meets", "doc", "n", "v", *BITS)).alias("c"))
-        centres = centres.select("band", F.col("c.doc").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.v").alias("v_centre"), *[F.col(f"c.{b}").alias(f"{b}_centre") for b in BITS])
-        differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_centre"))) for b in BITS), F.lit(0))
-        pairs = active.join(centres, "band").where("doc <> centre")
+        best = F.max(F.struct("meets", "doc", *told)).alias("best")
+        centres = active.where("NOT main").groupBy("band", slices.alias("slice")).agg(best, F.max("c").alias("c"))
+        centres = centres.select("band", "c", F.col("best.doc").alias("centre"), *[F.col(f"best.{x}").alias(f"{x}_centre") for x in told])
+        differ = lambda columns: sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_centre"))) for x in columns), F.lit(0))
+        pairs = active.join(_for_cuts(centres), ["band", "cut"]).where("doc <> centre")
         pairs = pairs.where((100 + percent) * F.least("v", "v_centre") >= percent * (F.col("n") + F.col("n_centre")))
-        pairs = pairs.where(differ <= limit)
+        pairs = pairs.where((100 + percent) * F.coalesce(differ(ODD), F.lit(0)) <= (100 - percent) * (F.col("n") + F.col("n_centre")))
+        pairs = pairs.where(differ(BITS) <= limit)
         pairs = pairs.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -309,10 +337,10 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         # what has met every centre of its bucket stays only if the bucket still holds several components
         left = active.join(centres.select("band", F.col("centre").alias("doc")), ["band", "doc"], "left_anti")
         left = left.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        open_ = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("root", F.struct("meets", "doc")).alias("chief"))
-        active = left.join(open_.where("least <> most").select("band", "chief"), "band").select(
-            "band", "doc", "n", "meets", "v", *BITS, (F.col("root") == F.col("chief")).alias("main"))
-        centres_each *= 16
+        open_ = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("root", F.struct("meets", "doc")).alias("chief"), F.max("c").alias("c"))
+        active = left.join(_for_cuts(open_.where("least <> most").select("band", "chief", "c")), ["band", "cut"]).select(
+            "band", "cut", "c", "doc", "n", "meets", "v", *BITS, *ODD, (F.col("root") == F.col("chief")).alias("main"))
+        centres_each *= 256
 
     of_class = classes.select("set_key", "doc")
     if roots is not None:
@@ -338,5 +366,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key:
     twice = found.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("__twice"))
     if not twice.limit(1).count():
         return out
-    same = F.col(f"`{key}`").cast("bigint") == F.col("__twice")
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates([key]))
+    id_ = F.col(f"`{key}`").cast("bigint")
+    rows, same = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), id_ == F.col("__twice")
+    one = out.join(twice, same, "left_semi").groupBy(id_.alias("__id")).agg(F.min_by(rows, F.sha2(F.to_json(rows), 256)).alias("__row"))
+    return out.join(twice, same, "left_anti").unionByName(one.select("__row.*"))
