@@ -13,6 +13,7 @@ from quillmap import constants as K
 from quillmap.functions.text import dirname, snippet
 from quillmap.functions.vectors import l2_normalize
 from quillmap.operators.structure import upsert
+from quillmap.session import write_scratch
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("doc_hash", T.StringType()),
@@ -210,6 +211,32 @@ def apply_moves(catalog: DataFrame, moves: DataFrame) -> DataFrame:
         "source", F.coalesce("new_source", "source")).drop("new_source")
 
 
+def moved_sources(moved: DataFrame, catalog: DataFrame, present: DataFrame) -> DataFrame:
+    """(file_hash, source, new_source): files found elsewhere whose old path is no longer ``present``.
+
+    A file that still lies at its old path has been copied, not moved."""
+    gone = catalog.select("file_hash", "source").distinct().join(
+        present.select(F.col("path").alias("source")), "source", "left_anti")
+    latest = moved.groupBy("file_hash").agg(F.max("path").alias("new_source"))
+    return gone.join(latest, "file_hash")
+
+
+def store_moves(spark: SparkSession, path: str, moves: DataFrame) -> None:
+    """Write the new sources into the catalog; only partitions that hold a moved file are rewritten."""
+    catalog = read_catalog(spark, path)
+    touched = write_scratch(catalog.join(moves, ["file_hash", "source"], "left_semi").select(
+        "batch", "domain").distinct(), "touched")
+    if not touched.limit(1).count():
+        return
+    rows = catalog.join(touched, ["batch", "domain"], "left_semi")
+    new = moves.select("file_hash", "source", "new_source").distinct()
+    rows = rows.join(new, ["file_hash", "source"], "left").withColumn(
+        "source", F.coalesce("new_source", "source")).select(*catalog.columns)
+    rows = write_scratch(rows, "moved")               # the partitions cannot be read and replaced at once
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "batch", "domain").parquet(path)
+
+
 def upsert_contracts(contracts: DataFrame, updates: DataFrame) -> DataFrame:
     return upsert(contracts, updates, "folder_path")
 

@@ -185,16 +185,20 @@ def resolve_precedence(
 
     ``docs`` has doc_id, archive, det_domain, det_score, det_method. ``contracts`` is keyed by
     folder_path, ``session`` by archive (domain, score), ``decisions`` by doc_id (final_domain,
-    confidence, justification).
+    confidence, justification). A session with ``since`` counts only for documents whose ``seq`` is later.
     """
     known = contracts.where(F.col("assigned_domain") != "unknown").select(
         F.col("folder_path").alias("archive"), F.col("assigned_domain").alias("_c_domain"),
         F.col("confidence").cast("double").alias("_c_score"))
     out = docs.join(known, "archive", "left")
     if session is not None:
-        out = out.join(session.select("archive", F.col("domain").alias("_s_domain"),
-                                      F.col("score").cast("double").alias("_s_score")),
-                       "archive", "left")
+        ordered = "since" in session.columns
+        out = out.join(session.select(
+            "archive", F.col("domain").alias("_s_domain"), F.col("score").cast("double").alias("_s_score"),
+            *([F.col("since").alias("_since")] if ordered else [])), "archive", "left")
+        if ordered:
+            later = F.col("seq") > F.col("_since")
+            out = out.withColumns({c: F.when(later, F.col(c)) for c in ("_s_domain", "_s_score")})
     else:
         out = out.withColumns({"_s_domain": F.lit(None).cast("string"),
                                "_s_score": F.lit(None).cast("double")})
@@ -227,10 +231,11 @@ def resolve_precedence(
 
 
 def session_decisions(arbitrated: DataFrame) -> DataFrame:
-    """First arbitrated document (by seq) of each archive decides for the rest of it."""
+    """(archive, domain, score, since): the first arbitrated document (by seq) of each archive decides for
+    those behind it."""
     return arbitrated.groupBy("archive").agg(
-        F.min_by(F.struct("domain", "score"), "seq").alias("_d")
-    ).select("archive", "_d.domain", "_d.score")
+        F.min_by(F.struct("domain", "score", F.col("seq").alias("since")), "seq").alias("_d")
+    ).select("archive", "_d.domain", "_d.score", "_d.since")
 
 
 def archive_domain(docs: DataFrame, mode: str = "last") -> DataFrame:

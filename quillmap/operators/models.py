@@ -18,7 +18,7 @@ from pyspark.sql import Window
 
 from quillmap import constants as K
 from quillmap.functions.text import basename, json_salvage
-from quillmap.session import write_scratch
+from quillmap.session import spread_nulls, write_scratch
 
 Model = Callable[[str], str]
 
@@ -164,7 +164,8 @@ def call_model(
 
     replies = write_scratch(distinct.mapInArrow(run, spark_out), "replies").select(
         "_k", json_salvage(F.col("_raw"), schema).alias(out), F.col("_error").alias(f"{out}_error"))
-    return keyed.join(replies, "_k", "left").drop("_k", "_prompt")
+    # rows without a prompt, often most of them, must not meet in one task
+    return spread_nulls(keyed, "_k", "_k").join(replies, "_k", "left").drop("_k", "_prompt")
 
 
 def arbitrate_domains(df: DataFrame, make: Callable[[], Model], domains: list[str],

@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmap import constants as K
-from quillmap.functions.text import grams, text_match_ratio
+from quillmap.functions.text import decode_extra, grams, text_match_ratio
 from quillmap.functions.vectors import fuse, list_array_to_matrix, unit_rows
 from quillmap.session import MAX_BROADCAST_ROWS, collect_bounded, write_scratch
 
@@ -483,7 +483,7 @@ def compose_response(ranked: DataFrame, queries: DataFrame) -> DataFrame:
         F.coalesce("domain", F.lit("unknown")).alias("domain"),
         F.coalesce("label", F.lit("unknown")).alias("label"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence_score"),
-        F.coalesce("extra", F.lit("{}")).alias("metadata_enriched"),
+        decode_extra(F.col("extra")).alias("metadata_enriched"),
         F.coalesce("source", F.lit("unknown")).alias("source_file"),
         F.struct("s_visual", "s_text", "s_intent").alias("match_details"),
     )

@@ -18,6 +18,7 @@ from quillmap.functions.text import (
     parent_folder,
     strip,
 )
+from quillmap.session import spread_nulls
 
 
 def image_index(files: DataFrame) -> DataFrame:
@@ -134,7 +135,8 @@ def link_records(records: DataFrame, plans: DataFrame, index: DataFrame) -> Data
     keyed = records.join(plans.select("file", "path_key"), "file", "left")
     named = keyed.withColumn(
         "name", link_name(F.try_element_at(F.col("record"), F.col("path_key"))))
-    return named.join(index, ["archive", "name"], "left").drop("name", "path_key")
+    # most records may name no image: they must not meet in one task
+    return spread_nulls(named, "name", "name").join(index, ["archive", "name"], "left").drop("name", "path_key")
 
 
 def linked_images(linked: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from quillmap.operators import domains as D
 from quillmap.operators import labels as L
 from quillmap.operators import models as M
 from quillmap.operators import structure as I
-from quillmap.session import write_scratch
+from quillmap.session import spread_nulls, write_scratch
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
 from quillmap.sources import ranges as G
@@ -46,6 +46,8 @@ class IngestSettings:
     strict_magic: bool = True
     use_suggested: bool = False
     signature_depth: str = "all"
+    # the first arbitrated document of an archive decides for those behind it
+    session_rule: bool = False
 
 
 # --- documents to catalog rows ----------------------------------------------
@@ -83,7 +85,14 @@ def classify_documents(
             "text": F.col("content"),
             "confused": F.col("confused") | (F.col("det_score") < K.ARBITRATION_BELOW)})
         decisions = M.arbitrate_domains(asked, settings.model, settings.domains)
-    docs = D.resolve_precedence(docs, contracts, decisions)
+    session = None
+    if decisions is not None and settings.session_rule:
+        decisions = write_scratch(decisions, "decisions")
+        docs = docs.withColumn("seq", F.struct("path", "position"))
+        unsure = docs.where(F.col("det_score") < K.ARBITRATION_BELOW).select("doc_id", "archive", "seq")
+        session = D.session_decisions(unsure.join(decisions, "doc_id").select(
+            "archive", "seq", F.col("final_domain").alias("domain"), F.col("confidence").alias("score")))
+    docs = D.resolve_precedence(docs, contracts, decisions, session).drop("seq")
 
     docs = docs.withColumn("file_name", F.lower(basename(F.col("path"))))
     if mapping is not None:
@@ -263,7 +272,8 @@ def link_images(docs: DataFrame, members: DataFrame, settings: IngestSettings) -
                       "path", "left")
     named = keyed.withColumn(
         "name", I.link_name(F.try_element_at(F.col("record"), F.col("path_key"))))
-    linked = named.join(index, ["archive", "name"], "left").drop("name", "path_key")
+    # most documents name no image: joins by a NULL would meet in one task
+    linked = spread_nulls(named, "name", "name").join(index, ["archive", "name"], "left").drop("name", "path_key")
     fresh = docs.where("type = 'image'").select(
         F.col("path").alias("image_path"), F.col("visual").alias("_v"))
     # images outside this run's tasks: usually none, and then nothing is read
@@ -274,8 +284,9 @@ def link_images(docs: DataFrame, members: DataFrame, settings: IngestSettings) -
         F.col("path").alias("image_path"),
         image_vector(settings).alias("_v"))
     vectors = fresh.unionByName(again)
-    merged = linked.join(vectors, "image_path", "left").withColumn(
-        "visual", F.coalesce("visual", "_v")).drop("_v")
+    merged = spread_nulls(linked, "image_path", "_image").join(
+        vectors.withColumnRenamed("image_path", "_image"), "_image", "left").withColumn(
+        "visual", F.coalesce("visual", "_v")).drop("_v", "_image")
     return I.drop_linked_images(merged, linked.where("record IS NOT NULL")), plans
 
 
@@ -344,14 +355,23 @@ def ingest(
 
     files = listing.join(opened, "archive", "left_semi")
     members = files = write_scratch(file_hashes(files), "members")
-    others = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
-    if mode == "r":
-        others = others.where("false")
-    # an image that a record has taken over is in the catalog under the record's hash
-    linked = others.where("image_linked <> ''").select(
-        F.col("image_linked").alias("path"), F.lit(True).alias("_linked")).distinct()
-    counters = C.ingest_counters(C.file_status(files, others).join(linked, "path", "left").withColumn(
-        "status", F.when(F.col("_linked"), "linked").otherwise(F.col("status"))))
+
+    def before() -> tuple[DataFrame, DataFrame]:
+        """Rows of other runs, and the images that their records have taken over: these are in the catalog under
+        the record's hash."""
+        rows = C.read_catalog(spark, catalog_path).where(F.col("batch") != batch)
+        rows = rows.where("false") if mode == "r" else rows
+        return rows, rows.where("image_linked <> ''").select(
+            F.col("image_linked").alias("path"), F.lit(True).alias("_linked")).distinct()
+
+    others, linked = before()
+    statuses = write_scratch(C.file_status(files, others).join(linked, "path", "left").withColumn(
+        "status", F.when(F.col("_linked"), "linked").otherwise(F.col("status"))), "statuses")
+    counters = C.ingest_counters(statuses)
+    moved = statuses.where("status = 'moved'")
+    if moved.limit(1).count():
+        C.store_moves(spark, catalog_path, write_scratch(C.moved_sources(moved, others, found), "moves"))
+        others, linked = before()                    # files of the catalog have been replaced
     tasks = write_scratch(C.new_files(files, others).join(linked, "path", "left_anti"), "tasks")
 
     # the sources are read once; linking and labelling work on the written documents

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A side is only broadcast below both bounds; every caller has another way beyond them.
 MAX_BROADCAST_ROWS = 50_000
@@ -73,6 +74,15 @@ def collect_bounded(df: DataFrame, max_rows: int | None = None, max_bytes: int |
     return table
 
 
+def spread_nulls(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Add ``out``: the key, or where it is NULL a text that nothing is joined with.
+
+    An outer join deals all NULL keys to one task; these are dealt like any others.
+    """
+    own = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
+    return df.withColumn(out, F.coalesce(F.col(key), own))
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """A scan with fewer partitions than cores, hashed by its keys; any other scan unchanged.
 

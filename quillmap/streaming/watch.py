@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillmap import constants as K
 from quillmap.functions.hashing import fingerprint
 from quillmap.operators.catalog import append_catalog, new_files, path_exists, read_catalog
+from quillmap.plans import ingest as P
 from quillmap.session import write_scratch
 from quillmap.sources.files import supported_files
 
@@ -72,6 +73,36 @@ def ingest_new(files: DataFrame, catalog_path: str, checkpoint: str,
     )
 
 
+def watch_folder(
+    spark: SparkSession, root: str, catalog_path: str, contracts_path: str, checkpoint: str,
+    settings: P.IngestSettings = P.IngestSettings(), max_files: int | None = None,
+) -> StreamingQuery:
+    """Files that arrive below ``root`` trigger an ingest of the folders they changed: the loaders, catalog rows and folder
+    contracts of a batch run.
+
+    The first run builds the store, later ones complete it. Catalog and contracts are written under the name of the
+    micro-batch, so one that is replayed replaces in both what its first try left.
+    """
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True)
+    )
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    files = supported_files(reader.load(root).select("path"))     # contents are read by the loaders alone
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            P.ingest(batch.sparkSession, root, catalog_path, contracts_path,
+                     ingest_mode(batch.sparkSession, catalog_path), settings, batch=f"stream-{batch_id}")
+
+    return (
+        files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 def drop_repeats(stream: DataFrame, hash_col: str, ts_col: str, within: str) -> DataFrame:
     """First row of each hash within a watermark; state is dropped once it has passed."""
     return stream.withWatermark(ts_col, within).dropDuplicatesWithinWatermark([hash_col])

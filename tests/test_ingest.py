@@ -1,6 +1,7 @@
 """Folders to catalog: formats, links, incremental runs, streams."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from quillmap.checks.doubles import DigestImageEmbedder, RuleModel
 from quillmap.operators import catalog as C
 from quillmap.operators import models as M
 from quillmap.plans import ingest as P
-from quillmap.session import scratch_dir
+from quillmap.session import scratch_dir, spread_nulls
 from quillmap.streaming import watch as W
 
 
@@ -132,6 +133,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert run() == 3 and W.ingest_mode(spark, out) == "c"
 
 
+def test_folder_stream_equals_batch_runs(spark, tmp_path):
+    """Files that arrive in three goes, one of them replayed: catalog and contracts are those of one ingest."""
+    root, cat, con, ck = str(tmp_path / "s"), scratch_dir(spark, "cat"), scratch_dir(spark, "con"), scratch_dir(spark, "ck")
+    goes = [{"a/x.csv": "product_name\nRed Apple\n", "a/.z.txt": "hidden"}, {"b/y.txt": "we met in the old town"}, {"a/z.json": '[{"title": "Big Box"}]'}]
+    for files in goes:
+        put(root, files)
+        W.watch_folder(spark, root, cat, con, ck).awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    columns = ["source", "position", "doc_hash", "domain", "label", "content"]
+    whole, contracts = scratch_dir(spark, "cat"), scratch_dir(spark, "con")
+    P.ingest(spark, root, whole, contracts, "r", batch="1")
+    want = rows(C.read_catalog(spark, whole).select(*columns))
+    assert rows(C.read_catalog(spark, cat).select(*columns)) == want and len(want) == 3
+    pick = ["folder_path", "signature", "assigned_domain"]
+    assert rows(C.read_contracts(spark, con).select(*pick)) == rows(C.read_contracts(spark, contracts).select(*pick))
+    assert {r["batch"] for r in C.read_catalog(spark, cat).collect()} == {"stream-0", "stream-1", "stream-2"}
+    P.ingest(spark, root, cat, con, "c", batch="stream-2")    # the last batch once more
+    assert rows(C.read_catalog(spark, cat).select(*columns)) == want
+
+
+def test_moved_files_get_their_new_source(spark, tmp_path):
+    """Only partitions that hold a moved file are written again; a copy moves nothing."""
+    root, cat, con = str(tmp_path / "s"), scratch_dir(spark, "cat"), scratch_dir(spark, "con")
+    put(root, {"a/one.txt": "first words here", "b/two.txt": "other words there", "c/three.txt": "a third text"})
+    P.ingest(spark, root, cat, con, "r", batch="1")
+    C.append_catalog(C.read_catalog(spark, cat).where("source LIKE '%two.txt'").drop("batch"), cat, "0")
+    part = lambda: {os.path.join(d, f) for d, _, fs in os.walk(cat.removeprefix("file:")) for f in fs if f.startswith("part-")}
+    before = part()
+    os.makedirs(os.path.join(root, "d"))
+    os.rename(os.path.join(root, "a/one.txt"), os.path.join(root, "d/moved.txt"))
+    shutil.copy2(os.path.join(root, "c/three.txt"), os.path.join(root, "d/copy.txt"))
+    result = P.ingest(spark, root, cat, con, "c", batch="2")
+    assert {(r["status"], r["n"]) for r in result.counters.collect()} == {("moved", 2)}
+    sources = {os.path.relpath(r["source"], root) for r in C.read_catalog(spark, cat).collect()}
+    assert sources == {"d/moved.txt", "b/two.txt", "c/three.txt"} and result.rows.count() == 0
+    kept = before & part()
+    assert any("batch=0" in f for f in kept) and not any("batch=0" in f for f in part() - before)
+
+
+def test_the_first_arbitrated_document_decides_for_its_archive(spark, tmp_path):
+    root, cat, con = str(tmp_path / "s"), scratch_dir(spark, "cat"), scratch_dir(spark, "con")
+    put(root, {f"a/{i}.txt": f"text number {i}" for i in range(4)})
+    settings = P.IngestSettings(model=RuleModel, session_rule=True)
+    P.ingest(spark, root, cat, con, "r", settings, batch="1")
+    rows = C.read_catalog(spark, cat).orderBy("source").select(
+        "domain", F.get_json_object("extra", "$.detection_method").alias("m")).collect()
+    methods = [r["m"] for r in rows]
+    first = methods.index("model_arbitration")
+    assert methods.count("model_arbitration") == 1 and set(methods[first + 1:]) == {"session_cache"}
+    assert len({r["domain"] for r in rows[first:]}) == 1
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 5, F.col("id").cast("string")).alias("k"))
+    spread = spread_nulls(rows, "k", "j")
+    assert spread.select("j").distinct().count() == 1000
+    other = spark.createDataFrame([("3", "x")], "j string, v string")
+    assert [tuple(r) for r in spread.join(other, "j", "left").where("v IS NOT NULL").select("k", "v").collect()] == [("3", "x")]
+
+
 def test_debounce(spark):
     at = [0, 10, 21, 25, 100]
     df = spark.createDataFrame([("u", t) for t in at] + [("v", 3)], "k string, s int").select(
