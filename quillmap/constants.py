@@ -97,3 +97,5 @@ INDEX_SUB_VECTORS = 64
 PREVIEW_ROWS = 1000
 EXPLORER_POINTS = 5000
 DEBOUNCE_SECONDS = 10
+# hex characters of a hash's digest by which known hashes are stored
+HASH_PREFIX = 2

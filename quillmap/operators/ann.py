@@ -109,6 +109,52 @@ def build_cells(
     return CellIndex(rows, vector, centres, radii)
 
 
+# --- cells that are kept ----------------------------------------------------
+
+def create_index(catalog: DataFrame, vector: str, path: str, batch: str, n_cells: int = K.INDEX_CELLS,
+                 id_col: str = "doc_id", seed: int = 17) -> None:
+    """Train cells on the catalog and store its rows in them, below ``path``."""
+    known = catalog.where(F.col(vector).isNotNull())
+    centres = _train(known.select(l2_normalize(F.col(vector)).alias("v")), n_cells, seed)
+    spark = catalog.sparkSession
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>"
+                          ).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    append_index(catalog, vector, path, batch, id_col)
+
+
+def append_index(rows: DataFrame, vector: str, path: str, batch: str, id_col: str = "doc_id") -> None:
+    """Store new rows in the cells there are, and how far they reach in each.
+
+    Nothing that is stored is read or changed. A batch that is written again replaces itself.
+    """
+    spark = rows.sparkSession
+    centres = _centres(spark, path)
+    kept = [c for c in (id_col, vector, "domain", "label") if c in rows.columns]
+    placed = rows.where(F.col(vector).isNotNull()).select(*kept, _assign(F.col(vector), centres).alias("_a"))
+    placed = placed.select(*kept, F.col("_a.cell").alias("cell"), F.col("_a.cell_dist").alias("cell_dist"))
+    to = f"{path}/rows/batch={batch}"
+    placed.where("cell IS NOT NULL").hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(to)
+    stored = spark.read.schema("cell int, cell_dist double").parquet(to)
+    stored.groupBy("cell").agg(F.max("cell_dist").alias("radius")).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/radii/batch={batch}")
+
+
+def _centres(spark, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()      # a row for each cell
+    return np.array([r["centre"] for r in rows])
+
+
+def open_index(spark, path: str, vector: str) -> CellIndex:
+    """The stored cells; a radius is the farthest of all batches."""
+    centres = _centres(spark, path)
+    radii = np.full(len(centres), -1.0)
+    reach = spark.read.option("basePath", f"{path}/radii").parquet(f"{path}/radii").groupBy("cell").agg(F.max("radius").alias("r"))
+    for r in reach.collect():                                                  # a row for each cell
+        radii[r["cell"]] = r["r"]
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return CellIndex(rows, vector, centres, radii)
+
+
 class _ProbeSide(QuerySide):
     """Query side that compares a row only with the queries that visit its cell."""
 
@@ -119,18 +165,24 @@ class _ProbeSide(QuerySide):
 
     def allowed(self, batch, rows):
         cells = np.asarray(batch.column("cell"))[rows]
-        for cell in np.unique(cells):
-            members = self.visits.get(int(cell))
-            if members is not None:
-                yield members, np.flatnonzero(cells == cell)
+        for members, at in super().allowed(batch, rows):
+            for cell in np.unique(cells[at]):
+                visiting = self.visits.get(int(cell))
+                some = members if visiting is None else members[np.isin(members, visiting)]
+                if visiting is not None and len(some):
+                    yield some, at[cells[at] == cell]
 
 
 def search_cells(
     index: CellIndex, queries: DataFrame, query_vector: str, k: int = 10, n_probe: int = 4,
     pass_no: int = 2, id_col: str = "doc_id", exact: bool = True, digits: int = DIST_DIGITS,
+    filtered: bool = False,
 ) -> DataFrame:
-    """k nearest rows per query; ``exact=False`` stops after the ``n_probe`` nearest cells."""
-    spec = SearchPass(pass_no, index.vector, query_vector)
+    """k nearest rows per query, of those that meet its predicate if ``filtered``.
+
+    ``exact=False`` stops after the ``n_probe`` nearest cells.
+    """
+    spec = SearchPass(pass_no, index.vector, query_vector, filtered)
     asked = query_columns(queries, (spec,))
     table = collect_bounded(asked)
     if table is None:
@@ -146,7 +198,8 @@ def search_cells(
 
     def visit(visits: np.ndarray) -> DataFrame:
         cells = [int(c) for c in np.flatnonzero(visits.any(axis=0))]
-        slim = index.rows.where(F.col("cell").isin(cells)).select(id_col, index.vector, "cell")
+        slim = index.rows.where(F.col("cell").isin(cells)).select(
+            id_col, index.vector, "cell", *(["domain", "label"] if filtered else []))
         return scan_sides(slim, [_ProbeSide(table, spec, visits, digits)], k, id_col, schema)
 
     near = best_k(visit(first), k, id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from quillmap.operators import search as S
+from quillmap.operators.ann import CellIndex, search_cells
 from quillmap.session import write_scratch
 
 
@@ -18,18 +19,31 @@ def hybrid_search(
     limit_per_query: int | None = None,
     max_query_rows: int | None = None,
     digits: int = S.DIST_DIGITS,
+    index: dict[str, CellIndex] | None = None,
 ) -> DataFrame:
     """Ranked hits of every query.
 
     ``catalog`` needs id, doc_hash, visual, vector, domain, label, snippet, source, extra;
     ``queries`` is the output of ``prepare_queries``. The first scan reads vectors and predicate
     columns of all rows and notes where each hit lies; the second reads the wide columns of the files
-    that hold one.
+    that hold one. ``index`` names stored cells by catalog vector (``ann.open_index``); passes that have one
+    visit only the cells that can hold a hit, with the same result.
     """
+    index = index or {}
+    scanned = tuple(p for p in S.ALL_PASSES if p.catalog_vector not in index)
     located = S.with_files(catalog)
-    hits = S.top_k(catalog if located is None else located, queries, S.ALL_PASSES, k, id_col, max_query_rows,
-                   digits=digits, carry=[] if located is None else ["_file"])
-    if located is not None:
+    parts = []
+    if scanned:
+        parts.append(S.top_k(catalog if located is None else located, queries, scanned, k, id_col, max_query_rows,
+                             digits=digits, carry=[] if located is None or index else ["_file"]))
+    for p in S.ALL_PASSES:
+        if p not in scanned:
+            parts.append(search_cells(index[p.catalog_vector], queries, p.query_vector, k, pass_no=p.pass_no,
+                                      id_col=id_col, digits=digits, filtered=p.filtered))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    if located is not None or index:
         hits = write_scratch(hits, "hits")
     bound = S.MAX_BROADCAST_ROWS if max_query_rows is None else max_query_rows
     n_queries = queries.select("qid").limit(bound + 1).count()

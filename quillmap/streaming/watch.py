@@ -31,23 +31,51 @@ def watch_files(spark: SparkSession, root: str, max_files: int | None = None) ->
         "file_hash", fingerprint(F.col("content"), F.col("length"), F.col("mtime")))
 
 
+def hash_store(path: str) -> str:
+    return f"{path}.hashes"
+
+
+def _prefix(hash_col: str) -> Column:
+    return F.substring(F.md5(F.col(hash_col).cast("binary")), 1, K.HASH_PREFIX)
+
+
+def keep_hashes(rows: DataFrame, path: str, batch: str, hash_col: str = "file_hash") -> None:
+    """Store the hashes of a batch by prefix; a batch that is written again replaces itself."""
+    hashes = rows.select(hash_col, _prefix(hash_col).alias("prefix")).where(F.col(hash_col).isNotNull())
+    hashes.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(
+        f"{hash_store(path)}/batch={batch}")
+
+
+def known_hashes(fresh: DataFrame, path: str, batch: str, hash_col: str = "file_hash") -> DataFrame:
+    """Hashes of other batches, of the prefixes that occur in ``fresh`` only."""
+    spark = fresh.sparkSession
+    wanted = [r[0] for r in fresh.select(_prefix(hash_col)).distinct().collect() if r[0] is not None]  # 16^n at most
+    store = spark.read.schema(f"`{hash_col}` string, batch string, prefix string").option(
+        "basePath", hash_store(path)).parquet(hash_store(path))
+    return store.where((F.col("batch") != batch) & F.col("prefix").isin(wanted)).select(hash_col)
+
+
 def append_new(stream: DataFrame, path: str, checkpoint: str,
                transform: Callable[[DataFrame], DataFrame] | None = None,
                hash_col: str = "file_hash") -> StreamingQuery:
     """Append every row whose hash the table at ``path`` does not hold, each hash once.
 
     A batch is written below its own ``batch=`` folder in overwrite mode: a batch that is replayed
-    after a failure replaces what its first try left behind, and does not see it as known.
+    after a failure replaces what its first try left behind, and does not see it as known. The hashes are also
+    kept beside the table, by their digest's first characters; a batch reads only those it holds itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([hash_col])
-        if path_exists(spark, path):
-            earlier = spark.read.option("basePath", path).parquet(path).where(
-                F.col("batch") != batch_id).select(hash_col)
-            fresh = fresh.join(earlier, hash_col, "left_anti")
+        fresh = write_scratch(batch.dropDuplicates([hash_col]), "batch")
+        if path_exists(spark, path) and not path_exists(spark, hash_store(path)):
+            rows = spark.read.option("basePath", path).parquet(path).where(F.col("batch") != batch_id)
+            keep_hashes(rows, path, "earlier", hash_col)      # a table from before there was a store
+        if path_exists(spark, hash_store(path)):
+            known = known_hashes(fresh, path, str(batch_id), hash_col)
+            fresh = write_scratch(fresh.join(known, hash_col, "left_anti"), "fresh")
         out = fresh if transform is None else transform(fresh)
         out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keep_hashes(fresh, path, str(batch_id), hash_col)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,6 +1,7 @@
 """Folders to catalog: formats, links, incremental runs, streams."""
 
 import os
+import re
 import shutil
 
 import pytest
@@ -193,6 +194,26 @@ def test_rows_without_a_key_are_dealt_out(spark):
     assert [tuple(r) for r in spread.join(other, "j", "left").where("v IS NOT NULL").select("k", "v").collect()] == [("3", "x")]
 
 
+def test_a_batch_reads_only_the_hashes_it_may_hold(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def go(hashes):
+        spark.createDataFrame([(h,) for h in hashes], "file_hash string").coalesce(1).write.mode("append").parquet(src)
+        W.append_new(spark.readStream.schema("file_hash string").parquet(src), out, ck).awaitTermination()
+        return sorted(r["file_hash"] for r in spark.read.parquet(out).collect())
+
+    assert go(["a", "b", "a"]) == ["a", "b"]
+    assert go(["b", "c"]) == ["a", "b", "c"]
+    fresh = spark.createDataFrame([("a",)], "file_hash string")
+    known = W.known_hashes(fresh, out, "1")
+    assert [r[0] for r in known.collect()] == ["a"]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*prefix#\d+ = ", plan), plan
+    assert W.known_hashes(fresh, out, "0").count() == 0        # a batch does not know itself
+    shutil.rmtree(out + ".hashes")                             # a table from before there was a store
+    assert go(["c", "d"]) == ["a", "b", "c", "d"]
+
+
 def test_debounce(spark):
     at = [0, 10, 21, 25, 100]
     df = spark.createDataFrame([("u", t) for t in at] + [("v", 3)], "k string, s int").select(

@@ -132,6 +132,38 @@ def test_scans_are_pruned(spark, data, tmp_path):
     assert S.with_files(catalog) is None
 
 
+def test_a_kept_index_gives_the_rows_of_the_scan(spark, data, tmp_path):
+    """All three passes through stored cells, after two appends with vectors beyond the first radii."""
+    from quillmap.plans.hybrid_search import hybrid_search
+
+    rows, _, catalog, queries = data
+    rng = np.random.default_rng(8)
+    full = catalog.withColumns({
+        "visual": F.when(F.col("doc_id") % 4 > 0, F.reverse("vector")), "doc_hash": F.col("doc_id").cast("string"), "snippet": F.lit("s"),
+        "source": F.lit("x"), "extra": F.lit('{"a": "b"}')})
+    full.where("doc_id < 500").write.partitionBy("domain").parquet(str(tmp_path / "cat" / "batch=1"))
+    first = spark.read.parquet(str(tmp_path / "cat"))
+    paths = {v: str(tmp_path / v) for v in ("vector", "visual")}
+    for v, path in paths.items():
+        A.create_index(first, v, path, "1", n_cells=6)
+    far = spark.createDataFrame([(2000 + i, x.tolist(), "d1", "en") for i, x in enumerate(rng.normal(size=(40, 16)))], "doc_id bigint, vector array<double>, domain string, label string")
+    far = far.withColumns({c: e for c, e in zip(full.columns[4:], [F.col("vector"), F.col("doc_id").cast("string"), F.lit("s"), F.lit("x"), F.lit("{}")])})
+    for batch, new in (("2", full.where("doc_id BETWEEN 500 AND 899")), ("3", far)):
+        new.write.partitionBy("domain").parquet(str(tmp_path / "cat" / f"batch={batch}"))
+        for v, path in paths.items():
+            A.append_index(new, v, path, batch)
+            A.append_index(new, v, path, batch)            # a batch that is tried again
+    everything = spark.read.parquet(str(tmp_path / "cat"))
+    asked = queries.withColumns({"visual": F.reverse("vector"), "ocr_text": F.lit("s words")})
+    index = {v: A.open_index(spark, path, v) for v, path in paths.items()}
+    assert index["vector"].rows.count() == 940 and (index["vector"].radii >= 0).sum() > 1
+    pick = ["qid", "rank", "doc_id", "pass_no", "confidence"]
+    scan = sorted(map(tuple, hybrid_search(everything, asked, 4).select(*pick).collect()))
+    assert sorted(map(tuple, hybrid_search(everything, asked, 4, index=index).select(*pick).collect())) == scan
+    some = {"vector": index["vector"]}
+    assert sorted(map(tuple, hybrid_search(everything, asked, 4, index=some).select(*pick).collect())) == scan
+
+
 def test_cells_are_exact(data):
     rows, asks, catalog, queries = data
     index = A.build_cells(catalog, "vector", n_cells=8, min_rows=10)
