@@ -1,8 +1,9 @@
 """Exact top-k by inner product through distributed histogram selection.
 
 Components become integers, so scores are integers and every result is exact. All candidates are scored
-against all queries in a grid: candidates are dealt to groups, queries to blocks of bounded size, and each
-task streams the candidates of one group past one block of queries. A pass counts, for each query, the scores
+against all queries in a grid: candidates are dealt to groups, queries to blocks of bounded size, and a
+task streams the candidates of a group past a block of queries, one such cell after the other. The number of cells
+is bounded, so however many rows there are, a pass copies a candidate once for each block and no more. A pass counts, for each query, the scores
 by bins of its current range; the counts of all tasks are added, the bin that holds the k-th score becomes the
 new range, and the next pass looks into it, until no more than a few rows beyond k lie at or above its lower
 edge, or the range is a single score. A last pass emits what reaches that edge; of equal scores a task
@@ -11,8 +12,8 @@ emits no more of the smallest ids than the query can need.
 Defined results: rows without an id, without a vector, or with a null, NaN or infinite component take no
 part. Vectors are compared with those of their own length. A repeated row is a candidate as often as it
 occurs; a query is asked once for each id, with its smallest vector, and never meets rows of its own id. Fewer
-candidates than k give all of them. Components of 2^52 / scale and more raise, and so do vectors whose norms
-multiply beyond 2^62. Other columns are not read.
+candidates than k give all of them. Scores beyond 2^62 - 2 are returned, and ranked, as that; up to there they are exact,
+however large a component is. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,40 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmap.llm import vectors as V
 from quillmap.llm.common import write_scratch
 
 BINS = 512
 #: Rows beyond k that may reach the edge before the search for a narrower range ends.
 SLACK = 22
 QUERIES_IN_BLOCK, CANDIDATES_IN_GROUP, TILE = 2048, 16384, 1024
-#: Components beyond this raise; the scores of admitted vectors are checked as they are made.
-LARGEST = float(1 << 52)
+#: Cells of a pass, and partitions they are dealt to.
+CELLS, PARTITIONS = 16384, 4096
+#: Scores end here, so that differences of two fit 64 bits.
+MOST = (1 << 62) - 2
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """id, v (array of bigint), norm; only rows that take part."""
-    x = F.transform(F.col(f"`{vector}`"), lambda e: e.cast("double"))
-    ok = F.forall("x", lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)))
-    scaled = F.transform("x", lambda e: F.when(F.abs(e * scale) < LARGEST, F.floor(e * scale)).otherwise(
-        F.raise_error(F.lit("a component is too large for integer scores")).cast("bigint")))
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull() & ok)
-    rows = rows.select("id", scaled.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)))
-
-
-def _matrix(column: pa.Array, length: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, length) if length else np.zeros((len(column), 0), dtype=np.int64)
+    """id, x (scaled doubles, whose floors are the components), norm; only rows that take part."""
+    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), V.scaled(vector, scale).alias("x")).where(F.col("id").isNotNull() & V.usable("x"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + F.pow(F.abs(e) + 1, F.lit(2.0)))))
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, (queries, candidates): in doubles where these are exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most < 2.0 ** 53:
-        return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
-    if most < 2.0 ** 63:
-        return q @ c.T
-    raise ValueError("scores do not fit 64 bits")
+    """Integer inner products, (queries, candidates)."""
+    return np.clip(V.products(q, c), -MOST, MOST)
 
 
 class _Block:
@@ -116,7 +105,7 @@ def _pass(candidates: DataFrame, queries: DataFrame, groups: int, blocks: int, k
         cell, held, open_ = None, {}, False
         for batch in batches:
             cells, kinds = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
-            lengths = np.diff(batch.column("v").offsets.to_numpy())
+            lengths = np.diff(batch.column("x").offsets.to_numpy())
             # sorted by cell and kind; a stretch has one cell, kind and length
             cut = np.flatnonzero((np.diff(cells) != 0) | (np.diff(kinds) != 0) | (np.diff(lengths) != 0)) + 1
             for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
@@ -127,7 +116,7 @@ def _pass(candidates: DataFrame, queries: DataFrame, groups: int, blocks: int, k
                     if open_:
                         yield from (x.rows() for x in held.values())
                     cell, held, open_ = cells[a], {}, False
-                ids, vectors = part.column("id").to_numpy(), _matrix(part.column("v"), length)
+                ids, vectors = part.column("id").to_numpy(), V.matrix(part.column("x"), length)
                 if kinds[a] == 0:
                     held.setdefault(length, _Block(k, bins)).add(ids, vectors, part.column("low").to_numpy(), part.column("width").to_numpy())
                     continue
@@ -141,11 +130,12 @@ def _pass(candidates: DataFrame, queries: DataFrame, groups: int, blocks: int, k
             yield from (x.rows() for x in held.values())
 
     zero = F.lit(0).cast("bigint")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", "id", "v", "low", "width").select(
-        (F.col("g") * blocks + F.col("block")).alias("cell"), F.lit(0).alias("kind"), "id", "v", "low", "width")
-    right = candidates.select(F.pmod("slot", F.lit(groups)).alias("g"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
-        (F.col("g") * blocks + F.col("block")).alias("cell"), F.lit(1).alias("kind"), "id", "v", zero.alias("low"), zero.alias("width"))
-    cells = left.unionByName(right).repartition(groups * blocks, "cell").sortWithinPartitions("cell", "kind")
+    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", "id", "x", "low", "width").select(
+        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "x", "low", "width")
+    right = candidates.select(F.pmod("slot", F.lit(groups)).alias("g"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
+        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(1).alias("kind"), "id", "x", zero.alias("low"), zero.alias("width"))
+    parts = min(groups * blocks, PARTITIONS)
+    cells = left.unionByName(right).repartitionById(parts, F.pmod("cell", F.lit(parts))).sortWithinPartitions("cell", "kind")
     return cells.mapInArrow(run, "query_id bigint, item bigint, amount bigint")
 
 
@@ -154,13 +144,13 @@ def exact_top_k(vectors: DataFrame, asked, k: int = 10, scale: int = 1024, key:
     rows = integer_vectors(vectors, key, vector, scale).withColumn("slot", F.monotonically_increasing_id())
     rows = write_scratch(rows, "vectors")
     total, widest = rows.agg(F.count("*"), F.max("norm")).first()
-    queries = rows.where(asked).groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm"))
+    queries = rows.where(asked).groupBy("id").agg(F.min("x").alias("x"), F.min_by("norm", "x").alias("norm"))
     blocks = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
-    groups = max(1, -(-total // CANDIDATES_IN_GROUP))
+    groups = max(1, min(-(-total // CANDIDATES_IN_GROUP), CELLS // blocks))
     # no score lies beyond the product of the norms
-    edge = (F.ceil(F.col("norm") * F.lit(widest or 0.0) * 1.000001) + 1).cast("bigint")
+    edge = F.least(F.ceil(F.least(F.col("norm") * F.lit(widest or 0.0) * 1.000001, F.lit(2.0 ** 62))) + 1, F.lit(MOST)).cast("bigint")
     state = queries.select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v",
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "x",
         (-edge).alias("low"), (F.floor((2 * edge + 1) / BINS) + 1).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done"))
     state = write_scratch(state, "ranges")
     while state.where("NOT done").limit(1).count():
@@ -176,7 +166,7 @@ def exact_top_k(vectors: DataFrame, asked, k: int = 10, scale: int = 1024, key:
         upto = F.col("above") + F.col("upto")
         ended = F.col("done") | F.col("item").isNull() | (F.col("width") == 1) | (upto <= k + SLACK)
         state = write_scratch(step.select(
-            "block", "id", "v", low.alias("low"),
+            "block", "id", "x", low.alias("low"),
             F.when(now & ~ended, F.floor((F.col("width") - 1) / BINS) + 1).otherwise(F.col("width")).cast("bigint").alias("width"),
             F.when(now, F.col("above") + F.col("upto") - F.col("n")).otherwise(F.col("above")).alias("above"), ended.alias("done")), "ranges")
     hits = _pass(rows, state, groups, blocks, k, 0)

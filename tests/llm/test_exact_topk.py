@@ -1,7 +1,6 @@
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillmap.llm import exact_topk as T
@@ -17,7 +16,7 @@ def brute(rows, k, scale, every):
             asked[i] = min(asked.get(i, v), v)
     out = []
     for q, v in asked.items():
-        hits = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v))
+        hits = sorted((-max(-T.MOST, min(T.MOST, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in good if i != q and len(w) == len(v))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(hits[:k])]
     return sorted(out)
 
@@ -59,8 +58,20 @@ def test_fewer_rows_than_k_and_none(spark):
     check(spark, [])
 
 
-def test_large_components(spark):
+def test_components_of_any_size(spark):
     check(spark, [(i, [1e5 * (i - 3), 1e4], "x") for i in range(6)], every=2)
-    table = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id bigint, embedding array<double>")
-    with pytest.raises(Exception, match="too large"):
-        T.exact_top_k(table, F.pmod("id", F.lit(100)) == 0).collect()
+    check(spark, [(0, [1e300], "x"), (1, [1.0], "x"), (2, [5e12], "x"), (100, [1.0], "x"), (3, [-1e200], "x")])
+    rng = random.Random(3)
+    check(spark, [(i, [rng.choice([1.0, 1e7, 1e12, 1e30]) * rng.uniform(-1, 1) for _ in range(3)], "x") for i in range(200)], every=20)
+
+
+def test_many_cells_in_few_partitions(spark, monkeypatch):
+    """100 groups by 100 blocks need no more than 200 partitions."""
+    for name, value in (("QUERIES_IN_BLOCK", 1), ("CANDIDATES_IN_GROUP", 4), ("CELLS", 10_000), ("PARTITIONS", 200)):
+        monkeypatch.setattr(T, name, value)
+    seen = []
+    real = T._pass
+    monkeypatch.setattr(T, "_pass", lambda rows, queries, groups, blocks, k, bins: seen.append((groups, blocks, (df := real(rows, queries, groups, blocks, k, bins)).rdd.getNumPartitions())) or df)
+    rng = random.Random(4)
+    check(spark, [(i, [rng.uniform(-1, 1) for _ in range(2)], "x") for i in range(400)], k=3, every=4)
+    assert seen and all(g == 100 and b == 100 and n <= 200 for g, b, n in seen)
