@@ -8,11 +8,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.session import write_scratch
+from quillmap import session
 
 __all__ = ["read_table", "row_slices", "sample_by_hash", "string_column", "write_scratch"]
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; whole texts must not pile up on either side.
+BATCH_BYTES = "8m"
+
+
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """``session.write_scratch`` in batches of ``BATCH_BYTES``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_BYTES)
+    try:
+        return session.write_scratch(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
