@@ -623,6 +623,11 @@ FROM queries""")
 _TOP = "SELECT qid, doc_id, dist, rk FROM p"
 oracle("explorer_sample", f"""WITH {CATALOG} SELECT doc_id FROM catalog WHERE vector IS NOT NULL
 ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {K.EXPLORER_POINTS}""")
+oracle("pca_covariance", f"""WITH {CATALOG},
+s AS (SELECT vector FROM catalog WHERE vector IS NOT NULL
+  ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {K.EXPLORER_POINTS})
+SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, {r6('covar_samp(vector[i], vector[j])')} AS cov
+FROM s, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY i, j""")
 oracle("topk_visual", f"WITH {CATALOG}, {QUERIES}, {top('p', 1, 'visual', 'visual', 10)} {_TOP}")
 oracle("topk_fused", f"WITH {CATALOG}, {QUERIES}, {top('p', 2, 'vector', 'vector', 10)} {_TOP}")
 oracle("topk_filtered",

@@ -888,6 +888,13 @@ def pca3(spark, sf):
     return N.pca_points(X.catalog(spark, sf))
 
 
+@query
+def pca_covariance(spark, sf):
+    """What the explorer's axes are made of: the covariance of its sample."""
+    known = X.catalog(spark, sf).where("vector IS NOT NULL").select("doc_id", "vector")
+    return N.covariance(N.sample_points(known)).select("i", "j", r6("cov").alias("cov"))
+
+
 @query
 def domain_palette(spark, sf):
     return N.domain_palette(X.catalog(spark, sf))

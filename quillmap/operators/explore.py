@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
@@ -29,6 +31,40 @@ def _project(vector: Column, axes: np.ndarray, mean: np.ndarray) -> Column:
     return arrow_once(project, "array<double>")(vector)
 
 
+def covariance(catalog: DataFrame, vector: str = "vector") -> DataFrame:
+    """(i, j, cov) for i <= j: sample covariance of the vectors' components, which decides their principal axes.
+
+    A task sends one row for each pair of components, whatever it reads: products around its own mean, which
+    are moved to the common mean where they are added.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, products = 0, None, None
+        for batch in batches:
+            _, x = list_array_to_matrix(batch.column(0), None if mean is None else len(mean))
+            if not len(x):
+                continue
+            m, own = len(x), x.mean(axis=0)
+            part = (x - own).T @ (x - own)
+            if mean is None:
+                n, mean, products = m, own, part
+                continue
+            off = own - mean
+            products += part + np.outer(off, off) * n * m / (n + m)
+            mean, n = mean + off * m / (n + m), n + m
+        if n:
+            i, j = np.triu_indices(len(mean))
+            yield pa.record_batch({
+                "i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)), "n": pa.array(np.full(len(i), n)),
+                "a": pa.array(mean[i]), "b": pa.array(mean[j]), "p": pa.array(products[i, j])})
+
+    parts = catalog.where(F.col(vector).isNotNull()).select(vector).mapInArrow(
+        run, "i int, j int, n bigint, a double, b double, p double")
+    n, a, b = F.sum("n"), F.sum(F.col("n") * F.col("a")), F.sum(F.col("n") * F.col("b"))
+    added = parts.groupBy("i", "j").agg(
+        n.alias("n"), (F.sum(F.col("p") + F.col("n") * F.col("a") * F.col("b")) - a * b / n).alias("s"))
+    return added.where("n > 1").select("i", "j", (F.col("s") / (F.col("n") - 1)).alias("cov"))
+
+
 def pca_points(catalog: DataFrame, vector: str = "vector", id_col: str = "doc_id",
                n: int = K.EXPLORER_POINTS) -> DataFrame:
     """(id, x, y, z, source_name, domain_display, label, domain_score, type) of the sample.

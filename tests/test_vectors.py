@@ -287,3 +287,19 @@ def test_principal_axes(spark):
     axes = axes[:, ::-1][:, :3]
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
     assert np.allclose(np.array([got[i] for i in ids]), centred @ axes, atol=1e-6)
+
+
+def test_covariance_of_many_tasks(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(300, 5)) * np.array([9, 1, 5, 0.5, 3]) + 400
+    rows[:, 1] += rows[:, 0]
+    df = spark.createDataFrame([(v.tolist(),) for v in rows] + [(None,)], "vector array<double>").repartition(7)
+    got = {(r["i"], r["j"]): r["cov"] for r in N.covariance(df).collect()}
+    want = np.cov(rows.T)
+    assert set(got) == {(i, j) for i in range(5) for j in range(i, 5)}
+    assert all(abs(c - want[k]) < 1e-7 for k, c in got.items())
+    assert N.covariance(df.limit(0)).collect() == []
+    # the explorer's axes are its first eigenvectors, whatever their sign
+    catalog = spark.createDataFrame([(i, v.tolist(), "a", "b") for i, v in enumerate(rows)], "doc_id bigint, vector array<double>, source string, domain string")
+    points = np.array([[r["x"], r["y"], r["z"]] for r in N.pca_points(catalog).collect()])
+    assert np.allclose(np.cov(points.T), np.diag(np.linalg.eigvalsh(want)[::-1][:3]), atol=1e-6)
