@@ -9,7 +9,8 @@ computes those of its other characters only.
 * The segmentation of a byte-pair model is not the one with the best sum of its scores, which are merge ranks.
   It has another property that a forward pass can use: a segmentation is the model's own exactly if each of
   its pieces and each pair of neighbours comes out of the merges unchanged. So each prefix has one last
-  piece, and the forward value is that piece; pairs are merged once and remembered.
+  piece, and the forward value is that piece; pairs are merged once and remembered. Pieces are found by walking
+  the vocabulary's own trie from every start that is still alive.
 
 Words in which the mark repeats are merged directly, as their pieces share one rank. Characters without a piece
 become byte pieces, or the unknown piece where the model has none.
@@ -21,7 +22,9 @@ columns are not read; empty tables give empty results. The mark's own character
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,11 @@ UNIGRAM, BPE = 1, 2
 #: Distinct words a process remembers; beyond it starts anew.
 WORDS_KEPT = 500_000
 PAIRS_KEPT = 600_000
+#: Bits of a piece in the number of a pair: pieces, and behind them characters that are none.
+PIECE_BITS = 22
+#: Key of the piece that ends at a node of the vocabulary's trie; all other keys are characters.
+PIECE = 0
+NO_NODE: dict = {}
 #: Below the lowest score, for a character without a piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -75,6 +83,17 @@ def _fields(data: bytes):
             at += size
 
 
+def _shared(a: str, b: str) -> int:
+    """Characters that both begin with."""
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    for i in range(most):
+        if a[i] != b[i]:
+            return i
+    return most
+
+
 class PieceModel:
     """Pieces, scores and kind of a model file; ``encode`` and ``decode`` whole texts."""
 
@@ -107,8 +126,15 @@ class PieceModel:
         self.words = re.compile(f"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + "|\n" * bool(lone))
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pieces = [p.id_to_piece(i) for i in range(n)]
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.trie: dict = {}
+        for s, i in self.ids.items() if self.kind == BPE else ():
+            node = self.trie
+            for char in s:
+                node = node.setdefault(char, {})
+            node[PIECE] = i
         self.limit = words_kept
         raw = [b""] * n
         for s, i in self.ids.items():
@@ -134,31 +160,23 @@ class PieceModel:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stays(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merge(piece) == [piece]
+    def _stays(self, piece: int) -> bool:
+        """Whether the merges give the piece back whole."""
+        text = self.text_of(piece)
+        found = self.whole[piece] = self.merge(text) == [text]
         return found
 
-    def _neighbours(self, pair: tuple[str, str]) -> bool:
+    def text_of(self, piece: int) -> str:
+        return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
+
+    def _neighbours(self, pair: int) -> bool:
+        """Whether the merges leave the two pieces of a pair as they are."""
         if len(self.pairs) > PAIRS_KEPT:
             self.pairs.clear()
-        found = self.pairs[pair] = self.merge(pair[0] + pair[1]) == [*pair]
+        left, right = self.text_of(pair >> PIECE_BITS), self.text_of(pair & (1 << PIECE_BITS) - 1)
+        found = self.pairs[pair] = self.merge(left + right) == [left, right]
         return found
 
-    def _last_piece(self, word: str, end: int, last: list[str]) -> str:
-        """The one piece that can end the prefix ``word[:end]`` after the last pieces of shorter prefixes."""
-        scores, known = self.scores, self.pairs
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if (piece in scores or end - start == 1) and self._stays(piece):
-                if not start:
-                    return piece
-                pair = (last[start], piece)
-                if known[pair] if pair in known else self._neighbours(pair):
-                    return piece
-        raise AssertionError("a prefix without a segmentation")
-
     def _best_piece(self, word: str, end: int, best: list[float], last: list[str]) -> tuple[float, str]:
         """Viterbi's step: the best sum over the pieces that end here, the longest of equal ones."""
         found, piece = -float("inf"), ""
@@ -177,22 +195,17 @@ class PieceModel:
 
     def learn(self, words: list[str]) -> None:
         """Segment sorted distinct words depth-first, keeping the forward values of shared prefixes."""
+        if self.kind == BPE:
+            self._learn_merges(words)
+            return
         before, last, best = "", [""], [0.0]
         for word in words:
-            if self.kind == BPE and word.startswith(MARK + MARK):
-                self.memo[word] = self._as_ids(self.merge(word))
-                continue
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
+            shared = _shared(before, word)
             del last[shared + 1:], best[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                if self.kind == BPE:
-                    last.append(self._last_piece(word, end, last))
-                else:
-                    score, piece = self._best_piece(word, end, best, last)
-                    best.append(score)
-                    last.append(piece)
+                score, piece = self._best_piece(word, end, best, last)
+                best.append(score)
+                last.append(piece)
             parts, at = [], len(word)
             while at:
                 parts.append(last[at])
@@ -200,6 +213,59 @@ class PieceModel:
             self.memo[word] = self._as_ids(parts[::-1])
             before = word
 
+    def _learn_merges(self, words: list[str]) -> None:
+        """For each prefix, the one piece that can end it after the last pieces of shorter prefixes.
+
+        Kept by the number of characters: that piece, where it starts, and the starts from which the vocabulary's trie
+        can still be followed."""
+        trie, pieces, whole, bits = self.trie, len(self.pieces), self.whole, PIECE_BITS
+        before, last, begin, alive = "", [-1], [0], [[]]
+        for word in words:
+            if word.startswith(MARK + MARK):
+                self.memo[word] = self._as_ids(self.merge(word))
+                continue
+            shared = _shared(before, word)
+            del last[shared + 1:], begin[shared + 1:], alive[shared + 1:]
+            live, end, plain = alive[shared], shared, True
+            for char in word[shared:]:
+                live = [(start, child) for start, node in live if (child := node.get(char)) is not None]
+                live.append((end, trie[char] if char in trie else NO_NODE))
+                pairs = self.pairs
+                for start, node in live:
+                    if PIECE in node:
+                        piece = node[PIECE]
+                        if start != end and not (whole[piece] if piece in whole else self._stays(piece)):
+                            continue
+                    elif start != end:
+                        continue
+                    else:
+                        piece = pieces + ord(char)  # a character without a piece
+                    if not start:
+                        break
+                    pair = last[start] << bits | piece
+                    if pairs[pair] if pair in pairs else self._neighbours(pair):
+                        break
+                else:
+                    raise AssertionError("a prefix without a segmentation")
+                last.append(piece)
+                begin.append(start)
+                alive.append(live)
+                end += 1
+            found, at = [], len(word)
+            while at:
+                plain &= last[at] < pieces
+                found.append(last[at])
+                at = begin[at]
+            found.reverse()
+            self.memo[word] = self._packed(found) if plain else self._as_ids(list(map(self.text_of, found)))
+            before = word
+
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def _as_ids(self, parts: list[str]) -> bytes:
         out: list[int] = []
         for part in parts:
@@ -209,7 +275,7 @@ class PieceModel:
                 out.extend(self.bytes[b] for b in part.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, dtype=self.dtype).tobytes()
+        return self._packed(out)
 
     # whole texts
 
