@@ -6,8 +6,9 @@ lexicon or pattern finds anything, and the annotators' label is a voter that say
 label model has each voter speak with one probability for toxic and another for other texts; expectation and
 maximisation estimate these accuracies together with the hidden classes, and the correlations that voters
 show within the classes. A voter's evidence is divided by what the correlations say it shares with others. The posterior of each training row
-is the soft label of a linear classifier with an L1 penalty over the words and word beginnings, and the
-classifier alone scores documents.
+is the soft label of a linear classifier with an L1 penalty over the words, the word beginnings, and the votes of lexicon and
+patterns; the classifier alone scores documents. A lexicon group or pattern that the training rows hardly show keeps the weight that the
+label model's evidence for it gives, by a few made rows that hold its vote alone.
 
 Training rows are labelled rows whose crc32(id as text) mod 5 is not 0; at most ``TRAIN_ROWS`` of them, chosen by a hash of the
 id, are used. Everything else covers all rows.
@@ -60,6 +61,12 @@ PATTERNS = {
     "masked": r"\b[a-z][*#@$]{2,}[a-z]*\b",
     "exclaimed": r"\b(?:idiot|moron|stupid|loser|trash|scum)\w*\s*!{2,}",
 }
+_GROUPS = [frozenset(v.split()) for v in LEXICON.values()]
+_PATTERNS = [re.compile(p) for p in PATTERNS.values()]
+HIT_VOTERS = len(_GROUPS) + len(_PATTERNS)
+#: Made rows of a lexicon or pattern voter, as a share of the training rows, and the most that their soft label may be:
+#: without a training row of its own, one such vote must not call a text toxic.
+MADE_SHARE, MADE_MOST = 0.001, 0.4
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~" + "«»“”‘’…"
 
 
@@ -76,6 +83,14 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
+def hits_of(words: set[str], text: str, wanted: tuple | None = None) -> list[bool]:
+    """The votes of the lexicon groups and patterns; those not wanted are not looked for."""
+    ask = [True] * HIT_VOTERS if wanted is None else wanted
+    low = text.lower() if any(ask[len(_GROUPS):]) else ""
+    said = [bool(a) and not g.isdisjoint(words) for g, a in zip(_GROUPS, ask, strict=False)]
+    return said + [bool(a) and p.search(low) is not None for p, a in zip(_PATTERNS, ask[len(_GROUPS):], strict=True)]
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -136,14 +151,24 @@ def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, ro
     return model
 
 
+def made_labels(model: LabelModel) -> list[float]:
+    """For each lexicon and pattern voter, the posterior of a text with its vote alone, as far as it may go."""
+    own = model.own * np.log(model.rate[1] / model.rate[0])
+    prior = math.log(model.prior / (1 - model.prior))
+    return [min(MADE_MOST, float(_sigmoid(prior + own[2 + v]))) for v in range(HIT_VOTERS)]
+
+
 @dataclass
 class Classifier:
     constant: float
     weights: dict[str, float]
+    votes: tuple[float, ...] = ()  # of lexicon groups and patterns
 
     def score(self, text: str) -> float:
-        total, get = self.constant, self.weights.get
-        for w in words_of(text):
+        total, get, words = self.constant, self.weights.get, words_of(text)
+        if any(self.votes):
+            total += sum(v for v, hit in zip(self.votes, hits_of(words, text, self.votes), strict=True) if hit)
+        for w in words:
             total += get(w, 0.0)
             for n in BEGINNINGS:
                 if len(w) > n:
@@ -184,22 +209,21 @@ def _mine(train: DataFrame) -> list[str]:
 
 
 def _votes(train: DataFrame, mined: list[str]) -> DataFrame:
-    """doc, toxic, votes ('0' and '1' for each voter) and features (their places in ``mined``)."""
-    groups, patterns = [set(v.split()) for v in LEXICON.values()], [re.compile(p) for p in PATTERNS.values()]
+    """doc, toxic, votes ('0' and '1' for each voter) and features (their places in ``mined``, and behind it the hits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(mined)}
         for batch in row_slices(batches):
             votes, found = [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words, low = words_of(text), text.lower()
+                words = words_of(text)
                 has = sorted(place[f] for f in features_of(words) if f in place)
-                hit = [*(not g.isdisjoint(words) for g in groups), *(p.search(low) is not None for p in patterns)]
+                hit = hits_of(words, text)
                 said = [y, not any(hit), *hit]
                 told = set(has)
                 said += [i in told for i in range(min(MINED_VOTERS, len(mined)))]
                 votes.append("".join("1" if v else "0" for v in said))
-                found.append(has)
+                found.append(has + [len(mined) + i for i, h in enumerate(hit) if h])
             yield pa.record_batch({"votes": pa.array(votes, pa.string()), "features": pa.array(found, pa.list_(pa.int32()))})
 
     return train.select("text", "toxic").mapInArrow(run, "votes string, features array<int>")
@@ -220,18 +244,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     matrix = np.array([[c == "1" for c in r["votes"]] for r in patterns])
     model = fit_label_model(matrix, np.array([r["count"] for r in patterns], dtype=np.float64), matrix[:, 0].astype(float))
     soft = dict(zip((r["votes"] for r in patterns), model.posterior(matrix.astype(np.float64)).tolist(), strict=True))
-    if not mined:
-        return Classifier(math.log(model.prior / (1 - model.prior)), {})
-    width = len(mined)
+    width = len(mined) + HIT_VOTERS
     vector = F.udf(lambda found: Vectors.sparse(width, found, [1.0] * len(found)), VectorUDT())
     posterior = F.udf(lambda votes: soft[votes], "double")
-    rows = voted.select(vector("features").alias("x"), posterior("votes").alias("p"))
+    rows = voted.select(vector("features").alias("x"), posterior("votes").alias("p"), F.lit(1.0).alias("n"))
+    made = docs.sparkSession.createDataFrame(
+        [([len(mined) + v], p, MADE_SHARE * sum(sizes.values())) for v, p in enumerate(made_labels(model))], "features array<int>, p double, n double")
+    rows = rows.unionByName(made.select(vector("features").alias("x"), "p", "n"))
     rows = rows.select("x", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w")))).alias("r"))
+        F.struct(F.lit(1.0).alias("y"), (F.col("n") * F.col("p")).alias("w")), F.struct(F.lit(0.0).alias("y"), (F.col("n") * (1 - F.col("p"))).alias("w")))).alias("r"))
     rows = rows.select("x", "r.y", "r.w").where("w > 1e-6")
     fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=L1, elasticNetParam=1.0, standardization=False, maxIter=60).fit(rows)
     values = fitted.coefficients.toArray()
-    return Classifier(float(fitted.intercept), {f: float(v) for f, v in zip(mined, values, strict=True) if v})
+    weights = {f: float(v) for f, v in zip(mined, values, strict=False) if v}
+    return Classifier(float(fitted.intercept), weights, tuple(map(float, values[len(mined):])))
 
 
 def score_documents(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:

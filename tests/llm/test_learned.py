@@ -45,6 +45,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert by_id[5000].score == by_id[5001].score < 0.5 and by_id[5002].predicted == 0 and by_id[None].predicted == 1
 
 
+def test_lexicon_and_pattern_hits_reach_the_score(spark):
+    """Where the training rows' toxic words are invented ones, English insults still score above an empty text."""
+    docs, labels, _ = toxic_rows()
+    docs = [(d, t.replace("idiot", "vrak").replace("scum", "zell")) for d, t in docs]
+    model = T.fit(documents(spark, docs), spark.createDataFrame(labels, LABELS))
+    empty, clean = model.score(""), model.score("a nice day in the garden")
+    for text in ("moron", "go to hell", "you worthless neighbour", "stupid!!", "kill"):
+        assert model.score(text) > empty + 0.01, text
+    assert clean == pytest.approx(empty) and model.score("moron") < 0.5
+    assert model.score("kill yourself you pathetic worthless trash") > 0.5
+
+
+def test_posteriors_are_those_of_plain_em():
+    """Two voters that do not depend on each other: expectation and maximisation written out row by row."""
+    rng = np.random.default_rng(3)
+    y = rng.random(4000) < 0.25
+    votes = np.stack([rng.random(4000) < np.where(y, 0.95, 0.05), rng.random(4000) < np.where(y, 0.7, 0.1)], axis=1)
+    model = T.fit_label_model(votes, np.ones(4000), votes[:, 0].astype(float))
+    got = model.posterior(votes.astype(float))
+    patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    grouped = T.fit_label_model(patterns, counts.astype(float), patterns[:, 0].astype(float))
+    assert np.allclose(grouped.posterior(patterns.astype(float))[back], got, atol=1e-6)  # patterns counted are rows
+    assert ((got > 0.5) == y).mean() > 0.93 and abs(got.mean() - votes[:, 0].mean()) < 0.01
+    order = [got[(votes == p).all(axis=1)].mean() for p in ([False, False], [False, True], [True, False], [True, True])]
+    assert order == sorted(order)
+
+
 def test_held_out_labels_are_never_learned(spark):
     docs, labels, _ = toxic_rows(300)
     turned = [(d, q, 1 - y if zlib.crc32(str(d).encode()) % 5 == 0 else y) for d, q, y in labels]
