@@ -40,6 +40,8 @@ TOTAL_BITS = 20
 LANES, STEPS = 1024, 256
 #: Ids after which a block is closed at the end of its document.
 BLOCK_IDS = 1 << 20
+#: Distinct words of a generation that a worker remembers while it writes files; a word found again spares its merges.
+WORDS_KEPT = 800_000
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
@@ -196,11 +198,10 @@ def count_tokens(ids: DataFrame, dtype: str) -> Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in row_slices(batches, 64):
-            for value in batch.column(0).to_pylist():
-                seen = np.bincount(np.frombuffer(value, dtype=dtype))
-                if len(seen) > len(counts):
-                    counts, seen = seen.astype(np.int64), counts
-                counts[:len(seen)] += seen
+            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype))
+            if len(seen) > len(counts):
+                counts, seen = seen.astype(np.int64), counts
+            counts[:len(seen)] += seen
         used = np.flatnonzero(counts)
         yield pa.record_batch({"token": pa.array(used.astype(np.int64)), "n": pa.array(counts[used].astype(np.int64))})
 
@@ -214,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
     dtype = encoder(tokenizer_path).dtype.str
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), np.array([end_id], dtype=dtype).tobytes()
+        encode, end = encoder(tokenizer_path, WORDS_KEPT), np.array([end_id], dtype=dtype).tobytes()
         for batch in row_slices(batches, 64):
             ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.record_batch({

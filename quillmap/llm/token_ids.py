@@ -31,10 +31,10 @@ WORDS_KEPT = 250_000
 _loaded: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
-    """The process's encoder of a vocabulary file."""
+def encoder(path: str, words_kept: int = WORDS_KEPT) -> TextEncoder:
+    """The process's encoder of a vocabulary file; the one who asks first says how many words it keeps."""
     if path not in _loaded:
-        _loaded[path] = TextEncoder(path)
+        _loaded[path] = TextEncoder(path, words_kept)
     return _loaded[path]
 
 
