@@ -67,6 +67,10 @@ def folder_file_label(path: Column) -> Column:
 
 # --- labels inside texts ----------------------------------------------------
 
+# characters that are hashed at a time: some 40 bytes of work space for each
+RUN_CHARS = 1 << 20
+
+
 def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes of a run of code points, and the powers that belong to them (modulo 2**64)."""
     powers = np.cumprod(np.full(len(codes) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
@@ -74,10 +78,10 @@ def _rolling(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), weighted.astype(np.uint64)]), powers
 
 
-def _longest_by_hashes(text: Column, scope: Column, labels: list[tuple[str, str]], gram: int = 8
-                       ) -> Column:
-    """The texts of a batch are hashed as one run; the first characters of the labels (at most
-    ``gram``) are looked up among its grams, and what matches is compared in full."""
+def _longest_by_hashes(text: Column, scope: Column, labels: list[tuple[str, str]], gram: int = 8,
+                       run_chars: int = RUN_CHARS) -> Column:
+    """The texts of a batch are hashed in runs of bounded length; the first characters of the labels (at
+    most ``gram``) are looked up among a run's grams, and what matches is compared in full."""
     by_size: dict[int, dict[int, list[tuple[str, set[str]]]]] = {}
     owners: dict[str, set[str]] = {}
     for owner, label in labels:
@@ -87,46 +91,70 @@ def _longest_by_hashes(text: Column, scope: Column, labels: list[tuple[str, str]
         prefix, _ = _rolling(np.array([ord(c) for c in label[:size]]))
         by_size.setdefault(size, {}).setdefault(int(prefix[size]), []).append((label, own))
 
+    longest = max(map(len, owners), default=0)
+
     def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = {n: np.array(sorted(h), dtype=np.uint64) for n, h in by_size.items()}
         for texts, scopes in batches:
-            values, places = texts.to_pylist(), scopes.to_pylist()
-            found: list[str | None] = [None] * len(values)
-            run = "\0".join(v or "" for v in values)
-            codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            lengths = np.array([len(v or "") for v in values], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-            prefix, powers = _rolling(codes)
-            for size, hashes in known.items():
-                if len(codes) < size:
-                    continue
-                # a gram's hash is scaled by the power of its place, and so is a label's
-                grams_at = prefix[size:] - prefix[:-size]
-                inverse = _inverse_powers(len(grams_at))
-                grams_at = grams_at * inverse
-                # their first bits rule out nearly all grams
-                some = np.zeros(1 << 16, dtype=bool)
-                some[(hashes >> np.uint64(48)).astype(np.int64)] = True
-                maybe = np.flatnonzero(some[(grams_at >> np.uint64(48)).astype(np.int64)])
-                where = np.minimum(np.searchsorted(hashes, grams_at[maybe]), len(hashes) - 1)
-                hit = hashes[where] == grams_at[maybe]
-                at, slot = maybe[hit], where[hit]
-                rows = np.searchsorted(starts, at, side="right") - 1
-                if size < gram:                    # the whole label: one hit of a text is enough
-                    _, once_each = np.unique(rows * len(hashes) + slot, return_index=True)
-                    at, rows = at[once_each], rows[once_each]
-                for place, row, h in zip(at.tolist(), rows.tolist(), grams_at[at].tolist()):
-                    for label, own in by_size[size][h]:
-                        best = found[row]
-                        if best is not None and (len(label), label) <= (len(best), best):
-                            continue
-                        if places[row] in own and run.startswith(label, place):
-                            found[row] = label
+            places = scopes.to_pylist()
+            found: list[str | None] = [None] * len(places)
+            for rows_of, parts in _runs(texts.to_pylist(), longest, run_chars):
+                search(known, rows_of, parts, places, found)
             yield pa.array(found, pa.string())
 
+    def search(known, rows_of, parts, places, found) -> None:
+        run = "\0".join(parts)
+        codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        lengths = np.array([len(v) for v in parts], dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+        prefix, _ = _rolling(codes)
+        for size, hashes in known.items():
+            if len(codes) < size:
+                continue
+            # a gram's hash is scaled by the power of its place, and so is a label's
+            grams_at = prefix[size:] - prefix[:-size]
+            inverse = _inverse_powers(len(grams_at))
+            grams_at = grams_at * inverse
+            # their first bits rule out nearly all grams
+            some = np.zeros(1 << 16, dtype=bool)
+            some[(hashes >> np.uint64(48)).astype(np.int64)] = True
+            maybe = np.flatnonzero(some[(grams_at >> np.uint64(48)).astype(np.int64)])
+            where = np.minimum(np.searchsorted(hashes, grams_at[maybe]), len(hashes) - 1)
+            hit = hashes[where] == grams_at[maybe]
+            at, slot = maybe[hit], where[hit]
+            rows = np.searchsorted(starts, at, side="right") - 1
+            if size < gram:                    # the whole label: one hit of a text is enough
+                _, once_each = np.unique(rows * len(hashes) + slot, return_index=True)
+                at, rows = at[once_each], rows[once_each]
+            for place, part, h in zip(at.tolist(), rows.tolist(), grams_at[at].tolist()):
+                row = rows_of[part]
+                for label, own in by_size[size][h]:
+                    best = found[row]
+                    if best is not None and (len(label), label) <= (len(best), best):
+                        continue
+                    if places[row] in own and run.startswith(label, place):
+                        found[row] = label
+
     return arrow_once(find, "string")(text, scope)
 
 
+def _runs(texts: list[str | None], overlap: int, size: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(row of each part, parts) of about ``size`` characters; long texts are cut, with an overlap in
+    which every label fits."""
+    rows, parts, held = [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, len(text or ""), size):
+            part = text[at:at + size + overlap]
+            rows.append(row)
+            parts.append(part)
+            held += len(part)
+            if held >= size:
+                yield rows, parts
+                rows, parts, held = [], [], 0
+    if parts:
+        yield rows, parts
+
+
 def _inverse_powers(n: int) -> np.ndarray:
     step = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     out = np.full(n, step, dtype=np.uint64)

@@ -226,6 +226,23 @@ def test_label_matchers_agree(spark):
     assert got(L.longest_label_in_text(*args, scope_col="archive", max_labels=2)) == want
 
 
+def test_labels_do_not_depend_on_runs(spark):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (0, 5, 400, 3000, 50)] + [None]
+    labels = ["ab", "abca", "bcabcabc", "cabcabcabca", "aaaaaa bbbb", "c b a c"]
+    want = {i: max((x for x in labels if t and x in t), key=lambda x: (len(x), x), default=None) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    names = spark.createDataFrame([(x,) for x in labels], "label string")
+    assert list(L._runs(["abcdef", None, "gh"], 1, 100)) == [([0, 2], ["abcdef", "gh"])]
+    for size in (1, 7, 100, 1 << 20):
+        runs = list(L._runs(texts, 12, size))
+        assert all(sum(map(len, parts)) <= 2 * size + 12 for _, parts in runs)
+        found = L._longest_by_hashes(F.col("text"), F.lit(""), [("", x) for x in labels], run_chars=size)
+        got = {r["doc_id"]: r["l"] for r in docs.select("doc_id", found.alias("l")).collect()}
+        assert got == want, size
+    assert {r["doc_id"]: r["text_label"] for r in L.longest_label_in_text(docs, "text", names).collect()} == want
+
+
 def test_nearest_label_beyond_the_bound(spark):
     docs = spark.createDataFrame(
         [(1, [1.0, 0.1], "a"), (2, [0.0, 1.0], "b"), (3, None, "a")],
