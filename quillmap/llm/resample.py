@@ -5,8 +5,7 @@ good) and one of the raw corpus (all texts). The log of their ratio, summed over
 importance weight. Resampling without replacement adds an independent Gumbel variable to each log weight and
 keeps the k largest sums; the k-th is found exactly by counting the sums' bits from the top, 16 at a time.
 
-The raw model counts every text. The target model is fitted on the labelled rows, at most ``TARGET_ROWS`` of them, chosen by a
-hash of the id. The Gumbel variable is a function of the id and a seed, so a run can be repeated.
+The raw model counts every text, the target model every text that is labelled good. The Gumbel variable is a function of the id and a seed, so a run can be repeated.
 
 Defined results: a null text counts as an empty one, with the log weight 0. Rows without an id are scored and drawn like others,
 all with one Gumbel variable. Equal sums are taken in order of id, then of all equal rows in full or not at all, if k falls among rows
@@ -23,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.common import row_slices, sample_by_hash, string_column, write_scratch
+from quillmap.llm.common import row_slices, string_column, write_scratch
+from quillmap.session import collect_bounded
 
 #: Hash buckets of the models.
 BUCKETS = 1 << 16
-#: Bound on the labelled rows of the target model.
-TARGET_ROWS = 50_000
+#: Ids of target rows that are shipped to the texts; more are joined by a shuffle.
+SHIPPED_IDS = 4_000_000
 #: Added to every bucket of both models, in shares of one n-gram.
 SMOOTH = 1.0
 
@@ -45,8 +45,11 @@ def ngram_buckets(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def log_ratio(docs: DataFrame, good: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """log target - log raw for each bucket; ``good`` holds the bounded ids of the target rows."""
-    marked = docs.select(F.col(f"`{key}`").alias("doc"), string_column(text, "text_")).join(F.broadcast(good.withColumn("good", F.lit(True))), "doc", "left")
+    """log target - log raw for each bucket; ``good`` holds the ids of the target rows, each once."""
+    ids = good.withColumn("good", F.lit(True))
+    if collect_bounded(good, SHIPPED_IDS) is not None:
+        ids = F.broadcast(ids)
+    marked = docs.select(F.col(f"`{key}`").alias("doc"), string_column(text, "text_")).join(ids, "doc", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
@@ -89,7 +92,7 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
 
 def resample(
     docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 0,
-    key: str = "doc_id", text: str = "text", label: str = "quality", target_rows: int = TARGET_ROWS,
+    key: str = "doc_id", text: str = "text", label: str = "quality",
 ) -> DataFrame:
     """key, log_weight, gumbel_key, kept.
 
@@ -101,7 +104,7 @@ def resample(
     if share is None:
         n, p = known.agg(F.count("*"), F.avg("y")).first()
         share = min(1.0, p + 3.3 * (p * (1 - p) / n) ** 0.5) if n else 1.0
-    good = sample_by_hash(known, "doc", target_rows).where("y = 1").select("doc")
+    good = known.where("y = 1").select("doc")
     ratio = log_ratio(docs, good, key, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,28 @@ def test_resampling_keeps_good_texts(spark):
     assert {r.log_weight for r in got if r.doc_id in (7000, 7001)} == {0.0}
 
 
+@pytest.mark.parametrize("shipped", [4_000_000, 0])
+def test_log_weights_are_those_of_a_plain_count(spark, monkeypatch, shipped):
+    """Every good labelled text counts, whether its id is shipped or joined."""
+    monkeypatch.setattr(R, "SHIPPED_IDS", shipped)
+    docs, labels = quality_rows(300)
+    docs += [(8000, None), (8001, ""), (8002, "abc " * 5000)]
+    labels += [(8002, 1, 0), (5, 0, 0), (5, 1, 0), (None, 1, 0)]
+    best = {}
+    for d, y, _ in labels:
+        best[d] = max(y, best.get(d, 0))
+    raw, target = np.ones(R.BUCKETS), np.ones(R.BUCKETS)
+    for d, text in docs:
+        for b in R.ngram_buckets(text):
+            raw[b] += 1
+            target[b] += best.get(d, 0)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = R.resample(documents(spark, docs), spark.createDataFrame(labels, LABELS)).collect()
+    weights = {r.doc_id: r.log_weight for r in got}
+    assert len(weights) == len(docs)
+    assert all(weights[d] == pytest.approx(ratio[R.ngram_buckets(t)].sum(), abs=1e-9) for d, t in docs)
+
+
 def test_resampling_ties_and_small_tables(spark):
     labels = spark.createDataFrame([], LABELS)
     same = documents(spark, [(None, "a"), (None, "a"), (None, "a"), (None, "b")])
