@@ -162,23 +162,87 @@ def _inverse_powers(n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+# bits of the filter that texts are held against where labels are too many to ship: 16 MB, three bits a label
+FILTER_BITS, FILTER_HASHES = 27, 3
+
+
+def _filter_bits(hashes: np.ndarray) -> list[np.ndarray]:
+    """Places of a gram's bits."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return [((mixed * np.uint64(2 * i + 1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for i in range(FILTER_HASHES)]
+
+
+def gram_filter(grams_of_labels: DataFrame) -> np.ndarray:
+    """A bit map that holds every gram of a column ``g``; of bounded size, however many there are.
+
+    Tasks send words of the map, which are combined before they reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [int(_rolling(np.array([ord(c) for c in g]))[0][-1]) for g in batch.column(0).to_pylist() if g]
+            at = np.unique(np.concatenate(_filter_bits(np.array(hashes, dtype=np.uint64)))) if hashes else np.zeros(0, np.int64)
+            yield pa.record_batch({"word": pa.array(at >> 5), "bits": pa.array(np.int64(1) << (at & 31))})
+
+    words = grams_of_labels.select("g").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")).toArrow()               # at most 2 ** (FILTER_BITS - 5) rows
+    out = np.zeros(1 << FILTER_BITS - 5, dtype=np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def label_candidates(df: DataFrame, id_col: str, text: Column, sizes: list[int], longest: int, gram: int,
+                     held: np.ndarray) -> DataFrame:
+    """(id, _scope, g, tail): the grams of each text that the filter holds, with what follows them as far as the longest
+    label goes. A text sends each once."""
+    shared = df.sparkSession.sparkContext.broadcast(held)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for rows_of, parts in _runs(batch.column(2).to_pylist(), longest, RUN_CHARS):
+                whole = "\0".join(parts)
+                codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                starts = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+                prefix, _ = _rolling(codes)
+                found = set()
+                for size in sizes:
+                    if len(codes) < size:
+                        continue
+                    hashes = (prefix[size:] - prefix[:-size]) * _inverse_powers(len(codes) - size + 1)
+                    hit = np.arange(len(hashes))
+                    for i in range(FILTER_HASHES):
+                        place = _filter_bits(hashes[hit])[i]
+                        hit = hit[(bits[place >> 5] >> (place & 31).astype(np.uint32)) & np.uint32(1) == 1]
+                    of = np.searchsorted(starts, hit, side="right") - 1
+                    for at, part in zip(hit.tolist(), of.tolist()):
+                        end = int(starts[part + 1]) - 1
+                        if at + size <= end:
+                            g = whole[at:at + size]
+                            found.add((rows_of[part], g, whole[at:min(end, at + longest)] if size == gram else g))
+                rows, g, tail = zip(*found) if found else ((), (), ())
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(g, pa.string()), pa.array(tail, pa.string())],
+                                                 names=[id_col, "_scope", "g", "tail"])
+
+    return df.select(id_col, "_scope", text.alias("_t")).mapInArrow(
+        run, f"`{id_col}` {kinds[id_col]}, _scope {kinds['_scope']}, g string, tail string")
+
+
 def _longest_by_grams(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, out: str,
                       gram: int = 8) -> DataFrame:
-    """Labels too many to ship: join the grams of the texts with the first gram of the labels.
+    """Labels too many to ship: texts are held against a filter of the labels' first grams, and what it lets through is
+    joined with the labels.
 
-    Only (id, gram) rows are shuffled; texts are read again for labels longer than a gram.
+    Only those grams and the characters behind them are shuffled, never a text.
     """
     keyed = labels.select("_scope", "label", F.substring("label", 1, gram).alias("g"))
-    sizes = keyed.agg(F.sort_array(F.collect_set(F.length("g"))).alias("s")).head()["s"]
-    text = F.lower(F.col(text_col))
-    cut = F.array_distinct(F.flatten(F.array(*[grams(text, n) for n in sizes])))
-    pairs = df.select(id_col, "_scope", F.explode(cut).alias("g")).join(
-        keyed, ["_scope", "g"]).select(id_col, "label")
-    sure = pairs.where(F.length("label") <= gram)
-    maybe = pairs.where(F.length("label") > gram)
-    checked = maybe.join(df.select(id_col, text.alias("_t")), id_col).where(
-        F.contains(F.col("_t"), F.col("label"))).select(id_col, "label")
-    best = sure.unionByName(checked).groupBy(id_col).agg(
+    known = keyed.agg(F.sort_array(F.collect_set(F.length("g"))).alias("s"), F.max(F.length("label")).alias("l")).head()
+    if not known["s"]:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    held = gram_filter(keyed.select("g").distinct())
+    found = label_candidates(df, id_col, F.lower(F.col(text_col)), known["s"], known["l"], gram, held)
+    pairs = found.join(keyed, ["_scope", "g"]).where(F.startswith(F.col("tail"), F.col("label")))
+    best = pairs.groupBy(id_col).agg(
         F.max_by("label", F.struct(F.length("label").alias("n"), F.col("label").alias("l"))
                  ).alias(out))
     return df.join(best, id_col, "left")

@@ -243,6 +243,21 @@ def test_labels_do_not_depend_on_runs(spark):
     assert {r["doc_id"]: r["text_label"] for r in L.longest_label_in_text(docs, "text", names).collect()} == want
 
 
+def test_labels_beyond_the_bound_are_sought_by_few_grams(spark, sf):
+    """Both ways give the same labels; what is shuffled is a small part of the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words = docs.where("doc_id % 20 = 0").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("label")).where("length(label) >= 9").distinct()
+    labels = words.withColumn("_scope", F.lit(""))
+    got = {r["doc_id"]: r["text_label"] for r in L.longest_label_in_text(docs, "text", words, max_labels=1).collect()}
+    assert got == {r["doc_id"]: r["text_label"] for r in L.longest_label_in_text(docs, "text", words).collect()}
+    assert sum(x is not None for x in got.values()) >= 30
+    held = L.gram_filter(labels.select(F.substring("label", 1, 8).alias("g")).distinct())
+    assert held.nbytes == 16 << 20
+    rows = L.label_candidates(docs.withColumn("_scope", F.lit("")), "doc_id", F.lower("text"), [8], 30, 8, held)
+    chars = docs.agg(F.sum(F.length("text"))).head()[0]
+    assert rows.count() < 0.05 * chars
+
+
 def test_nearest_label_beyond_the_bound(spark):
     docs = spark.createDataFrame(
         [(1, [1.0, 0.1], "a"), (2, [0.0, 1.0], "b"), (3, None, "a")],
