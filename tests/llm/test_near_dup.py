@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from quillmap.llm import near_dup as N
+from quillmap.llm.common import write_scratch
 from quillmap.llm.components import connected_components
 from tests.llm.helpers import documents, near_dup_brute, prose
 
@@ -52,6 +53,31 @@ def test_unlinked_members_of_one_bucket_are_all_compared(spark, monkeypatch):
     assert got == near_dup_brute(rows, 3, 85)
 
 
+def test_odd_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    for n, d in ((150, 5), (150, 60), (2000, 400), (30, 30)):
+        shared = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(0, 1 << 63, d // 2, dtype=np.uint64)]) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        bits = sum(int(x).bit_count() for x in (N.odd_sketch(a) ^ N.odd_sketch(b)).view(np.uint64))
+        assert bits <= apart and bits % 2 == apart % 2
+        assert apart > 200 or bits > 0.75 * apart
+
+
+def test_near_strangers_of_one_bucket_are_hardly_ever_compared(spark, monkeypatch):
+    """A group of copies that lie below the threshold of one another: cuts hold few members, and sketches rule most pairs out."""
+    monkeypatch.setattr(N, "CUT_ROWS", 16)
+    rng = random.Random(9)
+    hub = prose(rng, 150)
+    rows = list(enumerate([hub] + [changed(rng, hub, 5) for _ in range(250)]))
+    seen = []
+    real = N._likely
+    monkeypatch.setattr(N, "_likely", lambda pairs, *rest: seen.append((pairs := write_scratch(pairs, "pairs")).count()) or real(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(documents(spark, rows), 3, 85).collect()}
+    assert got == near_dup_brute(rows, 3, 85)
+    assert sum(seen) < 250 * 249 / 2 / 10
+
+
 def test_rows_without_id_and_shared_ids(spark):
     rng = random.Random(1)
     a, b = prose(rng, 80), prose(rng, 80)
@@ -61,6 +87,10 @@ def test_rows_without_id_and_shared_ids(spark):
     docs = documents(spark, [(*r, 9) for r in rows], "doc_id bigint, text string, component int")
     kept = N.drop_near_duplicates(docs, 5, 80)
     assert kept.columns == docs.columns
+    again = documents(spark, [(*r, i) for i, r in enumerate(rows)][::-1], "doc_id bigint, text string, component int")
+    one = {r.doc_id: r.component for r in N.drop_near_duplicates(again, 5, 80).collect() if r.doc_id == 1}
+    other = {r.doc_id: r.component for r in N.drop_near_duplicates(again.orderBy("component"), 5, 80).collect() if r.doc_id == 1}
+    assert one == other  # of rows that share an id always the same one stays
     assert sorted((tuple(r) for r in kept.collect()), key=repr) == sorted([(1, a, 9), (None, a, 9), (None, a, 9), (5, None, 9)], key=repr)
 
 
