@@ -6,14 +6,15 @@ task streams the candidates of a group past a block of queries, one such cell af
 is bounded, so however many rows there are, a pass copies a candidate once for each block and no more. A pass counts, for each query, the scores
 by bins of its current range; the counts of all tasks are added, the bin that holds the k-th score becomes the
 new range, and the next pass looks into it, until no more than a few rows beyond k lie at or above its lower
-edge, or the range is a single score. A last pass emits what reaches that edge; of equal scores a task
+edge, or the range is a single score. A range knows its last score, so rows above it, which are counted already, are not
+counted again by bins that reach beyond it. A last pass emits what reaches that edge; of equal scores a task
 emits no more of the smallest ids than the query can need.
 
 Defined results: rows without an id, without a vector, or with a null, NaN or infinite component take no
 part. Vectors are compared with those of their own length. A repeated row is a candidate as often as it
 occurs; a query is asked once for each id, with its smallest vector, and never meets rows of its own id. Fewer
-candidates than k give all of them. Scores beyond 2^62 - 2 are returned, and ranked, as that; up to there they are exact,
-however large a component is. Other columns are not read.
+candidates than k give all of them. Scores beyond 64 bits are returned, and ranked, as the nearest 64-bit number; up to there
+they are exact, however large a component is. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SLACK = 22
 QUERIES_IN_BLOCK, CANDIDATES_IN_GROUP, TILE = 2048, 16384, 1024
 #: Cells of a pass, and partitions they are dealt to.
 CELLS, PARTITIONS = 16384, 4096
-#: Scores end here, so that differences of two fit 64 bits.
-MOST = (1 << 62) - 2
+#: Scores end here on both sides; differences of two fit 64 bits without a sign.
+MOST = V.MOST
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -46,7 +47,7 @@ def integer_vectors(df: DataFrame, key: str, vector: str, scale: int) -> DataFra
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products, (queries, candidates)."""
-    return np.clip(V.products(q, c), -MOST, MOST)
+    return V.products(q, c)
 
 
 class _Block:
@@ -55,11 +56,11 @@ class _Block:
     def __init__(self, k: int, bins: int):
         self.k, self.bins, self.parts = k, bins, []
 
-    def add(self, ids, vectors, low, width) -> None:
-        self.parts.append((ids, vectors, low, width))
+    def add(self, ids, vectors, low, last, width) -> None:
+        self.parts.append((ids, vectors, low, last, width))
 
     def close(self) -> None:
-        self.ids, self.vectors, self.low, self.width = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.ids, self.vectors, self.low, self.last, self.width = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.hits = [], []
         self.counts = np.zeros((len(self.ids), self.bins), dtype=np.int64) if self.bins else None
 
@@ -69,8 +70,8 @@ class _Block:
             score = _scores(self.vectors, vectors[at:at + TILE])
             other = self.ids[:, None] != some[None, :]
             if self.bins:
-                bin_of = (score - self.low[:, None]) // self.width[:, None]
-                other &= (bin_of >= 0) & (bin_of < self.bins)
+                other &= (score >= self.low[:, None]) & (score <= self.last[:, None])
+                bin_of = ((score - self.low[:, None]).view(np.uint64) // self.width[:, None].astype(np.uint64)).view(np.int64)
                 bin_of += np.arange(len(self.ids))[:, None] * self.bins
                 self.counts += np.bincount(bin_of[other], minlength=self.counts.size).reshape(self.counts.shape)
             else:
@@ -118,7 +119,7 @@ def _pass(candidates: DataFrame, queries: DataFrame, groups: int, blocks: int, k
                     cell, held, open_ = cells[a], {}, False
                 ids, vectors = part.column("id").to_numpy(), V.matrix(part.column("x"), length)
                 if kinds[a] == 0:
-                    held.setdefault(length, _Block(k, bins)).add(ids, vectors, part.column("low").to_numpy(), part.column("width").to_numpy())
+                    held.setdefault(length, _Block(k, bins)).add(ids, vectors, *(part.column(c).to_numpy() for c in ("low", "last", "width")))
                     continue
                 if not open_:
                     for x in held.values():
@@ -130,10 +131,10 @@ def _pass(candidates: DataFrame, queries: DataFrame, groups: int, blocks: int, k
             yield from (x.rows() for x in held.values())
 
     zero = F.lit(0).cast("bigint")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", "id", "x", "low", "width").select(
-        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "x", "low", "width")
+    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", "id", "x", "low", "last", "width").select(
+        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(0).alias("kind"), "id", "x", "low", "last", "width")
     right = candidates.select(F.pmod("slot", F.lit(groups)).alias("g"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
-        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(1).alias("kind"), "id", "x", zero.alias("low"), zero.alias("width"))
+        (F.col("g") * blocks + F.col("block")).cast("int").alias("cell"), F.lit(1).alias("kind"), "id", "x", *(zero.alias(c) for c in ("low", "last", "width")))
     parts = min(groups * blocks, PARTITIONS)
     cells = left.unionByName(right).repartitionById(parts, F.pmod("cell", F.lit(parts))).sortWithinPartitions("cell", "kind")
     return cells.mapInArrow(run, "query_id bigint, item bigint, amount bigint")
@@ -148,10 +149,11 @@ def exact_top_k(vectors: DataFrame, asked, k: int = 10, scale: int = 1024, key:
     blocks = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
     groups = max(1, min(-(-total // CANDIDATES_IN_GROUP), CELLS // blocks))
     # no score lies beyond the product of the norms
-    edge = F.least(F.ceil(F.least(F.col("norm") * F.lit(widest or 0.0) * 1.000001, F.lit(2.0 ** 62))) + 1, F.lit(MOST)).cast("bigint")
-    state = queries.select(
+    product = F.col("norm") * F.lit(widest or 0.0) * 1.000001
+    edge = F.when(product < 2.0 ** 62, F.ceil(product) + 1).otherwise(F.lit(MOST)).cast("bigint")
+    state = queries.withColumn("edge", edge).select(
         F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "x",
-        (-edge).alias("low"), (F.floor((2 * edge + 1) / BINS) + 1).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done"))
+        (-F.col("edge")).alias("low"), F.col("edge").alias("last"), F.expr(f"2 * (edge div {BINS}) + 2").alias("width"), F.lit(0).cast("bigint").alias("above"), F.lit(False).alias("done"))
     state = write_scratch(state, "ranges")
     while state.where("NOT done").limit(1).count():
         counts = _pass(rows, state.where("NOT done"), groups, blocks, k, BINS).groupBy("query_id", "item").agg(F.sum("amount").alias("n"))
@@ -162,12 +164,16 @@ def exact_top_k(vectors: DataFrame, asked, k: int = 10, scale: int = 1024, key:
         found = found.groupBy("query_id").agg(F.max("item").alias("item"), F.max_by("upto", "item").alias("upto"), F.max_by("n", "item").alias("n"))
         step = state.join(found.withColumnRenamed("query_id", "id"), "id", "left")
         now = ~F.col("done") & F.col("item").isNotNull()
-        low = F.when(now, F.col("low") + F.col("item") * F.col("width")).otherwise(F.col("low"))
+        # sums and products on the way may not fit 64 bits, though the edges of ranges do
+        wide = {c: F.col(c).cast("decimal(20,0)") for c in ("low", "last", "item", "width")}
+        start = wide["low"] + wide["item"] * wide["width"]
+        low = F.when(now, start.cast("bigint")).otherwise(F.col("low"))
+        last = F.when(now, F.least(wide["last"].cast("decimal(38,0)"), (start + wide["width"] - 1).cast("decimal(38,0)")).cast("bigint")).otherwise(F.col("last"))
         upto = F.col("above") + F.col("upto")
         ended = F.col("done") | F.col("item").isNull() | (F.col("width") == 1) | (upto <= k + SLACK)
         state = write_scratch(step.select(
-            "block", "id", "x", low.alias("low"),
-            F.when(now & ~ended, F.floor((F.col("width") - 1) / BINS) + 1).otherwise(F.col("width")).cast("bigint").alias("width"),
+            "block", "id", "x", low.alias("low"), last.alias("last"),
+            F.when(now & ~ended, F.expr(f"(width - 1) div {BINS} + 1")).otherwise(F.col("width")).alias("width"),
             F.when(now, F.col("above") + F.col("upto") - F.col("n")).otherwise(F.col("above")).alias("above"), ended.alias("done")), "ranges")
     hits = _pass(rows, state, groups, blocks, k, 0)
     order = Window.partitionBy("query_id").orderBy(F.desc("amount"), "item")

@@ -75,3 +75,20 @@ def test_many_cells_in_few_partitions(spark, monkeypatch):
     rng = random.Random(4)
     check(spark, [(i, [rng.uniform(-1, 1) for _ in range(2)], "x") for i in range(400)], k=3, every=4)
     assert seen and all(g == 100 and b == 100 and n <= 200 for g, b, n in seen)
+
+
+def test_rows_above_a_range_count_once(spark):
+    """Clusters whose bins are not divided evenly: rows above the next range have been counted before."""
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(3)]
+    for spread in (1e-3, 3e-3, 1e-2):
+        rows = [(i, [x + rng.gauss(0, spread) for x in centres[i % 3]], "x") for i in range(1200)]
+        rows[0] = (0, [50 * x for x in rows[0][1]], "x")
+        check(spark, rows, every=12)
+
+
+def test_scores_of_all_64_bits(spark):
+    """Scores between 2^62 and 2^63 are integers like others."""
+    rows = [(i, [s * (2.1e6 + i), 1.0], "x") for i in range(40) for s in [1 if i % 2 else -1]]
+    assert T.MOST == 2 ** 63 - 1
+    check(spark, rows, every=10)
