@@ -487,7 +487,9 @@ def compose_response(ranked: DataFrame, queries: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("unknown")).alias("source_file"),
         F.struct("s_visual", "s_text", "s_intent").alias("match_details"),
     )
-    grouped = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("results"))
+    # entries hold a map, which has no order of its own; a query's ranks are distinct
+    grouped = ranked.groupBy("qid").agg(F.array_sort(
+        F.collect_list(entry), lambda a, b: (a["rank"] - b["rank"]).cast("int")).alias("results"))
     return (
         queries.select("qid", F.col("ocr_text").alias("query_ocr"))
         .join(grouped, "qid", "left")

@@ -64,3 +64,16 @@ def test_stream_keeps_all_records_of_a_file(spark, tmp_path):
         W.ingest_new(stream, out, str(tmp_path / "ck"), rows_of).awaitTermination()
     got = sorted((r["file_hash"], r["position"]) for r in C.read_catalog(spark, out).collect())
     assert got == [(x, i) for x in "abc" for i in (0, 1)]
+
+
+def test_ranked_hits_become_ordered_responses(spark):
+    from quillmap.operators.search import compose_response
+
+    hits = [(1, r, "cars", "x", 50.0, '{"a": "1"}', f"f{r}", 0.5, 0.5, 0.0) for r in (3, 1, 10, 2)]
+    ranked = spark.createDataFrame(hits, "qid bigint, rank int, domain string, label string, confidence double, extra string, "
+                                         "source string, s_visual double, s_text double, s_intent double")
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "qid bigint, ocr_text string")
+    got = {r["qid"]: r for r in compose_response(ranked, asked).collect()}
+    assert [x["source_file"] for x in got[1]["results"]] == ["f1", "f2", "f3", "f10"]
+    assert got[1]["results"][0]["metadata_enriched"] == {"a": "1"}
+    assert (got[2]["status"], got[2]["count"], got[2]["results"]) == ("no_results", 0, None)
