@@ -159,12 +159,11 @@ def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
         "embedding", F.coalesce("_v", "_t")).drop("_v", "_t")
 
 
-def assigned_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, qid): every document with the query that its id's digest picks; item ids run from 0."""
-    n = 2 * table(spark, sf, "benchmark").agg(F.count(F.lit(1))).scalar()
-    digest = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10)
-    return table(spark, sf, "documents").select(
-        "doc_id", (digest.cast("bigint") % n).alias("qid"))
+def assigned_query(spark: SparkSession, sf: str, key: Column) -> Column:
+    """The query that the digest of an id picks; where item ids leave gaps there may be none of that number."""
+    n = 2 * table(spark, sf, "benchmark").count()
+    digest = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10)
+    return digest.cast("bigint") % F.nullif(F.lit(n), F.lit(0))
 
 
 def label_prototypes(spark: SparkSession, sf: str) -> DataFrame:

@@ -450,7 +450,8 @@ def score_hits(merged: DataFrame, queries: DataFrame, unknown_matches: bool = Tr
     """Add the trust score; ``merged`` carries label, snippet and domain of the hits.
 
     The join has no hint: query texts have no size bound of their own, so their measured size
-    decides, and the scoring stays spread as the hits are.
+    decides, and the scoring stays spread as the hits are. A hit whose query is not among ``queries``
+    keeps its row and is scored without query text and domain.
     """
     asked = queries.select(
         "qid", "ocr_text", F.coalesce(F.col("f_domain"), F.lit("unknown")).alias("_f_domain")
@@ -460,7 +461,7 @@ def score_hits(merged: DataFrame, queries: DataFrame, unknown_matches: bool = Tr
         F.col("dist"), F.col("ocr_text"), target, F.col("domain"), F.col("_f_domain"),
         unknown_matches,
     )
-    joined = merged.join(asked, "qid")
+    joined = merged.join(asked, "qid", "left")
     return trust_score(joined.withColumns(cols)).drop("_f_domain")
 
 

@@ -84,6 +84,19 @@ def tables_with(path, **changed):
     return str(path)
 
 
+def test_documents_without_a_query_keep_their_row(spark, tmp_path):
+    from check_oracles import compare, database
+
+    sf = tables_with(
+        tmp_path, benchmark=("SELECT 3 * item_id AS item_id, text FROM '{}'", False),
+        embeddings=("SELECT * FROM '{}' WHERE vec_id % 2 = 0", False),
+        documents=("SELECT * REPLACE (CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 5 THEN '' ELSE text END AS text) FROM '{}'", False))
+    got = queries()["trust_score"](spark, sf).collect()
+    assert {r["qid"] is None for r in got} == {True, False}
+    ok, note = compare(spark, database(sf), sf, "trust_score")
+    assert ok, note
+
+
 def test_stream_of_a_table_in_a_folder(spark, tmp_path):
     sf = tables_with(tmp_path, documents=("SELECT * FROM '{}'", True))
     got = queries()["stream_ingest"](spark, sf).select("file_hash").collect()
