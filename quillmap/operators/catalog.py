@@ -13,7 +13,7 @@ from quillmap import constants as K
 from quillmap.functions.text import dirname, snippet
 from quillmap.functions.vectors import l2_normalize
 from quillmap.operators.structure import upsert
-from quillmap.session import write_scratch
+from quillmap.session import small_batches, write_scratch
 
 CATALOG_SCHEMA = T.StructType([
     T.StructField("doc_hash", T.StringType()),
@@ -82,8 +82,9 @@ def append_catalog(rows: DataFrame, path: str, batch: str) -> None:
     Writing a batch again replaces it, so a retried run leaves no duplicates. The rebalance hint
     lets AQE split a domain that holds most rows over many files and merge the small ones.
     """
-    rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(
-        f"{path}/batch={batch}")
+    with small_batches(rows.sparkSession):
+        rows.hint("rebalance", "domain").write.mode("overwrite").partitionBy("domain").parquet(
+            f"{path}/batch={batch}")
 
 
 def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
@@ -111,8 +112,9 @@ def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None])
 def reset_catalog(rows: DataFrame, path: str, batch: str) -> None:
     """Start over: the table holds exactly ``rows`` afterwards."""
     labelled = rows.withColumn("batch", F.lit(batch)).hint("rebalance", "domain")
-    replace_folder(rows.sparkSession, path, lambda to: labelled.write.partitionBy(
-        "batch", "domain").parquet(to))
+    with small_batches(rows.sparkSession):
+        replace_folder(rows.sparkSession, path, lambda to: labelled.write.partitionBy(
+            "batch", "domain").parquet(to))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -270,6 +270,10 @@ def longest_label_in_text(
 
 # --- label vectors ----------------------------------------------------------
 
+# similarities that a task holds at a time: 16 MB, and as much for their rounded copy
+TILE_CELLS = 1 << 21
+
+
 def _best_in_block(rows, vectors: np.ndarray, scopes: list, keys: list[tuple[str, str]],
                    unit_refs: np.ndarray) -> list[tuple[int, str, float]]:
     """(row, label, similarity) of the most similar label of each row's scope.
@@ -285,9 +289,11 @@ def _best_in_block(rows, vectors: np.ndarray, scopes: list, keys: list[tuple[str
     owners = np.array([scopes[r] for r in rows], dtype=object)
     found = []
     for owner, own in members.items():
-        at = np.flatnonzero(owners == owner)
-        if len(at):
-            sims = np.round(unit[at] @ unit_refs[own].T, 9)
+        of_owner, refs = np.flatnonzero(owners == owner), unit_refs[own]
+        step = max(1, TILE_CELLS // len(own))
+        for i in range(0, len(of_owner), step):
+            at = of_owner[i:i + step]
+            sims = np.round(unit[at] @ refs.T, 9)
             best = sims.argmax(axis=1)
             found += zip(rows[at].tolist(), [keys[own[b]][1] for b in best],
                          sims[np.arange(len(at)), best].tolist())

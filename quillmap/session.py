@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 # A side is only broadcast below both bounds; every caller has another way beyond them.
 MAX_BROADCAST_ROWS = 50_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# bytes of an Arrow batch on its way to a Python worker; whole texts must not pile up on either side
+BATCH_BYTES = "8m"
 
 
 def recommended_conf() -> dict[str, str]:
@@ -44,10 +48,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes through Python in Arrow batches of ``BATCH_BYTES``."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a written table, so that a lost executor never replays the plan."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

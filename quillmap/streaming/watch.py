@@ -13,7 +13,7 @@ from quillmap import constants as K
 from quillmap.functions.hashing import fingerprint
 from quillmap.operators.catalog import append_catalog, new_files, path_exists, read_catalog
 from quillmap.plans import ingest as P
-from quillmap.session import write_scratch
+from quillmap.session import small_batches, write_scratch
 from quillmap.sources.files import supported_files
 
 
@@ -74,7 +74,8 @@ def append_new(stream: DataFrame, path: str, checkpoint: str,
             known = known_hashes(fresh, path, str(batch_id), hash_col)
             fresh = write_scratch(fresh.join(known, hash_col, "left_anti"), "fresh")
         out = fresh if transform is None else transform(fresh)
-        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with small_batches(spark):
+            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         keep_hashes(fresh, path, str(batch_id), hash_col)
 
     return (
