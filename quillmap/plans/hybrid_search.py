@@ -43,8 +43,8 @@ def hybrid_search(
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.unionByName(part)
-    if located is not None or index:
-        hits = write_scratch(hits, "hits")
+    # texts are embedded and scanned here, in the small batches of a scratch table
+    hits = write_scratch(hits, "hits")
     bound = S.MAX_BROADCAST_ROWS if max_query_rows is None else max_query_rows
     n_queries = queries.select("qid").limit(bound + 1).count()
     max_hits = n_queries * len(S.ALL_PASSES) * k if n_queries <= bound else None

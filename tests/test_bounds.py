@@ -37,3 +37,13 @@ def test_written_tables_go_through_python_in_small_batches(spark, tmp_path):
         *[F.lit(None).cast("array<double>").alias(c) for c in ("vector", "visual")])
     C.append_catalog(C.catalog_rows(rows), str(tmp_path / "c"), "1")
     assert C.read_catalog(spark, str(tmp_path / "c")).agg(F.max(F.col("content").cast("bigint"))).head()[0] < 16e6
+
+
+def test_search_results_are_written_before_they_are_used(spark, sf):
+    """Texts are embedded and scanned in small batches, not in those of whoever reads the ranked hits."""
+    from quillmap.checks import fixtures as X
+    from quillmap.plans.hybrid_search import hybrid_search
+
+    ranked = hybrid_search(X.catalog(spark, sf), X.queries(spark, sf).limit(5), 3)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
