@@ -149,13 +149,15 @@ def label_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with a vector: its row of embeddings, or its embedded text where there is none."""
+    """Every document with a vector: its row of embeddings, or its embedded text where there is none.
+
+    Texts are embedded as they are read, and only their beginnings, all that prompts hold, go through the join.
+    """
     known = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), as_doubles(F.col("embedding")).alias("_v"))
-    docs = doc_files(spark, sf).join(known, "doc_id", "left")
-    # texts of documents that have a row are not embedded
-    text = F.when(F.col("_v").isNull(), F.col("text"))
-    return docs.withColumn("_t", embed_text(text)).withColumn(
+    docs = doc_files(spark, sf).withColumn("_t", embed_text(F.col("text"))).withColumn(
+        "text", F.substring("text", 1, K.DOMAIN_PROMPT_CHARS))
+    return docs.join(known, "doc_id", "left").withColumn(
         "embedding", F.coalesce("_v", "_t")).drop("_v", "_t")
 
 

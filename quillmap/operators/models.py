@@ -174,7 +174,9 @@ def arbitrate_domains(df: DataFrame, make: Callable[[], Model], domains: list[st
 
     ``df`` has doc_id, path, text, shortlist, confused. Replies outside the domain list are dropped.
     """
-    asked = df.where("confused").select("doc_id", "path", "text", "shortlist")
+    asked = df.where("confused").select(
+        "doc_id", "path", _text(F.col("text"), K.DOMAIN_PROMPT_CHARS).alias("text"), "shortlist")
+    asked = write_scratch(asked, "asked")          # for the prompts and for the join; detection runs once
     replied = call_model(
         asked, arbitration_prompt(F.col("path"), F.col("text"), scores_text(F.col("shortlist"))),
         make, ARBITRATION, attempts=attempts)

@@ -47,3 +47,27 @@ def test_search_results_are_written_before_they_are_used(spark, sf):
     ranked = hybrid_search(X.catalog(spark, sf), X.queries(spark, sf).limit(5), 3)
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_arbitration_detects_once_and_carries_prompts_only(spark):
+    from quillmap.checks import fixtures as X
+    from quillmap.checks.doubles import RuleModel
+    from quillmap.constants import DOMAIN_PROMPT_CHARS
+    from quillmap.operators.models import arbitrate_domains
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def confused(_):
+        seen.add(1)
+        return True
+
+    docs = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.lit("a/b.txt").alias("path"), F.repeat(F.lit("word "), 5000).alias("text"),
+        F.expr("array(named_struct('domain', 'd1', 'prob', 0.5D))").alias("shortlist"),
+        confused.asNondeterministic()("id").alias("confused"))
+    got = arbitrate_domains(docs, RuleModel, ["d1"]).collect()
+    assert len(got) == 40 and {r["final_domain"] for r in got} == {"d1"}
+    assert seen.value == 40
+    longest = X.document_vectors(spark, "/root/testdata/sf0.01").agg(F.max(F.length("text"))).head()[0]
+    assert longest == DOMAIN_PROMPT_CHARS
