@@ -25,7 +25,7 @@ from quillmap.operators import domains as D
 from quillmap.operators import labels as L
 from quillmap.operators import models as M
 from quillmap.operators import structure as I
-from quillmap.session import spread_nulls, write_scratch
+from quillmap.session import deal_evenly, spread_nulls, write_scratch
 from quillmap.sources import extracts as E
 from quillmap.sources import files as R
 from quillmap.sources import ranges as G
@@ -394,6 +394,8 @@ def ingest(
         cache = spark.read.schema(cache.schema).parquet(columns_path)
     docs, cache = remember_columns(docs, cache, settings)
     cache = write_scratch(cache, "columns")
+    # short records fill few partitions by their bytes, but each goes through the embedder
+    docs = deal_evenly(docs, "doc_id")
     rows = classify_documents(docs, contracts, labels, I.file_mapping(lines, ["archive"]), settings)
     rows = C.catalog_rows(rows)
     if mode == "r":

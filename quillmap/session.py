@@ -111,3 +111,13 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores, *keys)
+
+
+def deal_evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has, hashed by their keys; they are not put together by their bytes again.
+
+    Meant for rows that are short but costly.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

@@ -71,3 +71,21 @@ def test_arbitration_detects_once_and_carries_prompts_only(spark):
     assert seen.value == 40
     longest = X.document_vectors(spark, "/root/testdata/sf0.01").agg(F.max(F.length("text"))).head()[0]
     assert longest == DOMAIN_PROMPT_CHARS
+
+
+def test_records_of_one_file_are_classified_in_many_tasks(spark, tmp_path, monkeypatch):
+    from quillmap.plans import ingest as P
+
+    root = tmp_path / "in"
+    (root / "cars").mkdir(parents=True)
+    (root / "cars" / "list.csv").write_text("id,name\n" + "".join(f"{i},name {i}\n" for i in range(400)))
+    seen, real = [], P.classify_documents
+
+    def spied(docs, *args, **kw):
+        seen.append(docs.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        return real(docs, *args, **kw)
+
+    monkeypatch.setattr(P, "classify_documents", spied)
+    P.ingest(spark, str(root), str(tmp_path / "cat"), str(tmp_path / "con"), "r", batch="1")
+    counts = [r["count"] for r in seen[0]]
+    assert sum(counts) == 400 and len(counts) >= 8 and max(counts) < 100
