@@ -3,8 +3,10 @@
 The two vocabularies in use split a text before any merge, and no split piece runs from a visible character
 into white space. So a text may be cut wherever white space follows a visible character, and the ids of the
 cuts, one after the other, are the ids of the text. Words are kept in a bounded store in two generations;
-texts with rare kinds of white space, texts that hold the string of an added token (which then is that token, as the
-library has it by default), and tokenizers of another make go to the library in whole texts.
+where white space belongs to the word after it, the new words of many texts go to the library as one text, whose
+ids are told apart by the tokens that begin with white space. Texts with rare kinds of white space, texts that hold
+the string of an added token (which then is that token, as the library has it by default), and tokenizers of another
+make go to the library in whole texts.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import sys
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -24,6 +28,8 @@ WITH_SPACE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")
 #: Characters of a text that are split into words at a time.
 STRETCH = 1 << 20
+#: New words that go to the library as one text.
+JOINED = 100
 WHITE = (" ", "\t", "\n", "\r", "")
 #: Distinct words of a generation; two generations are kept.
 WORDS_KEPT = 250_000
@@ -55,29 +61,51 @@ def _make(path: str) -> str:
 
 
 class Words(dict):
-    """Ids of words, found out when first asked for; the generation before the present one is kept."""
+    """Ids of words; the generation before the present one is kept. Where white space goes they are found out when first asked for, else they are learnt."""
 
-    def __init__(self, encode, merge, lead: str, fold: bool, limit: int):
-        self.encode, self.merge, self.lead, self.fold, self.limit = encode, merge, lead, fold, limit
+    def __init__(self, encode, merge, limit: int):
+        self.encode, self.merge, self.limit = encode, merge, limit
         self.old: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # words without the blank in front, and marks
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if "\n" in word:  # a line end before a visible character is a cut; such words hardly come twice
-                return b"".join(map(self.plain, WITH_SPACE.findall(self.lead + word)))
             ids = self._find(word)
+        self.turn()
+        self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        """A new generation, if the present one is full."""
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+
+    def learn(self, words: set[str], encode_all) -> None:
+        """Take in words that this generation lacks. They begin with a line end, or stand for a word behind a blank."""
+        new, tails = set(), {}
+        for word in words:
+            if (ids := self.old.get(word)) is not None:
+                self[word] = ids
+                continue
+            if word[-1] in string.punctuation:  # behind a letter they are a piece of their own
+                stem = word.rstrip(string.punctuation)
+                if stem[-1:].isalpha():
+                    tails[word] = stem
+                    if stem in words or stem in self:
+                        continue
+                    if (ids := self.old.get(stem)) is not None:
+                        self[stem] = ids
+                        continue
+                    word = stem
+            new.add(word)
+        self.update(encode_all(new))
+        for word, stem in tails.items():
+            self[word] = self[stem] + self.plain(word[len(stem):])
 
     def plain(self, word: str) -> bytes:
         """Of a word with its own white space in front, if any."""
-        if self.lead and word[0] == self.lead and word[1:2] not in WHITE:
-            return self[word[1:]]
         ids = self.bare.get(word)
         if ids is None:
             if len(self.bare) >= self.limit // 4:
@@ -89,11 +117,11 @@ class Words(dict):
         # both vocabularies cut between a letter and a comma or stop
         if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
             return self[word[:-1]] + self.plain(word[-1])
-        if self.fold and word.isascii() and (low := word.lower()) != word:
+        if word.isascii() and (low := word.lower()) != word:
             return self[low]
         if word.isalpha() and (word.isascii() or max(word) < "\u0250"):  # one piece for the merges
-            return self.merge(self.lead, word)
-        return self.encode(self.lead + word)
+            return self.merge(word)
+        return self.encode(word)
 
 
 def _byte_characters() -> list[str]:
@@ -117,8 +145,19 @@ class TextEncoder:
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.make = _make(path)
         self.model, self.bytes = self.tokenizer.model, dict(enumerate(_byte_characters()))
-        self.leads = {"": "", " ": self.bytes[32]}
-        self.words = Words(self._library, self._merge, " " if self.make == "spaced" else "", self.make == "dropped", words_kept)
+        self.words = Words(self._library, self._merge, words_kept)
+        if self.make == "spaced":
+            self._note_white_space()
+
+    def _note_white_space(self) -> None:
+        white, vocabulary = (self.bytes[10], self.bytes[32]), self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(white)]] = True
+        pairs = {pair for t in vocabulary for pair in zip(t, t[1:])}
+        # no merge runs from a letter into the white space behind it, or from a line end into a letter, but for these letters
+        last, first = {a for a, b in pairs if b in white}, {b for a, b in pairs if a == white[0]}
+        self.before_white = {c for c in map(chr, range(0x250)) if self.bytes[c.encode()[-1]] in last}
+        self.behind_line = {c for c in map(chr, range(0x250)) if self.bytes[c.encode()[0]] in first}
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -129,18 +168,16 @@ class TextEncoder:
     def _library(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _merge(self, lead: str, word: str) -> bytes:
-        """Of one word of letters, which neither library rule splits: straight to the model's merges."""
+    def _merge(self, word: str) -> bytes:
+        """Of one word of letters, which no library rule splits: in lower case, straight to the model's merges."""
         if word.isascii():
-            word = word.lower() if self.make == "dropped" else word
+            word = word.lower()
         else:
-            if self.make == "dropped":
-                low = unicodedata.normalize("NFC", word).lower()
-                if not low.isalpha():  # a letter that becomes two characters
-                    return self._library(word)
-                word = low
-            word = word.encode().decode("latin-1").translate(self.bytes)
-        return self._pack([t.id for t in self.model.tokenize(self.leads[lead] + word)])
+            low = unicodedata.normalize("NFC", word).lower()
+            if not low.isalpha():  # a letter that becomes two characters
+                return self._library(word)
+            word = low.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.model.tokenize(word)])
 
     def _stretches(self, text: str):
         at = 0
@@ -151,14 +188,59 @@ class TextEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
-        out = []
+        out, held, size = [], [], 0
         for text in texts:
+            out.append([])
             if self._may_hold_added(text):
-                out.append(self._library(text))
+                out[-1].append([self._library(text)])
                 continue
-            parts = [self._stretch(s) for s in self._stretches(text)]
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-        return out
+            for stretch in self._stretches(text):
+                ids, gaps, words = self._stretch(stretch)
+                out[-1].append(ids)
+                if gaps:
+                    held.append((ids, gaps, words))
+                    size += len(stretch)
+                    if size >= STRETCH:
+                        self._fill(held)
+                        held, size = [], 0
+        self._fill(held)
+        return [parts[0][0] if len(parts) == 1 else b"".join(chain.from_iterable(parts)) for parts in out]
+
+    def _fill(self, held: list[tuple[list[bytes | None], list[int], list[str]]]) -> None:
+        """Put the ids of words met for the first time into their gaps."""
+        if not held:
+            return
+        self.words.learn(set(chain.from_iterable(words for _, _, words in held)), self._encode_all)
+        for ids, gaps, words in held:
+            for at, word in zip(gaps, words, strict=True):
+                ids[at] = self.words[word]
+            ids[:] = [b"".join(ids)]
+        self.words.turn()
+
+    def _encode_all(self, words: set[str]):
+        """Pairs of word and ids. Many words are one text, and words of letters, which are one piece, go straight to the merges."""
+        letters, others = [], []
+        for word in words:
+            straight = word.isalpha() or word[0] == "\n" and word[1:].isalpha() and word[1] not in self.behind_line
+            straight = straight and word[-1] not in self.before_white and (word.isascii() or max(word) < "\u0250")
+            (letters if straight else others).append(word)
+        ids: list[int] = []
+        for text in self._joined(letters):
+            pieces = text.encode().decode("latin-1").translate(self.bytes)
+            ids += [t.id for t in self.model.tokenize(pieces)]
+        for text in self._joined(others):
+            if self._may_hold_added(text):
+                return [(w, self._library(w if w[0] == "\n" else " " + w)) for w in words]
+            ids += self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        packed = self._pack(ids)
+        starts = np.flatnonzero(self.opens[np.frombuffer(packed, self.dtype)]) * self.dtype.itemsize
+        bounds = [*starts.tolist(), len(packed)]
+        return zip(letters + others, map(packed.__getitem__, map(slice, bounds, bounds[1:])), strict=True)
+
+    @staticmethod
+    def _joined(words: list[str]):
+        for at in range(0, len(words), JOINED):
+            yield "".join([w if w[0] == "\n" else " " + w for w in words[at:at + JOINED]])
 
     def _may_hold_added(self, text: str) -> bool:
         if not any(mark in text for mark in self.marks):
@@ -166,13 +248,19 @@ class TextEncoder:
         low = text.lower()
         return any(t.lower() in low for t in self.added)
 
-    def _stretch(self, text: str) -> bytes:
+    def _stretch(self, text: str) -> tuple[list[bytes | None], list[int], list[str]]:
+        """Ids in parts, the places of parts that are not known yet, and their words."""
         if self.make == "whole" or not text.replace("\n", "").isprintable() and RARE_SPACE.search(text):
-            return self._library(text)
-        find = self.words.__getitem__
+            return [self._library(text)], [], []
         if self.make == "dropped":
-            return b"".join(map(find, text.split()))
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[-1:] == " ":
-            return b"".join(map(self.words.plain, WITH_SPACE.findall(text)))
-        words = text.split(" ")
-        return b"".join([b"".join(map(self.words.plain, WITH_SPACE.findall(words[0]))), *map(find, words[1:])])
+            return [b"".join(map(self.words.__getitem__, text.split()))], [], []
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\t" in text or "\r" in text or text.endswith((" ", "\n\n")):
+            pieces = WITH_SPACE.findall(text)
+            words = [p if p[0] == "\n" else p[1:] if p[0] == " " else "" for p in pieces]
+            words = [w if p[1:2] not in WHITE else "" for w, p in zip(words, pieces, strict=True)]
+            ids = [self.words.get(w) if w else self.words.plain(p) for w, p in zip(words, pieces, strict=True)]
+        else:
+            words = text.replace("\n", " \n").split(" ")  # a line end belongs to the word after it like a blank
+            ids = [self.words.plain(words[0]) if words[0] else b"", *map(self.words.get, words[1:])]
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        return (ids, gaps, [words[i] for i in gaps]) if gaps else ([b"".join(ids)], [], [])

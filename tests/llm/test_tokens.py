@@ -169,3 +169,32 @@ def test_token_files_without_rows_or_ids(spark):
     path = scratch_dir(spark, "files")
     rans.write_tokens(write_scratch(documents(spark, [(None, "a"), (2, "b"), (None, None)]), "t"), path, BYTE, end_id=0)
     assert [r.doc_id for r in rans.read_documents(spark, path).orderBy("start").collect()] == [None, None, 2]
+
+
+class Counted:
+    """A tokenizer or model whose calls are counted."""
+
+    def __init__(self, real, calls):
+        self.real, self.calls = real, calls
+
+    def __getattr__(self, name):
+        def call(*args, **options):
+            self.calls.append(name)
+            return getattr(self.real, name)(*args, **options)
+        return call
+
+
+def test_new_words_share_calls():
+    """Words of a batch that were not met before go to the library together, also those with marks, accents and line ends."""
+    rng, want = random.Random(6), library(BYTE)
+    ends = ["", "", ",", ".", "\nA", "&&&", "'s", "'", "'s.", "\n\nBa", "à", "à,", "\nº", "-", "3", "İ,"]
+    texts = [" ".join("".join(rng.choice("thanderoiàü") for _ in range(9)) + rng.choice(ends) for _ in range(60)) for _ in range(50)]
+    texts += [t.replace(" ", "  ", 1) for t in texts]
+    for kept, at_most in ((10_000, 400), (40, 800)):
+        encode, calls = token_ids.TextEncoder(BYTE, kept), []
+        encode.tokenizer, encode.model = Counted(encode.tokenizer, calls), Counted(encode.model, calls)
+        encode.words.encode, encode.words.merge = encode._library, encode._merge
+        for _ in range(2):
+            for text, ids in zip(texts, encode(texts), strict=True):
+                assert np.frombuffer(ids, encode.dtype).tolist() == want(text), repr(text)
+        assert len({w for t in texts for w in t.split()}) > 2500 and len(calls) < at_most
