@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from quillmap.session import write_scratch
 
-__all__ = ["read_table", "row_slices", "sample_by_hash", "string_column", "write_scratch"]
+__all__ = ["maybe_among", "read_table", "row_slices", "sample_by_hash", "string_column", "write_scratch"]
+
+#: Bits for each key in the map that ``maybe_among`` broadcasts, and the most it has (4 MB, in rows of 64).
+BITS_PER_KEY, MAX_BITS = 16, 1 << 25
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,21 @@ def string_column(name: str, alias: str | None = None):
     return F.col(f"`{name}`").cast("string").alias(alias or name)
 
 
+def maybe_among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose value in the one column of ``keys`` is there, and a few others.
+
+    Meant for what goes into a join that keeps a small part of it: rows are told by a broadcast map of hashed keys,
+    so that the others are never shuffled. The map has a bounded size; beyond it more of the others pass. ``keys`` comes
+    from a written table and has the type of the column in ``df``.
+    """
+    (key,) = keys.columns
+    bits = min(MAX_BITS, 1 << max(10, (BITS_PER_KEY * keys.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(bits)).alias("__place")
+    marks = keys.select(place).groupBy(F.expr("__place div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__place % 64 AS int)))").alias("__bits"))
+    placed = df.select("*", place).join(F.broadcast(marks), F.expr("__place div 64 = __word"))
+    return placed.where("getbit(__bits, cast(__place % 64 AS int)) = 1").drop("__place", "__word", "__bits")
+
+
 def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows, chosen by a hash of the key: the same ones in every run."""
     total = df.count()

@@ -23,6 +23,9 @@ similarity, plus a known share of chance hits between compressed values.
    left uncompared. Nothing is capped. Members of a large bucket are dealt to cuts of bounded size, and what all of
    them need of the bucket goes to each cut.
 
+Texts, registers, sets and band keys pass a broadcast map of the keys they are wanted by (``maybe_among``) before they are
+shuffled into a join, so that a round moves what its pairs name, not all documents.
+
 Defined results: words are runs of characters other than blank and \\t\\n\\v\\f\\r, A-Z lower-cased. With fewer words than a
 shingle has, the whole sequence is the one shingle; null texts and texts without words have an empty set,
 linked with nothing. Rows without an id are linked with nothing, have no component and are kept. Rows that share
@@ -42,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.common import row_slices, string_column, write_scratch
+from quillmap.llm.common import maybe_among, row_slices, string_column, write_scratch
 from quillmap.llm.components import connected_components
 
 REGISTERS, MANTISSA_BITS = 252, 10
@@ -241,7 +244,19 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: st
             })
 
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), string_column(text, "text_"))
-    return texts.join(wanted, "doc", "left_semi").select("doc", "text_").mapInArrow(run, "doc bigint, n bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in ODD))
+    texts = maybe_among(texts, wanted).join(wanted, "doc", "left_semi").select("doc", "text_")
+    return texts.mapInArrow(run, "doc bigint, n bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in ODD))
+
+
+def _with_root(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """With ``root``, the component that the document is known to be of."""
+    if roots is None:
+        return rows.withColumn("root", F.col("doc"))
+    return rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
 
 
 def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -254,7 +269,7 @@ def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
                 docs = np.repeat(batch.column("doc").to_numpy(), [len(h) for h in hashes])
                 yield pa.record_batch({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc": pa.array(docs)})
 
-    rows = sets.select("doc", "hashes").join(wanted, "doc", "left_semi").mapInArrow(explode, "h bigint, doc bigint")
+    rows = maybe_among(sets.select("doc", "hashes"), wanted).join(wanted, "doc", "left_semi").mapInArrow(explode, "h bigint, doc bigint")
     alone = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
     return alone.groupBy("doc").agg(F.count("*").alias("own"))
 
@@ -285,9 +300,9 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
     classes = write_scratch(classes, "classes")
 
     bands = _bands(classes, rows_per_band(threshold))
-    shared = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    members = write_scratch(bands.join(shared, "band"), "members")
-    meets = members.groupBy("doc").agg(F.sum("c").alias("meets"))
+    shared = write_scratch(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = write_scratch(maybe_among(bands, shared.select("band")).join(shared, "band"), "members")
+    meets = write_scratch(members.groupBy("doc").agg(F.sum("c").alias("meets"), F.max("c").alias("most")), "meets")
     sets = _full_sets(docs, meets.select("doc"), size, key, text)
     roots = tested = None
     twice = known.groupBy("doc").count().where("count > 1")
@@ -298,11 +313,11 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         both = both.join(both.groupBy("doc").agg(F.min("b").alias("a")), "doc")
         roots = connected_components(both.select("a", "b"))
     sets = write_scratch(sets, "sets")
-    large = members.where(F.col("c") > LARGE_BUCKET).select("doc").distinct()
+    large = meets.where(F.col("most") > LARGE_BUCKET).select("doc")
     own = write_scratch(_own_shingles(sets, large).join(twice, "doc", "left_anti"), "own")
     in_large = (F.col("c") > LARGE_BUCKET) & F.col("own").isNotNull()
     parities = sets.select("doc", *ODD).join(twice, "doc", "left_anti")
-    about = meets.join(_last_bits(classes), "doc").join(own, "doc", "left").join(parities, "doc", "left")
+    about = meets.drop("most").join(_last_bits(maybe_among(classes, meets.select("doc"))), "doc").join(own, "doc", "left").join(parities, "doc", "left")
     cut = F.pmod(F.xxhash64("doc"), F.expr(f"1 + c div {CUT_ROWS}")).alias("cut")
     active = members.join(about, "doc").select(
         "band", cut, "c", "doc", "n", "meets", F.when(in_large, F.col("n") - F.col("own")).otherwise(F.col("n")).alias("v"), *BITS, *ODD, F.lit(False).alias("main"))
@@ -330,16 +345,22 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
             side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
             pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
             pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        likely = write_scratch(_likely(pairs, classes, threshold), "likely")
-        found = write_scratch(_confirmed(likely, sets, percent), "links")
-        tested = likely if tested is None else tested.unionByName(likely)
-        roots = connected_components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        pairs = write_scratch(pairs, "pairs")
+        if pairs.limit(1).count():
+            likely = write_scratch(_likely(pairs, maybe_among(classes, _ends(pairs)), threshold), "likely")
+            tested = likely if tested is None else tested.unionByName(likely)
+            found = write_scratch(_confirmed(likely, maybe_among(sets, _ends(likely)), percent), "links")
+            if found.limit(1).count():
+                roots = connected_components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         # what has met every centre of its bucket stays only if the bucket still holds several components
-        left = active.join(centres.select("band", F.col("centre").alias("doc")), ["band", "doc"], "left_anti")
-        left = left.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        met = active.where("NOT main").groupBy("band", slices.alias("slice")).agg(F.max(F.struct("meets", "doc")).alias("best")).select("band", "best.doc")
+        left = _with_root(active.select("band", "doc", "meets", "c").join(met, ["band", "doc"], "left_anti"), roots)
         open_ = left.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max_by("root", F.struct("meets", "doc")).alias("chief"), F.max("c").alias("c"))
-        active = left.join(_for_cuts(open_.where("least <> most").select("band", "chief", "c")), ["band", "cut"]).select(
-            "band", "cut", "c", "doc", "n", "meets", "v", *BITS, *ODD, (F.col("root") == F.col("chief")).alias("main"))
+        open_ = write_scratch(open_.where("least <> most").select("band", "chief", "c"), "open")
+        if not open_.limit(1).count():
+            break
+        active = maybe_among(active, open_.select("band")).join(_for_cuts(open_), ["band", "cut"]).join(met, ["band", "doc"], "left_anti")
+        active = _with_root(active, roots).select("band", "cut", "c", "doc", "n", "meets", "v", *BITS, *ODD, (F.col("root") == F.col("chief")).alias("main"))
         centres_each *= 256
 
     of_class = classes.select("set_key", "doc")

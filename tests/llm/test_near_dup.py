@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pytest
 
+from quillmap.llm import common
 from quillmap.llm import near_dup as N
-from quillmap.llm.common import write_scratch
+from quillmap.llm.common import maybe_among, write_scratch
 from quillmap.llm.components import connected_components
 from tests.llm.helpers import documents, near_dup_brute, prose
 
@@ -78,6 +79,34 @@ def test_near_strangers_of_one_bucket_are_hardly_ever_compared(spark, monkeypatc
     assert sum(seen) < 250 * 249 / 2 / 10
 
 
+def test_joins_are_given_what_their_pairs_name(spark, monkeypatch):
+    """Registers and sets of other documents are left out before the shuffle, and rounds without pairs compare nothing."""
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    rows = list(enumerate([prose(rng, 60) for _ in range(400)] + [base] + [changed(rng, base, 1) for _ in range(3)]))
+    given = []
+    for name in ("_likely", "_confirmed"):
+        monkeypatch.setattr(N, name, lambda pairs, known, *rest, real=getattr(N, name): given.append((pairs.count(), known.count())) or real(pairs, known, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(documents(spark, rows), 5, 80).collect()}
+    assert got == near_dup_brute(rows, 5, 80)
+    assert given and all(named < 40 for _, named in given)
+
+
+def test_maybe_among_keeps_all_wanted_rows(spark, monkeypatch):
+    rows = spark.range(-1000, 3000).selectExpr("id AS doc", "concat('t', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc, 'x' AS text"))
+    keys = write_scratch(rows.where("doc % 40 = 0 OR doc = 2999").select("doc").unionByName(rows.where("doc = 0").select("doc")), "keys")
+    wanted = {r.doc for r in keys.collect()}
+    passed = maybe_among(rows, keys)
+    assert passed.columns == rows.columns
+    assert all(r.text == f"t{r.doc}" for r in passed.collect() if r.doc is not None)
+    got = [r.doc for r in passed.collect()]
+    assert len(got) == len(set(got)) < 700 and wanted <= set(got)
+    monkeypatch.setattr(common, "MAX_BITS", 64)  # a map that is too small lets more rows pass
+    got = [r.doc for r in maybe_among(rows, keys).collect()]
+    assert len(got) == len(set(got)) and wanted <= set(got)
+    assert maybe_among(rows, write_scratch(keys.where("doc > 5000"), "keys")).collect() == []
+
+
 def test_rows_without_id_and_shared_ids(spark):
     rng = random.Random(1)
     a, b = prose(rng, 80), prose(rng, 80)
