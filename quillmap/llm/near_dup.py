@@ -24,7 +24,8 @@ similarity, plus a known share of chance hits between compressed values.
    them need of the bucket goes to each cut.
 
 Texts, registers, sets and band keys pass a broadcast map of the keys they are wanted by (``maybe_among``) before they are
-shuffled into a join, so that a round moves what its pairs name, not all documents.
+shuffled into a join, so that a round moves what its pairs name, not all documents. Documents that the map shows to be kept
+are never shuffled for the result.
 
 Defined results: words are runs of characters other than blank and \\t\\n\\v\\f\\r, A-Z lower-cased. With fewer words than a
 shingle has, the whole sequence is the one shingle; null texts and texts without words have an empty set,
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.llm.common import maybe_among, row_slices, string_column, write_scratch
+from quillmap.llm.common import maybe_among, only, row_slices, string_column, without, write_scratch
 from quillmap.llm.components import connected_components
 
 REGISTERS, MANTISSA_BITS = 252, 10
@@ -244,8 +245,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: st
             })
 
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), string_column(text, "text_"))
-    texts = maybe_among(texts, wanted).join(wanted, "doc", "left_semi").select("doc", "text_")
-    return texts.mapInArrow(run, "doc bigint, n bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in ODD))
+    return only(texts, wanted).mapInArrow(run, "doc bigint, n bigint, hashes binary, " + ", ".join(f"{c} bigint" for c in ODD))
 
 
 def _with_root(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -269,7 +269,7 @@ def _own_shingles(sets: DataFrame, wanted: DataFrame) -> DataFrame:
                 docs = np.repeat(batch.column("doc").to_numpy(), [len(h) for h in hashes])
                 yield pa.record_batch({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc": pa.array(docs)})
 
-    rows = maybe_among(sets.select("doc", "hashes"), wanted).join(wanted, "doc", "left_semi").mapInArrow(explode, "h bigint, doc bigint")
+    rows = only(sets.select("doc", "hashes"), wanted).mapInArrow(explode, "h bigint, doc bigint")
     alone = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
     return alone.groupBy("doc").agg(F.count("*").alias("own"))
 
@@ -359,7 +359,8 @@ def link_documents(docs: DataFrame, size: int, percent: int, key: str = "doc_id"
         open_ = write_scratch(open_.where("least <> most").select("band", "chief", "c"), "open")
         if not open_.limit(1).count():
             break
-        active = maybe_among(active, open_.select("band")).join(_for_cuts(open_), ["band", "cut"]).join(met, ["band", "doc"], "left_anti")
+        active = maybe_among(active, open_.select("band")).join(_for_cuts(open_), ["band", "cut"])
+        active = active.join(met.withColumn("met", F.lit(True)), ["band", "doc"], "left").where("met IS NULL")  # see maybe_among
         active = _with_root(active, roots).select("band", "cut", "c", "doc", "n", "meets", "v", *BITS, *ODD, (F.col("root") == F.col("chief")).alias("main"))
         centres_each *= 256
 
@@ -382,12 +383,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one of the smallest id, with all columns. Rows without an id stay."""
     found = write_scratch(link_documents(docs, size, percent, key, text), "components")
-    gone = found.where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
-    out = docs.join(gone, F.col(f"`{key}`").cast("bigint") == F.col("__gone"), "left_anti")
-    twice = found.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("__twice"))
+    gone = write_scratch(found.where("doc <> component").select(F.col("doc").alias("__id")).distinct(), "gone")
+    twice = found.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("__id"))
+    twice = write_scratch(twice.join(gone, "__id", "left_anti"), "twice")
+    rows = docs.withColumn("__id", F.col(f"`{key}`").cast("bigint"))
     if not twice.limit(1).count():
-        return out
-    id_ = F.col(f"`{key}`").cast("bigint")
-    rows, same = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), id_ == F.col("__twice")
-    one = out.join(twice, same, "left_semi").groupBy(id_.alias("__id")).agg(F.min_by(rows, F.sha2(F.to_json(rows), 256)).alias("__row"))
-    return out.join(twice, same, "left_anti").unionByName(one.select("__row.*"))
+        return without(rows, gone).drop("__id")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = only(rows, twice).groupBy("__id").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
+    return without(rows, gone.unionByName(twice)).drop("__id").unionByName(one.select("__row.*"))

@@ -5,7 +5,7 @@ import pytest
 
 from quillmap.llm import common
 from quillmap.llm import near_dup as N
-from quillmap.llm.common import maybe_among, write_scratch
+from quillmap.llm.common import maybe_among, only, without, write_scratch
 from quillmap.llm.components import connected_components
 from tests.llm.helpers import documents, near_dup_brute, prose
 
@@ -107,6 +107,67 @@ def test_maybe_among_keeps_all_wanted_rows(spark, monkeypatch):
     assert maybe_among(rows, write_scratch(keys.where("doc > 5000"), "keys")).collect() == []
 
 
+def shuffled(df, column):
+    """Rows written to exchanges that carry this column, after a run of the frame's own plan."""
+    df.collect()
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and any(plan.output().apply(i).name() == column for i in range(plan.output().size())):
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        plans += below
+    return total
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Nor where the ids that go are too many to be broadcast."""
+    rng = random.Random(21)
+    base = prose(rng, 60)
+    rows = list(enumerate([prose(rng, 60) for _ in range(400)] + [base] + [changed(rng, base, 1) for _ in range(5)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for more in ([], [(3, rows[3][1]), (404, rows[404][1])]):  # rows that share an id: one of them stays
+            documents(spark, rows + more).write.parquet(path := f"{tmp_path}/{len(more)}")
+            kept = N.drop_near_duplicates(spark.read.parquet(path))
+            assert 5 <= shuffled(kept, "text") < 100
+            want = [(d, t) for d, t in rows if near_dup_brute(rows[400:], 5, 80).get(d, (0, d))[1] == d]
+            assert sorted(map(tuple, kept.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_of_full_sets_are_left_out_before_the_shuffle(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(22)
+        documents(spark, list(enumerate(prose(rng, 30) for _ in range(400)))).write.parquet(f"{tmp_path}/docs")
+        wanted = write_scratch(spark.range(5).withColumnRenamed("id", "doc"), "wanted")
+        sets = N._full_sets(spark.read.parquet(f"{tmp_path}/docs"), wanted, 5, "doc_id", "text")
+        assert 5 <= shuffled(sets, "text_") < 100
+        assert sorted(r.doc for r in sets.collect()) == [0, 1, 2, 3, 4]
+        assert 5 <= shuffled(N._own_shingles(write_scratch(N._full_sets(spark.read.parquet(f"{tmp_path}/docs"), spark.range(400).withColumnRenamed("id", "doc"), 5, "doc_id", "text"), "sets"), wanted), "hashes") < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_and_without_are_exact(spark, monkeypatch):
+    rows = spark.range(-1000, 3000).selectExpr("id AS doc", "concat('t', id) AS text").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS doc, 'x' AS text"))
+    for some in ("doc % 40 = 0", "doc % 40 = 0 OR doc IS NULL", "doc > 5000", "doc IS NOT NULL"):
+        for most in (common.MAX_BITS, 64):  # with a map that is too small more rows are joined
+            monkeypatch.setattr(common, "MAX_BITS", most)
+            keys = write_scratch(rows.where(some).select("doc"), "keys")
+            got = without(rows, keys)
+            assert got.columns == rows.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.where(f"NOT coalesce({some}, false) OR doc IS NULL").collect()))
+            got = only(rows, write_scratch(keys.unionByName(keys), "keys"))
+            assert got.columns == rows.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.where(f"({some}) AND doc IS NOT NULL").collect()))
+
+
 def test_rows_without_id_and_shared_ids(spark):
     rng = random.Random(1)
     a, b = prose(rng, 80), prose(rng, 80)
